@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import list_array, slices
 
@@ -245,7 +246,7 @@ def encode_decode(df: DataFrame, model_path: str, text: str = "text", keep: tupl
             columns = [batch.column(k) for k in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*columns, list_array(offsets, pa.array(ids)), pa.array([p[1] for p in pairs], pa.string())], [*keep, "ids", "decoded"])
 
-    schema = source.drop("__text").schema.add("ids", "array<int>").add("decoded", "string")
+    schema = T.StructType([*source.drop("__text").schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
     return source.mapInArrow(work, schema)
 
 
