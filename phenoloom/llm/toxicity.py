@@ -59,18 +59,31 @@ def prefixes(words: set[str]) -> set[str]:
     return found
 
 
-def choose_terms(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int, ratio: float = 20.0) -> dict[str, float]:
+def least_support(n_toxic: int) -> int:
+    return max(3, math.ceil(0.005 * n_toxic))
+
+
+def by_chance(t: int, c: int, share: float) -> float:
+    """Probability that of t + c texts at least t are toxic if each is with probability `share`."""
+    n = t + c
+    logs = [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(share) + (n - k) * math.log1p(-share) for k in range(t, n + 1)]
+    top = max(logs)
+    return math.exp(min(0.0, top + math.log(sum(math.exp(x - top) for x in logs))))
+
+
+def choose_terms(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int, tested: int, ratio: float = 20.0) -> dict[str, float]:
     """Terms from (prefix, toxic texts, clean texts): the longest beginning that still covers what its shortest pure one does.
 
-    Values are log ratios of the two smoothed rates. Words end in END; other terms are stems.
+    Values are log ratios of the two smoothed rates. Words end in END; other terms are stems. A term must be rarer by
+    chance than one in 20 among all the `tested` ones.
     """
     if not n_toxic or not n_clean:
         return {}
-    support = max(6, math.ceil(0.02 * n_toxic))
+    support, share = least_support(n_toxic), n_toxic / (n_toxic + n_clean)
     pure = {}
     for p, t, c in counts:
         score = math.log((t + 0.5) / (n_toxic + 1)) - math.log((c + 0.5) / (n_clean + 1))
-        if t >= support and score >= math.log(ratio):
+        if t >= support and score >= math.log(ratio) and by_chance(t, c, share) * tested <= 0.05:
             pure[p] = (t, score)
     children: dict[str, list[str]] = {}
     for p in pure:
@@ -306,11 +319,12 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
     if not n_toxic or not n_clean:
         return ToxicityModel(weights=[-30.0] + [0.0] * 6)
-    support = max(6, math.ceil(0.02 * n_toxic))
+    support = least_support(n_toxic)
     counted = single.mapInArrow(count, "term string, t bigint, c bigint").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    # A term in `support` of n toxic texts and in few clean ones: their number is bounded by the sample.
-    counted = counted.where((F.col("t") >= support) & (F.col("t") * n_clean >= 15 * F.col("c") * n_toxic))
-    terms = choose_terms([tuple(r) for r in counted.collect()], n_toxic, n_clean)
+    counted = materialise(counted.where(F.col("t") >= support), "toxic-terms")
+    # Terms of `support` toxic texts and few clean ones: their number is bounded by the sample.
+    found = [tuple(r) for r in counted.where(F.col("t") * n_clean >= 15 * F.col("c") * n_toxic).collect()]
+    terms = choose_terms(found, n_toxic, n_clean, counted.count())
     model = ToxicityModel(terms)
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
