@@ -28,6 +28,15 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import id_remainder
+    from .langid import fit, identify
+
+    docs = documents(spark, sf_dir)
+    found = identify(docs, fit(docs))
+    return found.select("doc_id", (id_remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
 
