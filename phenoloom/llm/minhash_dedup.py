@@ -9,8 +9,8 @@ of what as many tables would take one by one. At a similarity of 0.75 two docume
 2. In each table bucket all members are compared with one hub (its smallest id): as many pairs as rows, never all pairs.
    The hub is found by an aggregation, so a bucket of any size needs no single task.
 3. Pairs are confirmed on full sets; confirmed ones are joined into components.
-4. Buckets that now lie in one component are settled. Members of the others can still have links that their hub doesn't
-   show. These are found by an exact prefix-filter join over those members alone: shingles ordered from rare to
+4. Buckets that now lie in one component are settled. The others' members are compared with their most central member,
+   again one pair for each row. Members of buckets that are still not settled can have links that no hub shows. These are found by an exact prefix-filter join over those members alone: shingles ordered from rare to
    frequent, two sets of that similarity share one of their first n - ceil(0.75 n) + 1. A passage that many documents
    hold is frequent, so documents that share no more than it don't meet.
 5. Components are joined again over both kinds of links.
@@ -34,6 +34,8 @@ from .common import WordHashes, list_array, materialise, shingle_hashes, slices,
 WIDTH, PERCENT = 5, 75
 #: Ids of rows to be looked up are broadcast up to this number; beyond it the texts are shuffled.
 BROADCAST_IDS = 400_000
+#: Rounds of comparison with central members, and rows of a list in the exact step.
+CENTRAL_ROUNDS, BLOCK = 1, 256
 
 
 def shingle_set(text: str | None, hashes: WordHashes, width: int = WIDTH) -> np.ndarray:
@@ -124,17 +126,65 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def unsettled_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Exact candidate pairs with different labels among the nodes of `labels` (node, component), by prefix filter."""
+    """Exact candidate pairs with different labels among the nodes of `labels` (node, component), by prefix filter.
+
+    A pair is made only where its first common shingle leaves enough of both sets for the similarity asked for.
+    """
     one = sets.join(labels, "node").select("node", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     one = materialise(one, "unsettled")
     often = one.groupBy("s").agg(F.count("*").alias("f"))
     ordered = one.join(often, "s").groupBy("node", "component", "n").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("xs"))
-    prefix = ordered.select("node", "component", F.explode(F.slice("xs", 1, F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1)).alias("x"))
-    prefix = materialise(prefix.where("x.f > 1").select("node", "component", F.col("x.s").alias("s")), "prefix")
-    mixed = prefix.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("s")
-    open_ = prefix.join(mixed, "s")
-    a, b = open_.select("s", F.col("node").alias("a"), F.col("component").alias("ca")), open_.select("s", F.col("node").alias("b"), F.col("component").alias("cb"))
-    return a.join(b, "s").where("a < b and ca <> cb").select("a", "b").distinct()
+    prefix = ordered.select("node", "component", "n", F.posexplode(F.slice("xs", 1, F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1)).alias("at", "x"))
+    # The most that a set can share with another from its first common shingle on.
+    prefix = materialise(prefix.where("x.f > 1").select("node", "component", "n", (F.col("n") - F.col("at")).alias("rest"), F.col("x.s").alias("s")), "prefix")
+    mixed = prefix.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    # Buckets over BLOCK rows are cut into blocks that meet pairwise, so no list is longer than about two blocks.
+    open_ = prefix.join(mixed.select("s", F.col("lo").alias("family"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "s")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("lo"), F.greatest(k, F.col("own")).alias("hi")))
+    parts = open_.withColumn("own", own).select("s", "family", "node", "component", "n", "rest", F.explode(meets).alias("at"))
+    lists = parts.groupBy("s", "family", "at").agg(F.collect_list(F.struct("node", "component", F.col("n").cast("long").alias("n"), F.col("rest").cast("long").alias("rest"))).alias("members"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = np.empty((0, 2), np.int64)
+        for batch in batches:
+            column = batch.column(0)
+            flat, ends = [np.asarray(x) for x in column.flatten().flatten()], np.asarray(column.offsets) - column.offsets[0].as_py()
+            for start, end in zip(ends[:-1], ends[1:], strict=True):
+                order = start + np.argsort(flat[0][start:end], kind="stable")
+                node, component, n, rest = (x[order] for x in flat)
+                most = np.minimum(rest[:, None], rest[None, :]) * (100 + percent) >= percent * (n[:, None] + n[None, :])
+                i, j = np.nonzero(np.triu((component[:, None] != component[None, :]) & most, 1))
+                kept = np.concatenate([kept, np.stack([node[i], node[j]], 1)])
+                if len(kept) > 500_000:
+                    kept = np.unique(kept, axis=0)
+                    if len(kept) > 250_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(kept[:, 0].copy()), pa.array(kept[:, 1].copy())], ["a", "b"])
+                        kept = np.empty((0, 2), np.int64)
+        kept = np.unique(kept, axis=0)
+        if len(kept):
+            yield pa.RecordBatch.from_arrays([pa.array(kept[:, 0].copy()), pa.array(kept[:, 1].copy())], ["a", "b"])
+
+    # The buckets of a family share most of their pairs: side by side in a task, these are told apart there.
+    return lists.repartition("family").select("members").mapInArrow(work, "a bigint, b bigint").distinct()
+
+
+def unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, node, component, n): rows of the buckets of three or more that don't lie in one component."""
+    known = materialise(members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "known")
+    mixed = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2").select("key", "n")
+    return materialise(known.join(mixed, "key"), "unsettled")
+
+
+def central_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b): members of unsettled buckets with the bucket's most central member, the one that meets most others in all buckets.
+
+    Copies with edits of their own are like the text that they come from, and less like each other.
+    """
+    degree = rows.groupBy("node").agg(F.sum(F.col("n") - 1).alias("degree"))
+    hubs = rows.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", "node", "component")).alias("hub")).select("key", "hub.node", "hub.component")
+    met = rows.select("key", "node", "component").join(hubs.select("key", F.col("node").alias("hub"), F.col("component").alias("hub_component")), "key")
+    return met.where("component <> hub_component").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", groups: int = 8, rows: int = 2, percent: int = PERCENT, width: int = WIDTH, seed: int = 7) -> DataFrame:
@@ -153,10 +203,15 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", g
     links = materialise(confirm(tried, sets, percent), "links")
 
     labels = components(links)
-    known = members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    known = materialise(known, "known")
-    mixed = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2").select("key")
-    rest = materialise(known.join(mixed, "key", "left_semi").select("node", "component").distinct(), "rest")
+    rows = unsettled(members, labels)
+    for _ in range(CENTRAL_ROUNDS):
+        more = materialise(confirm(central_pairs(rows), sets, percent), "links")
+        if not more.limit(1).count():
+            break
+        links = links.union(more)
+        labels = components(links)
+        rows = unsettled(members, labels)
+    rest = materialise(rows.select("node", "component").distinct(), "rest")
     more = materialise(confirm(unsettled_pairs(sets, rest, percent), sets, percent), "links")
     if more.limit(1).count():
         labels = components(links.union(more))
