@@ -2,11 +2,12 @@
 
 Pieces are counted once per distinct pre-token; the counts are joined to per-document pre-token frequencies and summed.
 
-1. One Arrow pass splits every text into pre-tokens and writes, per block of documents, one posting row for each pre-token
-   of the block: the documents' row keys and the frequencies. A pre-token that every document holds thus has one row for
+1. One Arrow pass splits every text into pre-tokens and makes, per block of documents, one posting row for each pre-token
+   of the block: the documents' places and the frequencies. A pre-token that every document holds thus has one row for
    each block, not one for each document, so no key is hot.
-2. Distinct pre-tokens are encoded once each by the library's merge model.
-3. Postings join these counts; frequency times pieces is summed by document.
+2. Postings are dealt by pre-token and sorted. In its partition, each distinct pre-token is encoded once by the library's
+   merge model, and its count joins all its postings; frequency times pieces is summed by document,
+   first in the task, then where a block's sums meet.
 
 Defined cases: null text counts as empty (0 bytes, 0 tokens); every input row gives one output row, also where doc_id is
 null or repeated; a special token's string inside a text is one token, as is the library's default.
@@ -22,15 +23,20 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import list_array, materialise, slices
+from .common import slices
 
 #: Fixed value: the published pre-token pattern of byte-level vocabularies of this kind.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-POSTINGS = "pre_token string, row_keys array<bigint>, freqs array<int>, doc_ids array<bigint>, n_bytes array<bigint>"
+#: A posting: a document's place in its block and the pre-token's frequency there. A document itself.
+ENTRY = np.dtype([("row", "<u2"), ("freq", "u1")])
+OWN = np.dtype([("known", "?"), ("doc_id", "<i8"), ("n_bytes", "<i8"), ("special", "<i4")])
+#: What a task has summed for a document.
+SUM = np.dtype([("row", "<u2"), ("tokens", "<u4")])
 
 
 def pre_tokens(text: str) -> list[str]:
@@ -63,8 +69,12 @@ def _counter(data: bytes):
     return tokenizer
 
 
+def _binary(offsets: np.ndarray, data: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data.tobytes())])
+
+
 def postings(df: DataFrame, special: list[str], text: str = "text", doc_id: str = "doc_id", block_rows: int = 16384, block_bytes: int = 24 << 20) -> DataFrame:
-    """Rows with a pre_token: its documents and frequencies in a block. Rows without: the block's documents themselves."""
+    """kind 0: a pre-token with its documents and frequencies in a block; kind 1: the block's documents themselves."""
     source = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("__text"))
 
     def block(ids: list[pa.Array], texts: list[list[str | None]], key: int) -> pa.RecordBatch:
@@ -83,60 +93,116 @@ def postings(df: DataFrame, special: list[str], text: str = "text", doc_id: str
                 words = find(t) if len(spans) == 1 else [w for s in spans for w in find(s)]
                 coded.append(np.fromiter(map(index.__getitem__, words), np.int64, len(words)))
         rows = len(n_bytes)
-        flat = np.concatenate([np.empty(0, np.int64), *coded])
-        owner = np.repeat(np.arange(rows), [len(c) for c in coded])
+        pairs = np.concatenate([np.empty(0, np.int64), *coded]) * rows + np.repeat(np.arange(rows), [len(c) for c in coded])
         del coded
-        pairs = flat * rows + owner
-        del flat, owner
         pairs.sort()
         starts = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]]) if len(pairs) else np.empty(0, np.int64)
         freqs = np.diff(np.r_[starts, len(pairs)])
         token, owner = np.divmod(pairs[starts], rows)
-        keys = np.arange(rows) + key
-        offsets = np.r_[np.searchsorted(token, np.arange(len(index))), len(token), len(token) + rows]
+        times = -(-freqs // 255)  # a frequency over 255 takes several entries
+        entries = np.empty(int(times.sum()), ENTRY)
+        entries["row"], entries["freq"] = np.repeat(owner, times), 255
+        entries["freq"][np.cumsum(times) - 1] = freqs - 255 * (times - 1)
+        offsets = np.searchsorted(np.repeat(token, times), np.arange(len(index) + 1)) * ENTRY.itemsize
         all_ids = pa.concat_arrays(ids)
-        none = np.zeros(len(index) + 1, np.int64)
+        own = np.empty(rows, OWN)
+        own["known"], own["doc_id"], own["n_bytes"], own["special"] = all_ids.is_valid().to_numpy(zero_copy_only=False), all_ids.fill_null(0).to_numpy(), n_bytes, n_special
+        data = np.frombuffer(entries.tobytes() + own.tobytes(), np.uint8)
+        n = len(index)
         return pa.RecordBatch.from_arrays(
-            [
-                pa.array([*index, None], pa.string()),
-                list_array(offsets, pa.array(np.r_[keys[owner], keys])),
-                list_array(offsets, pa.array(np.r_[freqs, n_special].astype(np.int32))),
-                list_array(np.r_[none, rows], all_ids),
-                list_array(np.r_[none, rows], pa.array(np.array(n_bytes, np.int64))),
-            ],
-            ["pre_token", "row_keys", "freqs", "doc_ids", "n_bytes"],
+            [pa.array(np.r_[np.zeros(n, np.int8), np.int8(1)]), pa.array([*index, str(key)], pa.string()), pa.array(np.full(n + 1, key)), _binary(np.r_[offsets, len(data)], data)],
+            ["kind", "pre_token", "block", "entries"],
         )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = TaskContext.get().partitionId() << 36
+        key = TaskContext.get().partitionId() << 24
         ids, texts, rows, size = [], [], 0, 0
         for batch in slices(batches, block_rows, 4 << 20, "__text"):
+            if rows + batch.num_rows > block_rows or size >= block_bytes:
+                yield block(ids, texts, key)
+                key, ids, texts, rows, size = key + 1, [], [], 0, 0
             ids.append(batch.column(0))
             texts.append(batch.column(1).to_pylist())
             rows, size = rows + batch.num_rows, size + batch.column(1).nbytes
-            if rows >= block_rows or size >= block_bytes:
-                yield block(ids, texts, key)
-                key, ids, texts, rows, size = key + rows, [], [], 0, 0
         if rows:
             yield block(ids, texts, key)
 
-    return source.mapInArrow(work, POSTINGS)
+    return source.mapInArrow(work, "kind tinyint, pre_token string, block bigint, entries binary")
+
+
+def weigh(grouped: DataFrame, data: bytes) -> DataFrame:
+    """Join of pre-tokens' piece counts to their postings, in partitions that hold all postings of a pre-token in a row.
 
+    Each distinct pre-token is encoded once; a task makes one row of sums for each block it has met (kind 0) and passes
+    the blocks' own documents on (kind 1).
+    """
+    sent = grouped.sparkSession.sparkContext.broadcast(data)
 
-def piece_counts(pre: DataFrame, data: bytes) -> DataFrame:
-    """(pre_token, pieces) for a table of distinct pre-tokens."""
-    sent = pre.sparkSession.sparkContext.broadcast(data)
+    def sums(keys: list[np.ndarray], values: list[np.ndarray]) -> pa.RecordBatch:
+        k, v = np.concatenate(keys), np.concatenate(values)
+        order = np.argsort(k, kind="stable")
+        k, v = k[order], v[order]
+        starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+        out = np.empty(len(starts), SUM)
+        out["row"], out["tokens"] = k[starts] & 0xFFFF, np.add.reduceat(v, starts)
+        blocks, first = np.unique(k[starts] >> 16, return_index=True)
+        return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(blocks), np.int8)), pa.array(blocks), _binary(np.r_[first, len(out)] * SUM.itemsize, out)], ["kind", "block", "payload"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _counter(sent.value)
+        last, last_n = None, 0
+        keys, values, held = [], [], 0
+        for batch in batches:
+            own = batch.filter(pc.equal(batch.column(0), 1))
+            if own.num_rows:
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(2), own.column(3)], ["kind", "block", "payload"])
+                batch = batch.filter(pc.equal(batch.column(0), 0))
+            if not batch.num_rows:
+                continue
+            words, blocks, entries = (batch.column(i) for i in (1, 2, 3))
+            runs = pc.run_end_encode(words)
+            distinct, ends = runs.values.to_pylist(), runs.run_ends.to_numpy()
+            known = int(distinct[0] == last)
+            n = [last_n] * known + [len(e) for e in tokenizer.encode_batch(distinct[known:], add_special_tokens=False)]
+            last, last_n = distinct[-1], n[-1]
+            pieces = np.repeat(np.array(n, np.int64), np.diff(np.r_[0, ends]))
+            lengths = pc.binary_length(entries).to_numpy() // ENTRY.itemsize
+            x = np.frombuffer(b"".join(entries.to_pylist()), ENTRY)
+            keys.append(np.repeat(blocks.to_numpy() << 16, lengths) | x["row"])
+            values.append(np.repeat(pieces, lengths) * x["freq"])
+            held += len(x)
+            if held > 2_000_000:
+                yield sums(keys, values)
+                keys, values, held = [], [], 0
+        if held:
+            yield sums(keys, values)
+
+    return grouped.mapInArrow(work, "kind tinyint, block bigint, payload binary")
+
+
+def collect_blocks(weighed: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_tokens from rows that are in the order of their blocks, each block's own documents first."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, totals = None, None
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(own["doc_id"], mask=~own["known"]), pa.array(own["n_bytes"]), pa.array(totals)], ["doc_id", "n_bytes", "n_tokens"])
+
         for batch in batches:
-            column = batch.column(0)
-            for start in range(0, batch.num_rows, 2000):
-                part = column.slice(start, 2000)
-                n = [len(e) for e in tokenizer.encode_batch(part.to_pylist(), add_special_tokens=False)]
-                yield pa.RecordBatch.from_arrays([part, pa.array(n, pa.int64())], ["pre_token", "pieces"])
+            for kind, payload in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if kind == 1:
+                    if own is not None:
+                        yield out()
+                    own = np.frombuffer(payload, OWN)
+                    totals = own["special"].astype(np.int64)
+                else:
+                    x = np.frombuffer(payload, SUM)
+                    totals[x["row"]] += x["tokens"]  # a document comes once in a payload
+        if own is not None:
+            yield out()
 
-    return pre.select("pre_token").mapInArrow(work, "pre_token string, pieces bigint")
+    return weighed.mapInArrow(work, "doc_id bigint, n_bytes bigint, n_tokens bigint")
 
 
 def count_tokens(df: DataFrame, tokenizer_path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -144,9 +210,5 @@ def count_tokens(df: DataFrame, tokenizer_path: str, text: str = "text", doc_id:
     with open(tokenizer_path, "rb") as f:
         data = f.read()
     special = _check(json.loads(data))
-    table = materialise(postings(df, special, text, doc_id), "postings")
-    counts = piece_counts(table.where("pre_token is not null").select("pre_token").distinct(), data)
-    joined = table.where("pre_token is not null").select("pre_token", "row_keys", "freqs").join(counts, "pre_token")
-    parts = joined.select(F.explode(F.arrays_zip("row_keys", "freqs")).alias("x"), "pieces").select(F.col("x.row_keys").alias("row_key"), (F.col("x.freqs") * F.col("pieces")).alias("tokens"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_bytes"))
-    base = table.where("pre_token is null").select(F.explode(F.arrays_zip("row_keys", "freqs", "doc_ids", "n_bytes")).alias("x")).select(F.col("x.row_keys").alias("row_key"), F.col("x.freqs").cast("long").alias("tokens"), F.col("x.doc_ids").alias("doc_id"), F.col("x.n_bytes").alias("n_bytes"))
-    return parts.unionByName(base).groupBy("row_key").agg(F.sum("tokens").alias("n_tokens"), F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes")).select("doc_id", "n_bytes", "n_tokens")
+    grouped = postings(df, special, text, doc_id).repartition("kind", "pre_token").sortWithinPartitions("pre_token")
+    return collect_blocks(weigh(grouped, data).repartition("block").sortWithinPartitions("block", F.desc("kind")))
