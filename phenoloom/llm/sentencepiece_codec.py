@@ -15,6 +15,7 @@ the vocabulary become byte pieces; U+2581 is white space for this model and deco
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -60,7 +61,7 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 class PieceModel:
     """Vocabulary, normaliser flags and the prefix-table encoder of one model file."""
 
-    MOST_CACHED = 400_000
+    MOST_CACHED = 700_000
 
     def __init__(self, model: bytes):
         pieces, trainer, normaliser = [], {}, {}
@@ -89,6 +90,8 @@ class PieceModel:
         self.byte_of = {i: b for b, i in self.byte_ids.items()}
         self.unknown = next(i for i, k in enumerate(kinds) if k == UNKNOWN)
         self.lengths = [len(t) for t in self.texts]
+        self.shown = [t.replace(SPACE, " ") for t in self.texts]
+        self.plain = frozenset(self.ids.values())
         self.automaton = ahocorasick.Automaton()
         for text, i in self.ids.items():
             if self.merge(text) == [text]:
@@ -123,7 +126,7 @@ class PieceModel:
             if len(self.pairs) >= 2_000_000:
                 self.pairs.clear()
             a, b = self.texts[left], self.texts[right]
-            known = self.pairs[key] = self.merge(a + b) == [a, b]
+            known = self.pairs[key] = a + b not in self.score and self.merge(a + b) == [a, b]
         return known
 
     def normalise(self, text: str) -> str:
@@ -136,13 +139,18 @@ class PieceModel:
     def prefix_table(self, text: str) -> list[int]:
         """table[e]: last piece of the encoding of text[:e]; -1 where that is a character outside the vocabulary."""
         table = [-1] * (len(text) + 1)
+        known = self.pairs.get
         for end, (piece, length) in self.automaton.iter(text):
             end += 1
             if table[end] < 0:
-                start = end - length
-                before = table[start]
-                if before < 0 or self.compatible(before, piece):
-                    table[end] = piece
+                before = table[end - length]
+                if before >= 0:
+                    fits = known(before << 32 | piece)
+                    if fits is None:
+                        fits = self.compatible(before, piece)
+                    if not fits:
+                        continue
+                table[end] = piece
         return table
 
     def encode_part(self, text: str) -> list[int]:
@@ -160,6 +168,8 @@ class PieceModel:
 
     def text_of(self, ids: list[int]) -> str:
         """Pieces as text, byte pieces joined and read as UTF-8, white-space marks as spaces; nothing is cut at the start."""
+        if self.plain.issuperset(ids):
+            return "".join([self.shown[i] for i in ids])
         out, raw = [], bytearray()
 
         def flush() -> None:
@@ -186,7 +196,7 @@ class PieceModel:
             if self.kinds[i] == UNKNOWN:
                 out.append(" ⁇ ")
             elif self.kinds[i] != CONTROL:
-                out.append(self.texts[i].replace(SPACE, " "))
+                out.append(self.shown[i])
         flush()
         return "".join(out)
 
@@ -210,7 +220,7 @@ class PieceModel:
             found = known.get(part)
             if found is None:
                 ids = self.encode_part(part)
-                found = np.array(ids, "<i4").tobytes(), self.text_of(ids)
+                found = array("i", ids).tobytes(), self.text_of(ids)
                 if len(part) <= 64:
                     if len(known) >= self.MOST_CACHED:
                         known.clear()
