@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordHashes, list_array, materialise, shingle_hashes, slices, words_of
@@ -49,10 +49,10 @@ def _constants(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(df: DataFrame, text: str, doc_id: str, groups: int, rows: int, seed: int, width: int) -> DataFrame:
-    """row_key, doc_id, n_shingles, klass (digest of the set) and the two collections of group hashes."""
+    """row_key, doc_id, digest (of the text), n_shingles, klass (digest of the set), the two collections of group hashes."""
     import xxhash
 
-    source = df.select(F.monotonically_increasing_id().alias("row_key"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("__text"))
+    source = df.select(F.monotonically_increasing_id().alias("row_key"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("__text"), F.xxhash64(text).alias("digest"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .common import mix64
@@ -76,11 +76,11 @@ def signatures(df: DataFrame, text: str, doc_id: str, groups: int, rows: int, se
             offsets = np.r_[0, np.cumsum(np.where(sizes > 0, groups, 0))]
             first, second = (np.ascontiguousarray(b).view(np.int64).ravel() for b in (bands[:, :groups], bands[:, groups:]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes), pa.array(digests, pa.binary()), list_array(offsets, pa.array(first)), list_array(offsets, pa.array(second))],
-                ["row_key", "doc_id", "n_shingles", "klass", "first", "second"],
+                [batch.column(0), batch.column(1), batch.column(3), pa.array(sizes), pa.array(digests, pa.binary()), list_array(offsets, pa.array(first)), list_array(offsets, pa.array(second))],
+                ["row_key", "doc_id", "digest", "n_shingles", "klass", "first", "second"],
             )
 
-    return source.mapInArrow(work, "row_key bigint, doc_id bigint, n_shingles bigint, klass binary, first array<bigint>, second array<bigint>")
+    return source.mapInArrow(work, "row_key bigint, doc_id bigint, digest bigint, n_shingles bigint, klass binary, first array<bigint>, second array<bigint>")
 
 
 def sets_of(df: DataFrame, nodes: DataFrame, text: str, doc_id: str, width: int) -> DataFrame:
@@ -188,7 +188,7 @@ def central_pairs(rows: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", groups: int = 8, rows: int = 2, percent: int = PERCENT, width: int = WIDTH, seed: int = 7) -> DataFrame:
-    """row_key, doc_id, n_shingles, component_id, kept (doc_id = component_id), first_row (the row that stays for its class)."""
+    """row_key, doc_id, digest, n_shingles, component_id, kept (doc_id = component_id), first_row (the one row that stays of those with equal sets)."""
     base = materialise(signatures(df, text, doc_id, groups, rows, seed, width), "signatures")
     classes = base.where("klass is not null").groupBy("klass").agg(F.min("doc_id").alias("node"), F.min_by("row_key", F.struct("doc_id", "row_key")).alias("first_key"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row_key"))).alias("chosen"), F.any_value("first").alias("first"), F.any_value("second").alias("second"))
     classes = materialise(classes.select("klass", "node", F.coalesce("chosen.row_key", "first_key").alias("first_key"), "first", "second"), "classes")
@@ -217,7 +217,24 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", g
         labels = components(links.union(more))
 
     of_class = classes.select("klass", "node", "first_key").join(labels, "node", "left").select("klass", "first_key", F.coalesce("component", "node").alias("component"))
-    out = base.select("row_key", "doc_id", "n_shingles", "klass").join(of_class, "klass", "left")
+    out = base.select("row_key", "doc_id", "digest", "n_shingles", "klass").join(of_class, "klass", "left")
     component = F.when(F.col("klass").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    out = out.select("row_key", "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("row_key") == F.col("first_key"), F.lit(True)).alias("first_row"))
+    out = out.select("row_key", "doc_id", "digest", "n_shingles", component.alias("component_id"), F.coalesce(F.col("row_key") == F.col("first_key"), F.lit(True)).alias("first_row"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def drop_near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+    """The rows of df, with all their columns, that stay: one document of each component, and one row where a row repeats."""
+    found = materialise(near_duplicates(df, text, doc_id, **options).select("doc_id", "digest", "kept", "first_row"), "decisions")
+    key = lambda a, b: F.col(doc_id).cast("long").eqNullSafe(F.col(a)) & F.xxhash64(text).eqNullSafe(F.col(b))
+    gone = found.where("not kept").select(F.col("doc_id").alias("__a"), F.col("digest").alias("__b")).distinct()
+    again = found.where("kept and not first_row").select(F.col("doc_id").alias("__a"), F.col("digest").alias("__b")).distinct()
+    small = lambda x: F.broadcast(x) if x.count() <= BROADCAST_IDS else x
+    stay = df.join(small(gone), key("__a", "__b"), "left_anti")
+    if not again.limit(1).count():
+        return stay
+    again = small(again)
+    alone = stay.join(again, key("__a", "__b"), "left_anti")
+    repeated = stay.join(again, key("__a", "__b"), "left_semi")
+    order = Window.partitionBy(F.col(doc_id), F.xxhash64(text)).orderBy(F.lit(1))
+    return alone.unionByName(repeated.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n"))

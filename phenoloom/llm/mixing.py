@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 WEIGHTS = (5, 2, 1)
-NOT_WORD = r"[\x20\x09-\x0D]"
+#: Chosen rows' keys are broadcast up to this number; beyond it they are joined.
+BROADCAST_KEYS = 400_000
 
 
 def word_count(text: str = "text"):
@@ -95,22 +96,22 @@ def _last_draws(left: DataFrame) -> DataFrame:
     return gathered.select(F.explode(F.aggregate("xs", start, step)["taken"]).alias("__chosen"))
 
 
-def mix(df: DataFrame, text: str = "text", doc_id: str = "doc_id", weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, seed: int = 20260101, fan_in: int = 48, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, `carry`, source, size, source_size, target, copies (0 to `most`) and taken (copies x size) for every row."""
-    kept = [doc_id, *(c for c in carry if c not in (doc_id, "source")), "source"]
-    sized = materialise(df.select(F.monotonically_increasing_id().alias("__key"), *kept, word_count(text).alias("size")), "mix-sized")
-    counted = sized.groupBy(F.col("source").alias("__s")).agg(F.count("*").alias("__docs"))
-    targets = source_targets(sized, weights, most).join(counted, F.col("source").eqNullSafe(F.col("__s"))).drop("source")
+def copies_of(df: DataFrame, keep: list[str], text: str = "text", doc_id: str = "doc_id", source: str = "source", weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, seed: int = 20260101, fan_in: int = 48) -> DataFrame:
+    """Columns `keep` and __source, __size, __source_size, __target and __copies (0 to `most`) for every row."""
+    sized = materialise(df.select(F.monotonically_increasing_id().alias("__key"), *keep, F.xxhash64(F.lit(seed), doc_id).alias("__id"), F.col(source).alias("__source"), word_count(text).alias("__size")), "mix-sized")
+    narrow = sized.select(F.col("__source").alias("source"), F.col("__size").alias("size"))
+    counted = narrow.groupBy(F.col("source").alias("__s")).agg(F.count("*").alias("__docs"))
+    targets = source_targets(narrow, weights, most).join(counted, F.col("source").eqNullSafe(F.col("__s"))).drop("source")
     number = F.row_number().over(Window.orderBy(F.col("__s").asc_nulls_last())).cast("long")
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
     targets = materialise(targets.select("__s", "source_size", "target", "__docs", number.alias("source_no"), rate.alias("__rate")), "mix-targets")
     n_sources, biggest = targets.agg(F.count("*"), F.max("__docs")).first()
     # One row for each source: broadcast if that is known to be small, else a join whose hot keys the engine splits.
     small = F.broadcast if n_sources <= 100_000 else (lambda x: x)
-    rated = sized.join(small(targets), F.col("source").eqNullSafe(F.col("__s")))
+    rated = sized.join(small(targets), F.col("__source").eqNullSafe(F.col("__s")))
 
     whole = F.floor(F.col("__rate"))
-    rows = rated.where((F.col("size") > 0) & (F.col("__rate") > whole)).select("source_no", F.floor(F.log2(F.col("size"))).alias("size_class"), F.xxhash64(F.lit(seed), doc_id).alias("id"), F.col("__key").alias("key"), F.col("size").alias("words"), (F.col("__rate") - whole).alias("p"), "__docs")
+    rows = rated.where((F.col("__size") > 0) & (F.col("__rate") > whole)).select("source_no", F.floor(F.log2(F.col("__size"))).alias("size_class"), F.col("__id").alias("id"), F.col("__key").alias("key"), F.col("__size").alias("words"), (F.col("__rate") - whole).alias("p"), "__docs")
     chosen, level = None, 0
     while True:
         group = F.pmod(F.xxhash64(F.lit(level), "id", "key" if level else F.lit(0)), F.ceil(F.col("__docs") / float(fan_in ** (level + 1))))
@@ -123,6 +124,21 @@ def mix(df: DataFrame, text: str = "text", doc_id: str = "doc_id", weights: tupl
         level += 1
         rows = left.join(small(targets.select(F.col("source_no").alias("__n"), "__docs")), F.col("source_no") == F.col("__n")).drop("__n")
     chosen = chosen.unionByName(_last_draws(left))
-    copies = F.when(F.col("size") > 0, whole.cast("int") + F.col("__chosen").isNotNull().cast("int")).otherwise(F.lit(1))
-    final = rated.join(chosen, F.col("__key") == F.col("__chosen"), "left").select(*kept, "size", "source_size", "target", copies.alias("copies"))
-    return final.withColumn("taken", F.col("copies").cast("long") * F.col("size"))
+    chosen = materialise(chosen, "mix-chosen")
+    few = F.broadcast if chosen.count() <= BROADCAST_KEYS else (lambda x: x)
+    copies = F.when(F.col("__size") > 0, whole.cast("int") + F.col("__chosen").isNotNull().cast("int")).otherwise(F.lit(1))
+    final = rated.join(few(chosen), F.col("__key") == F.col("__chosen"), "left")
+    return final.select(*keep, "__source", "__size", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), copies.alias("__copies"))
+
+
+def mix(df: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies and taken (copies x size) for every row."""
+    found = copies_of(df, [doc_id], text, doc_id, **options)
+    named = found.select(doc_id, *[F.col(f"__{c}").alias(c) for c in ("source", "size", "source_size", "target", "copies")])
+    return named.withColumn("taken", F.col("copies").cast("long") * F.col("size"))
+
+
+def mixed_rows(df: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+    """The rows of the mix with all columns of df, each as often as it is taken."""
+    found = copies_of(df, df.columns, text, doc_id, **options)
+    return found.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies")))).select(*df.columns)
