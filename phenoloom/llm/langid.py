@@ -74,16 +74,27 @@ class LanguageModel:
             unseen[n] = np.log(0.1 / total)
         return cls(names, index, logs.astype(np.float32), unseen.astype(np.float32))
 
-    def word_logs(self, word: str) -> np.ndarray:
-        """Log likelihood of one word under every language: its n-grams, the orders weighted by SHARES."""
-        w = f" {word} "
-        out = np.zeros(len(self.names), np.float64)
-        for n, share in zip(ORDERS, SHARES, strict=True):
-            parts = [w[i : i + n] for i in range(len(w) - n + 1)]
-            rows = [self.index.get(g, -1) for g in parts]
-            known = [r for r in rows if r >= 0]
-            out += share * (self.logs[known].sum(0, dtype=np.float64) + (len(rows) - len(known)) * self.unseen[n])
-        return out
+    def words_logs(self, words: list[str]) -> np.ndarray:
+        """Log likelihood of words under every language: their n-grams', the orders weighted by SHARES."""
+        find = self.index.get
+        rows: list[int] = []
+        sizes: list[int] = []
+        for w in words:
+            w = f" {w} "
+            n = len(w)
+            before = len(rows)
+            rows += [find(c, -1) for c in w]
+            rows += [find(w[i : i + 2], -2) for i in range(n - 1)]
+            rows += [find(w[i : i + 3], -3) for i in range(n - 2)]
+            sizes.append(len(rows) - before)
+        return np.add.reduceat(self.weighted[np.array(rows)], np.r_[0, np.cumsum(sizes)][:-1], axis=0) if words else np.zeros((0, len(self.names)))
+
+    def __post_init__(self) -> None:
+        """Rows of `logs` times their order's share, followed by what an unseen 3-, 2- and 1-gram counts: found at -3, -2, -1."""
+        shares = np.array([0.0, *SHARES])
+        orders = np.array([len(g) for g in self.index], np.int64)
+        own = self.logs * shares[orders][:, None] if len(orders) else self.logs
+        self.weighted = np.vstack([own, self.unseen[[3, 2, 1]] * shares[[3, 2, 1], None]]).astype(np.float64)
 
 
 class WordTable(dict):
@@ -95,69 +106,98 @@ class WordTable(dict):
         super().__init__()
         self.model = model
         self.matrix = np.zeros((1024, len(model.names)), np.float32)
+        self.new: list[str] = []
 
     def __missing__(self, word: str) -> int:
-        n = len(self)
-        if n == len(self.matrix):
-            self.matrix = np.vstack([self.matrix, np.zeros_like(self.matrix)])
-        self.matrix[n] = self.model.word_logs(word)
-        self[word] = n
+        self.new.append(word)
+        n = self[word] = len(self)
         return n
 
+    def settle(self) -> None:
+        """Score the words that were met since the last time."""
+        if self.new:
+            at = len(self) - len(self.new)
+            while len(self.matrix) < len(self):
+                self.matrix = np.vstack([self.matrix, np.zeros_like(self.matrix)])
+            self.matrix[at : len(self)] = self.model.words_logs(self.new)
+            self.new = []
 
-def mixtures(logs: np.ndarray, weights: np.ndarray, starts: np.ndarray, rounds: int = 15) -> tuple[np.ndarray, np.ndarray]:
-    """EM over many documents at once. Rows of logs are words with weights; starts says where each document's rows begin.
 
-    Returns proportions (documents x languages) and log likelihoods. All languages are allowed here.
+def likelihoods(logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Likelihoods by language (rows are languages) relative to each word's best, and the logs of the best."""
+    peak = logs.max(1)
+    return np.ascontiguousarray(np.exp(np.maximum(logs - peak[:, None], -60.0)).T), peak
+
+
+def _rise(like: np.ndarray, weights: np.ndarray, starts: np.ndarray, owner: np.ndarray, pi: np.ndarray) -> np.ndarray:
+    """One step of expectation-maximisation; pi is languages x documents."""
+    part = like * pi[:, owner]
+    part *= weights / np.maximum(part.sum(0), 1e-300)
+    new = np.add.reduceat(part, starts, axis=1)
+    return new / np.maximum(new.sum(0), 1e-300)
+
+
+def _select(starts: np.ndarray, total: int, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of some documents, with their new starts and owners."""
+    sizes = np.diff(np.r_[starts, total])[docs]
+    begin = np.r_[0, np.cumsum(sizes)][:-1]
+    rows = np.repeat(starts[docs] - begin, sizes) + np.arange(sizes.sum())
+    return rows, begin, np.repeat(np.arange(len(docs)), sizes)
+
+
+def mixtures(logs: np.ndarray, weights: np.ndarray, starts: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
+    """EM over many documents at once, then the choice of languages by penalised likelihood.
+
+    Rows of logs are words with weights; starts says where each document's rows begin. Returns proportions
+    (documents x languages) and log likelihoods. A language is dropped, smallest proportion first, while that costs the
+    document's log likelihood less than half the log of its number of words. Documents leave the rounds when they are settled.
     """
-    docs = len(starts)
-    owner = np.repeat(np.arange(docs), np.diff(np.r_[starts, len(logs)]))
-    peak = logs.max(1, keepdims=True)
-    like = np.exp(np.maximum(logs - peak, -60.0))
-    total = np.add.reduceat(weights, starts)
-    pi = np.full((docs, logs.shape[1]), 1.0 / logs.shape[1])
+    like, peak = likelihoods(logs)
+    languages, docs = logs.shape[1], len(starts)
+    pi = np.full((languages, docs), 1.0 / languages)
+    live = np.arange(docs)
+    rows, begin, owner = _select(starts, len(logs), live)
+    part_like, part_weights = like, weights
     for _ in range(rounds):
-        part = like * pi[owner]
-        norm = part.sum(1, keepdims=True)
-        new = np.add.reduceat(part / norm * weights[:, None], starts, axis=0) / total[:, None]
-        moved = np.abs(new - pi).max()
-        pi = new
-        if moved < 1e-3:
-            break
-    value = np.add.reduceat((np.log((like * pi[owner]).sum(1)) + peak[:, 0]) * weights, starts)
-    return pi, value
+        new = _rise(part_like, part_weights, begin, owner, pi[:, live])
+        moved = np.abs(new - pi[:, live]).max(0) >= 1e-3
+        pi[:, live] = new
+        if not moved.all():
+            live = live[moved]
+            if not len(live):
+                break
+            rows, begin, owner = _select(starts, len(logs), live)
+            part_like, part_weights = like[:, rows], weights[rows]
 
-
-def choose_languages(logs: np.ndarray, weights: np.ndarray, starts: np.ndarray, pi: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """Drop from each document, smallest first, languages whose absence costs less than half the log of its words."""
-    pi = pi.copy()
-    docs, languages = pi.shape
-    owner = np.repeat(np.arange(docs), np.diff(np.r_[starts, len(logs)]))
     total = np.add.reduceat(weights, starts)
     penalty = 0.5 * np.log(np.maximum(total, 2.0))
-    peak = logs.max(1, keepdims=True)
-    like = np.exp(np.maximum(logs - peak, -60.0))
-    base = np.add.reduceat(peak[:, 0] * weights, starts)
-    open_ = np.ones(docs, bool)
+    base = np.add.reduceat(peak * weights, starts)
+
+    def value_of(part: np.ndarray, w: np.ndarray, begin: np.ndarray, owner: np.ndarray, p: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(np.log(np.maximum((part * p[:, owner]).sum(0), 1e-300)) * w, begin)
+
+    _, begin, owner = _select(starts, len(logs), np.arange(docs))
+    value = base + value_of(like, weights, begin, owner, pi)
+    live = np.arange(docs)
     for _ in range(languages - 1):
-        kept = pi > 0
-        trial_on = open_ & (kept.sum(1) > 1)
-        if not trial_on.any():
+        live = live[(pi[:, live] > 0).sum(0) > 1]
+        if not len(live):
             break
-        least = np.where(kept, pi, np.inf).argmin(1)
-        trial = pi.copy()
-        trial[np.arange(docs), least] = np.where(trial_on, 0.0, trial[np.arange(docs), least])
-        trial /= trial.sum(1, keepdims=True)
-        for _ in range(3):
-            part = like * trial[owner]
-            norm = np.maximum(part.sum(1, keepdims=True), 1e-300)
-            trial = np.add.reduceat(part / norm * weights[:, None], starts, axis=0)
-            trial /= np.maximum(trial.sum(1, keepdims=True), 1e-300)
-        found = base + np.add.reduceat(np.log(np.maximum((like * trial[owner]).sum(1), 1e-300)) * weights, starts)
-        better = trial_on & (found + penalty >= value)
-        pi[better], value = trial[better], np.where(better, found, value)
-        open_ = better
-    return pi
+        rows, begin, owner = _select(starts, len(logs), live)
+        part_like, part_weights = like[:, rows], weights[rows]
+        trial = pi[:, live].copy()
+        least = np.where(trial > 0, trial, np.inf).argmin(0)
+        small = trial[least, np.arange(len(live))]
+        trial[least, np.arange(len(live))] = 0
+        trial /= trial.sum(0)
+        if small.max() > 1e-3:  # a share that nothing stands on needs no new estimate of the others
+            for _ in range(2):
+                trial = _rise(part_like, part_weights, begin, owner, trial)
+        found = base[live] + value_of(part_like, part_weights, begin, owner, trial)
+        better = found + penalty[live] >= value[live]
+        pi[:, live[better]], value[live[better]] = trial[:, better], found[better]
+        live = live[better]
+    return pi.T.copy(), value
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel:
@@ -212,6 +252,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: tu
                 ids.append(np.fromiter(map(table.__getitem__, counted), np.int64, len(counted)))
                 weights.append(np.fromiter(counted.values(), np.float64, len(counted)))
                 sizes.append(len(counted))
+            table.settle()
             sizes = np.array(sizes)
             full = np.flatnonzero(sizes)
             best, score = np.full(len(sizes), len(names) - 1), np.zeros(len(sizes))
@@ -219,8 +260,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: tu
             if len(full):
                 logs, weight = table.matrix[np.concatenate(ids)].astype(np.float64), np.concatenate(weights)
                 starts = np.r_[0, np.cumsum(sizes[full])][:-1]
-                pi, value = mixtures(logs, weight, starts)
-                pi = choose_languages(logs, weight, starts, pi, value)
+                pi, _ = mixtures(logs, weight, starts)
                 shares[full] = pi
                 best[full], score[full] = pi.argmax(1), np.clip(pi.max(1), 0, 1)
             columns = [batch.column(k) for k in range(len(keep))]
