@@ -43,7 +43,7 @@ LIKE = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td",
 NOISE = frozenset("ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice outbrain overlay pagination popup promo promoted promotion related remark remarks replies respond responses share sharing sidebar sidenav signup skyscraper social sponsor sponsored subscribe subscription taboola toolbar topbar widget widgets alert complementary contentinfo search".split())
 
 TOKEN = re.compile(
-    rf"""<!--.*?(?:-->|\Z) | <({RAW})\b[^>]*+(?:(?<=/)>|>.*?(?:</\1\s*>|\Z)) | <[!?][^>]*+(?:>|\Z) | </([a-zA-Z][^\s/>]*+)[^>]*+(?:>|\Z) | <([a-zA-Z][^\s/>]*+)((?:[^<>"']++|"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))*+)(?:>|\Z)""",
+    rf"""<!--.*?(?:-->|\Z) | <({RAW})\b[^>]*+(?:(?<=/)>|>.*?(?:</\1\s*>|\Z)) | <[!?][^>]*+(?:>|\Z) | </([a-zA-Z][^\s/>]*+)[^>]*+(?:>|\Z) | <([a-zA-Z][^\s/>]*+)((?:[^>"'=]++|=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))?+|["'])*+)(?:>|\Z)""",
     re.S | re.I | re.X,
 )
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -55,12 +55,13 @@ MOST_DEPTH = 40
 
 
 class Node:
-    __slots__ = ("tag", "path", "parent", "noise", "score", "link", "article", "depth")
+    __slots__ = ("tag", "path", "parent", "noise", "score", "link", "article", "depth", "outer")
 
     def __init__(self, tag: str, path: str, parent: Node | None, noise: bool, link: bool):
         self.tag, self.path, self.parent, self.noise, self.score, self.link = tag, path, parent, noise, 0.0, link
         self.article = tag in ("article", "main") or (parent is not None and parent.article)
         self.depth = parent.depth + 1 if parent is not None else 0
+        self.outer = parent if parent is None or parent.tag in CONTAINER else parent.outer
 
 
 def path_below(parent: Node, part: str) -> str:
@@ -187,12 +188,10 @@ class Page:
         if node.noise:
             return
         worth = size - 3.0 * linked
-        share, at = 1.0, node
+        share, at = 1.0, node if node.tag in CONTAINER else node.outer
         while at is not None and share > 0.2:
-            if at.tag in CONTAINER:
-                at.score += worth * share
-                share /= 2
-            at = at.parent
+            at.score += worth * share
+            share, at = share / 2, at.outer
 
     def best(self) -> Node:
         return max(self.containers, key=lambda n: n.score)  # the first among equals

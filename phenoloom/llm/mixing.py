@@ -114,7 +114,7 @@ def copies_of(df: DataFrame, keep: list[str], text: str = "text", doc_id: str =
     rows = rated.where((F.col("__size") > 0) & (F.col("__rate") > whole)).select("source_no", F.floor(F.log2(F.col("__size"))).alias("size_class"), F.col("__id").alias("id"), F.col("__key").alias("key"), F.col("__size").alias("words"), (F.col("__rate") - whole).alias("p"), "__docs")
     chosen, level = None, 0
     while True:
-        group = F.pmod(F.xxhash64(F.lit(level), "id", "key" if level else F.lit(0)), F.ceil(F.col("__docs") / float(fan_in ** (level + 1))))
+        group = F.pmod(F.xxhash64(F.lit(level), "id"), F.ceil(F.col("__docs") / float(fan_in ** (level + 1))))
         out = materialise(_round_groups(rows.withColumn("group", group), level, seed), f"mix-{level}")
         decided = out.select(F.explode("decided").alias("d")).where("d.p > 0.5").select(F.col("d.key").alias("__chosen"))
         chosen = decided if chosen is None else chosen.unionByName(decided)
