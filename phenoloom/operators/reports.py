@@ -19,6 +19,14 @@ def offsets(markers: DataFrame, chr_: str = "chr", pos: str = "pos", lengths: Da
     return out.join(spans, chr_).withColumn("tick", F.col("offset") + (F.col("__a") + F.col("__b")) / 2).drop("__a", "__b")
 
 
+def chromosome_lengths(markers: DataFrame, given: DataFrame | None = None, chr_: str = "chr", pos: str = "pos", margin: float = 1.05) -> DataFrame:
+    """(chr, length): from the manifest where it says so, else the greatest position and a margin."""
+    seen = markers.groupBy(chr_).agg(F.floor(F.max(pos) * margin).cast("bigint").alias("__seen"))
+    if given is None:
+        return seen.withColumnRenamed("__seen", "length")
+    return seen.join(F.broadcast(given.select(chr_, "length")), chr_, "left").select(chr_, F.coalesce("length", "__seen").cast("bigint").alias("length"))
+
+
 def manhattan(results: DataFrame, p: str = "p", floor: float = 1e-300, chr_: str = "chr", pos: str = "pos") -> DataFrame:
     """results with x (cumulative position), y (-log10 p) and a colour by chromosome."""
     at = offsets(results, chr_, pos).select(chr_, "offset", F.pmod(F.row_number().over(Window.orderBy(chr_)) - 1, F.lit(2)).alias("colour"))

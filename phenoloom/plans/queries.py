@@ -517,9 +517,50 @@ def window_list(spark, sf):
     return w.select("region_id", "chr", F.col("lo").cast("int").alias("lo"), F.col("hi").cast("int").alias("hi"), "kind")
 
 
+@query(f"""with {X.MAP_SQL}, t as (select mid, row_number() over (order by thr desc, mid) k from m), c as (select k, row_number() over (order by k) i, count(*) over () n from t where mid % 97 = 0) select cast(i as bigint) i, round(i / (n + 1.0), 6) expected, round(k / 2000.0, 6) observed from c""")
+def rank_quantiles(spark, sf):
+    m = X.marker_map(spark, sf).withColumn("k", F.row_number().over(Window.orderBy(F.desc("thr"), "mid")))
+    out = reports.rank_quantiles(m.where("mid % 97 = 0"), "k", 2000)
+    return out.select(F.col("i").cast("bigint").alias("i"), r6("expected").alias("expected"), r6("observed").alias("observed"))
+
+
+@query(f"""with {X.P_SQL}, m2 as (select count(*) n from p) select mid, case when p < 0.05 / n then 'Chr' || chr || '_' || pos else '' end label, case when pos between 500000 and 700000 then true else false end in_gene, round(-log10(greatest(p, 1e-300)), 6) y from p, m2 where chr = 3 and pos between 300000 and 900000""")
+def regional_zoom(spark, sf):
+    """A region's points with labels of significant ones and the gene's span."""
+    p = testing.bonferroni(X.p_values(spark, sf))
+    r = p.where((F.col("chr") == 3) & F.col("pos").between(300000, 900000))
+    return r.select("mid", F.when(F.col("bonferroni") < 0.05, C.short_id("chr", "pos")).otherwise("").alias("label"), F.col("pos").between(500000, 700000).alias("in_gene"), r6(-F.log10(F.greatest("p", F.lit(1e-300)))).alias("y"))
+
+
+@query(f"""with {X.MAP_SQL}, l(chr, len) as (values (1, 5000000), (3, 7000000)) select chr, cast(coalesce(any_value(len), floor(max(pos) * 1.05)) as bigint) length from m left join l using (chr) group by chr""")
+def chromosome_lengths(spark, sf):
+    given = spark.createDataFrame([(1, 5_000_000), (3, 7_000_000)], "chr int, length bigint")
+    return reports.chromosome_lengths(X.marker_map(spark, sf), given)
+
+
+@query("""select cast(p_partkey % 3 as int) fold, p_size block, cast(count(*) as bigint) n_screened, cast(sum(case when p_retailprice > 1500 then 1 else 0 end) as bigint) n_selected from part group by all""")
+def screening_log(spark, sf):
+    p = X.table(spark, sf, "part")
+    return p.groupBy((F.col("p_partkey") % 3).cast("int").alias("fold"), F.col("p_size").alias("block")).agg(F.count("*").alias("n_screened"), F.count_if(F.col("p_retailprice") > 1500).alias("n_selected"))
+
+
 # --- generators ---
 
 
+@query()
+def phenotype_quantile_map(spark, sf):
+    y, _ = _people(spark, sf)
+    latent = np.random.default_rng(1).normal(size=len(y))
+    return spark.createDataFrame(list(zip(range(len(y)), latent.tolist(), simulate.map_to_reference(latent, y).tolist(), strict=True)), "sample_idx int, latent double, mapped double")
+
+
+@query()
+def pilot_score(spark, sf):
+    rows = X.genotypes(spark, sf).where("mid in (40, 80, 120, 160)").orderBy("mid").collect()
+    score = simulate.weighted_score(np.array([r["dosage"] for r in rows]), [0.70, 0.03, 0.03, 0.03][: len(rows)], 0.21, 20260501)
+    return spark.createDataFrame(list(enumerate(score.tolist())), "sample_idx int, score double")
+
+
 @query()
 def synthetic_blind(spark, sf):
     plan = simulate.block_plan(spark, [(1, 3_000_000, 600, 3), (2, 2_000_000, 400, 2)])
