@@ -58,7 +58,7 @@ def t_two_sided_array(t: np.ndarray, df: float) -> np.ndarray:
     t = np.asarray(t, float)
     a, b = df / 2, 0.5
     x = df / (df + t * t)
-    log_front = a * np.log(np.maximum(x, 1e-320)) + b * np.log1p(-np.minimum(x, 1 - 1e-17)) - (math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b))
+    log_front = a * np.log(np.maximum(x, 1e-320)) + b * np.log1p(-np.minimum(x, 1 - 1e-16)) - (math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b))
     low = x < (a + 1) / (a + b + 2)
     left = np.exp(log_front) * _beta_fraction(a, b, np.where(low, x, 0.5)) / a
     right = 1 - np.exp(log_front) * _beta_fraction(b, a, np.where(low, 0.5, 1 - x)) / b
