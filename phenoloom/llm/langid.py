@@ -39,7 +39,7 @@ def letters_of(text: str) -> list[str]:
     """Runs of letters, lower-cased."""
     import regex
 
-    return regex.findall(r"[\p{L}\p{M}]+", text.lower())
+    return regex.findall(r"\p{L}[\p{L}\p{M}]*", text.lower())
 
 
 def grams(word: str) -> list[str]:
@@ -202,13 +202,14 @@ def mixtures(logs: np.ndarray, weights: np.ndarray, starts: np.ndarray, rounds:
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel:
     """Learn from labelled rows whose id's crc32 isn't 2 modulo 4."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("__id"), "__id")
-    ids = docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(lang).alias("lang")).where("lang is not null and __id is not null").where(id_remainder("__id", 4) != 2)
-    # A limit for each window partition is kept by every task before the shuffle, so a frequent language is no hot key.
-    first = ids.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= per_language).select("__id", "lang")
-    first = materialise(first, "langid-sample")
-    common = {r["lang"] for r in first.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
-    first = first.where(F.col("lang").isin(sorted(common))) if common else first.where(F.lit(False))
+    place = F.pmod(F.xxhash64("__id"), F.lit(1 << 40))
+    ids = docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(lang).alias("lang")).where("lang is not null and __id is not null").where(id_remainder("__id", 4) != 2).withColumn("__place", place)
+    common = ids.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    # Places below this hold about twice as many texts of the language as are wanted, so hardly more are ranked.
+    below = F.create_map(*[x for r in common for x in (F.lit(r["lang"]), F.lit(float(1 << 40) * min(1.0, (2.0 * per_language + 100) / r["n"])))]) if common else None
+    first = ids.where(F.col("lang").isin([r["lang"] for r in common]) & (F.col("__place") < below[F.col("lang")])) if common else ids.where(F.lit(False))
+    order = Window.partitionBy("lang").orderBy("__place", "__id")
+    first = materialise(first.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= per_language).select("__id", "lang"), "langid-sample")
     # At most per_language x MOST_LANGUAGES pairs of an id and a label.
     rows = docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(lang).alias("lang"), F.col(text).alias("__text")).join(F.broadcast(first), ["__id", "lang"], "left_semi")
 
