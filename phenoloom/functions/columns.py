@@ -12,6 +12,11 @@ def col(c: ColumnLike) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def array_literal(values, kind: str) -> Column:
+    """A constant array of numbers as one literal, however long (an array of literals costs a call for each)."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>") if len(values) else F.array().cast(f"array<{kind}>")
+
+
 # --- identifiers and coercion ---
 
 

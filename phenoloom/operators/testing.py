@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import array_literal
 from ..functions.distributions import CHI2_1_MEDIAN, chi2_1_isf
 
 
@@ -22,7 +23,7 @@ def benjamini_hochberg(df: DataFrame, p: str = "p", out: str = "q", bins: int =
     bin. The cost is that of one aggregation, one join and one sort spread over the bins.
     """
     counts = df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("__p")).agg(F.count("*").alias("__c"))
-    bounds = counts.agg(F.percentile_approx("__p", [k / bins for k in range(1, bins)], 10 * bins)).first()[0] or []
+    bounds = counts.agg(F.percentile_approx("__p", array_literal([k / bins for k in range(1, bins)], "double"), 10 * bins)).first()[0] or []
     bounds = sorted({float(b) for b in bounds})
     bin_of = _bin_column(F.col("__p"), bounds)
     counts = counts.withColumn("__bin", bin_of)
@@ -42,7 +43,7 @@ def _bin_column(x: Column, bounds: list[float]) -> Column:
     """Number of bounds below x, by a search in the sorted array."""
     if not bounds:
         return F.lit(0)
-    array = F.lit(bounds).cast("array<double>")
+    array = array_literal(bounds, "double")
     steps = max(1, (len(bounds)).bit_length())
     # Binary search: after each step lo is at most the answer and hi above it.
     start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import array_literal
+
 SAMPLES = 300
 
 
@@ -38,7 +40,7 @@ def genotypes(spark: SparkSession, sf_dir: str, n: int = SAMPLES, ploidy: int =
 
     The sample ids are one list of at most n numbers, made on the driver."""
     ids = [r["sid"] for r in samples(spark, sf_dir, n).select("sid").orderBy("sid").collect()]
-    array = F.lit(ids).cast("array<bigint>")
+    array = array_literal(ids, "bigint")
 
     def call(sid):
         g = allele(1, sid, F.col("mid"), F.col("thr"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ml, qc, reports, scan, simulate, structure, testing
+from ..sources.stored import stored
 
 
 def genome_scan(markers: DataFrame, y: np.ndarray, low_maf: float = 0.05, n_pcs: int = 10, thin: int | None = 100_000, ploidy: int = 2) -> DataFrame:
@@ -24,7 +25,8 @@ def genome_scan(markers: DataFrame, y: np.ndarray, low_maf: float = 0.05, n_pcs:
             keep = qc.thin_by_distance(kept, thin)
             thinned = kept.join(keep, ["chr", "pos"], "left_semi")
         covariates = structure.principal_components(thinned, n_pcs)[0]
-    found = scan.scan(kept, scan.covariate_basis(y, covariates))
+    # Statistics are a few numbers a marker and are used three times; genotypes must not be scanned again for that.
+    found = stored(scan.scan(kept, scan.covariate_basis(y, covariates)), "scan")
     return testing.bonferroni(testing.benjamini_hochberg(found))
 
 
@@ -33,19 +35,19 @@ def mixed_scan(markers: DataFrame, y: np.ndarray, n_covariates: int = 3, low_maf
     kept = qc.maf_filter(markers, ploidy, low_maf)
     k = structure.kinship_vanraden(kept) if kinship is None else kinship
     basis, delta = scan.mixed_basis(y, k, structure.kinship_covariates(k, n_covariates) if n_covariates else None)
-    return testing.benjamini_hochberg(scan.scan(kept, basis)).withColumn("delta", F.lit(delta))
+    return testing.benjamini_hochberg(stored(scan.scan(kept, basis), "scan")).withColumn("delta", F.lit(delta))
 
 
 def conditional_scan(markers: DataFrame, y: np.ndarray, covariates: np.ndarray | None = None, marker: str = "marker_id") -> DataFrame:
     """(marker, p, p_conditional, significant before and after): the best marker becomes a covariate of a second scan."""
-    first = scan.scan(markers, scan.covariate_basis(y, covariates)).select(marker, "p")
+    first = stored(scan.scan(markers, scan.covariate_basis(y, covariates)).select(marker, "p"), "scan")
     lead = scan.lead_marker(first, marker)
     row = markers.join(F.broadcast(lead.select(marker)), marker, "left_semi").select(marker, "dosage").limit(1).collect()
     if not row:
         return first.withColumn("p_conditional", F.lit(None).cast("double"))
     second = scan.scan(markers.where(F.col(marker) != row[0][marker]), scan.conditional_basis(y, covariates, np.array(row[0]["dosage"], float)))
     out = first.join(second.select(marker, F.col("p").alias("p_conditional")), marker, "left")
-    m = markers.agg(F.count("*").alias("m"))
+    m = first.agg(F.count("*").alias("m"))
     return out.withColumn("lead", F.col(marker) == row[0][marker]).crossJoin(F.broadcast(m)).withColumn("significant", F.col("p") < 0.05 / F.col("m")).withColumn("significant_conditional", F.col("p_conditional") < 0.05 / F.col("m")).drop("m")
 
 
@@ -59,8 +61,8 @@ def nested_cv(markers: DataFrame, y: np.ndarray, k: int = 5, seed: int = 42, kee
             train = folds != f
             c = np.column_stack([np.ones(len(y)), pcs])
             target[f] = y - c @ np.linalg.lstsq(c[train], y[train], rcond=None)[0]
-    candidates = ml.screen(markers, y, folds, keep, stage1, depth, leaf, seed, target, unit)
-    return candidates, ml.refine(markers, candidates, y, folds, pcs, stage2, depth, leaf, seed)
+    candidates = stored(ml.screen(markers, y, folds, keep, stage1, depth, leaf, seed, target, unit), "candidates")
+    return candidates, stored(ml.refine(markers, candidates, y, folds, pcs, stage2, depth, leaf, seed), "refined")
 
 
 def leaky_two_stage(markers: DataFrame, y: np.ndarray, keep_per_block: int = 25, k: int = 5, seed: int = 42, stage1: tuple[int, int] = (300, 150), stage2: tuple[int, int] = (500, 300), unit: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -68,7 +70,7 @@ def leaky_two_stage(markers: DataFrame, y: np.ndarray, keep_per_block: int = 25,
     unit = unit or ["chr", "block"]
     folds = ml.kfold(len(y), k, seed)
     n_blocks = markers.select(*unit).distinct().count()
-    screened = ml.screen(markers, y, folds, 10_000_000, stage1, seed=seed, unit=unit, leaky=True)
+    screened = stored(ml.screen(markers, y, folds, 10_000_000, stage1, seed=seed, unit=unit, leaky=True), "screened")
     best = [testing.top(screened.where(F.col("model") == m), keep_per_block * n_blocks, [F.desc("importance"), F.asc("marker_id")]) for m in ("RF", "GB")]
     pool = best[0].unionByName(best[1])
     every = pool.select("marker_id", "model", "importance", "rank").crossJoin(markers.sparkSession.range(k).select(F.col("id").cast("int").alias("fold")))
@@ -77,7 +79,7 @@ def leaky_two_stage(markers: DataFrame, y: np.ndarray, keep_per_block: int = 25,
 
 def synthetic_benchmark(spark: SparkSession, chromosomes: list[tuple[int, int, int, int]], samples: int, seed: int, causal: int = 20, linked: bool = False, bins: list[tuple[float, float, float]] | None = None) -> tuple[DataFrame, DataFrame, np.ndarray]:
     """(markers, planted, y): generated genotypes, planted markers with unit-norm effects, simulated phenotype."""
-    markers = simulate.genotypes(simulate.block_plan(spark, chromosomes), samples, seed, bins, linked)
+    markers = stored(simulate.genotypes(simulate.block_plan(spark, chromosomes), samples, seed, bins, linked), "markers")
     planted = simulate.pick_causal(markers, causal, seed).collect()
     rng = np.random.default_rng(seed)
     weights = rng.normal(size=len(planted))

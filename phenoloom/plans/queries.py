@@ -12,6 +12,7 @@ from ..functions import columns as C
 from ..functions import distributions as D
 from ..operators import joins, ml, qc, reports, scan, simulate, structure, testing
 from ..sources import readers
+from ..sources.stored import stored
 from . import fixtures as X
 from . import pipelines
 
@@ -87,7 +88,7 @@ def _vcf_lines(spark, sf):
     mid, thr = F.col("mid"), F.col("thr")
     call = lambda s: F.when((mid % 10 == 0) & (s == 5), ".|.").otherwise(F.concat(X.allele(1, s, mid, thr).cast("string"), F.lit("|"), X.allele(2, s, mid, thr).cast("string")))
     letter = lambda text: F.substr(F.lit(text), (mid % 4 + 1).cast("int"), F.lit(1))
-    cells = F.transform(F.lit(ids).cast("array<bigint>"), call)
+    cells = F.transform(C.array_literal(ids, "bigint"), call)
     line = F.concat_ws("\t", F.concat(F.lit("chr"), F.col("chr").cast("string")), F.col("pos").cast("string"), F.concat(F.lit("rs"), mid.cast("string")), letter("ACGT"), F.when(mid % 9 == 0, "AT").otherwise(letter("CGTA")), F.lit("."), F.lit("PASS"), F.lit("NS=1"), F.lit("GT"), F.array_join(cells, "\t"))
     return X.marker_map(spark, sf).select(line.alias("value"))
 
@@ -577,7 +578,7 @@ def synthetic_linked(spark, sf):
 @query()
 def synthetic_benchmark(spark, sf):
     markers, truth, y = pipelines.synthetic_benchmark(spark, [(1, 3_000_000, 300, 2), (2, 2_000_000, 200, 2)], 120, 20260928, 5)
-    found = testing.benjamini_hochberg(scan.scan(markers.where(F.size(F.array_distinct("dosage")) > 1), scan.covariate_basis(y)))
+    found = testing.benjamini_hochberg(stored(scan.scan(markers.where(F.size(F.array_distinct("dosage")) > 1), scan.covariate_basis(y))))
     ranked = testing.min_rank(found.withColumn("s", -F.col("p")), "s", "k")
     return reports.causal_recovery(truth, ranked, "k", 50)
 
