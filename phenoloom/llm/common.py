@@ -16,8 +16,7 @@ from pyspark.sql import functions as F
 #: Words of every operator on words: runs of anything but ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 WORDS = re.compile(WORD_PATTERN)
-ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
-MASK64 = (1 << 64) - 1
+BYTE_WORDS = re.compile(WORD_PATTERN.encode())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -96,27 +95,27 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def words_of(text: str | None) -> list[str]:
-    """Words after lower-casing A-Z only."""
-    return WORDS.findall(text.translate(ASCII_LOWER)) if text else []
+def words_of(text: str | None) -> list[bytes]:
+    """Words as UTF-8 after lower-casing A-Z only, which is what bytes.lower does."""
+    return BYTE_WORDS.findall(text.encode().lower()) if text else []
 
 
 class WordHashes(dict):
-    """word -> 64-bit hash, kept for repeated words; emptied when it has grown large, so memory stays bounded."""
+    """word as UTF-8 -> 64-bit hash, kept for repeated words; emptied when it has grown large, so memory stays bounded."""
 
     MOST = 1_000_000
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         import xxhash
 
         if len(self) >= self.MOST:
             self.clear()
-        value = xxhash.xxh3_64_intdigest(word.encode())
+        value = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 64:
             self[word] = value
         return value
 
-    def array(self, words: list[str]) -> np.ndarray:
+    def array(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 

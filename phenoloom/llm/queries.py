@@ -47,7 +47,9 @@ def op4_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import report
 
-    return report(documents(spark, sf_dir))
+    found = report(documents(spark, sf_dir))
+    written = lambda c: F.array_join(F.transform(c, lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))), ";")
+    return found.select("doc_id", "component_id", "n_links", "n_words", "n_shared", "n_repeated", "first_ids", written("shared").alias("shared_spans"), written("repeated").alias("repeated_spans"))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,5 +91,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
+NEAR_DUPLICATES_SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws from documents),
+starts as (select doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) i from w where len(ws) > 0),
+sh as (select distinct doc_id, array_to_string(ws[i : i + 4], ' ') s from starts),
+n as (select doc_id, count(*) n from sh group by doc_id),
+shared as (select a.doc_id a, b.doc_id b, count(*) c from sh a join sh b on a.s = b.s and a.doc_id <> b.doc_id group by all),
+link as (select a, b from shared join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)),
+reach(doc_id, other) as (select doc_id, doc_id from documents union select r.doc_id, l.b from reach r join link l on l.a = r.other),
+comp as (select doc_id, min(other) component_id from reach group by doc_id)
+select d.doc_id, cast(coalesce(n.n, 0) as bigint) n_shingles, comp.component_id, d.doc_id = comp.component_id kept from documents d join comp using (doc_id) left join n using (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_minhash_dedup": NEAR_DUPLICATES_SQL}

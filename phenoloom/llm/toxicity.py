@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS, WordHashes, id_remainder, materialise, shingle_hashes, slices
+from .common import WORDS, WordHashes, id_remainder, materialise, shingle_hashes, slices, words_of
 
 #: Labelled rows that are learned from, at most.
 SAMPLE = 12_000
@@ -290,7 +290,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     def family(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in slices(batches, text="__text"):
-            keys = [int(x.min()) >> 1 if len(x := shingle_hashes(hashes.array(WORDS.findall(t or "")))) else 0 for t in batch.column(2).to_pylist()]
+            keys = [int(x.min()) >> 1 if len(x := shingle_hashes(hashes.array(words_of(t)))) else 0 for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], ["__id", "y", "__text", "family"])
 
     rows = materialise(rows.select("__id", "y", "__text").mapInArrow(family, "__id bigint, y int, __text string, family bigint"), "toxic-sample")

@@ -185,3 +185,11 @@ def test_passages_of_odd_rows(spark):
     assert got == [("1", 0), ("2", 0), ("5", 0), ("5", 0), ("6", 80), ("None", 0)]
     assert S.report(df.limit(0)).count() == 0
     assert sorted(str(r["doc_id"]) for r in S.cut_repeats(df).collect()) == ["1", "2", "5", "5", "None"]
+
+
+def test_same_rows_as_sql(spark, small):
+    from oracle import compare, connect
+    from phenoloom.llm import queries as Q
+
+    for name, sql in Q.oracle_sql().items():
+        assert compare(Q.queries()[name](spark, small), connect(small), sql) == ""
