@@ -116,15 +116,25 @@ def dosage_sum(dosage: ColumnLike) -> Column:
     return F.aggregate(col(dosage), F.lit(0).cast("bigint"), lambda a, x: a + F.coalesce(x, F.lit(0)).cast("bigint"))
 
 
+def _frequency(dosage: ColumnLike, finish) -> Column:
+    """One pass over the array for called samples and their alleles."""
+    start = F.struct(F.lit(0).cast("bigint").alias("s"), F.lit(0).cast("bigint").alias("n"))
+    step = lambda a, x: F.struct((a["s"] + F.coalesce(x, F.lit(0)).cast("bigint")).alias("s"), (a["n"] + x.isNotNull().cast("bigint")).alias("n"))
+    return F.aggregate(col(dosage), start, step, finish)
+
+
 def allele_frequency(dosage: ColumnLike, ploidy: int) -> Column:
     """Mean over called samples divided by ploidy; null where nothing is called."""
-    n = n_called(dosage)
-    return F.when(n > 0, dosage_sum(dosage) / (n * ploidy))
+    return _frequency(dosage, lambda a: F.when(a["n"] > 0, a["s"] / (a["n"] * ploidy)))
 
 
 def minor_frequency(dosage: ColumnLike, ploidy: int) -> Column:
-    f = allele_frequency(dosage, ploidy)
-    return F.least(f, 1 - f)
+    return _frequency(dosage, lambda a: F.when(a["n"] > 0, F.least(a["s"] / (a["n"] * ploidy), 1 - a["s"] / (a["n"] * ploidy))))
+
+
+def once(expression: Column) -> Column:
+    """For a select list: the value as a column of its own that later filters and columns read, not compute again."""
+    return F.explode(F.array(expression))
 
 
 def missing_fraction(dosage: ColumnLike) -> Column:

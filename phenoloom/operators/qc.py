@@ -22,7 +22,8 @@ def clean_phenotype(raw: DataFrame, sample: str, value: str, order: str) -> Data
 
 def maf_filter(markers: DataFrame, ploidy: int, low: float, high: float = 0.5, dosage: str = "dosage") -> DataFrame:
     """Adds maf and keeps low <= maf <= high."""
-    return markers.withColumn("maf", C.minor_frequency(dosage, ploidy)).where((F.col("maf") >= low) & (F.col("maf") <= high))
+    rest = [c for c in markers.columns if c != "maf"]
+    return markers.select(*rest, C.once(C.minor_frequency(dosage, ploidy)).alias("maf")).where((F.col("maf") >= low) & (F.col("maf") <= high))
 
 
 def check_annotated_maf(markers: DataFrame, annotated: str, low: float, slack: float = 1e-6, dosage: str = "dosage", ploidy: int = 2) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import array_literal
+from ..functions.columns import array_literal, once
 
 SAMPLES = 300
 
@@ -47,7 +47,7 @@ def genotypes(spark: SparkSession, sf_dir: str, n: int = SAMPLES, ploidy: int =
         g = g + allele(2, sid, F.col("mid"), F.col("thr")) if ploidy == 2 else g
         return F.when(~missing(sid, F.col("mid")), g).cast("tinyint") if with_missing else g.cast("tinyint")
 
-    return marker_map(spark, sf_dir).select("mid", "chr", "pos", F.transform(array, call).alias("dosage"))
+    return marker_map(spark, sf_dir).select("mid", "chr", "pos", once(F.transform(array, call)).alias("dosage"))
 
 
 def calls(spark: SparkSession, sf_dir: str, n: int = SAMPLES, ploidy: int = 2, with_missing: bool = False) -> DataFrame:

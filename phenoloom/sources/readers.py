@@ -82,8 +82,8 @@ def genotypes_from_vcf(records: DataFrame, columns: list[int] | None = None, low
         kept = kept.withColumn("__annotated", info_value("info", annotation))
         kept = kept.where(F.when(F.col("__annotated").isNull(), F.raise_error(F.lit("frequency annotation missing")).cast("boolean")).otherwise(F.col("__annotated") >= low - 1e-6))
     calls = C.gather("calls", F.array(*[F.lit(c) for c in columns])) if columns is not None else F.col("calls")
-    decoded = kept.withColumn("dosage", F.transform(calls, lambda g: C.gt_dosage(g))).where(C.all_called("dosage"))
-    decoded = decoded.withColumn("maf", C.minor_frequency("dosage", 2))
+    decoded = kept.select("*", C.once(F.transform(calls, lambda g: C.gt_dosage(g))).alias("dosage")).where(C.all_called("dosage"))
+    decoded = decoded.select("*", C.once(C.minor_frequency("dosage", 2)).alias("maf"))
     if annotation:
         same = F.abs(F.col("maf") - F.col("__annotated")) <= 1e-6
         decoded = decoded.withColumn("maf", F.when(same, F.col("maf")).otherwise(F.raise_error(F.lit("frequency annotation disagrees")).cast("double")))
