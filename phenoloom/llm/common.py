@@ -103,7 +103,7 @@ def words_of(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """word as UTF-8 -> 64-bit hash, kept for repeated words; emptied when it has grown large, so memory stays bounded."""
 
-    MOST = 1_000_000
+    MOST = 400_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

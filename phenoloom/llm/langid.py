@@ -100,7 +100,7 @@ class LanguageModel:
 class WordTable(dict):
     """word -> row number in one matrix of log likelihoods, kept up to a bound."""
 
-    MOST = 600_000
+    MOST = 400_000
 
     def __init__(self, model: LanguageModel):
         super().__init__()

@@ -61,7 +61,7 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 class PieceModel:
     """Vocabulary, normaliser flags and the prefix-table encoder of one model file."""
 
-    MOST_CACHED = 700_000
+    MOST_CACHED = 250_000
 
     def __init__(self, model: bytes):
         pieces, trainer, normaliser = [], {}, {}
@@ -123,7 +123,7 @@ class PieceModel:
         key = left << 32 | right
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) >= 2_000_000:
+            if len(self.pairs) >= 1_000_000:
                 self.pairs.clear()
             a, b = self.texts[left], self.texts[right]
             known = self.pairs[key] = a + b not in self.score and self.merge(a + b) == [a, b]

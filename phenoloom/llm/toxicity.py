@@ -214,7 +214,7 @@ class ToxicityModel:
 class KnownWords(dict):
     """word as written -> fewest edits to a term, kept up to a bound."""
 
-    MOST = 600_000
+    MOST = 300_000
 
     def __init__(self, automaton: LexiconAutomaton):
         super().__init__()
@@ -309,7 +309,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
         for batch in slices(batches, text="__text"):
             for y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found[y].update(prefixes(set(tokens(t or ""))))
-            if len(found[0]) + len(found[1]) > 1_500_000:
+            if len(found[0]) + len(found[1]) > 500_000:
                 yield out()
                 found[0].clear(), found[1].clear()
         if found[0] or found[1]:
