@@ -129,6 +129,12 @@ class PieceModel:
             known = self.pairs[key] = a + b not in self.score and self.merge(a + b) == [a, b]
         return known
 
+    def forget(self, most_pairs: int = 300_000) -> None:
+        """Give memory back at the end of a task: workers live on, and other stages run in them."""
+        self.parts.clear()
+        if len(self.pairs) > most_pairs:
+            self.pairs.clear()
+
     def normalise(self, text: str) -> str:
         if self.squeeze:
             text = re.sub(" +", " ", text.replace(SPACE, " ")).strip(" ")
@@ -255,6 +261,7 @@ def encode_decode(df: DataFrame, model_path: str, text: str = "text", keep: tupl
             ids = np.frombuffer(b"".join([p[0] for p in pairs]), "<i4")
             columns = [batch.column(k) for k in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*columns, list_array(offsets, pa.array(ids)), pa.array([p[1] for p in pairs], pa.string())], [*keep, "ids", "decoded"])
+        model.forget()
 
     schema = T.StructType([*source.drop("__text").schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
     return source.mapInArrow(work, schema)
