@@ -70,9 +70,10 @@ def p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("mid", "chr", "pos", ((h + 1) * (h + 1) * (h + 1) / F.lit(1.1e9)).alias("p"))
 
 
-def importance_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(mid, chr, pos, fold, model, importance) from line items: block, fold and model by arithmetic."""
-    li = table(spark, sf_dir, "lineitem").where("l_partkey < 400")
+def importance_rows(spark: SparkSession, sf_dir: str, below: int | None = 400) -> DataFrame:
+    """(mid, fold, model, importance) from line items of parts below a number, or of all: fold and model by arithmetic."""
+    li = table(spark, sf_dir, "lineitem")
+    li = li if below is None else li.where(F.col("l_partkey") < below)
     return li.select(F.col("l_partkey").alias("mid"), (F.col("l_orderkey") % 5).cast("int").alias("fold"), F.when(F.col("l_linenumber") % 2 == 0, "RF").otherwise("GB").alias("model"), F.col("l_extendedprice").alias("importance"))
 
 

@@ -183,6 +183,15 @@ def kinship_subindex(spark, sf):
     return joins.square_subset(k, ids).select("row", "col", F.round("k", 5).alias("k"))
 
 
+@query()
+def kinship_subindex_whole(spark, sf):
+    """kinship_subindex over all vectors; products of vectors outside the subset are not made."""
+    v = X.table(spark, sf, "embeddings").where("vec_id % 3 = 0")
+    ranges = v.select(F.col("vec_id").alias("id"), F.floor(F.col("vec_id") / 1024).alias("range"))
+    ids = qc.global_index(ranges, "range", "id", "id").select("id", F.col("global_idx").alias("idx"))
+    return joins.square_subset(structure.gram_long(v, "vec_id", "embedding"), ids).select("row", "col", F.round("product", 5).alias("k"))
+
+
 @query(f"""with {X.MAP_SQL}, {X.LOCI_SQL} select distinct locus_id, m.chr, mid from m join l on m.chr = l.chr and abs(pos - locus_pos) <= 3000""")
 def interval_join(spark, sf):
     return joins.within_distance(X.marker_map(spark, sf), X.loci(spark, sf), 3000).select("locus_id", "chr", "mid")
@@ -245,7 +254,17 @@ def distribution_summary(spark, sf):
 
 @query(f"""with {X.IMPORTANCE_SQL}, f as (select mid, model, fold, max(importance) importance from i group by all) select mid, model, round(sum(importance) / 5, 6) mean_importance, cast(count(distinct fold) as bigint) selection_folds, cast((select count(distinct fold) from f p where p.mid = f.mid) as bigint) pool_folds from f group by mid, model""")
 def importance_folds(spark, sf):
-    f = X.importance_rows(spark, sf).groupBy("mid", "model", "fold").agg(F.max("importance").alias("importance"))
+    return _importance_folds(X.importance_rows(spark, sf))
+
+
+@query()
+def importance_folds_whole(spark, sf):
+    """importance_folds over all line items."""
+    return _importance_folds(X.importance_rows(spark, sf, None))
+
+
+def _importance_folds(rows):
+    f = rows.groupBy("mid", "model", "fold").agg(F.max("importance").alias("importance"))
     mean = f.groupBy("mid", "model").agg(r6(F.sum("importance") / 5).alias("mean_importance"))
     own = ml.selection_folds(f, "model", "mid")
     pool = ml.selection_folds(f, "pool", "mid").withColumnRenamed("selection_folds", "pool_folds")
@@ -320,6 +339,14 @@ def pairwise_complete(spark, sf):
     return structure.ld_pairs_arrays(m, 1, "mid").select("a", "b", "n")
 
 
+@query()
+def pairwise_complete_whole(spark, sf):
+    """pairwise_complete over all markers."""
+    called = X.genotypes(spark, sf, with_missing=True).select("mid", F.transform("dosage", lambda g: g.isNotNull().cast("double")).alias("called"))
+    n = structure.gram_long(called, "mid", "called").where("i < j and product > 0")
+    return n.select(F.col("i").alias("a"), F.col("j").alias("b"), F.col("product").cast("bigint").alias("n"))
+
+
 # --- scans ---
 
 
@@ -385,7 +412,17 @@ def replicate_region(spark, sf):
 
 @query("""with v as (select vec_id, unnest(embedding) x, generate_subscripts(embedding, 1) d from embeddings where vec_id < 100) select a.d - 1 a, b.d - 1 b, round(corr(a.x, b.x) * corr(a.x, b.x), 6) r2, cast(count(*) as bigint) n from v a join v b on a.vec_id = b.vec_id and a.d < b.d and b.d - a.d <= 5 group by a.d, b.d""")
 def ld_pairs(spark, sf):
-    v = X.table(spark, sf, "embeddings").where("vec_id < 100").select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("d", "x"))
+    return _embedding_ld(X.table(spark, sf, "embeddings").where("vec_id < 100"))
+
+
+@query()
+def ld_pairs_whole(spark, sf):
+    """ld_pairs over all vectors."""
+    return _embedding_ld(X.table(spark, sf, "embeddings"))
+
+
+def _embedding_ld(embeddings):
+    v = embeddings.select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("d", "x"))
     long = v.select(F.col("d").cast("bigint").alias("marker_id"), F.lit(1).alias("chr"), F.col("d").alias("pos"), F.col("vec_id").alias("sample_id"), F.col("x").alias("call"))
     return structure.ld_pairs(long, 5).select("a", "b", r6("r2").alias("r2"), "n")
 
@@ -393,15 +430,35 @@ def ld_pairs(spark, sf):
 @query(f"""with {X.calls_sql()}, x as (select mid, chr, pos, sid, call from g where mid < 300), c as (select a.mid a, b.mid b, abs(a.pos - b.pos) d, corr(a.call, b.call) r from x a join x b on a.sid = b.sid and a.chr = b.chr and a.mid < b.mid and abs(a.pos - b.pos) <= 50000 group by all)
 select cast(case when d < 5000 then 0 when d < 20000 then 1 else 2 end as int) bin, cast(count(*) as bigint) pairs, round(median(r * r), 6) median_r2 from c where d < 50000 and r is not null and not isnan(r) group by 1""")
 def ld_by_distance(spark, sf):
-    m = X.genotypes(spark, sf).where("mid < 300")
+    return _marker_ld(X.genotypes(spark, sf).where("mid < 300"))
+
+
+@query()
+def ld_by_distance_whole(spark, sf):
+    """ld_by_distance over all markers."""
+    return _marker_ld(X.genotypes(spark, sf))
+
+
+def _marker_ld(m):
     return structure.ld_by_distance(structure.ld_pairs_arrays(m, 50_000, "mid"), [0, 5_000, 20_000, 50_000]).withColumn("median_r2", r6("median_r2"))
 
 
 @query(f"""with {X.calls_sql()}, f as (select mid, sum(call) / (2.0 * count(*)) p from g group by mid), z as (select mid, sid, call - 2 * p z from g join f using (mid) where sid < 40), w as (select sum(2 * p * (1 - p)) w from f) select a.sid i, b.sid j, round(sum(a.z * b.z) / any_value(w), 6) k from z a join z b using (mid), w group by a.sid, b.sid""")
 def kinship_vanraden(spark, sf):
+    return _kinship_cells(spark, sf, 40)
+
+
+@query()
+def kinship_vanraden_whole(spark, sf):
+    """All cells of the matrix; ids are the samples'."""
+    return _kinship_cells(spark, sf)
+
+
+def _kinship_cells(spark, sf, most=None):
+    ids = [r["sid"] for r in X.samples(spark, sf).select("sid").orderBy("sid").collect()][:most]
     k = structure.kinship_vanraden(X.genotypes(spark, sf))
-    n = min(40, len(k))
-    return spark.createDataFrame([(i, j, float(k[i, j])) for i in range(n) for j in range(n)], "i bigint, j bigint, k double").withColumn("k", r6("k"))
+    cells = [(i, j, float(k[a, b])) for a, i in enumerate(ids) for b, j in enumerate(ids)]
+    return spark.createDataFrame(cells, "i bigint, j bigint, k double").withColumn("k", r6("k"))
 
 
 @query()
@@ -432,8 +489,8 @@ def kfold_assign(spark, sf):
 
 
 def _ml_data(spark, sf):
-    rows = X.samples(spark, sf, 100).orderBy("sid").collect()
-    m = X.genotypes(spark, sf, 100).where("mid < 120").select(F.col("mid").cast("string").alias("marker_id"), "chr", (F.col("mid") % 2).cast("int").alias("block"), "pos", "dosage")
+    rows = X.samples(spark, sf).orderBy("sid").collect()
+    m = X.genotypes(spark, sf).select(F.col("mid").cast("string").alias("marker_id"), "chr", F.floor(F.col("mid") / 500).cast("int").alias("block"), "pos", "dosage")
     planted = np.array([r["dosage"] for r in m.where("marker_id in ('40', '80')").orderBy("marker_id").collect()], float)
     return m, np.array([r["y"] for r in rows]) / 3000 + 2 * planted.sum(0)
 
@@ -502,7 +559,17 @@ def causal_recovery(spark, sf):
 
 @query("""select event_id, 'a' model, value r2 from events where event_id < 500 union all select event_id, 'b', value / 2 from events where event_id < 500""")
 def long_records(spark, sf):
-    e = X.table(spark, sf, "events").where("event_id < 500").withColumn("half", F.col("value") / 2)
+    return _long_records(X.table(spark, sf, "events").where("event_id < 500"))
+
+
+@query()
+def long_records_whole(spark, sf):
+    """long_records over all events."""
+    return _long_records(X.table(spark, sf, "events"))
+
+
+def _long_records(events):
+    e = events.withColumn("half", F.col("value") / 2)
     return reports.unpivot_models(e, ["event_id"], {"a": "value", "b": "half"}, "r2")
 
 
