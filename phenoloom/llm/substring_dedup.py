@@ -12,6 +12,8 @@ functions; there are about 2n/LEAST windows for each, not n^2.
 4. Candidates are confirmed on the texts: runs of equal shingles at a steady distance are chained over small gaps while
    the shingle sets of both sides keep a similarity of 0.75; passages of LEAST words or more count.
 5. Windows that no confirmed passage explains are linked again among themselves, without the document that misled them.
+6. Whatever smaller document took their roots, exact repeats are complete: in all windows that share a root, every run of
+   LEAST words is linked to its smallest holder, and the links that no confirmed passage covers are confirmed as well.
 
 In every passage the smallest document is the first; the others hold a repeat, which `cut_repeats` takes out.
 
@@ -37,6 +39,9 @@ WIDTH, LEAST, HASHES, NEEDED, ROUNDS = 5, 50, 4, 2, 2
 GAP = 12
 PERCENT = 75
 BROADCAST_IDS = 400_000
+#: Odd, so it has an inverse modulo 2^64.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
 
 
 def compact_windows(values: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -227,7 +232,7 @@ def confirm(pairs: DataFrame, df: DataFrame, text: str, doc_id: str, least: int,
                     if len(words) < least or len(owner.shingles) < least - WIDTH + 1:
                         continue
                     w = np.asarray(batch.column(4)[k].values, np.int64)
-                    functions, lefts, rights = w & 7, (w >> 3) & 0x3FFFFFFF, w >> 33
+                    functions, lefts, rights = unpacked(w)
                     inside = lefts < len(a)  # windows of another text with the same id
                     allowed = covered(lefts[inside], rights[inside], functions[inside], len(a), needed)
                     for s, e, t, f in passages(a, owner, allowed, least - WIDTH + 1):
@@ -242,14 +247,15 @@ def confirm(pairs: DataFrame, df: DataFrame, text: str, doc_id: str, least: int,
 def repeated_passages(df: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = LEAST, hashes: int = HASHES, needed: int = NEEDED, rounds: int = ROUNDS) -> DataFrame:
     """Confirmed passages: node holds at [start, end) words what owner, a smaller id, holds at [owner_start, owner_end)."""
     windows = materialise(window_rows(df, text, doc_id, least, hashes), "windows")
-    found = None
+    found = every = None
     for n in range(rounds):
         shared = windows.groupBy("key").agg(F.min("node").alias("owner"), F.max("node").alias("last")).where("owner < last").select("key", "owner")
-        hits = windows.join(shared, "key").where("node <> owner")
-        if n + 1 < rounds:
+        hits = windows.join(shared, "key")
+        if n + 1 < rounds or every is None:
             hits = materialise(hits, "hits")
-        packed = F.shiftleft(F.col("r").cast("long"), 33).bitwiseOR(F.shiftleft(F.col("l").cast("long"), 3)).bitwiseOR(F.col("key").bitwiseAND(7))
-        pairs = hits.groupBy("node", "owner").agg(F.collect_set(packed).alias("windows"))
+        every = hits if every is None else every
+        hits = hits.where("node <> owner")
+        pairs = hits.groupBy("node", "owner").agg(F.collect_set(packed_window()).alias("windows"))
         pairs = materialise(pairs.where(F.size(F.array_distinct(F.transform("windows", lambda w: w.bitwiseAND(7)))) >= needed), "pairs")
         here = materialise(confirm(pairs, df, text, doc_id, least, needed), "passages")
         found = here if found is None else found.unionByName(here)
@@ -257,7 +263,62 @@ def repeated_passages(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
             spans = here.groupBy("node").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
             explained = F.exists("spans", lambda s: F.least(s["end"] - (WIDTH - 1), F.col("r") + 1) - F.greatest(s["start"], F.col("l")) >= least - WIDTH + 1)
             windows = materialise(hits.join(spans, "node", "left").where(~F.coalesce(explained, F.lit(False))).select("key", "node", "l", "r"), "windows")
-    return found
+    missed = materialise(exact_pairs(every, found, df, text, doc_id, least, hashes), "pairs")
+    return found.unionByName(materialise(confirm(missed, df, text, doc_id, least, min(needed, NEEDED)), "passages"))
+
+
+def runs_of_words(words: np.ndarray, width: int) -> np.ndarray:
+    """Hash of every run of `width` words, by differences of a running sum of words times powers of an odd number."""
+    n = len(words) - width + 1
+    if n < 1:
+        return np.empty(0, np.uint64)
+    with np.errstate(over="ignore"):
+        powers, inverse = (np.cumprod(np.r_[np.uint64(1), np.full(len(words) - 1, b, np.uint64)], dtype=np.uint64) for b in (BASE, INVERSE))
+        sums = np.r_[np.uint64(0), np.cumsum(mix64(words) * powers, dtype=np.uint64)]
+        return mix64((sums[width:] - sums[:n]) * inverse[:n])
+
+
+def packed_window():
+    return F.shiftleft(F.col("r").cast("long"), 33).bitwiseOR(F.shiftleft(F.col("l").cast("long"), 3)).bitwiseOR(F.col("key").bitwiseAND(7))
+
+
+def unpacked(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Functions, lefts and rights."""
+    return w & 7, (w >> 3) & 0x3FFFFFFF, w >> 33
+
+
+def exact_pairs(shared: DataFrame, found: DataFrame, df: DataFrame, text: str, doc_id: str, least: int, hashes: int) -> DataFrame:
+    """Pairs (node, owner, windows) for runs of `least` words and their smallest holder that no passage of the two in `found` covers.
+
+    `shared` has all windows whose root another document has too. Equal runs have equal roots for every hash function, so
+    only runs that lie in such a window of every function are looked at.
+    """
+    parts = shared.groupBy("node").agg(F.collect_list(packed_window()).alias("windows")).where(F.size(F.array_distinct(F.transform("windows", lambda w: w.bitwiseAND(7)))) >= hashes)
+    texts = df.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("__text")).where("node is not null and __text is not null").join(parts, "node")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for batch in slices(batches, 1024, 4 << 20, "__text"):
+            runs, nodes, places = [np.empty(0, np.uint64)], [], [np.empty(0, np.int64)]
+            for k, (node, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                found = runs_of_words(known.array(words_of(t)), least)
+                functions, lefts, rights = unpacked(np.asarray(batch.column(2)[k].values, np.int64))
+                inside = lefts < len(found)  # windows of another text with the same id
+                at = np.flatnonzero(covered(lefts[inside], rights[inside] - (least - WIDTH), functions[inside], len(found), hashes))
+                runs.append(found[at])
+                places.append(at)
+                nodes.append(np.full(len(at), node, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(runs).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(places).astype(np.int32))], ["run", "node", "at"])
+
+    rows = materialise(texts.mapInArrow(work, "run bigint, node bigint, at int"), "runs")
+    holders = rows.groupBy("run").agg(F.min("node").alias("owner"), F.max("node").alias("last")).where("owner < last").select("run", "owner")
+    links = rows.join(holders, "run").where("node <> owner")
+    spans = found.groupBy("node", "owner").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    inside = F.exists("spans", lambda s: (s["start"] <= F.col("at")) & (F.col("at") + least <= s["end"]))
+    rest = links.join(spans, ["node", "owner"], "left").where(~F.coalesce(inside, F.lit(False)))
+    rest = rest.groupBy("node", "owner").agg(F.min("at").cast("long").alias("l"), (F.max("at") + least - WIDTH).cast("long").alias("r"))
+    window = lambda k: F.shiftleft("r", 33).bitwiseOR(F.shiftleft("l", 3)).bitwiseOR(F.lit(k).cast("long"))
+    return rest.select("node", "owner", F.array(*[window(k) for k in range(NEEDED)]).alias("windows"))
 
 
 def merged(column: str):

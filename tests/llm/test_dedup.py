@@ -152,6 +152,50 @@ def test_exact_passages_are_found(spark):
     assert not any(repeats(cut).values())
 
 
+def misled_corpus(seed, quotes=3):
+    """Documents 0 to quotes - 1 hold 45 words of a passage that the two last documents hold whole."""
+    rng = random.Random(seed)
+    word = lambda: "m%d" % rng.randrange(100_000)
+    texts = {}
+    for case in range(12):
+        passage = [word() for _ in range(60)]
+        for k in range(quotes + 2):
+            part = passage[7:52] if k < quotes else passage
+            texts[case * 10 + k] = " ".join([*(word() for _ in range(30)), *part, *(word() for _ in range(30))])
+    return texts
+
+
+def test_short_quotes_hide_no_exact_repeat(spark):
+    texts = misled_corpus(4)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: {k for s in r["repeated"] for k in range(s["start"], s["end"])} for r in S.report(df).collect()}
+    want = repeats(texts)
+    assert sum(map(len, want.values())) == 12 * 60 and all(want[i] <= got[i] for i in texts)
+    assert not any(repeats({r["doc_id"]: r["text"] for r in S.cut_repeats(df).collect()}).values())
+
+
+def test_a_longer_repeat_around_a_shorter_one(spark):
+    """Document 0 holds the middle of what 1 and 2 share: the ends are repeats of 1."""
+    rng = random.Random(6)
+    words = lambda n: ["n%d" % rng.randrange(100_000) for _ in range(n)]
+    texts = {}
+    for case in range(8):
+        shared = words(110)
+        for k, part in enumerate((shared[25:85], shared, shared)):
+            texts[case * 10 + k] = " ".join([*words(20), *part, *words(20)])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = repeats(texts)
+    for r in S.report(df).collect():
+        assert want[r["doc_id"]] <= {k for s in r["repeated"] for k in range(s["start"], s["end"])}
+
+
+def test_hashes_of_runs():
+    words = np.random.default_rng(3).integers(0, 1 << 60, 200).astype(np.uint64)
+    words[100:150] = words[20:70]
+    runs = S.runs_of_words(words, 50)
+    assert len(runs) == 151 and runs[100] == runs[20] and len(np.unique(runs)) == 150 and not len(S.runs_of_words(words[:49], 50))
+
+
 def test_edited_passages_are_found():
     rng = np.random.default_rng(1)
     words = [str(x) for x in rng.integers(0, 10_000, 200)]
