@@ -321,14 +321,14 @@ def exact_pairs(shared: DataFrame, found: DataFrame, df: DataFrame, text: str, d
     return rest.select("node", "owner", F.array(*[window(k) for k in range(NEEDED)]).alias("windows"))
 
 
-def merged(column: str):
-    """Sorted, joined spans of an array of (start, end)."""
+def merged(column: str, overlap: int = 0):
+    """Sorted, joined spans of an array of (start, end); with `overlap`, only spans with so much in common (or all of one) are joined."""
     kind = "array<struct<start:int,end:int>>"
 
     def step(acc, x):
         last = F.element_at(acc, -1)
         joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))))
-        return F.when(F.size(acc) == 0, F.array(x)).when(x["start"] <= last["end"], joined).otherwise(F.concat(acc, F.array(x))).cast(kind)
+        return F.when(F.size(acc) == 0, F.array(x)).when(x["start"] + F.least(F.lit(overlap), x["end"] - x["start"], last["end"] - last["start"]) <= last["end"], joined).otherwise(F.concat(acc, F.array(x))).cast(kind)
 
     return F.aggregate(F.array_sort(column), F.array().cast(kind), step)
 
@@ -343,6 +343,27 @@ def spans_by_document(found: DataFrame) -> DataFrame:
     return lists.select("id", "digest", merged("repeats").alias("repeats"), merged("shared").alias("shared"), F.array_sort("firsts").alias("firsts"))
 
 
+def partners(found: DataFrame, least: int = LEAST) -> DataFrame:
+    """(node, n_links): how many other documents hold a passage that the node holds, each counted once.
+
+    Stretches of a first document that have `least` words in common are one passage. Documents with the same passages are
+    one class, and classes meet by passage; pairs of documents are not made.
+    """
+    of_owner = found.groupBy("owner").agg(F.collect_set(F.struct(F.col("owner_start").alias("start"), F.col("owner_end").alias("end"))).alias("spans")).select("owner", merged("spans", least).alias("held"))
+    of_owner = materialise(of_owner, "held")
+    around = F.filter("held", lambda p: (p["start"] <= F.col("owner_start")) & (F.col("owner_end") <= p["end"]))
+    later = found.join(of_owner, "owner").select("node", "owner", around[0]["start"].alias("at"))
+    first = of_owner.select(F.col("owner").alias("node"), "owner", F.explode("held").alias("p")).select("node", "owner", F.col("p.start").alias("at"))
+    members = later.union(first).groupBy("node").agg(F.array_sort(F.collect_set(F.struct("owner", "at"))).alias("passages"))
+    members = materialise(members, "members")
+    classes = members.groupBy("passages").agg(F.count("*").alias("n"), F.min("node").alias("class"))
+    classes = materialise(classes, "classes")
+    parts = classes.select("class", "n", F.explode("passages").alias("p"))
+    met = parts.select("class", "p").join(parts.select("p", F.col("class").alias("other"), "n"), "p").select("class", "other", "n").distinct()
+    links = met.groupBy("class").agg((F.sum("n") - 1).alias("n_links"))
+    return members.join(classes.select("passages", "class"), "passages").join(links, "class").select("node", "n_links")
+
+
 def word_counts(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, digest of the text, n_words) of every row."""
 
@@ -356,12 +377,11 @@ def word_counts(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Da
 
 def report(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per row of df: doc_id, component_id (smallest id reachable by shared passages, itself included), n_links
-    (documents linked to it), n_words, n_shared, n_repeated (words), first_ids, shared and repeated spans in words."""
+    (other documents that hold one of its passages), n_words, n_shared, n_repeated (words), first_ids, shared and repeated spans in words."""
     found = repeated_passages(df, text, doc_id)
     spans = spans_by_document(found)
     links = materialise(found.select(F.col("node").alias("a"), F.col("owner").alias("b")).distinct(), "passage-links")
-    degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"))
-    classes = components(links).withColumnRenamed("component", "component_id").join(degree, "node").withColumnRenamed("node", "doc_id")
+    classes = components(links).withColumnRenamed("component", "component_id").join(partners(found), "node").withColumnRenamed("node", "doc_id")
     base = materialise(word_counts(df, text, doc_id), "word-counts")
     joined = base.join(spans.withColumnRenamed("id", "doc_id"), ["doc_id", "digest"], "left").join(classes, "doc_id", "left")
     none = lambda c: F.coalesce(F.col(c), F.array().cast("array<struct<start:int,end:int>>"))

@@ -152,6 +152,19 @@ def test_exact_passages_are_found(spark):
     assert not any(repeats(cut).values())
 
 
+def linked(texts, n=50):
+    """Other documents with an exact run of n words in common, for each document."""
+    runs = {i: {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} for i, w in ((i, words_of(t)) for i, t in texts.items())}
+    return {i: sum(j != i and bool(runs[i] & runs[j]) for j in texts) for i in texts}
+
+
+def test_links_are_all_holders(spark):
+    texts = passages_corpus() | {100 + i: t for i, t in misled_corpus(5).items()}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    want = linked(texts)
+    assert {r["doc_id"]: r["n_links"] for r in S.report(df).collect()} == want and max(want.values()) > 20
+
+
 def misled_corpus(seed, quotes=3):
     """Documents 0 to quotes - 1 hold 45 words of a passage that the two last documents hold whole."""
     rng = random.Random(seed)
