@@ -1,11 +1,12 @@
 """Operator 10: main text of web pages by consensus host paths.
 
 1. Every page is parsed and its containers are scored: paragraphs give their text, less what stands in links, to the
-   container they are in and half of it to the next one out. The page votes for the path of its best container. A path is
+   container they are in and half of it to the next one out. The page votes for the path of its best container, or of the
+   one around it where that holds text in several parts (up to article or main, never body as a whole). A path is
    the chain of tags and classes from the body, generalised: digits and hash-like endings of class names are left out.
 2. Votes are counted by host and path; the path with most votes is the host's.
-3. Every page is parsed again and its text is taken from the containers at its host's path; a page without such a
-   container uses its own best one.
+3. Every page is parsed again and its text is taken from all containers at its host's path, however short; a page without
+   such a container uses all at the path of its own best one.
 
 Inside a container, menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
 are left out by tag, role and class words. Each block's text has its character references decoded and its white space
@@ -55,10 +56,10 @@ MOST_DEPTH = 40
 
 
 class Node:
-    __slots__ = ("tag", "path", "parent", "noise", "score", "link", "article", "depth", "outer")
+    __slots__ = ("tag", "path", "parent", "noise", "score", "held", "link", "article", "depth", "outer")
 
     def __init__(self, tag: str, path: str, parent: Node | None, noise: bool, link: bool):
-        self.tag, self.path, self.parent, self.noise, self.score, self.link = tag, path, parent, noise, 0.0, link
+        self.tag, self.path, self.parent, self.noise, self.score, self.held, self.link = tag, path, parent, noise, 0.0, 0.0, link
         self.article = tag in ("article", "main") or (parent is not None and parent.article)
         self.depth = parent.depth + 1 if parent is not None else 0
         self.outer = parent if parent is None or parent.tag in CONTAINER else parent.outer
@@ -189,6 +190,8 @@ class Page:
             return
         worth = size - 3.0 * linked
         share, at = 1.0, node if node.tag in CONTAINER else node.outer
+        if at is not None:
+            at.held += worth
         while at is not None and share > 0.2:
             at.score += worth * share
             share, at = share / 2, at.outer
@@ -196,13 +199,25 @@ class Page:
     def best(self) -> Node:
         return max(self.containers, key=lambda n: n.score)  # the first among equals
 
+    def main(self) -> Node:
+        """The best container, or the one around it where that holds text in other parts too; not beyond article, main or below body."""
+        node, whole = self.best(), {id(n): n.held for n in self.containers}
+        parts: Counter = Counter()
+        for n in reversed(self.containers):  # those inside come after those around them
+            if n.outer is not None:
+                whole[id(n.outer)] = whole.get(id(n.outer), 0.0) + max(0.0, whole[id(n)])
+                parts[id(n.outer)] += whole[id(n)] > 0
+        while node.tag not in ("article", "main") and node.outer is not None and node.outer is not self.root and parts[id(node.outer)] + (node.outer.held > 0) > 1:
+            node = node.outer
+        return node
+
     def at_path(self, path: str | None) -> list[Node]:
-        """Containers at the path that carry text: the best, and others with at least a third of its score, none inside another."""
-        found = [n for n in self.containers if n.path == path and n.score > 0]
-        if not found:
-            return [self.best()]
-        most = max(n.score for n in found)
-        return [n for n in found if 3 * n.score >= most]
+        """All containers at the path, or at the path of the page's own main container where none there carries text."""
+        found = [n for n in self.containers if n.path == path]
+        if any(n.score > 0 for n in found):
+            return found
+        own = self.main()
+        return [n for n in self.containers if n.path == own.path]
 
     def text(self, nodes: list[Node]) -> str:
         inside: dict[int, bool] = {id(n): True for n in nodes}
@@ -223,7 +238,7 @@ def vote(source: str | None) -> str | None:
     """Path of the page's best container; null without text."""
     if not source:
         return None
-    node = Page(source).best()
+    node = Page(source).main()
     return node.path if node.score > 0 else None
 
 

@@ -256,6 +256,23 @@ def test_main_text(spark):
     assert html_extract.extract_main(df.limit(0)).count() == 0
 
 
+def test_unequal_sections_are_all_taken(spark):
+    def text(k, n):
+        return f"Part {k} " + "of the article goes on here. " * (n // 29)
+
+    def sections(sizes, around=("<main>", "</main>"), name="section"):
+        return "<body><nav>menu</nav>" + around[0] + "".join(f"<div class='{name}'><p>{text(k, n)}</p></div>" for k, n in enumerate(sizes)) + around[1] + "<footer>end</footer>"
+
+    sizes = [(1000, 300), (1000, 900), (200, 1000, 60), (3000, 58)]
+    pages = [sections(s) for s in sizes] + [sections(s, ("", "")) for s in sizes]
+    pages.append("<body><div class=content><div class=intro><p>" + text(0, 300) + "</p></div><div class=body><p>" + text(1, 1000) + "</p></div></div>")
+    pages.append("<body><div class=content><p>" + text(0, 400) + "</p><div class=body><p>" + text(1, 1000) + "</p></div></div>")
+    want = ["\n".join(" ".join(text(k, n).split()) for k, n in enumerate(s)) for s in [*sizes, *sizes, (300, 1000), (400, 1000)]]
+    rows = [(i, None, p) for i, p in enumerate(pages)] + [(100 + i, "http://one.example/", p) for i, p in enumerate(pages[:4])]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_main(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**dict(enumerate(want)), **{100 + i: want[i] for i in range(4)}}
+
+
 def test_pages_of_the_table(spark, small):
     import html as h
     import re
