@@ -6,7 +6,8 @@ pigeonhole principle a code within Hamming radius r of the query differs from it
 substrings, so looking up every bucket that near in every table finds all codes within r. What is found is held to r on
 whole codes and then ranked by exact distance on the original vectors in double precision.
 The radius is the smallest that keeps `coverage` of the exact neighbours of sampled vectors among sampled vectors. In a
-larger table neighbours are nearer still, so the same radius covers more of them.
+larger table neighbours are nearer still, so the same radius covers more of them. Queries with fewer than k rows in the
+radius (outliers, sparse clusters) are sent once more with all bits as the radius, which is an exact search.
 
 Every row is indexed, in blocks where it is read; vectors are never shuffled. Queries are sent in chunks of a fixed size
 as broadcasts, one pass for each chunk. The k-th distance within the sample bounds each query's results, so blocks send
@@ -20,13 +21,15 @@ to the smaller id; an empty table has no result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 #: Vectors that rotations, radius and bounds are learned from; queries of one pass.
 SAMPLE, CHUNK = 8_192, 32_768
 BITS, PART = 128, 16
@@ -130,7 +133,13 @@ def nearest(df: DataFrame, is_query, vec_id: str = "vec_id", vector: str = "embe
             part = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(chunks)) == chunk) if chunks > 1 else queries
             own = {r["vec_id"]: r["v"] for r in part.collect()}
             if own:
-                found = found.unionByName(_search(rows, book, own, sample, sample_ids, k, schema))
+                near = materialise(_search(rows, book, own, sample, sample_ids, k, schema), "near")
+                full = near.groupBy("query_id").count().where(F.col("count") >= k).select("query_id")
+                few = own.keys() - {r["query_id"] for r in full.collect()}
+                if few:
+                    near = near.join(full, "query_id", "left_semi")
+                    near = near.unionByName(_search(rows, replace(book, radius=BITS), {i: own[i] for i in few}, sample, sample_ids, k, schema))
+                found = found.unionByName(near)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

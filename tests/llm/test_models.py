@@ -221,6 +221,24 @@ def test_neighbours_against_brute_force(spark):
     assert ann.nearest(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_every_query_has_its_rows(spark):
+    """Queries far from all others get their k nearest too, and small tables all there is."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(900, 16)) * 0.05 + 3 * rng.normal(size=(3, 16))[rng.integers(0, 3, 900)]
+    x[::100] = rng.normal(size=(9, 16)) * 40
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(900)], "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    assert {q: len(found) for q, found in got.items()} == dict.fromkeys(range(0, 900, 50), 10)
+    for q in range(0, 900, 100):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        assert [got[q][k] for k in range(1, 11)] == np.argsort(d)[:10].tolist()
+    few = ann.nearest(df.where("vec_id < 7"), F.lit(True)).groupBy("query_id").count().collect()
+    assert {r["query_id"]: r["count"] for r in few} == dict.fromkeys(range(7), 6)
+
+
 def test_probing_finds_every_code_in_the_radius():
     rng = np.random.default_rng(7)
     codes = rng.integers(0, 1 << 16, (400, 4)).astype(np.uint16)
