@@ -194,6 +194,28 @@ def test_near_pairs(spark):
     assert got == {(1, 2): 1, (1, 3): 0}
 
 
+def test_near_pairs_loses_none_behind_a_hub(spark, monkeypatch):
+    monkeypatch.setattr(edit_fingerprint, "BLOCK", 3)
+    rng = np.random.default_rng(9)
+    base = "".join(rng.choice(list("abcdefghijklmnop "), 400))
+    texts = [base, *(base[:k] + "!" + base[k:] for k in (40, 150, 260, 370)), base[:100] + base[101:]]
+    rows = [*enumerate(texts, 1), (20, texts[2])]
+    got = {(r["a"], r["b"]): r["edits"] for r in edit_fingerprint.near_pairs(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    assert set(got) == {(i, j) for i in range(1, 7) for j in range(i + 1, 7)} | {(3, 20)}
+    assert got[1, 2] == 1 and got[2, 3] == 2 and got[3, 20] == 0
+
+
+def test_near_pairs_across_levels(spark):
+    rng = np.random.default_rng(10)
+    rows = []
+    for n in (128, 171, 256, 342, 512, 683):  # one more character takes the next level
+        base = "".join(rng.choice(list("abcdefghijklmnop "), n + 1))
+        at = len(rows)
+        rows += [(at + k, base[: n - 1 + k]) for k in range(3)]
+    got = edit_fingerprint.near_pairs(spark.createDataFrame(rows, "doc_id long, text string"), 1)
+    assert {(r["a"], r["b"]) for r in got.collect()} == {(i, i + 1) for i in range(len(rows)) if i % 3 < 2}
+
+
 # --- neighbours ---
 
 
