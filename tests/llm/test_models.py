@@ -186,6 +186,18 @@ def test_likeness_falls_with_edits():
     assert means[0] == 1 and means[0] > means[1] > means[2] > means[3]
 
 
+def test_every_walk_reaches_the_end(monkeypatch):
+    """The last characters of a text are in its fingerprint when all places are sampled, also just under a power of two."""
+    monkeypatch.setattr(edit_fingerprint, "SAMPLES", 1 << 20)
+    edit_fingerprint.places.cache_clear()
+    rng = np.random.default_rng(11)
+    for n in (64, 128, 256, 512):
+        for k in range(12):
+            text = "".join(rng.choice(list("abcdefghijklmnop "), n)) if k % 2 else "abcdefghijkl"[k] * n
+            assert len(set(edit_fingerprint.fingerprints([text[:-1] + c for c in "#%&~@"]))) > 1
+    edit_fingerprint.places.cache_clear()
+
+
 def test_near_pairs(spark):
     rng = np.random.default_rng(5)
     base = "".join(rng.choice(list("abcdefghijklmnop "), 400))
