@@ -1,8 +1,9 @@
 """Operator 8: toxicity from misspelling-tolerant lexicon matches and their context.
 
 The lexicon is learned from labelled texts: whole words and stems (a stem stands for every word that begins with it) that
-toxic texts hold far more often than clean ones. It is kept as a trie. A Levenshtein automaton of one edit (two for long
-terms) is intersected with the trie: states are sets of (trie node, edits so far), made once and kept, so a word costs one
+toxic texts hold far more often than clean ones. It is kept as a trie. A Levenshtein automaton is intersected with the trie
+(no edit for whole words of under 5 letters and stems of under 7, two from 9 letters, one between; the first letter and a
+stem's last must be right; a term inside a longer unspaced run is seen only at the run's beginning): states are sets of (trie node, edits so far), made once and kept, so a word costs one
 table look-up for each letter and most words die after three or four. Each match is scored with a window around it:
 a match inside quotation marks that open and close near by counts as quoted, not as abuse. A small logistic model, fitted
 to the same labelled texts, weighs exact, misspelled and quoted matches.
@@ -222,7 +223,7 @@ class KnownWords(dict):
 
     def __missing__(self, raw: str) -> int:
         word = raw.lower().strip(TRIM)
-        found = self.automaton.edits(word) if 3 <= len(word) <= 60 else 9
+        found = self.automaton.edits(word) if len(word) >= 3 else 9
         if len(self) >= self.MOST:
             self.clear()
         if len(raw) <= 60:

@@ -119,6 +119,11 @@ def test_automaton_is_edit_distance():
     assert stem.edits("loweischaft") == 0 and stem.edits("lowe") == 9 and stem.edits("lowexi") == 9
 
 
+def test_stems_of_long_words_are_seen():
+    words = toxicity.KnownWords(toxicity.LexiconAutomaton({"lowei": 1.0}))
+    assert words["lowei" + "x" * 80] == 0 and words["x" * 80] == 9
+
+
 def labelled(spark):
     rng = np.random.default_rng(2)
     word = lambda: "".join(rng.choice(list("aeinrst"), 6))
