@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -20,23 +21,40 @@ BYTE_WORDS = re.compile(WORD_PATTERN.encode())
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is set, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only in a local session without it, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if found:
         return found
     path = spark.sparkContext._jsc.sc().getCheckpointDir()
     if path.isDefined():
         return path.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="phenoloom-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+#: Where tables written by materialise() stand, by DataFrame, until discard() removes them.
+_stored: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there and every executor can read it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _stored[table] = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables written by materialise() that nothing reads any more; shuffle files go with the plans that made them."""
+    for table in tables:
+        path = _stored.pop(table, None)
+        if path:
+            at = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,10 +9,13 @@ of what as many tables would take one by one. At a similarity of 0.75 two docume
 2. In each table bucket all members are compared with one hub (its smallest id): as many pairs as rows, never all pairs.
    The hub is found by an aggregation, so a bucket of any size needs no single task.
 3. Pairs are confirmed on full sets; confirmed ones are joined into components.
-4. Buckets that now lie in one component are settled. The others' members are compared with their most central member,
-   again one pair for each row. Members of buckets that are still not settled can have links that no hub shows. These are found by an exact prefix-filter join over those members alone: shingles ordered from rare to
-   frequent, two sets of that similarity share one of their first n - ceil(0.75 n) + 1. A passage that many documents
-   hold is frequent, so documents that share no more than it don't meet.
+4. Buckets that now lie in one component are settled. Members of the others can have links that no hub shows. These are
+   found over those members alone by a prefix filter: shingles ordered from rare to frequent, two sets of that similarity
+   share one of their first n - ceil(0.75 n) + 1, early enough in both to leave the overlap that is asked for. In rounds,
+   every member is compared with its likeliest candidate of another component and components merge; a round has as many
+   rows as the prefixes, whatever the size of a family. When a round finds no link, all candidates that are left between
+   different components are compared, so no link is lost. A passage that many documents hold is frequent, so documents
+   that share no more than it don't meet.
 5. Components are joined again over both kinds of links.
 
 Defined cases: null, empty or wordless texts have no shingles and are linked with nothing; with fewer than five words the
@@ -29,13 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, list_array, materialise, shingle_hashes, slices, words_of
+from .common import WordHashes, discard, list_array, materialise, shingle_hashes, slices, words_of
 
 WIDTH, PERCENT = 5, 75
 #: Ids of rows to be looked up are broadcast up to this number; beyond it the texts are shuffled.
 BROADCAST_IDS = 400_000
-#: Rounds of comparison with central members, and rows of a list in the exact step.
-CENTRAL_ROUNDS, BLOCK = 1, 256
 
 
 def shingle_set(text: str | None, hashes: WordHashes, width: int = WIDTH) -> np.ndarray:
@@ -125,48 +126,97 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def unsettled_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Exact candidate pairs with different labels among the nodes of `labels` (node, component), by prefix filter.
+def prefixes(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(node, n, slack, s): the prefix of every node's set in the order from rare to frequent shingles.
+
+    `slack` is the largest set that can still be similar enough if s is the first shingle in common: two rows of a shingle
+    are a candidate only if either's n is at most the other's slack. Shingles of one node only come first and give no row.
+    """
+    one = sets.join(nodes.select("node"), "node", "left_semi").select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    often = materialise(one.groupBy("s").agg(F.count("*").alias("f")).where("f > 1"), "often")
+    ordered = one.join(often, "s").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("xs"))
+    alone = F.col("n") - F.size("xs")
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1 - alone
+    rows = ordered.where(length > 0).select("node", "n", (F.col("n") - alone).alias("shared"), F.posexplode(F.slice("xs", 1, length)).alias("at", "x"))
+    slack = F.floor((F.col("shared") - F.col("at")) * (100 + percent) / percent).cast("int") - F.col("n")
+    return rows.select("node", "n", slack.alias("slack"), F.col("x.s").alias("s"))
+
+
+def _sides(prefix: DataFrame, labels: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(index, probe): rows of prefixes with their component, dealt by shingle and band of sizes.
+
+    The smaller set of a pair is in the index, in all bands that its partners' sizes can have; the larger one probes its own.
+    """
+    rows = prefix.join(labels, "node")
+    band = lambda c: F.floor(F.log(F.col(c).cast("double")) / float(np.log(100 / percent))).cast("int")
+    index = rows.where("slack >= n").select("s", F.explode(F.sequence(band("n"), band("slack"))).alias("band"), F.col("node").alias("small"), F.col("n").alias("small_n"), F.col("slack").alias("small_slack"), F.col("component").alias("small_component"))
+    return index, rows.select("s", band("n").alias("band"), "node", "n", "slack", "component")
+
+
+def proposals(prefix: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(a, b): for each row of a prefix at most one candidate of another component, the one with most slack.
+
+    Of every size in a band of a shingle's rows, the index keeps the best row and the best one of another component, so
+    there is a candidate wherever there is any, however many rows share the shingle.
+    """
+    index, probe = _sides(prefix, labels, percent)
+    key = ["s", "band", "small_n"]
+    best = index.groupBy(*key, "small_component").agg(F.max(F.struct(F.col("small_slack").alias("slack"), F.col("small").alias("node"))).alias("x"))
+    best = materialise(best.select(*key, F.struct("x.slack", F.col("small_component").alias("component"), "x.node").alias("x")), "best")
+    first = best.groupBy(*key).agg(F.max("x").alias("first"))
+    second = best.join(first, key).where("x.component <> first.component").groupBy(*key).agg(F.max("x").alias("second"))
+    menu = first.join(second, key, "left").groupBy("s", "band").agg(F.collect_list(F.struct("small_n", "first", "second")).alias("menu"))
+    other = F.transform("menu", lambda m: F.struct(m["small_n"].alias("n"), F.when(m["first"]["component"] != F.col("component"), m["first"]).otherwise(m["second"]).alias("x")))
+    fits = F.filter(other, lambda m: (m["n"] <= F.least("n", "slack")) & (m["x"]["slack"] >= F.col("n")))
+    found = probe.join(menu, ["s", "band"]).select("node", F.array_max(F.transform(fits, lambda m: F.struct(m["x"]["slack"].alias("slack"), m["x"]["node"].alias("other")))).alias("x")).where("x is not null")
+    met = materialise(found.select(F.least("node", "x.other").alias("a"), F.greatest("node", "x.other").alias("b")).distinct(), "proposals")
+    discard(best)
+    return met
+
+
+def unsettled_pairs(sets: DataFrame, labels: DataFrame, percent: int, prefix: DataFrame | None = None) -> DataFrame:
+    """All candidate pairs with different labels among the nodes of `labels` (node, component), by prefix filter.
 
     A pair is made only where its first common shingle leaves enough of both sets for the similarity asked for.
     """
-    one = sets.join(labels, "node").select("node", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
-    one = materialise(one, "unsettled")
-    often = one.groupBy("s").agg(F.count("*").alias("f"))
-    ordered = one.join(often, "s").groupBy("node", "component", "n").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("xs"))
-    prefix = ordered.select("node", "component", "n", F.posexplode(F.slice("xs", 1, F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1)).alias("at", "x"))
-    # The most that a set can share with another from its first common shingle on.
-    prefix = materialise(prefix.where("x.f > 1").select("node", "component", "n", (F.col("n") - F.col("at")).alias("rest"), F.col("x.s").alias("s")), "prefix")
-    mixed = prefix.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    # Buckets over BLOCK rows are cut into blocks that meet pairwise, so no list is longer than about two blocks.
-    open_ = prefix.join(mixed.select("s", F.col("lo").alias("family"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "s")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("lo"), F.greatest(k, F.col("own")).alias("hi")))
-    parts = open_.withColumn("own", own).select("s", "family", "node", "component", "n", "rest", F.explode(meets).alias("at"))
-    lists = parts.groupBy("s", "family", "at").agg(F.collect_list(F.struct("node", "component", F.col("n").cast("long").alias("n"), F.col("rest").cast("long").alias("rest"))).alias("members"))
+    index, probe = _sides(prefixes(sets, labels, percent) if prefix is None else prefix, labels, percent)
+    fits = (F.col("small_n") <= F.least("n", "slack")) & (F.col("small_slack") >= F.col("n")) & (F.col("small_component") != F.col("component"))
+    keys = (probe["s"] == index["s"]) & (probe["band"] == index["band"])
+    return probe.join(index, keys & fits).select(F.least("node", "small").alias("a"), F.greatest("node", "small").alias("b")).distinct()
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = np.empty((0, 2), np.int64)
-        for batch in batches:
-            column = batch.column(0)
-            flat, ends = [np.asarray(x) for x in column.flatten().flatten()], np.asarray(column.offsets) - column.offsets[0].as_py()
-            for start, end in zip(ends[:-1], ends[1:], strict=True):
-                order = start + np.argsort(flat[0][start:end], kind="stable")
-                node, component, n, rest = (x[order] for x in flat)
-                most = np.minimum(rest[:, None], rest[None, :]) * (100 + percent) >= percent * (n[:, None] + n[None, :])
-                i, j = np.nonzero(np.triu((component[:, None] != component[None, :]) & most, 1))
-                kept = np.concatenate([kept, np.stack([node[i], node[j]], 1)])
-                if len(kept) > 500_000:
-                    kept = np.unique(kept, axis=0)
-                    if len(kept) > 250_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(kept[:, 0].copy()), pa.array(kept[:, 1].copy())], ["a", "b"])
-                        kept = np.empty((0, 2), np.int64)
-        kept = np.unique(kept, axis=0)
-        if len(kept):
-            yield pa.RecordBatch.from_arrays([pa.array(kept[:, 0].copy()), pa.array(kept[:, 1].copy())], ["a", "b"])
-
-    # The buckets of a family share most of their pairs: side by side in a task, these are told apart there.
-    return lists.repartition("family").select("members").mapInArrow(work, "a bigint, b bigint").distinct()
+
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (node, component) after links (a, b) between nodes of `labels`: components of components."""
+    ends = links.join(labels.select(F.col("node").alias("a"), F.col("component").alias("x")), "a").join(labels.select(F.col("node").alias("b"), F.col("component").alias("y")), "b")
+    moved = components(ends.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()).withColumnRenamed("component", "to")
+    return labels.join(moved.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+
+
+def settle(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Labels of the nodes of `labels` once no link between two of them is left out.
+
+    Rounds of proposals: every node meets the likeliest candidate of another component, links that hold merge components,
+    and rounds end when none holds; rows of a round are as many as the prefixes have. What is then still possible between
+    different components is compared pair by pair.
+    """
+    prefix = materialise(prefixes(sets, labels, percent), "prefix")
+    tried = None
+    while True:
+        pairs = proposals(prefix, labels, percent)
+        if tried is not None:
+            pairs = materialise(pairs.join(tried, ["a", "b"], "left_anti"), "proposals")
+        if not pairs.limit(1).count():
+            return labels  # no node has a candidate
+        links = materialise(confirm(pairs, sets, percent), "links")
+        if not links.limit(1).count():
+            break
+        labels = materialise(joined(labels, links), "labels")
+        tried = pairs if tried is None else tried.union(pairs)
+    rest = unsettled_pairs(sets, labels, percent, prefix)
+    links = materialise(confirm(rest if tried is None else rest.join(tried.union(pairs), ["a", "b"], "left_anti"), sets, percent), "links")
+    labels = materialise(joined(labels, links), "labels") if links.limit(1).count() else labels
+    discard(prefix)
+    return labels
 
 
 def unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -176,17 +226,6 @@ def unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return materialise(known.join(mixed, "key"), "unsettled")
 
 
-def central_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b): members of unsettled buckets with the bucket's most central member, the one that meets most others in all buckets.
-
-    Copies with edits of their own are like the text that they come from, and less like each other.
-    """
-    degree = rows.groupBy("node").agg(F.sum(F.col("n") - 1).alias("degree"))
-    hubs = rows.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", "node", "component")).alias("hub")).select("key", "hub.node", "hub.component")
-    met = rows.select("key", "node", "component").join(hubs.select("key", F.col("node").alias("hub"), F.col("component").alias("hub_component")), "key")
-    return met.where("component <> hub_component").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-
-
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", groups: int = 8, rows: int = 2, percent: int = PERCENT, width: int = WIDTH, seed: int = 7) -> DataFrame:
     """row_key, doc_id, digest, n_shingles, component_id, kept (doc_id = component_id), first_row (the one row that stays of those with equal sets)."""
     base = materialise(signatures(df, text, doc_id, groups, rows, seed, width), "signatures")
@@ -203,18 +242,14 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", g
     links = materialise(confirm(tried, sets, percent), "links")
 
     labels = components(links)
-    rows = unsettled(members, labels)
-    for _ in range(CENTRAL_ROUNDS):
-        more = materialise(confirm(central_pairs(rows), sets, percent), "links")
-        if not more.limit(1).count():
-            break
-        links = links.union(more)
-        labels = components(links)
-        rows = unsettled(members, labels)
-    rest = materialise(rows.select("node", "component").distinct(), "rest")
-    more = materialise(confirm(unsettled_pairs(sets, rest, percent), sets, percent), "links")
-    if more.limit(1).count():
-        labels = components(links.union(more))
+    rest = unsettled(members, labels)
+    discard(members)
+    # Two links from different buckets can meet in a component that has no node here: whole components are relabelled.
+    moved = settle(sets, materialise(rest.select("node", "component").distinct(), "rest"), percent)
+    moved = rest.select("node", "component").distinct().join(moved.withColumnRenamed("component", "to"), "node").where("to <> component")
+    if moved.limit(1).count():
+        labels = components(links.union(moved.select(F.col("component").alias("a"), F.col("to").alias("b"))))
+    discard(sets, rest)
 
     of_class = classes.select("klass", "node", "first_key").join(labels, "node", "left").select("klass", "first_key", F.coalesce("component", "node").alias("component"))
     out = base.select("row_key", "doc_id", "digest", "n_shingles", "klass").join(of_class, "klass", "left")
