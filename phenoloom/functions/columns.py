@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ColumnLike = Column | str
@@ -65,6 +65,11 @@ def id_part(c: ColumnLike, part: str) -> Column:
     return F.regexp_extract(col(c), r"^[Cc]hr(\d+)_(\d+)", group).try_cast("bigint")
 
 
+def with_key(df: DataFrame, key: str, chr_: str = "chr", pos: str = "pos") -> DataFrame:
+    """df with its join key; one is made of chromosome and position only where the table has none."""
+    return df if key in df.columns else df.withColumn(key, short_id(chr_, pos))
+
+
 def spread_position(index: ColumnLike, length: ColumnLike, markers: ColumnLike) -> Column:
     """Position of the index-th of so many markers spread over a chromosome, from 1."""
     return (F.floor((col(index) + 0.5) * col(length) / col(markers)) + 1).cast("bigint")

@@ -20,8 +20,8 @@ def t_two_sided(t: Column, df: Column | float) -> Column:
 
 def chi2_1_isf(p: Column) -> Column:
     """Upper quantile of chi squared with one degree of freedom."""
-    y = F.reflect(F.lit(ERF), F.lit("erfcInv"), p).cast("double")
-    return 2 * y * y
+    y = F.reflect(F.lit(ERF), F.lit("erfcInv"), F.coalesce(p, F.lit(0.5))).cast("double")
+    return F.when(p.isNotNull(), 2 * y * y)
 
 
 def normal_cdf(x: Column) -> Column:

@@ -23,17 +23,43 @@ def align(samples: DataFrame, other: DataFrame, key: str, order: str) -> DataFra
 
 
 def unmatched(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Rows of left whose key right does not have."""
     return left.join(right.select(key), key, "left_anti")
 
 
+def matched(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Rows of left whose key right has."""
+    return left.join(right.select(key), key, "left_semi")
+
+
+def require_matched(left: DataFrame, right: DataFrame, key: str, what: str = "ids") -> DataFrame:
+    """left, after it has been made sure that right has every key of it; an error names some that are missing."""
+    lost = [r[key] for r in unmatched(left, right, key).select(key).limit(5).collect()]
+    if lost:
+        raise ValueError(f"{what} without a match: {', '.join(map(str, lost))}")
+    return left
+
+
+def grid(spark, **axes: int) -> DataFrame:
+    """Every combination of numbers from 0 below each axis's size."""
+    out = None
+    for name, size in axes.items():
+        one = spark.range(size).withColumnRenamed("id", name)
+        out = one if out is None else out.crossJoin(one)
+    return out
+
+
 def merge_suffixed(a: DataFrame, b: DataFrame, keys: list[str], suffixes: tuple[str, str]) -> DataFrame:
     """Inner join of two results; other columns get the suffixes."""
     named = [df.select(*keys, *[F.col(c).alias(c + s) for c in df.columns if c not in keys]) for df, s in zip((a, b), suffixes, strict=True)]
     return named[0].join(named[1], keys)
 
 
-def square_subset(matrix: DataFrame, ids: DataFrame, key: str = "id", i: str = "i", j: str = "j") -> DataFrame:
-    """Cells of a long square matrix whose row and column are both among the ids, with their new places."""
+def square_subset(matrix: DataFrame, ids: DataFrame, key: str = "id", i: str = "i", j: str = "j", strict: bool = True) -> DataFrame:
+    """Cells of a long square matrix whose row and column are both among the ids, with their new places. An id that the
+    matrix does not have is an error, or left out where not `strict`."""
+    if strict:
+        require_matched(ids.select(key), matrix.select(F.col(i).alias(key)).distinct(), key, "matrix ids")
     a = ids.select(F.col(key).alias(i), F.col("idx").alias("row"))
     b = ids.select(F.col(key).alias(j), F.col("idx").alias("col"))
     return matrix.join(small_side(a), i).join(small_side(b), j)
@@ -57,44 +83,68 @@ def within_distance(markers: DataFrame, loci: DataFrame, distance: int, how: str
     return out.drop("__at", "__bin", "__chr")
 
 
-def nearest(loci: DataFrame, markers: DataFrame, locus: str, most: int | None = None, chr_: str = "chr", pos: str = "pos", locus_pos: str = "locus_pos", tie: list[str] | None = None) -> DataFrame:
+def nearest(loci: DataFrame, markers: DataFrame, locus: str, most: int | None = None, chr_: str = "chr", pos: str = "pos", locus_pos: str = "locus_pos", tie: list[str] | None = None, bins: int = 4096) -> DataFrame:
     """Every locus with its nearest marker of the chromosome and their distance; `hit` says if that is at most `most`.
 
-    Ties go by the tie columns. Loci on a chromosome without markers keep nulls. The minimum is an aggregation, so
-    nothing is sorted and no locus's pairs have to fit one task.
+    Ties go by the tie columns. Loci on a chromosome without markers keep nulls. Positions are cut into `bins` bins: a locus
+    meets the markers of its own bin, the last marker of the filled bin before and the first one of the filled bin after,
+    which two windows over the bins find. So a locus meets a bin's markers, not a chromosome's.
     """
     right = markers.withColumnRenamed(chr_, "__chr")
     rest = [c for c in right.columns if c not in ("__chr", pos)]
     tie = tie or rest
-    joined = right.join(small_side(loci.select(locus, F.col(chr_).alias("__l"), locus_pos)), F.col("__chr") == F.col("__l"))
-    distance = F.abs(F.col(pos) - F.col(locus_pos))
-    packed = F.struct(distance.alias("distance"), *[F.col(t) for t in tie], *[F.col(c) for c in [*rest, pos] if c not in tie])
-    best = joined.groupBy(locus).agg(F.min(packed).alias("__best")).select(locus, "__best.*")
-    out = loci.join(best, locus, "left")
+    reach = right.agg(F.max(pos)).first()[0]
+    width = max(1, int(reach or 0) // bins + 1)
+    marker = F.struct(*[F.col(t) for t in tie], *[F.col(c) for c in [*rest, pos] if c not in tie])
+    packed = right.select("__chr", F.floor(F.col(pos) / width).alias("__bin"), F.col(pos).alias("__pos"), marker.alias("__m"))
+    ends = packed.groupBy("__chr", "__bin").agg(F.min(F.struct("__pos", "__m")).alias("__first"), F.min(F.struct(-F.col("__pos"), F.col("__m"))).alias("__last"))
+    places = loci.select(locus, F.col(chr_).alias("__chr"), locus_pos, F.floor(F.col(locus_pos) / width).alias("__bin"))
+    # Bins that a locus or a marker is in; their number does not grow with the markers.
+    w = Window.partitionBy("__chr").orderBy("__bin")
+    every = places.select("__chr", "__bin").distinct().join(ends, ["__chr", "__bin"], "full")
+    around = every.select("__chr", "__bin", F.last("__last", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("__last"), F.first("__first", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("__first"))
+    beside = places.join(around, ["__chr", "__bin"]).select(locus, locus_pos, F.explode(F.array("__last.__m", "__first.__m")).alias("__m")).where("__m is not null")
+    own = packed.select("__chr", "__bin", "__m").join(small_side(places), ["__chr", "__bin"]).select(locus, locus_pos, "__m")
+    met = own.unionByName(beside)
+    found = met.groupBy(locus).agg(F.min(F.struct(F.abs(F.col(f"__m.{pos}") - F.col(locus_pos)).alias("distance"), F.col("__m"))).alias("__best"))
+    out = loci.join(found.select(locus, "__best.distance", "__best.__m.*"), locus, "left")
     return out.withColumn("hit", F.col("distance") <= most) if most is not None else out
 
 
 def in_regions(points: DataFrame, regions: DataFrame, chr_: str = "chr", pos: str = "pos", lo: str = "lo", hi: str = "hi") -> DataFrame:
-    """Points in closed intervals, one row for each pair."""
-    right = regions.withColumnRenamed(chr_, "__chr")
-    return points.join(small_side(right), (F.col(chr_) == F.col("__chr")) & F.col(pos).between(F.col(lo), F.col(hi))).drop("__chr")
+    """Points in closed intervals, one row for each pair. A region is listed in the bins that it touches, which are as wide as
+    regions are on average, so a point meets the regions of its bin only."""
+    right = regions.withColumnRenamed(chr_, "__chr").where(F.col(lo) <= F.col(hi))
+    width = max(1, int(right.agg(F.avg(F.col(hi) - F.col(lo) + 1)).first()[0] or 1))
+    listed = right.withColumn("__bin", F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width))))
+    inside = (F.col(chr_) == F.col("__chr")) & (F.floor(F.col(pos) / width) == F.col("__bin")) & F.col(pos).between(F.col(lo), F.col(hi))
+    return points.join(small_side(listed), inside).drop("__chr", "__bin")
 
 
 def region_report(points: DataFrame, regions: DataFrame, score: str, marker: str, window: int = 0, chr_: str = "chr", pos: str = "pos") -> DataFrame:
-    """Per region: markers in the widened window, nearest marker and its distance, best-scored marker in the window."""
-    right = regions.withColumnRenamed(chr_, "__chr")
-    joined = points.join(small_side(right), F.col(chr_) == F.col("__chr"))
+    """Per region: markers in the widened window, nearest marker and its distance, best-scored marker in the window.
+
+    Markers in the window come by bins; the nearest marker is one inside the region or the nearest to one of its ends.
+    """
+    wide = regions.select("region_id", chr_, (F.col("lo") - window).alias("__a"), (F.col("hi") + window).alias("__b"), "lo", "hi")
+    near = in_regions(points.select(chr_, pos, marker, score), wide, chr_, pos, "__a", "__b")
     distance = C.interval_distance(pos, "lo", "hi")
-    inside = distance <= window
-    agg = joined.groupBy("region_id").agg(
-        F.count_if(inside).alias("n_in_window"),
-        F.min(distance).alias("closest_distance"),
-        F.min_by(marker, F.struct(distance, F.col(marker))).alias("closest_marker"),
-        F.min_by(marker, F.when(inside, F.struct(-F.col(score), F.col(marker)))).alias("best_marker"),
-    )
-    return regions.select("region_id").join(agg, "region_id", "left").withColumn("n_in_window", F.coalesce("n_in_window", F.lit(0).cast("bigint")))
+    inside = near.groupBy("region_id").agg(F.count("*").alias("n_in_window"), F.min(F.struct(distance.alias("d"), F.col(marker).alias("m"))).alias("__in"), F.min_by(marker, F.struct(-F.col(score), F.col(marker))).alias("best_marker"))
+    places = points.select(chr_, pos, F.col(marker).alias("m"))
+    out = regions.select("region_id", chr_, "lo", "hi").join(inside, "region_id", "left")
+    for end in ("lo", "hi"):
+        at = nearest(regions.select("region_id", chr_, F.col(end).alias("locus_pos")), places, "region_id", tie=["m"], chr_=chr_, pos=pos)
+        at = at.join(regions.select("region_id", "lo", "hi"), "region_id").where("m is not null")
+        out = out.join(at.select("region_id", F.struct(C.interval_distance(pos, "lo", "hi").alias("d"), "m").alias(f"__{end}")), "region_id", "left")
+    best = F.least("__in", "__lo", "__hi")
+    return out.select("region_id", F.coalesce("n_in_window", F.lit(0).cast("bigint")).alias("n_in_window"), best["d"].alias("closest_distance"), best["m"].alias("closest_marker"), "best_marker")
 
 
 def chromosome_of(rows: DataFrame, ends: DataFrame, index: str = "global_idx") -> DataFrame:
-    """Chromosome of a global row number, from (chr, start, end) with end excluded."""
-    return rows.join(small_side(ends), (F.col(index) >= F.col("start")) & (F.col(index) < F.col("end")))
+    """Chromosome of a global row number, from (chr, start, end) with end excluded. Ranges are listed in the bins that they
+    touch, so the join has an equality key whatever the number of ranges."""
+    filled = ends.where("start < end")
+    width = max(1, int(filled.agg(F.avg(F.col("end") - F.col("start"))).first()[0] or 1))
+    listed = filled.withColumn("__bin", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width))))
+    inside = (F.floor(F.col(index) / width) == F.col("__bin")) & (F.col(index) >= F.col("start")) & (F.col(index) < F.col("end"))
+    return rows.join(small_side(listed), inside).drop("__bin")

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .joins import small_side
+
 # --- folds and metrics ---
 
 
@@ -44,29 +46,25 @@ def _best_split(x: np.ndarray, y: np.ndarray, features: np.ndarray, leaf: int) -
     total, n = y.sum(), len(y)
     base = total * total / n
     for f in features:
-        values = np.unique(x[:, f])
-        if len(values) < 2:
-            continue
-        if len(values) > 16:
-            values = np.unique(np.quantile(values, np.linspace(0, 1, 16)))
-        cuts = (values[1:] + values[:-1]) / 2
-        right = x[:, f][:, None] > cuts
-        nr = right.sum(0)
-        sr = y @ right
-        ok = (nr >= leaf) & (n - nr >= leaf)
-        if not ok.any():
+        order = np.argsort(x[:, f], kind="stable")
+        values = x[order, f]
+        # A cut between every two neighbouring values, however many there are.
+        left = np.flatnonzero(values[1:] > values[:-1]) + 1
+        left = left[(left >= leaf) & (n - left >= leaf)]
+        if not len(left):
             continue
-        gain = np.where(ok, sr**2 / np.maximum(nr, 1) + (total - sr) ** 2 / np.maximum(n - nr, 1) - base, -1.0)
+        below = np.cumsum(y[order])[left - 1]
+        gain = below**2 / left + (total - below) ** 2 / (n - left) - base
         at = int(gain.argmax())
         if gain[at] > 1e-12 and (best is None or gain[at] > best[0]):
-            best = (float(gain[at]), int(f), float(cuts[at]))
+            best = (float(gain[at]), int(f), float((values[left[at] - 1] + values[left[at]]) / 2))
     return best
 
 
 class Tree:
-    """A regression tree; importance is the summed drop of squared error by feature."""
+    """A regression tree, of any depth if that is None; importance is the summed drop of squared error by feature."""
 
-    def __init__(self, depth: int, leaf: int, per_split: int, rng: np.random.Generator):
+    def __init__(self, depth: int | None, leaf: int, per_split: int, rng: np.random.Generator):
         self.depth, self.leaf, self.per_split, self.rng = depth, leaf, per_split, rng
 
     def fit(self, x: np.ndarray, y: np.ndarray, importance: np.ndarray) -> "Tree":
@@ -79,7 +77,7 @@ class Tree:
                 node = self.nodes[parent]
                 self.nodes[parent] = (*node[:2], node[2] if is_right else me, me if is_right else node[3], node[4])
             split = None
-            if level < self.depth and len(rows) >= 2 * self.leaf:
+            if (self.depth is None or level < self.depth) and len(rows) >= 2 * self.leaf:
                 features = self.rng.choice(x.shape[1], min(self.per_split, x.shape[1]), replace=False)
                 split = _best_split(x[rows], y[rows], features, self.leaf)
             if split is None:
@@ -112,7 +110,7 @@ def random_forest(x: np.ndarray, y: np.ndarray, trees: int = 300, leaf: int = 1,
     importance, grown = np.zeros(x.shape[1]), []
     for _ in range(trees):
         own, rows = np.zeros(x.shape[1]), rng.integers(0, len(y), len(y))
-        grown.append(Tree(64, leaf, per_split, rng).fit(x[rows], y[rows], own))
+        grown.append(Tree(None, leaf, per_split, rng).fit(x[rows], y[rows], own))
         importance += own / own.sum() if own.sum() > 0 else own
     importance = importance / importance.sum() if importance.sum() > 0 else importance
     return (lambda z: np.mean([t.predict(np.asarray(z, float)) for t in grown], axis=0)), importance
@@ -136,7 +134,8 @@ def gradient_boosting(x: np.ndarray, y: np.ndarray, rounds: int = 150, depth: in
 
 
 def mllib_forest(features: DataFrame, trees: int = 500, leaf: int = 1, seed: int = 42):
-    """The forest as a distributed pyspark.ml estimator, for more samples than a task holds; columns features, y."""
+    """The forest as a distributed pyspark.ml estimator, for more samples than a task holds; columns features, y. Its trees
+    are at most 30 deep and values are cut into at most four bins, enough for dosages."""
     from pyspark.ml.regression import RandomForestRegressor
 
     return RandomForestRegressor(labelCol="y", numTrees=trees, featureSubsetStrategy="sqrt", minInstancesPerNode=leaf, maxDepth=30, maxBins=4, seed=seed).fit(features)
@@ -152,32 +151,37 @@ def mllib_boosting(features: DataFrame, rounds: int = 300, depth: int = 3, rate:
 # --- screening and refinement ---
 
 
-def screen(markers: DataFrame, y: np.ndarray, folds: np.ndarray, keep: int = 10, trees: tuple[int, int] = (300, 150), depth: int = 3, leaf: int = 1, seed: int = 42, target: dict[int, np.ndarray] | None = None, unit: list[str] | None = None, model_names: tuple[str, ...] = ("RF", "GB"), leaky: bool = False) -> DataFrame:
-    """(fold, unit..., marker_id, model, importance, rank): best markers of every unit in every outer fold.
+def screen(markers: DataFrame, y: np.ndarray, folds: np.ndarray, keep: int | None = 10, trees: tuple[int, int] = (300, 150), depth: int = 3, leaf: int = 1, seed: int = 42, target: dict[int, np.ndarray] | None = None, unit: list[str] | None = None, model_names: tuple[str, ...] = ("RF", "GB"), leaky: bool = False) -> DataFrame:
+    """(fold, unit..., marker_id, model, importance, rank): best markers of every unit in every outer fold, all without `keep`.
 
-    A unit (a block, window or chromosome) is a task: its markers are gathered once and all folds are run there. Only
-    training samples of a fold are looked at, unless `leaky`: then one pass over all samples, fold -1. `target` gives
-    another training target by fold (residuals on covariates) in the order of all samples.
+    A fold and model of a unit (a block, window or chromosome) is a task of its own. Only training samples of a fold are
+    looked at, unless `leaky`: then one pass over all samples, fold -1. `target` gives another training target by fold
+    (residuals on covariates) in the order of all samples.
     """
     unit = unit or ["chr", "block"]
     seed0, y, folds = seed, np.asarray(y, float), np.asarray(folds)
     schema = ", ".join(["fold int", *[f"{u} {markers.schema[u].dataType.simpleString()}" for u in unit], "marker_id string, model string, importance double, rank int"])
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        *place, fold, model = key
         pdf = pdf.sort_values("marker_id", kind="stable")
         x = np.array(pdf["dosage"].tolist(), float).T
-        rows = []
-        for fold in [-1] if leaky else range(folds.max() + 1):
-            train = np.flatnonzero(folds != fold)
-            t = (target[fold] if target else y)[train]
-            own = seed0 + 1009 * (fold + 1) + sum(map(ord, "|".join(map(str, key)))) % 997
-            for model in model_names:
-                importance = random_forest(x[train], t, trees[0], leaf, own)[1] if model == "RF" else gradient_boosting(x[train], t, trees[1], depth, seed=own)[1]
-                for r, m in enumerate(np.lexsort((np.arange(len(importance)), -importance))[:keep]):
-                    rows.append((fold, *key, str(pdf["marker_id"].iloc[m]), model, float(importance[m]), r + 1))
+        train = np.flatnonzero(folds != fold)
+        t = (target[fold] if target else y)[train]
+        own = seed0 + 1009 * (int(fold) + 1) + sum(map(ord, "|".join(map(str, place)))) % 997
+        importance = random_forest(x[train], t, trees[0], leaf, own)[1] if model == "RF" else gradient_boosting(x[train], t, trees[1], depth, seed=own)[1]
+        best = np.lexsort((np.arange(len(importance)), -importance))[:keep]
+        rows = [(fold, *place, str(pdf["marker_id"].iloc[m]), model, float(importance[m]), r + 1) for r, m in enumerate(best)]
         return pd.DataFrame(rows, columns=["fold", *unit, "marker_id", "model", "importance", "rank"])
 
-    return markers.select(*unit, F.col("marker_id").cast("string").alias("marker_id"), "dosage").groupBy(*unit).applyInPandas(run, schema)
+    runs = F.array(*[F.struct(F.lit(f).alias("fold"), F.lit(m).alias("model")) for f in ([-1] if leaky else range(int(folds.max()) + 1)) for m in model_names])
+    rows = markers.select(*unit, F.col("marker_id").cast("string").alias("marker_id"), "dosage", F.explode(runs).alias("__run")).select("*", "__run.fold", "__run.model").drop("__run")
+    return rows.groupBy(*unit, "fold", "model").applyInPandas(run, schema)
+
+
+def screening_log(screened: DataFrame, keys: list[str], selected) -> DataFrame:
+    """(keys..., n_screened, n_selected): markers that each fold and block looked at, and those that `selected` holds for."""
+    return screened.groupBy(*keys).agg(F.count("*").alias("n_screened"), F.count_if(selected).alias("n_selected"))
 
 
 def refine(markers: DataFrame, candidates: DataFrame, y: np.ndarray, folds: np.ndarray, pcs: np.ndarray | None = None, trees: tuple[int, int] = (500, 300), depth: int = 3, leaf: int = 1, seed: int = 42) -> DataFrame:
@@ -187,7 +191,7 @@ def refine(markers: DataFrame, candidates: DataFrame, y: np.ndarray, folds: np.n
     few (keep x units x models), their genotypes are gathered by a join and each fold is one task.
     """
     pool = candidates.select("fold", "marker_id").distinct()
-    gathered = markers.select(F.col("marker_id").cast("string").alias("marker_id"), "dosage").join(F.broadcast(pool), "marker_id")
+    gathered = markers.select(F.col("marker_id").cast("string").alias("marker_id"), "dosage").join(small_side(pool), "marker_id")
     y, folds, n_pcs = np.asarray(y, float), np.asarray(folds), 0 if pcs is None else pcs.shape[1]
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -221,9 +225,9 @@ def importance_table(refined: DataFrame, candidates: DataFrame, n_folds: int, se
     return min_rank(min_rank(out, "rf_mean_importance", "rf_rank"), "gb_mean_importance", "gb_rank")
 
 
-def accumulate_importance(rows: DataFrame, n_folds: int, marker: str = "marker_id", value: str = "importance") -> DataFrame:
+def accumulate_importance(rows: DataFrame, n_folds: int, keys: list[str], value: str = "importance") -> DataFrame:
     """Sum over folds by the number of folds: a fold without the marker counts as 0."""
-    return rows.groupBy(marker).agg((F.sum(value) / n_folds).alias("mean_importance"))
+    return rows.groupBy(*keys).agg((F.sum(value) / n_folds).alias("mean_importance"))
 
 
 def selection_folds(rows: DataFrame, scope: str = "model", marker: str = "marker_id", model: str = "model", fold: str = "fold") -> DataFrame:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..sources.stored import stored
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -47,6 +52,29 @@ def call_rate_filter(calls: DataFrame, marker: str = "marker_id", sample: str =
     return calls.join(markers, marker, "left_semi").join(samples, sample, "left_semi")
 
 
+def call_rate_arrays(markers: DataFrame, dosage: str = "dosage", most_missing: float = 0.2) -> tuple[DataFrame, list[int]]:
+    """(markers whose arrays hold the kept samples only, places of the kept samples); both shares on the unfiltered table.
+
+    A marker's share is read off its array. Samples' missing calls are summed over arrays in every task, so what is shuffled
+    is one number a task and sample. A table without markers keeps no sample.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = None, 0
+        for batch in batches:
+            if batch.num_rows:
+                lost = batch.column(0).flatten().is_null().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).sum(0)
+                total, n = lost if total is None else total + lost, n + batch.num_rows
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.int64())), pa.array([n], pa.int64())], ["missing", "n"])
+
+    parts = markers.select(dosage).mapInArrow(work, "missing array<bigint>, n bigint")
+    sums = parts.select("n", F.posexplode("missing").alias("place", "missing")).groupBy("place").agg((F.sum("missing") / F.sum("n")).alias("share"))
+    kept = sorted(r["place"] for r in sums.where(F.col("share") <= most_missing).collect())
+    rest = [c for c in markers.columns if c != dosage]
+    return markers.where(C.missing_fraction(dosage) <= most_missing).select(*rest, C.gather(dosage, C.array_literal(kept, "int")).alias(dosage)), kept
+
+
 def impute_mean(calls: DataFrame, marker: str = "marker_id", call: str = "call") -> DataFrame:
     """Adds `imputed`: the call, or the marker's mean over called samples."""
     return calls.withColumn("imputed", F.coalesce(F.col(call).cast("double"), F.avg(call).over(Window.partitionBy(marker))))
@@ -58,25 +86,55 @@ def thin_every(markers: DataFrame, n: int, block: list[str], order: list[str]) -
     return markers.withColumn("__i", F.row_number().over(w) - 1).where(F.pmod("__i", F.lit(n)) == 0).drop("__i")
 
 
-def thin_by_distance(markers: DataFrame, spacing: int, chr_: str = "chr", pos: str = "pos") -> DataFrame:
+def thin_by_distance(markers: DataFrame, spacing: int, chr_: str = "chr", pos: str = "pos", cells: int = 64) -> DataFrame:
     """(chr, pos) kept greedily from the left: the first, then each at least `spacing` after the last kept.
 
-    Whether a position is kept depends on all before it, so a window can't say it. Chromosomes are cut into stretches at
-    gaps of `spacing` or more, where the choice starts anew, and each stretch is walked in the JVM by a fold; a chromosome
-    of many dense markers thus isn't one task unless it has no such gap.
+    Whether a position is kept depends on all before it, so a window can't say it. Chromosomes are cut into stretches of
+    `cells` spacings, and each stretch is walked once for every place of its first spacing at which the walk can come in:
+    that gives the place at which it leaves. A walk over stretches, a few for each chromosome, then finds where each is
+    entered, and the stretches are walked for good. So no task holds more positions than a stretch has.
     """
-    w = Window.partitionBy(chr_).orderBy(pos)
-    rows = markers.select(chr_, pos).distinct()
-    gap = F.coalesce((F.col(pos) - F.lag(pos).over(w) >= spacing).cast("bigint"), F.lit(0))
-    runs = rows.withColumn("__gap", gap).withColumn("__run", F.sum("__gap").over(w))
-
-    def step(acc, p):
-        keep = (F.size(acc) == 0) | (p >= F.element_at(acc, -1) + spacing)
-        return F.when(keep, F.concat(acc, F.array(p))).otherwise(acc)
-
-    packed = runs.groupBy(chr_, "__run").agg(F.array_sort(F.collect_list(F.col(pos).cast("bigint"))).alias("__p"))
-    kept = F.aggregate("__p", F.array().cast("array<bigint>"), step)
-    return packed.select(chr_, F.explode(kept).alias(pos))
+    rows = markers.select(chr_, F.col(pos).cast("bigint").alias("__pos")).distinct()
+    packed = stored(rows.groupBy(chr_, F.floor(F.col("__pos") / (spacing * cells)).alias("__cell")).agg(F.array_sort(F.collect_list("__pos")).alias("__p")), "stretches")
+    schema = packed.schema
+    chr_type = schema[chr_].dataType.simpleString()
+
+    def walk(p: np.ndarray, at: int) -> list[int]:
+        """Positions kept from the first one at or after `at` on."""
+        out, k = [], int(np.searchsorted(p, at))
+        while k < len(p):
+            out.append(int(p[k]))
+            k = int(np.searchsorted(p, p[k] + spacing))
+        return out
+
+    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                p = np.asarray(batch.column(2)[k].values)
+                # The walk comes in at a position of the first spacing, or at the first position beyond.
+                first = p[: int(np.searchsorted(p, p[0] + spacing)) + 1]
+                last = [walk(p, int(x))[-1] for x in first]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), batch.column(1).slice(k, 1), pa.array([first.tolist()], pa.list_(pa.int64())), pa.array([last], pa.list_(pa.int64()))], [chr_, "__cell", "first", "last"])
+
+    ends = packed.mapInArrow(leaves, f"{chr_} {chr_type}, __cell bigint, first array<bigint>, last array<bigint>")
+
+    def step(acc, s):
+        # The least position of the stretch that is far enough from the last one kept; null if none of the first ones is.
+        entry = F.array_min(F.filter(s["first"], lambda x: acc["last"].isNull() | (x >= acc["last"] + spacing)))
+        left = F.element_at(s["last"], F.array_position(s["first"], entry).cast("int"))
+        return F.struct(F.coalesce(left, acc["last"]).alias("last"), F.concat(acc["entries"], F.array(F.struct(s["__cell"].alias("cell"), entry.alias("entry")))).alias("entries"))
+
+    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<struct<cell:bigint,entry:bigint>>").alias("entries"))
+    order = ends.groupBy(chr_).agg(F.array_sort(F.collect_list(F.struct("__cell", "first", "last"))).alias("s"))
+    entries = order.select(chr_, F.explode(F.aggregate("s", start, step)["entries"]).alias("e")).select(chr_, F.col("e.cell").alias("__cell"), F.col("e.entry").alias("__entry"))
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                found = walk(np.asarray(batch.column(2)[k].values), batch.column(3)[k].as_py())
+                yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[k], len(found)), pa.array(found, pa.int64())], [chr_, pos])
+
+    return packed.join(entries.where("__entry is not null"), [chr_, "__cell"]).select(chr_, "__cell", "__p", "__entry").mapInArrow(kept, f"{chr_} {chr_type}, {pos} bigint")
 
 
 def fixed_blocks(markers: DataFrame, size: int, chr_: str = "chr", pos: str = "pos") -> DataFrame:
@@ -113,6 +171,16 @@ def to_long(markers: DataFrame, dosage: str = "dosage") -> DataFrame:
     return markers.select(*rest, F.posexplode(dosage).alias("sample_idx", "call"))
 
 
+def value_counts(df: DataFrame, by: str, nulls_of: str, finite_of: str) -> DataFrame:
+    """(by, n, nulls, finite): rows of every value, null included, with the null and the finite values of two other columns."""
+    return df.groupBy(by).agg(F.count("*").alias("n"), F.count_if(F.col(nulls_of).isNull()).alias("nulls"), F.count_if(C.is_finite(finite_of)).alias("finite"))
+
+
+def filled_blocks(blocks: DataFrame, survivors: DataFrame, keys: list[str]) -> DataFrame:
+    """Blocks with at least one surviving marker; the others are skipped, not fitted on nothing."""
+    return blocks.join(survivors.select(*keys).distinct(), keys, "left_semi")
+
+
 def require(df: DataFrame, least: int, what: str) -> DataFrame:
     """df, after it has been made sure that it has so many rows."""
     found = df.limit(least).count()

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import short_id
 from .joins import nearest
+from .ml import metrics
+from .testing import bonferroni, counts_before
 
 
 def offsets(markers: DataFrame, chr_: str = "chr", pos: str = "pos", lengths: DataFrame | None = None, ticks: str = "middle") -> DataFrame:
@@ -37,19 +40,62 @@ def qq(results: DataFrame, p: str = "p", floor: float = 1e-300) -> DataFrame:
     """(p, n, expected, observed): -log10 of p and of its expected value (rank - 0.5)/m, one row for each distinct p.
 
     Rows of equal p stand for a run of ranks; the middle rank of the run is taken."""
-    counts = results.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("p")).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, 0))
-    m = F.sum("n").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    rank = upto - (F.col("n") - 1) / 2
-    return counts.select("p", "n", (-F.log10((rank - 0.5) / m)).alias("expected"), (-F.log10(F.greatest("p", F.lit(floor)))).alias("observed"))
+    rank = F.col("before") + F.col("n") - (F.col("n") - 1) / 2
+    observed = -F.log10(F.greatest("v", F.lit(floor)))
+    return counts_before(results, p).select(F.col("v").alias("p"), "n", (-F.log10((rank - 0.5) / F.col("total"))).alias("expected"), observed.alias("observed"))
 
 
 def rank_quantiles(recovered: DataFrame, rank: str, candidates: int) -> DataFrame:
-    """(i, expected, observed): sorted ranks of planted markers over all candidates against i/(k+1)."""
-    w = Window.orderBy(rank)
-    k = F.count("*").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    i = F.row_number().over(w)
-    return recovered.where(F.col(rank).isNotNull()).select(i.alias("i"), (i / (k + 1)).alias("expected"), (F.col(rank) / candidates).alias("observed"))
+    """(i, expected, observed): sorted ranks of planted markers over all candidates against i/(k+1); equal ranks count on."""
+    places = counts_before(recovered, rank).withColumn("i", F.explode(F.sequence(F.col("before") + 1, F.col("before") + F.col("n"))))
+    return places.select("i", (F.col("i") / (F.col("total") + 1)).alias("expected"), (F.col("v") / candidates).alias("observed"))
+
+
+def regional(results: DataFrame, chromosome: int, span: tuple[int, int], gene: tuple[int, int], p: str = "p", alpha: float = 0.05, floor: float = 1e-300, chr_: str = "chr", pos: str = "pos") -> DataFrame:
+    """A region's points: y (-log10 p), a label where p is significant among all results, and whether the gene holds it."""
+    region = bonferroni(results, p).where((F.col(chr_) == chromosome) & F.col(pos).between(*span))
+    label = F.when(F.col("bonferroni") < alpha, short_id(chr_, pos)).otherwise("")
+    return region.withColumn("label", label).withColumn("in_gene", F.col(pos).between(*gene)).withColumn("y", -F.log10(F.greatest(F.col(p), F.lit(floor))))
+
+
+def zoom_pairs(points: DataFrame, most_expected: float, most_observed: float) -> DataFrame:
+    """Points of a QQ table inside a zoomed view: both coordinates at most their limit."""
+    return points.where((F.col("expected") <= most_expected) & (F.col("observed") <= most_observed))
+
+
+def importance_manhattan(importance: DataFrame, value: str, truth: DataFrame, top_n: int = 50, marker: str = "marker_id", chr_: str = "chr", pos: str = "pos") -> DataFrame:
+    """importance with x (cumulative position), `threshold` (the value of the top_n-th marker), in_top and planted."""
+    at = offsets(importance, chr_, pos).select(chr_, "offset")
+    least = importance.where(F.col(value).isNotNull()).orderBy(F.desc(value)).limit(top_n).agg(F.min(value).alias("threshold"))
+    stars = truth.select(F.col(marker)).distinct().withColumn("__star", F.lit(True))
+    out = importance.join(F.broadcast(at), chr_).withColumn("x", F.col("offset") + F.col(pos)).crossJoin(F.broadcast(least)).join(stars, marker, "left")
+    return out.withColumn("in_top", F.coalesce(F.col(value) >= F.col("threshold"), F.lit(False))).withColumn("planted", F.coalesce("__star", F.lit(False))).drop("offset", "__star")
+
+
+def predicted_vs_actual(oof: DataFrame, y: str, prediction: str) -> DataFrame:
+    """(actual, predicted, residual, r2): points of a scored table with the score of all of them."""
+    score = metrics(oof.where(F.col(prediction).isNotNull()), y, prediction).select("r2")
+    points = oof.where(F.col(prediction).isNotNull()).select(F.col(y).alias("actual"), F.col(prediction).alias("predicted"), (F.col(y) - F.col(prediction)).alias("residual"))
+    return points.crossJoin(F.broadcast(score))
+
+
+def fold_scores(oof: DataFrame, y: str, predictions: list[str], fold: str = "fold") -> DataFrame:
+    """(model, fold, r2) bars; models whose column the table does not have are left out."""
+    out = None
+    for p in (p for p in predictions if p in oof.columns):
+        rows = metrics(oof.where(F.col(p).isNotNull()), y, p, [fold]).select(F.lit(p).alias("model"), fold, "r2")
+        out = rows if out is None else out.unionByName(rows)
+    return out if out is not None else oof.sparkSession.createDataFrame([], "model string, fold int, r2 double")
+
+
+def ld_map(pairs: DataFrame, markers: DataFrame, hits: DataFrame, marker: str = "marker_id") -> DataFrame:
+    """(i, j, r2, label_i, label_j): both triangles and the diagonal of a region's r2 by the markers' places in position order; hits have a label."""
+    labelled = markers.select(marker, "pos").join(hits.select(marker).distinct().withColumn("__hit", F.lit(True)), marker, "left")
+    # A region's markers are few; their places are those of one sorted region.
+    places = labelled.select(F.col(marker).alias("m"), (F.row_number().over(Window.orderBy("pos", marker)) - 1).alias("at"), F.when(F.col("__hit"), F.col(marker).cast("string")).otherwise("").alias("label"))
+    cells = pairs.select("a", "b", "r2").union(pairs.select("b", "a", "r2")).union(places.select(F.col("m").alias("a"), F.col("m").alias("b"), F.lit(1.0).alias("r2")))
+    side = lambda c, k: places.select(F.col("m").alias(c), F.col("at").alias(k), F.col("label").alias(f"label_{k}"))
+    return cells.join(side("a", "i"), "a").join(side("b", "j"), "b").select("i", "j", "r2", "label_i", "label_j")
 
 
 def causal_recovery(truth: DataFrame, importance: DataFrame, rank: str, top: int = 50, within: int = 60_000, marker: str = "marker_id") -> DataFrame:

@@ -24,36 +24,56 @@ class Basis:
     df: int
     rotate: np.ndarray | None = None
     root: np.ndarray | None = None
+    samples: tuple | None = None
 
 
-def covariate_basis(y: np.ndarray, covariates: np.ndarray | None = None) -> Basis:
-    """Orthonormal basis of [1, covariates], the phenotype's residual, its sum of squares and degrees of freedom."""
+def covariate_basis(y: np.ndarray, covariates: np.ndarray | None = None, samples: list | None = None) -> Basis:
+    """Orthonormal basis of [1, covariates], the phenotype's residual, its sum of squares and degrees of freedom; `samples` are the ids in the phenotype's order."""
     y = np.asarray(y, float)
     c = np.ones((len(y), 1)) if covariates is None or not np.size(covariates) else np.column_stack([np.ones(len(y)), covariates])
     if not (np.isfinite(y).all() and np.isfinite(c).all()):
         raise ValueError("phenotype and covariates must be finite")
     q = np.linalg.qr(c)[0]
     residual = y - q @ (q.T @ y)
-    return Basis(q, residual, float(residual @ residual), len(y) - c.shape[1] - 1)
+    return Basis(q, residual, float(residual @ residual), len(y) - c.shape[1] - 1, samples=None if samples is None else tuple(samples))
 
 
-def scan_block(g: np.ndarray, basis: Basis, floor: float = 1e-20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(beta, t, p) of each row of a markers x samples block: one matrix product for all of them."""
+def scan_block(g: np.ndarray, basis: Basis) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(beta, t, p) of each row of a markers x samples block, from the partial correlation of marker and phenotype.
+
+    The part of a marker that the covariates do not explain is set against the residual phenotype. A marker without such
+    a part (constant, or a mix of covariates) has no estimate: NaN in all three.
+    """
     g = np.asarray(g, float)
+    if not np.isfinite(g).all():
+        raise ValueError("genotypes must be finite; drop or impute missing calls first")
     if basis.rotate is not None:
         g = (g @ basis.rotate) * basis.root
-    projected = g @ basis.q
-    shared = g @ basis.residual
-    if not (np.isfinite(projected).all() and np.isfinite(shared).all()):
-        raise ValueError("genotypes must be finite; drop or impute missing calls first")
-    own = np.maximum((g * g).sum(1) - (projected * projected).sum(1), floor)
-    rest = np.maximum(basis.yss - shared * shared / own, floor)
-    t = shared * np.sqrt(basis.df / (own * rest))
-    return shared / own, t, t_two_sided_array(t, basis.df)
-
-
-def scan(markers: DataFrame, basis: Basis, dosage: str = "dosage", batch: int = 2048) -> DataFrame:
-    """markers without their dosage, with beta, t and p. One pass, no shuffle; the basis is broadcast (samples x covariates)."""
+    free = g - (g @ basis.q) @ basis.q.T
+    length = np.linalg.norm(free, axis=1)
+    length = np.where(length > 1e-9 * np.maximum(np.linalg.norm(g, axis=1), 1.0), length, np.nan)
+    spread = np.sqrt(basis.yss) if basis.yss > 0 else np.nan
+    r = np.clip(free @ (basis.residual / spread) / length, -1.0, 1.0)
+    with np.errstate(divide="ignore"):
+        t = r * np.sqrt(basis.df / ((1.0 - r) * (1.0 + r)))
+    known = ~np.isnan(t)
+    p = np.full(len(t), np.nan)
+    p[known] = t_two_sided_array(t[known], basis.df)
+    return r * spread / length, t, p
+
+
+def require_same_order(ours: list, theirs: list, what: str = "samples") -> None:
+    """An error unless both name the same ids in the same order; arrays are aligned by place alone."""
+    if list(ours) != list(theirs):
+        at = next((k for k, (a, b) in enumerate(zip(ours, theirs, strict=False)) if a != b), min(len(ours), len(theirs)))
+        raise ValueError(f"{what} differ from place {at} on: {len(ours)} and {len(theirs)} ids")
+
+
+def scan(markers: DataFrame, basis: Basis, dosage: str = "dosage", batch: int = 2048, samples: list | None = None) -> DataFrame:
+    """markers without their dosage, with beta, t and p (null where a marker has no estimate). One pass, no shuffle; the basis
+    is broadcast (samples x covariates). `samples` are the ids in the order of the dosage arrays: they must be the basis's."""
+    if samples is not None and basis.samples is not None:
+        require_same_order(list(basis.samples), samples)
     rest = [c for c in markers.columns if c != dosage]
     sent = markers.sparkSession.sparkContext.broadcast(basis)
 
@@ -63,11 +83,11 @@ def scan(markers: DataFrame, basis: Basis, dosage: str = "dosage", batch: int =
         for whole in batches:
             for start in range(0, whole.num_rows, batch):
                 part = whole.slice(start, batch)
-                g = np.asarray(part.column(len(rest)).flatten(), float)
-                if len(g) != n * part.num_rows:
+                column = part.column(len(rest))
+                if (np.diff(np.asarray(column.offsets)) != n).any():
                     raise ValueError(f"a dosage array doesn't have the {n} samples of the phenotype")
-                beta, t, p = scan_block(g.reshape(part.num_rows, n), basis)
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(rest))), pa.array(beta), pa.array(t), pa.array(p)], [*rest, "beta", "t", "p"])
+                found = scan_block(np.asarray(column.flatten(), float).reshape(part.num_rows, n), basis)
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(rest))), *(pa.array(x, mask=np.isnan(x)) for x in found)], [*rest, "beta", "t", "p"])
 
     fields = [T.StructField(c, T.DoubleType()) for c in ("beta", "t", "p")]
     return markers.select(*rest, dosage).mapInArrow(work, T.StructType([*markers.select(*rest).schema.fields, *fields]))

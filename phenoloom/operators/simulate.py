@@ -65,14 +65,20 @@ def genotypes(plan: DataFrame, samples: int, seed: int, bins: list[tuple[float,
                         state["z"] = rho * state["z"] + np.sqrt(1 - rho * rho) * walk.normal(size=samples)
                         state["segment"] += 1
                     g[k] = np.sqrt(SHARED) * state["z"] + np.sqrt(1 - SHARED) * rng.normal(size=samples) < cut[k]
-            ids = [f"Chr{int(block['chr'])}_sim_{n:07d}" for n in i]
+            ids = [f"Chr{int(block['chr'])}_sim_{n + 1:07d}" for n in i]
             yield pd.DataFrame({"marker_id": ids, "chr": int(block["chr"]), "block": int(block["block"]), "local_row": i - int(block["first"]), "pos": pos, "maf": maf, "dosage": list(g)})
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        state: dict = {}
-        return pd.concat([x for _, b in pdf.sort_values("block").iterrows() for x in emit(b, state)] or [pd.DataFrame(columns=["marker_id", "chr", "block", "local_row", "pos", "maf", "dosage"])])
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, state = None, {}
+        for pdf in frames:
+            for _, b in pdf.iterrows():
+                if b["chr"] != at:
+                    at, state = b["chr"], {}
+                yield from emit(b, state)
 
-    return plan.groupBy(*(["chr"] if linked else ["chr", "block"])).applyInPandas(run, schema)
+    # Blocks of a chromosome come in a row, and what they make is handed on in parts of 2,000 markers.
+    dealt = plan.repartition(*(["chr"] if linked else ["chr", "block"])).sortWithinPartitions("chr", "block")
+    return dealt.mapInPandas(run, schema)
 
 
 def pick_causal(markers: DataFrame, n: int, seed: int, least_maf: float = 0.05) -> DataFrame:
@@ -121,6 +127,42 @@ def windows(spark: SparkSession, causal: list[tuple[str, int, int]], lengths: di
     return spark.createDataFrame(rows, "region_id string, chr int, lo bigint, hi bigint, kind string")
 
 
+# Lengths, markers and blocks of the plant genome's chromosomes; lengths of the human autosomes (GRCh38); edges
+# and counts of the plant's frequency bins; median r2 and sampled pairs by distance there; the planted human loci (name,
+# chromosome, position, share of variance).
+PLANT_CHROMOSOMES = {1: (30_427_613, 865_603, 26), 2: (19_697_717, 600_877, 19), 3: (23_459_627, 722_432, 22), 4: (18_585_004, 584_671, 18), 5: (26_975_377, 783_946, 23)}
+HUMAN_LENGTHS = {
+    1: 248_956_422, 2: 242_193_529, 3: 198_295_559, 4: 190_214_555, 5: 181_538_259, 6: 170_805_979, 7: 159_345_973, 8: 145_138_636,
+    9: 138_394_717, 10: 133_797_422, 11: 135_086_622, 12: 133_275_309, 13: 114_364_328, 14: 107_043_718, 15: 101_991_189, 16: 90_338_345,
+    17: 83_257_441, 18: 80_373_285, 19: 58_617_616, 20: 64_444_167, 21: 46_709_983, 22: 50_818_468,
+}
+MAF_EDGES, MAF_COUNTS = (0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5), (810_093, 945_522, 590_076, 510_193, 293_428, 218_872, 189_345)
+LD_SUMMARY = (("0-1 kb", 0.0119, 68_478), ("1-10 kb", 0.0087, 226_004), ("10-50 kb", 0.0051, 10_893))
+PLANTED_LOCI = (("rs12913832", 15, 28_120_472, 0.70), ("rs16891982", 5, 33_951_588, 0.03), ("rs1042602", 11, 89_178_528, 0.03), ("rs12203592", 6, 396_321, 0.03))
+
+
+def reference_chromosomes(spark: SparkSession, genome: str) -> DataFrame:
+    """(chr, length, markers, blocks) of the plant or the human genome; markers and blocks are null where none are fixed."""
+    rows = [(c, *x) for c, x in PLANT_CHROMOSOMES.items()] if genome == "plant" else [(c, n, None, None) for c, n in HUMAN_LENGTHS.items()]
+    return spark.createDataFrame(rows, "chr int, length bigint, markers bigint, blocks int")
+
+
+def plant_maf_bins() -> list[tuple[float, float, float]]:
+    """(low, high, weight) of the plant's frequency bins."""
+    return [(low, high, float(n)) for low, high, n in zip(MAF_EDGES[:-1], MAF_EDGES[1:], MAF_COUNTS, strict=True)]
+
+
+def human_windows(spark: SparkSession) -> DataFrame:
+    """The windows of the human pilot: around the planted loci and one background window for every autosome."""
+    return windows(spark, [(name, c, p) for name, c, p, _ in PLANTED_LOCI], HUMAN_LENGTHS)
+
+
+def planted_dosages(blocks: DataFrame, planted: DataFrame, key: str = "marker_id") -> DataFrame:
+    """Planted markers with the dosages that their blocks have for them, taken while the blocks are made; one that is not
+    among them is an error."""
+    return require_planted(planted, blocks.select(key, "dosage"), key).join(blocks.select(key, "dosage"), key)
+
+
 def require_planted(planted: DataFrame, markers: DataFrame, key: str = "marker_id") -> DataFrame:
     """Planted markers with their row in the result; one that quality control removed is an error."""
     found = planted.join(markers.select(key, F.lit(True).alias("__there")), key, "left")

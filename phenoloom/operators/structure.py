@@ -46,9 +46,9 @@ def gram(markers: DataFrame, scale: str = "zscore", dosage: str = "dosage") -> t
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([float(used)])], ["m", "used"])
 
     parts = markers.select(dosage).mapInArrow(work, "m binary, used double")
-    # Partial sums meet in groups of 16 tasks' matrices before the driver sees any.
-    while parts.rdd.getNumPartitions() > 16:
-        parts = parts.coalesce(max(1, parts.rdd.getNumPartitions() // 16)).mapInArrow(_add, "m binary, used double")
+    # An exchange parts products from sums, so products keep all tasks; partial sums meet in 32 tasks and then in one.
+    for groups in (32, 1):
+        parts = parts.repartition(groups).mapInArrow(_add, "m binary, used double")
     rows = parts.collect()
     if not rows:
         return np.zeros((0, 0)), 0

@@ -15,27 +15,36 @@ def bonferroni(df: DataFrame, p: str = "p", out: str = "bonferroni") -> DataFram
     return df.crossJoin(F.broadcast(m)).withColumn(out, F.least(F.col(p) * F.col("__m"), F.lit(1.0))).drop("__m")
 
 
+def counts_before(df: DataFrame, value: str, bins: int = 4096, by: list[str] | None = None) -> DataFrame:
+    """(by..., v, n, bin, before, total): every distinct value with its rows, the rows with a smaller one, and all rows.
+
+    Nothing is sorted as a whole. Rows with equal values are counted together; values are cut into bins at quantiles; sums
+    over bins, a table of `bins` rows for each group, are windowed alone, and rows are windowed inside their bins.
+    """
+    by = by or []
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    bounds = counts.agg(F.percentile_approx("v", array_literal([k / bins for k in range(1, bins)], "double"), 10 * bins)).first()[0] or []
+    counts = counts.withColumn("bin", _bin_column(F.col("v"), sorted({float(b) for b in bounds})))
+    over_bins = Window.partitionBy(*by).orderBy("bin")
+    earlier, all_ = over_bins.rowsBetween(Window.unboundedPreceding, -1), over_bins.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    per_bin = counts.groupBy(*by, "bin").agg(F.sum("n").alias("__n"))
+    sums = per_bin.select(*by, "bin", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"), F.sum("__n").over(all_).alias("total"))
+    inside = Window.partitionBy(*by, "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    joined = counts.join(sums if by else F.broadcast(sums), [*by, "bin"])
+    return joined.select(*by, "v", "n", "bin", (F.col("__before") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("before"), "total")
+
+
 def benjamini_hochberg(df: DataFrame, p: str = "p", out: str = "q", bins: int = 4096) -> DataFrame:
     """q = min over p' >= p of p' m / rank(p'), at most 1. Null p stays null; equal p get equal q.
 
-    Nothing is sorted as a whole. Rows with equal p are counted together; p is cut into bins at quantiles; offsets and
-    suffix minima of the bins, a table of `bins` rows, are windowed alone; ranks and minima inside a bin are windowed by
-    bin. The cost is that of one aggregation, one join and one sort spread over the bins.
+    Ranks come from `counts_before`; suffix minima are taken inside bins and then over the table of bins. The cost is that
+    of one aggregation, one join and one sort spread over the bins.
     """
-    counts = df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("__p")).agg(F.count("*").alias("__c"))
-    bounds = counts.agg(F.percentile_approx("__p", array_literal([k / bins for k in range(1, bins)], "double"), 10 * bins)).first()[0] or []
-    bounds = sorted({float(b) for b in bounds})
-    bin_of = _bin_column(F.col("__p"), bounds)
-    counts = counts.withColumn("__bin", bin_of)
-    per_bin = counts.groupBy("__bin").agg(F.sum("__c").alias("__n"))
-    order = Window.orderBy("__bin")
-    offsets = per_bin.select("__bin", F.coalesce(F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__m"))
-    inside = Window.partitionBy("__bin").orderBy("__p")
-    ranked = counts.join(F.broadcast(offsets), "__bin").withColumn("__rank", F.col("__before") + F.sum("__c").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    raw = ranked.withColumn("__raw", F.col("__p") * F.col("__m") / F.col("__rank"))
-    raw = raw.withColumn("__suffix", F.min("__raw").over(inside.rowsBetween(0, Window.unboundedFollowing)))
-    after = raw.groupBy("__bin").agg(F.min("__raw").alias("__low")).select("__bin", F.min("__low").over(order.rowsBetween(1, Window.unboundedFollowing)).alias("__later"))
-    final = raw.join(F.broadcast(after), "__bin").select("__p", F.least("__suffix", F.coalesce("__later", "__suffix"), F.lit(1.0)).alias(out))
+    raw = counts_before(df, p, bins).withColumn("__raw", F.col("v") * F.col("total") / (F.col("before") + F.col("n")))
+    inside = Window.partitionBy("bin").orderBy("v").rowsBetween(0, Window.unboundedFollowing)
+    raw = raw.withColumn("__suffix", F.min("__raw").over(inside))
+    after = raw.groupBy("bin").agg(F.min("__raw").alias("__low")).select("bin", F.min("__low").over(Window.orderBy("bin").rowsBetween(1, Window.unboundedFollowing)).alias("__later"))
+    final = raw.join(F.broadcast(after), "bin").select(F.col("v").alias("__p"), F.least("__suffix", F.coalesce("__later", "__suffix"), F.lit(1.0)).alias(out))
     return df.join(final, F.col(p) == F.col("__p"), "left").drop("__p")
 
 
@@ -61,15 +70,25 @@ def genomic_inflation(df: DataFrame, p: str = "p", floor: float | None = 1e-300)
     """lambda_gc: median of chi squared over its expected median. The transform is monotone, so only the two central p
     values are transformed."""
     use = df.where(F.col(p).isNotNull() & (F.col(p) <= 1) & (F.col(p) >= 0 if floor is not None else F.col(p) > 0)).select((F.greatest(F.col(p), F.lit(floor)) if floor is not None else F.col(p)).alias("p"))
-    n = use.count()
-    if not n:
-        return use.agg(F.lit(None).cast("double").alias("lambda_gc"))
     # The lower and the upper middle value: with an even count these two are averaged after the transform.
-    low, high = (n - 1) // 2, n // 2
-    middle = use.agg(F.percentile("p", F.lit(low / max(n - 1, 1))).alias("a"), F.percentile("p", F.lit(high / max(n - 1, 1))).alias("b"))
+    low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
+    holds = lambda k: (F.col("before") <= k) & (k < F.col("before") + F.col("n"))
+    middle = counts_before(use, "p").agg(F.max(F.when(holds(low), F.col("v"))).alias("a"), F.max(F.when(holds(high), F.col("v"))).alias("b"))
     return middle.select(((chi2_1_isf(F.col("a")) + chi2_1_isf(F.col("b"))) / 2 / CHI2_1_MEDIAN).alias("lambda_gc"))
 
 
+def quantiles(df: DataFrame, value: str, probabilities: list[float], by: list[str] | None = None) -> DataFrame:
+    """(by..., probability, quantile): exact linear-interpolated quantiles by counted places, so no task holds all values of a group."""
+    by = by or []
+    ranked = counts_before(df, value, by=by)
+    place = F.col("probability") * (F.col("total") - 1)
+    holds = lambda k: (F.col("before") <= k) & (k < F.col("before") + F.col("n"))
+    rows = ranked.withColumn("probability", F.explode(array_literal(probabilities, "double"))).where(holds(F.floor(place)) | holds(F.ceil(place)))
+    low, high = F.max(F.when(holds(F.floor(place)), F.col("v"))), F.max(F.when(holds(F.ceil(place)), F.col("v")))
+    found = rows.groupBy(*by, "probability", "total").agg(low.alias("__a"), high.alias("__b"))
+    return found.select(*by, "probability", (F.col("__a") + (F.col("__b") - F.col("__a")) * (place - F.floor(place))).alias("quantile"))
+
+
 def top(df: DataFrame, n: int, order: list[Column]) -> DataFrame:
     """The first n rows in the order: kept by every task before anything is moved."""
     return df.orderBy(*order).limit(n)
@@ -82,12 +101,24 @@ def top_per_group(df: DataFrame, n: int, group: list[str], order: list[Column],
 
 
 def min_rank(df: DataFrame, score: str, out: str) -> DataFrame:
-    """1, 1, 3 ranks from high to low: one more than the rows with a greater score.
+    """1, 1, 3 ranks from high to low: one more than the rows with a greater score. Null scores have no rank."""
+    ranks = counts_before(df, score).select(F.col("v").alias("__s"), (F.col("total") - F.col("before") - F.col("n") + 1).cast("bigint").alias(out))
+    return df.join(ranks, F.col(score).cast("double") == F.col("__s"), "left").drop("__s")
+
+
+def sequence_rank(df: DataFrame, order: list[Column], out: str, bins: int = 4096) -> DataFrame:
+    """1..n by the first column of the order (numeric, high to low), then by the others: numbered inside its distinct values' places, never as a whole."""
+    first, rest = order[0], order[1:]
+    rows = df.withColumn("__v", -first.cast("double"))
+    at = counts_before(rows, "__v", bins).select(F.col("v").alias("__w"), "before")
+    place = F.row_number().over(Window.partitionBy("__w").orderBy(*rest))
+    return rows.join(at, F.col("__v") == F.col("__w")).withColumn(out, (F.col("before") + place).cast("bigint")).drop("__v", "__w", "before")
+
 
-    Distinct scores with their counts are ranked, not rows."""
-    counts = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("__s")).agg(F.count("*").alias("__c"))
-    before = F.coalesce(F.sum("__c").over(Window.orderBy(F.desc("__s")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.join(counts.select("__s", (before + 1).cast("bigint").alias(out)), F.col(score) == F.col("__s"), "left").drop("__s")
+def replicate(df: DataFrame, chromosome: int, lo: int, hi: int, p: str = "p", alpha: float = 0.05, chr_: str = "chr", pos: str = "pos") -> DataFrame:
+    """Markers of a region in a second scan, `significant` by Bonferroni over the region alone."""
+    region = df.where((F.col(chr_) == chromosome) & F.col(pos).between(lo, hi))
+    return bonferroni(region, p).withColumn("significant", F.col("bonferroni") < alpha)
 
 
 def summary(df: DataFrame, p: str = "p", alpha: float = 0.05) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import array_literal, once
+from ..sources.stored import path_of, stored
 
 SAMPLES = 300
 
@@ -35,12 +36,34 @@ def missing(sid, mid):
     return (sid * 7 + mid * 3) % 17 == 0
 
 
+#: Genotype tables written by this application, by their arguments.
+_written: dict[tuple, tuple] = {}
+
+
 def genotypes(spark: SparkSession, sf_dir: str, n: int = SAMPLES, ploidy: int = 2, with_missing: bool = False) -> DataFrame:
-    """(mid, chr, pos, dosage): marker rows with one array element for each sample; no join and no shuffle.
+    """(mid, chr, pos, dosage): marker rows with one array element for each sample. Made once and stored, as genotypes are
+    read, not computed, by whatever scans them."""
+    key = (spark.sparkContext.applicationId, sf_dir, n, ploidy, with_missing)
+    if key not in _written or existing(spark, _written[key][0]) is None:
+        made = stored(_genotypes(spark, sf_dir, n, ploidy, with_missing), "genotypes")
+        _written[key] = (path_of(made), made.schema)
+    path, schema = _written[key]
+    return spark.read.schema(schema).parquet(path)
+
+
+def existing(spark: SparkSession, path: str) -> str | None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return path if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at) else None
+
+
+def sample_ids(spark: SparkSession, sf_dir: str, n: int = SAMPLES) -> list[int]:
+    """Ids in the order of the dosage arrays; at most n numbers."""
+    return [r["sid"] for r in samples(spark, sf_dir, n).select("sid").orderBy("sid").collect()]
+
 
-    The sample ids are one list of at most n numbers, made on the driver."""
-    ids = [r["sid"] for r in samples(spark, sf_dir, n).select("sid").orderBy("sid").collect()]
-    array = array_literal(ids, "bigint")
+def _genotypes(spark: SparkSession, sf_dir: str, n: int, ploidy: int, with_missing: bool) -> DataFrame:
+    """No join and no shuffle: the sample ids are one list, made on the driver."""
+    array = array_literal(sample_ids(spark, sf_dir, n), "bigint")
 
     def call(sid):
         g = allele(1, sid, F.col("mid"), F.col("thr"))
@@ -70,11 +93,9 @@ def p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("mid", "chr", "pos", ((h + 1) * (h + 1) * (h + 1) / F.lit(1.1e9)).alias("p"))
 
 
-def importance_rows(spark: SparkSession, sf_dir: str, below: int | None = 400) -> DataFrame:
-    """(mid, fold, model, importance) from line items of parts below a number, or of all: fold and model by arithmetic."""
-    li = table(spark, sf_dir, "lineitem")
-    li = li if below is None else li.where(F.col("l_partkey") < below)
-    return li.select(F.col("l_partkey").alias("mid"), (F.col("l_orderkey") % 5).cast("int").alias("fold"), F.when(F.col("l_linenumber") % 2 == 0, "RF").otherwise("GB").alias("model"), F.col("l_extendedprice").alias("importance"))
+def importance_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(mid, fold, model, importance) from line items: fold and model by arithmetic."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("mid"), (F.col("l_orderkey") % 5).cast("int").alias("fold"), F.when(F.col("l_linenumber") % 2 == 0, "RF").otherwise("GB").alias("model"), F.col("l_extendedprice").alias("importance"))
 
 
 # The same views as SQL, for the oracle.
@@ -93,4 +114,4 @@ def calls_sql(ploidy: int = 2, with_missing: bool = False) -> str:
 
 LOCI_SQL = "l as (select s_suppkey locus_id, cast(s_suppkey % 5 + 1 as int) chr, s_suppkey * 19777 locus_pos from supplier)"
 P_SQL = f"{MAP_SQL}, h as (select *, (mid * 7919 + mid * mid * 31) % 1009 h from m), p as (select mid, chr, pos, (h+1)*(h+1)*(h+1)/cast(1.1e9 as double) p from h)"
-IMPORTANCE_SQL = "i as (select l_partkey mid, cast(l_orderkey % 5 as int) fold, case when l_linenumber % 2 = 0 then 'RF' else 'GB' end model, l_extendedprice importance from lineitem where l_partkey < 400)"
+IMPORTANCE_SQL = "i as (select l_partkey mid, cast(l_orderkey % 5 as int) fold, case when l_linenumber % 2 = 0 then 'RF' else 'GB' end model, l_extendedprice importance from lineitem)"

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ml, qc, reports, scan, simulate, structure, testing
-from ..sources.stored import stored
+from ..sources.sinks import append_run
+from ..sources.stored import discard, stored
 
 
 def genome_scan(markers: DataFrame, y: np.ndarray, low_maf: float = 0.05, n_pcs: int = 10, thin: int | None = 100_000, ploidy: int = 2) -> DataFrame:
@@ -70,13 +72,26 @@ def leaky_two_stage(markers: DataFrame, y: np.ndarray, keep_per_block: int = 25,
     unit = unit or ["chr", "block"]
     folds = ml.kfold(len(y), k, seed)
     n_blocks = markers.select(*unit).distinct().count()
-    screened = stored(ml.screen(markers, y, folds, 10_000_000, stage1, seed=seed, unit=unit, leaky=True), "screened")
+    screened = stored(ml.screen(markers, y, folds, None, stage1, seed=seed, unit=unit, leaky=True), "screened")
     best = [testing.top(screened.where(F.col("model") == m), keep_per_block * n_blocks, [F.desc("importance"), F.asc("marker_id")]) for m in ("RF", "GB")]
-    pool = best[0].unionByName(best[1])
-    every = pool.select("marker_id", "model", "importance", "rank").crossJoin(markers.sparkSession.range(k).select(F.col("id").cast("int").alias("fold")))
+    pool = stored(best[0].unionByName(best[1]), "pool")
+    discard(screened)
+    every = pool.drop("fold").withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
     return pool, ml.refine(markers, every, y, folds, None, stage2, seed=seed)
 
 
+def predict_and_refit(markers: DataFrame, y: np.ndarray, k: int = 5, seed: int = 42, trees: tuple[int, int] = (500, 300), depth: int = 3, leaf: int = 1, pcs: np.ndarray | None = None) -> DataFrame:
+    """Out-of-fold predictions of every sample, then the same models on all samples: (fold, kind, key, rf, gb, pc_only).
+
+    Rows of kind `prediction` come from the fold that held the sample out; rows of kind `importance` with fold -1 from the
+    refit. Each fold and the refit is a task of its own.
+    """
+    folds = ml.kfold(len(y), k, seed)
+    every = markers.select(F.col("marker_id").cast("string").alias("marker_id"), F.explode(F.sequence(F.lit(-1), F.lit(k - 1))).alias("fold"))
+    out = ml.refine(markers, every, y, folds, pcs, trees, depth, leaf, seed)
+    return out.where("(kind = 'prediction' and fold >= 0) or (kind = 'importance' and fold = -1)")
+
+
 def synthetic_benchmark(spark: SparkSession, chromosomes: list[tuple[int, int, int, int]], samples: int, seed: int, causal: int = 20, linked: bool = False, bins: list[tuple[float, float, float]] | None = None) -> tuple[DataFrame, DataFrame, np.ndarray]:
     """(markers, planted, y): generated genotypes, planted markers with unit-norm effects, simulated phenotype."""
     markers = stored(simulate.genotypes(simulate.block_plan(spark, chromosomes), samples, seed, bins, linked), "markers")
@@ -94,6 +109,48 @@ def multi_seed(spark: SparkSession, seeds: list[int], run: Callable[[SparkSessio
     return spark.createDataFrame([{"seed": s, **run(spark, s)} for s in seeds])
 
 
+def multi_seed_validation(spark: SparkSession, path: str, scenarios: dict[str, dict], seeds: list[int], samples: int, k: int = 3, keep: int = 10, stage1: tuple[int, int] = (150, 75), stage2: tuple[int, int] = (250, 150)) -> DataFrame:
+    """Runs of the nested design on generated data, one for each scenario and seed, and their summary by scenario and model.
+
+    `scenarios` holds the arguments of `synthetic_benchmark` by name. Every finished run is appended to the table at `path`
+    before the next one begins; a run that is there already is not made again, so a broken series goes on where it stopped.
+    What a run stores on its way is removed after it.
+    """
+    planned = spark.createDataFrame([(name, s) for name in scenarios for s in seeds], "scenario string, seed int")
+    done = existing(spark, path)
+    todo = planned if done is None else qc.pending_blocks(planned, done, ["scenario", "seed"])
+    for row in sorted(todo.collect()):
+        markers, truth, y = synthetic_benchmark(spark, samples=samples, seed=row["seed"], **scenarios[row["scenario"]])
+        candidates, refined = nested_cv(markers, y, k, keep=keep, stage1=stage1, stage2=stage2)
+        oof = refined.where("kind = 'prediction'").select(F.col("key").cast("int").alias("sample_idx"), "rf", "gb")
+        both = oof.join(spark.createDataFrame(list(enumerate(y.tolist())), "sample_idx int, y double"), "sample_idx")
+        score = {m: ml.metrics(both, "y", m).first() for m in ("rf", "gb")}
+        found = recovery(markers, truth, refined, candidates, k).where("in_top").count()
+        rows = [(row["scenario"], row["seed"], m, float(score[m]["r2"]), float(score[m]["rmse"]), found) for m in ("rf", "gb")]
+        append_run(spark.createDataFrame(rows, "scenario string, seed int, model string, r2 double, rmse double, n_recovered bigint"), path, ["scenario", "seed", "model"])
+        discard(markers, candidates, refined)
+    runs = spark.read.parquet(path).join(F.broadcast(planned), ["scenario", "seed"], "left_semi").withColumn("recovered", F.col("n_recovered") > 0)
+    return reports.aggregate_runs(runs, ["scenario", "model"], ["r2", "rmse"], ["recovered"])
+
+
+def existing(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at a path, if there is one."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return None
+
+
+def resume(planned: DataFrame, path: str, keys: list[str], run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Results of all planned units: those without a result at `path` are run and appended, the others are read."""
+    spark = planned.sparkSession
+    done = existing(spark, path)
+    pending = planned if done is None else qc.pending_blocks(planned, done, keys)
+    if done is None or pending.limit(1).count():
+        append_run(run(pending), path, keys)
+    return spark.read.parquet(path)
+
+
 def recovery(markers: DataFrame, truth: DataFrame, refined: DataFrame, candidates: DataFrame, n_folds: int, top: int = 50) -> DataFrame:
     """Planted markers against the ranking; truth is joined here and nowhere before."""
     table = ml.importance_table(refined, candidates, n_folds).join(markers.select("marker_id", "chr", "pos"), "marker_id")

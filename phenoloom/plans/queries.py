@@ -34,6 +34,20 @@ def r6(c, digits: int = 6):
     return F.round(c, digits)
 
 
+def t_tail_sql(t: str, df: str) -> str:
+    """Two-sided p of Student's t for a whole number of degrees of freedom, by its finite series in the angle atan(t / sqrt(df))."""
+    a, c2 = f"atan(abs({t}) / sqrt({df}))", f"(({df}) / (({df}) + ({t}) * ({t})))"
+    odd = f"exp(2 * k * ln(2) + 2 * lgamma(k + 1) - lgamma(2 * k + 2) + k * ln({c2}))"
+    even = f"exp(case when k = 0 then 0 else lgamma(2 * k + 1) - 2 * k * ln(2) - 2 * lgamma(k + 1) end + k * ln({c2}))"
+    odd = f"1 - 2 / pi() * ({a} + sin({a}) * cos({a}) * list_sum([{odd} for k in range(0, (({df}) - 3) // 2 + 1)]))"
+    even = f"1 - sin({a}) * list_sum([{even} for k in range(0, (({df}) - 2) // 2 + 1)])"
+    return f"(case when ({df}) % 2 = 1 then {odd} else {even} end)"
+
+
+#: Error function of x by a series without cancellation.
+ERF_SQL = "(2 / sqrt(pi()) * exp(-(x) * (x)) * list_sum([exp(2 * k * ln(2) + (2 * k + 1) * ln(x) + lgamma(k + 1) - lgamma(2 * k + 2)) for k in range(0, 120)]))"
+
+
 # --- projections, filters, quality control ---
 
 
@@ -62,10 +76,12 @@ def marker_labels(spark, sf):
 mk as (select mid from g2 group by mid having avg(case when call is null then 1.0 else 0 end) <= 0.2), sm as (select sid from g2 group by sid having avg(case when call is null then 1.0 else 0 end) <= 0.2)
 select mid, cast(count(*) as bigint) n, cast(count(call) as bigint) n_called from g2 where mid in (select mid from mk) and sid in (select sid from sm) group by mid""")
 def call_rate_qc(spark, sf):
-    g = X.calls(spark, sf, with_missing=True)
-    lost = ((F.col("mid") % 11 == 0) & (F.col("sid") % 2 == 0)) | ((F.col("sid") % 13 == 0) & (F.col("mid") % 3 != 0))
-    kept = qc.call_rate_filter(g.withColumn("call", F.when(~lost, F.col("call"))), "mid", "sid")
-    return kept.groupBy("mid").agg(F.count("*").alias("n"), F.count("call").alias("n_called"))
+    """Both shares and the filter on marker arrays."""
+    lost = lambda sid: ((F.col("mid") % 11 == 0) & (sid % 2 == 0)) | ((sid % 13 == 0) & (F.col("mid") % 3 != 0))
+    ids = C.array_literal(X.sample_ids(spark, sf), "bigint")
+    thinned = X.genotypes(spark, sf, with_missing=True).select("mid", F.zip_with(ids, "dosage", lambda sid, call: F.when(~lost(sid), call)).alias("dosage"))
+    kept, _ = qc.call_rate_arrays(thinned)
+    return kept.select("mid", F.size("dosage").cast("bigint").alias("n"), C.n_called("dosage").cast("bigint").alias("n_called"))
 
 
 @query(f"""with {X.calls_sql(with_missing=True)} select sid, cast(count(*) as bigint) n, cast(sum(case when call is null then 1 else 0 end) as bigint) n_missing, round(sum(case when call is null then 1.0 else 0 end) / count(*), 6) missing_fraction from g group by sid""")
@@ -116,9 +132,11 @@ def maf_diploid(spark, sf):
 
 @query(f"""with {X.calls_sql(with_missing=True)}, q as (select mid, coalesce(call, avg(call) over (partition by mid)) x, call from g) select mid, round(avg(x), 6) mean_imputed, round(var_samp(x), 6) var_imputed, cast(sum(case when call is null then 1 else 0 end) as bigint) filled from q group by mid""")
 def mean_impute(spark, sf):
-    g = X.genotypes(spark, sf, with_missing=True).withColumn("x", C.mean_imputed("dosage"))
-    long = g.select("mid", F.explode(F.arrays_zip("dosage", "x")).alias("z"))
-    return long.groupBy("mid").agg(r6(F.avg("z.x")).alias("mean_imputed"), r6(F.var_samp("z.x")).alias("var_imputed"), F.count_if(F.col("z.dosage").isNull()).alias("filled"))
+    g = X.genotypes(spark, sf, with_missing=True).select("mid", (F.size("dosage") - C.n_called("dosage")).cast("bigint").alias("filled"), C.once(C.mean_imputed("dosage")).alias("x"))
+    total = lambda f: F.aggregate("x", F.lit(0.0), lambda a, x: a + f(x))
+    g = g.select("mid", "filled", "x", C.once(total(lambda x: x) / F.size("x")).alias("mean"))
+    spread = total(lambda x: (x - F.col("mean")) * (x - F.col("mean")))
+    return g.select("mid", r6("mean").alias("mean_imputed"), r6(spread / (F.size("x") - 1)).alias("var_imputed"), "filled")
 
 
 @query("""with x as (select l_orderkey, l_linenumber, l_returnflag c, case when l_partkey % 2 = 0 then 'A/N' else 'N/R' end al from lineitem) select l_orderkey, l_linenumber, cast(case when c = split_part(al, '/', 1) then 0 when c = split_part(al, '/', 2) then 2 end as int) dosage, coalesce(nullif(c, 'N'), 'none') shown from x""")
@@ -170,22 +188,13 @@ def samples_unmatched(spark, sf):
 @query("""select c_custkey sid from customer where c_mktsegment = 'BUILDING' and exists (select 1 from orders where o_custkey = c_custkey)""")
 def samples_in_panel(spark, sf):
     p = X.table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("sid"))
-    return p.join(X.table(spark, sf, "orders").select(F.col("o_custkey").alias("sid")), "sid", "left_semi")
+    return joins.matched(p, X.table(spark, sf, "orders").select(F.col("o_custkey").alias("sid")), "sid")
 
 
-@query("""with v as (select vec_id, unnest(embedding) x, generate_subscripts(embedding, 1) d from embeddings where vec_id < 60), k as (select a.vec_id i, b.vec_id j, sum(cast(a.x as double) * b.x) k from v a join v b using (d) group by all), ids as (select vec_id id, row_number() over (order by vec_id) - 1 idx from embeddings where vec_id < 60 and vec_id % 3 = 0)
+@query("""with v as (select vec_id, unnest(embedding) x, generate_subscripts(embedding, 1) d from embeddings where vec_id % 3 = 0), k as (select a.vec_id i, b.vec_id j, sum(cast(a.x as double) * b.x) k from v a join v b using (d) group by all), ids as (select vec_id id, row_number() over (order by vec_id) - 1 idx from embeddings where vec_id % 3 = 0)
 select cast(a.idx as bigint) "row", cast(b.idx as bigint) "col", round(k, 5) k from k join ids a on a.id = i join ids b on b.id = j""")
 def kinship_subindex(spark, sf):
-    v = X.table(spark, sf, "embeddings").where("vec_id < 60").select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("d", "x"))
-    a, b = v.select(F.col("vec_id").alias("i"), "d", F.col("x").alias("xa")), v.select(F.col("vec_id").alias("j"), "d", F.col("x").alias("xb"))
-    k = a.join(b, "d").groupBy("i", "j").agg(F.sum(F.col("xa") * F.col("xb")).alias("k"))
-    ids = X.table(spark, sf, "embeddings").where("vec_id < 60 and vec_id % 3 = 0").select(F.col("vec_id").alias("id"), (F.row_number().over(Window.orderBy("vec_id")) - 1).cast("bigint").alias("idx"))
-    return joins.square_subset(k, ids).select("row", "col", F.round("k", 5).alias("k"))
-
-
-@query()
-def kinship_subindex_whole(spark, sf):
-    """kinship_subindex over all vectors; products of vectors outside the subset are not made."""
+    """Every third vector's part of the matrix of all; products outside that part are not made."""
     v = X.table(spark, sf, "embeddings").where("vec_id % 3 = 0")
     ranges = v.select(F.col("vec_id").alias("id"), F.floor(F.col("vec_id") / 1024).alias("range"))
     ids = qc.global_index(ranges, "range", "id", "id").select("id", F.col("global_idx").alias("idx"))
@@ -225,14 +234,12 @@ def glm_mlm_compare(spark, sf):
 @query(f"""with {X.calls_sql()} select mid, cast(sum(call) as bigint) allele_count from g where mid in (select l_partkey from lineitem where l_quantity = 50) group by mid""")
 def candidate_gather(spark, sf):
     cand = X.table(spark, sf, "lineitem").where("l_quantity = 50").select(F.col("l_partkey").alias("mid")).distinct()
-    g = X.genotypes(spark, sf).join(joins.small_side(cand), "mid", "left_semi")
-    return g.select("mid", C.dosage_sum("dosage").alias("allele_count"))
+    return joins.matched(X.genotypes(spark, sf), cand, "mid").select("mid", C.dosage_sum("dosage").alias("allele_count"))
 
 
 @query("""select s.s seed, k.k fold, b.b block from range(3) s(s), range(5) k(k), range(4) b(b)""")
 def run_grid(spark, sf):
-    one = lambda n, c: spark.range(n).withColumnRenamed("id", c)
-    return one(3, "seed").crossJoin(one(5, "fold")).crossJoin(one(4, "block"))
+    return joins.grid(spark, seed=3, fold=5, block=4)
 
 
 # --- aggregation, ranks, sets ---
@@ -248,24 +255,17 @@ def multi_seed_aggregate(spark, sf):
 @query("""select event_type, cast(count(*) as bigint) n, cast(count(distinct user_id) as bigint) users, cast(sum(case when value > 50 then 1 else 0 end) as bigint) above, round(stddev_pop(value), 6) sd0, round(stddev_samp(value), 6) sd1, round(median(value), 6) mid, round(quantile_cont(value, 0.9), 6) q90, round(quantile_cont(value, 0.999), 6) q999 from events group by event_type""")
 def distribution_summary(spark, sf):
     e = X.table(spark, sf, "events")
-    q = lambda p: r6(F.percentile("value", F.lit(p)))
-    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"), F.count_if(F.col("value") > 50).alias("above"), r6(F.stddev_pop("value")).alias("sd0"), r6(F.stddev_samp("value")).alias("sd1"), r6(F.median("value")).alias("mid"), q(0.9).alias("q90"), q(0.999).alias("q999"))
+    found = testing.quantiles(e, "value", [0.5, 0.9, 0.999], ["event_type"])
+    q = lambda p: F.max(F.when(F.col("probability") == p, F.col("quantile")))
+    wide = found.groupBy("event_type").agg(r6(q(0.5)).alias("mid"), r6(q(0.9)).alias("q90"), r6(q(0.999)).alias("q999"))
+    counts = e.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"), F.count_if(F.col("value") > 50).alias("above"), r6(F.stddev_pop("value")).alias("sd0"), r6(F.stddev_samp("value")).alias("sd1"))
+    return counts.join(wide, "event_type")
 
 
 @query(f"""with {X.IMPORTANCE_SQL}, f as (select mid, model, fold, max(importance) importance from i group by all) select mid, model, round(sum(importance) / 5, 6) mean_importance, cast(count(distinct fold) as bigint) selection_folds, cast((select count(distinct fold) from f p where p.mid = f.mid) as bigint) pool_folds from f group by mid, model""")
 def importance_folds(spark, sf):
-    return _importance_folds(X.importance_rows(spark, sf))
-
-
-@query()
-def importance_folds_whole(spark, sf):
-    """importance_folds over all line items."""
-    return _importance_folds(X.importance_rows(spark, sf, None))
-
-
-def _importance_folds(rows):
-    f = rows.groupBy("mid", "model", "fold").agg(F.max("importance").alias("importance"))
-    mean = f.groupBy("mid", "model").agg(r6(F.sum("importance") / 5).alias("mean_importance"))
+    f = X.importance_rows(spark, sf).groupBy("mid", "model", "fold").agg(F.max("importance").alias("importance"))
+    mean = ml.accumulate_importance(f, 5, ["mid", "model"]).select("mid", "model", r6("mean_importance").alias("mean_importance"))
     own = ml.selection_folds(f, "model", "mid")
     pool = ml.selection_folds(f, "pool", "mid").withColumnRenamed("selection_folds", "pool_folds")
     return mean.join(own, ["mid", "model"]).join(pool, "mid")
@@ -291,9 +291,11 @@ def scan_summary(spark, sf):
     return s.select("n_markers", F.round("bonferroni_p", 12).alias("bonferroni_p"), "n_bh_fdr", F.round("best_p", 12).alias("best_p"))
 
 
-@query()
+@query(f"""with recursive {X.P_SQL}, k as (select p, row_number() over (order by p) - 1 i, count(*) over () n from p where p <= 1), mid as (select p from k where i = (n - 1) // 2 union all select p from k where i = n // 2),
+z as (select row_number() over () side, p, cast(1e-9 as double) lo, cast(10 as double) hi, 0 i from mid union all select side, p, case when 1 - {ERF_SQL.replace("(x)", "((lo + hi) / 2 / sqrt(2))")} > p then (lo + hi) / 2 else lo end, case when 1 - {ERF_SQL.replace("(x)", "((lo + hi) / 2 / sqrt(2))")} > p then hi else (lo + hi) / 2 end, i + 1 from z where i < 60)
+select round(avg(lo * lo) / 0.4549364231195724, 6) lambda_gc from z where i = 60""")
 def lambda_gc(spark, sf):
-    return testing.genomic_inflation(X.p_values(spark, sf))
+    return testing.genomic_inflation(X.p_values(spark, sf)).select(r6("lambda_gc").alias("lambda_gc"))
 
 
 @query(f"""with {X.P_SQL} select mid, chr, cast(pos as bigint) pos from p order by p, chr, pos limit 100""")
@@ -330,21 +332,13 @@ def id_sets(spark, sf):
 
 @query("""select l_returnflag, cast(count(*) as bigint) n, cast(sum(case when l_discount is null then 1 else 0 end) as bigint) nulls, cast(sum(case when isfinite(l_tax) then 1 else 0 end) as bigint) finite from lineitem group by l_returnflag""")
 def value_counts(spark, sf):
-    return X.table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.count_if(F.col("l_discount").isNull()).alias("nulls"), F.count_if(C.is_finite("l_tax")).alias("finite"))
+    return qc.value_counts(X.table(spark, sf, "lineitem"), "l_returnflag", "l_discount", "l_tax")
 
 
-@query(f"""with {X.calls_sql(with_missing=True)}, x as (select mid, sid, call from g where mid < 40 and call is not null) select a.mid a, b.mid b, cast(count(*) as bigint) n from x a join x b on a.sid = b.sid and a.mid < b.mid group by all""")
+@query(f"""with {X.calls_sql(with_missing=True)}, x as (select mid, chr, pos, sid from g where call is not null) select a.mid a, b.mid b, cast(count(*) as bigint) n from x a join x b on a.sid = b.sid and a.chr = b.chr and a.mid < b.mid and b.pos - a.pos <= 50000 group by all""")
 def pairwise_complete(spark, sf):
-    m = X.genotypes(spark, sf, with_missing=True).where("mid < 40").select("mid", F.lit(1).alias("chr"), F.lit(1).alias("pos"), "dosage")
-    return structure.ld_pairs_arrays(m, 1, "mid").select("a", "b", "n")
-
-
-@query()
-def pairwise_complete_whole(spark, sf):
-    """pairwise_complete over all markers."""
-    called = X.genotypes(spark, sf, with_missing=True).select("mid", F.transform("dosage", lambda g: g.isNotNull().cast("double")).alias("called"))
-    n = structure.gram_long(called, "mid", "called").where("i < j and product > 0")
-    return n.select(F.col("i").alias("a"), F.col("j").alias("b"), F.col("product").cast("bigint").alias("n"))
+    """Samples called at both markers, for markers of a chromosome within the window of linkage."""
+    return structure.ld_pairs_arrays(X.genotypes(spark, sf, with_missing=True), 50_000, "mid").where("n > 0").select("a", "b", "n")
 
 
 # --- scans ---
@@ -353,7 +347,9 @@ def pairwise_complete_whole(spark, sf):
 @query(f"""with {X.calls_sql()}, t as (select mid, count(*) n, sum(call) sx, sum(call * call) sxx, sum(y) sy, sum(y * y) syy, sum(call * y) sxy from g group by mid), u as (select *, sxx - sx * sx / cast(n as double) xx, syy - sy * sy / n yy, sxy - sx * sy / n xy from t)
 select mid, cast(n as bigint) n, round(least(sx / (2.0 * n), 1 - sx / (2.0 * n)), 6) maf, round(xy / xx, 4) beta, round(xy * sqrt((n - 2) / (xx * (yy - xy * xy / xx))), 6) t from u where xx > 1e-9""")
 def glm_scan_single(spark, sf):
-    out = scan.scan_long(X.calls(spark, sf), "mid")
+    y, _ = _people(spark, sf)
+    g = X.genotypes(spark, sf).select("mid", F.size("dosage").cast("bigint").alias("n"), C.once(C.minor_frequency("dosage", 2)).alias("maf"), "dosage")
+    out = scan.scan(g, scan.covariate_basis(y)).where("beta is not null")
     return out.select("mid", "n", r6("maf").alias("maf"), F.round("beta", 4).alias("beta"), r6("t").alias("t"))
 
 
@@ -364,7 +360,10 @@ select mid, cast(n as bigint) n, round(shared / own, 4) beta, round(shared * sqr
 
 @query(_COV_SQL)
 def glm_scan_covariate(spark, sf):
-    out = scan.covariate_scan_long(X.calls(spark, sf), "mid", c="y2")
+    y, c = _people(spark, sf)
+    ids = X.sample_ids(spark, sf)
+    g = X.genotypes(spark, sf).select("mid", F.size("dosage").cast("bigint").alias("n"), "dosage")
+    out = scan.scan(g, scan.covariate_basis(y, c, ids), samples=ids).where("beta is not null")
     return out.select("mid", "n", F.round("beta", 4).alias("beta"), r6("t").alias("t"))
 
 
@@ -373,15 +372,28 @@ def _people(spark, sf):
     return np.array([r["y"] for r in rows]), np.array([[r["y2"]] for r in rows])
 
 
-@query(_COV_SQL.replace("cast(n as bigint) n, ", ""))
+_LONG_SQL = _COV_SQL.replace("cast(n as bigint) n, ", "")
+
+
+@query(_LONG_SQL)
 def glm_scan_arrays(spark, sf):
-    """The scan on marker rows by matrix products; the same t as the aggregation."""
-    y, c = _people(spark, sf)
-    g = X.genotypes(spark, sf).where(F.size(F.array_distinct("dosage")) > 1)
-    out = scan.scan(g, scan.covariate_basis(y, c))
+    """The scan as one aggregation over long calls; the same t as the matrix products."""
+    out = scan.covariate_scan_long(X.calls(spark, sf), "mid", c="y2")
     return out.select("mid", F.round("beta", 4).alias("beta"), r6("t").alias("t"))
 
 
+_SUMS_SQL = f"""{X.calls_sql()}, t0 as (select mid, any_value(chr) chr, any_value(pos) pos, count(*) n, sum(call) sx, sum(call * call) sxx, sum(y) sy, sum(y * y) syy, sum(call * y) sxy from g group by mid), u0 as (select *, sxx - sx * sx / cast(n as double) xx, syy - sy * sy / n yy, sxy - sx * sy / n xy, least(sx / (2.0 * n), 1 - sx / (2.0 * n)) maf from t0)"""
+
+
+@query(f"""with {_SUMS_SQL}, w as (select mid, n, maf, xy / xx beta, xy * sqrt((n - 2) / (xx * (yy - xy * xy / xx))) t from u0 where maf >= 0.05), p as (select *, {t_tail_sql("t", "n - 2")} p from w), {_BH_SQL}
+select mid, round(maf, 6) maf, round(beta, 4) beta, round(t, 6) t, round(p, 9) p, round(q, 9) q, round(least(p * mm, 1.0), 9) bonferroni from q""")
+def genome_scan_plain(spark, sf):
+    """The genome scan without components."""
+    y, _ = _people(spark, sf)
+    found = pipelines.genome_scan(X.genotypes(spark, sf), y, 0.05, 0)
+    return found.select("mid", r6("maf").alias("maf"), F.round("beta", 4).alias("beta"), r6("t").alias("t"), *[F.round(c, 9).alias(c) for c in ("p", "q", "bonferroni")])
+
+
 @query()
 def genome_scan(spark, sf):
     y, _ = _people(spark, sf)
@@ -395,29 +407,35 @@ def mlm_scan(spark, sf):
     return pipelines.mixed_scan(X.genotypes(spark, sf), y).select("mid", "chr", "pos", "beta", "t", "p", "q", "delta")
 
 
-@query()
+@query(f"""with {_SUMS_SQL}, w as (select mid, n, xy / xx beta, xy * sqrt((n - 2) / (xx * (yy - xy * xy / xx))) t from u0 where maf >= 0.01) select mid, round(beta, 4) beta, round(t, 5) t, round({t_tail_sql("t", "n - 2")}, 8) p from w""")
+def mlm_identity(spark, sf):
+    """The mixed-model scan with an identity kinship, which is the linear scan."""
+    y, _ = _people(spark, sf)
+    found = pipelines.mixed_scan(X.genotypes(spark, sf), y, 0, kinship=np.eye(len(y)))
+    return found.select("mid", F.round("beta", 4).alias("beta"), F.round("t", 5).alias("t"), F.round("p", 8).alias("p"))
+
+
+@query(f"""with {_SUMS_SQL}, w as (select mid, n, xy * sqrt((n - 2) / (xx * (yy - xy * xy / xx))) t from u0 where xx > 1e-9), f as (select mid, t, {t_tail_sql("t", "n - 2")} p, count(*) over () m from w), lead as (select mid lead_mid from f order by abs(t) desc, mid limit 1),
+c as (select sid, call c from g join lead on mid = lead_mid), t1 as (select mid, count(*) n, sum(call) x, sum(y) v, sum(c) w, sum(call*call) xx, sum(y*y) vv, sum(c*c) ww, sum(call*y) xv, sum(call*c) xw, sum(y*c) vw from g join c using (sid) group by mid),
+u1 as (select mid, n, xx - x*x/cast(n as double) xx, vv - v*v/n vv, ww - w*w/n ww, xv - x*v/n xv, xw - x*w/n xw, vw - v*w/n vw from t1), z as (select mid, n, xx - xw*xw/ww own, xv - xw*vw/ww shared, vv - vw*vw/ww yss from u1), k as (select mid, n, shared * sqrt((n - 3) / (own * (yss - shared * shared / own))) t2 from z where own > 1e-9 and mid not in (select lead_mid from lead)),
+k2 as (select mid, {t_tail_sql("t2", "n - 3")} p2 from k)
+select f.mid, round(p, 9) p, round(p2, 9) p_conditional, f.mid = lead_mid lead, p < 0.05 / m significant, p2 < 0.05 / m significant_conditional from f cross join lead left join k2 using (mid)""")
 def conditional_scan(spark, sf):
     y, _ = _people(spark, sf)
-    return pipelines.conditional_scan(X.genotypes(spark, sf).where(F.size(F.array_distinct("dosage")) > 1), y, marker="mid")
+    found = pipelines.conditional_scan(X.genotypes(spark, sf).where(F.size(F.array_distinct("dosage")) > 1), y, marker="mid")
+    return found.withColumn("p", F.round("p", 9)).withColumn("p_conditional", F.round("p_conditional", 9))
 
 
 @query(f"""with {X.P_SQL}, r as (select * from p where chr = 2 and pos between 100000 and 1500000) select mid, round(p, 9) p, p < 0.05 / count(*) over () significant from r""")
 def replicate_region(spark, sf):
-    r = X.p_values(spark, sf).where((F.col("chr") == 2) & F.col("pos").between(100000, 1500000))
-    return testing.bonferroni(r).select("mid", F.round("p", 9).alias("p"), (F.col("bonferroni") < 0.05).alias("significant"))
+    return testing.replicate(X.p_values(spark, sf), 2, 100_000, 1_500_000).select("mid", F.round("p", 9).alias("p"), "significant")
 
 
 # --- structure ---
 
 
-@query("""with v as (select vec_id, unnest(embedding) x, generate_subscripts(embedding, 1) d from embeddings where vec_id < 100) select a.d - 1 a, b.d - 1 b, round(corr(a.x, b.x) * corr(a.x, b.x), 6) r2, cast(count(*) as bigint) n from v a join v b on a.vec_id = b.vec_id and a.d < b.d and b.d - a.d <= 5 group by a.d, b.d""")
+@query("""with v as (select vec_id, unnest(embedding) x, generate_subscripts(embedding, 1) d from embeddings) select a.d - 1 a, b.d - 1 b, round(corr(a.x, b.x) * corr(a.x, b.x), 6) r2, cast(count(*) as bigint) n from v a join v b on a.vec_id = b.vec_id and a.d < b.d and b.d - a.d <= 5 group by a.d, b.d""")
 def ld_pairs(spark, sf):
-    return _embedding_ld(X.table(spark, sf, "embeddings").where("vec_id < 100"))
-
-
-@query()
-def ld_pairs_whole(spark, sf):
-    """ld_pairs over all vectors."""
     return _embedding_ld(X.table(spark, sf, "embeddings"))
 
 
@@ -427,35 +445,32 @@ def _embedding_ld(embeddings):
     return structure.ld_pairs(long, 5).select("a", "b", r6("r2").alias("r2"), "n")
 
 
-@query(f"""with {X.calls_sql()}, x as (select mid, chr, pos, sid, call from g where mid < 300), c as (select a.mid a, b.mid b, abs(a.pos - b.pos) d, corr(a.call, b.call) r from x a join x b on a.sid = b.sid and a.chr = b.chr and a.mid < b.mid and abs(a.pos - b.pos) <= 50000 group by all)
+@query(f"""with {X.calls_sql()}, x as (select mid, chr, pos, sid, call from g), c as (select a.mid a, b.mid b, abs(a.pos - b.pos) d, corr(a.call, b.call) r from x a join x b on a.sid = b.sid and a.chr = b.chr and a.mid < b.mid and abs(a.pos - b.pos) <= 50000 group by all)
 select cast(case when d < 5000 then 0 when d < 20000 then 1 else 2 end as int) bin, cast(count(*) as bigint) pairs, round(median(r * r), 6) median_r2 from c where d < 50000 and r is not null and not isnan(r) group by 1""")
 def ld_by_distance(spark, sf):
-    return _marker_ld(X.genotypes(spark, sf).where("mid < 300"))
+    return _marker_ld(X.genotypes(spark, sf))
 
 
-@query()
-def ld_by_distance_whole(spark, sf):
-    """ld_by_distance over all markers."""
-    return _marker_ld(X.genotypes(spark, sf))
+@query(f"""with {X.calls_sql()}, x as (select mid, pos, sid, call from g where chr = 2 and pos between 100000 and 160000), c as (select a.mid a, b.mid b, corr(a.call, b.call) r from x a join x b on a.sid = b.sid group by all), o as (select mid, row_number() over (order by pos, mid) - 1 place, case when mid % 4 = 0 then cast(mid as varchar) else '' end label from (select distinct mid, pos from x))
+select cast(i.place as bigint) i, cast(j.place as bigint) j, round(case when a = b then 1 when isnan(r) then null else r * r end, 6) r2, i.label label_i, j.label label_j from c join o i on i.mid = a join o j on j.mid = b""")
+def ld_heat_map(spark, sf):
+    m = X.genotypes(spark, sf).where("chr = 2 and pos between 100000 and 160000")
+    cells = reports.ld_map(structure.ld_pairs_arrays(m, 60_000, "mid"), m, m.where("mid % 4 = 0"), "mid")
+    return cells.select(F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), r6("r2").alias("r2"), "label_i", "label_j")
 
 
 def _marker_ld(m):
     return structure.ld_by_distance(structure.ld_pairs_arrays(m, 50_000, "mid"), [0, 5_000, 20_000, 50_000]).withColumn("median_r2", r6("median_r2"))
 
 
-@query(f"""with {X.calls_sql()}, f as (select mid, sum(call) / (2.0 * count(*)) p from g group by mid), z as (select mid, sid, call - 2 * p z from g join f using (mid) where sid < 40), w as (select sum(2 * p * (1 - p)) w from f) select a.sid i, b.sid j, round(sum(a.z * b.z) / any_value(w), 6) k from z a join z b using (mid), w group by a.sid, b.sid""")
+@query(f"""with {X.calls_sql()}, f as (select mid, sum(call) / (2.0 * count(*)) p from g group by mid), z as (select mid, sid, call - 2 * p z from g join f using (mid)), w as (select sum(2 * p * (1 - p)) w from f) select a.sid i, b.sid j, round(sum(a.z * b.z) / any_value(w), 6) k from z a join z b using (mid), w group by a.sid, b.sid""")
 def kinship_vanraden(spark, sf):
-    return _kinship_cells(spark, sf, 40)
-
-
-@query()
-def kinship_vanraden_whole(spark, sf):
     """All cells of the matrix; ids are the samples'."""
     return _kinship_cells(spark, sf)
 
 
-def _kinship_cells(spark, sf, most=None):
-    ids = [r["sid"] for r in X.samples(spark, sf).select("sid").orderBy("sid").collect()][:most]
+def _kinship_cells(spark, sf):
+    ids = X.sample_ids(spark, sf)
     k = structure.kinship_vanraden(X.genotypes(spark, sf))
     cells = [(i, j, float(k[a, b])) for a, i in enumerate(ids) for b, j in enumerate(ids)]
     return spark.createDataFrame(cells, "i bigint, j bigint, k double").withColumn("k", r6("k"))
@@ -543,8 +558,8 @@ def qq_points(spark, sf):
 @query(f"""with {X.MAP_SQL}, {X.LOCI_SQL}, t as (select mid, chr, pos, rank() over (order by thr desc, mid) k from m), b as (select * from t where k <= 200), d as (select locus_id, b.k, b.mid, abs(b.pos - locus_pos) d, row_number() over (partition by locus_id order by abs(b.pos - locus_pos), b.k) rn from l left join b on b.chr = l.chr)
 select 'RF' "list", locus_id, case when d <= 100000 then cast(k as double) end "rank", cast(d as bigint) distance, mid marker, case when d is null then 'no marker on chromosome' when d <= 100000 then 'near' else 'not in top list' end status from d where rn = 1""")
 def posthoc_nearest(spark, sf):
-    w = Window.orderBy(F.desc("thr"), "mid")
-    top = X.marker_map(spark, sf).withColumn("rank", F.row_number().over(w)).where("rank <= 200").withColumnRenamed("mid", "marker_id")
+    top = testing.sequence_rank(X.marker_map(spark, sf), [F.col("thr"), F.asc("mid")], "rank").where("rank <= 200").withColumnRenamed("mid", "marker_id")
+    top = top.withColumn("rank", F.col("rank").cast("int"))
     return reports.nearest_loci(X.loci(spark, sf), {"RF": top})
 
 
@@ -552,19 +567,13 @@ def posthoc_nearest(spark, sf):
 select mid, cast(k as bigint) final_rank, k <= 50 in_top, coalesce((select min(abs(b.pos - c.pos)) <= 60000 from t b where b.k <= 50 and b.chr = c.chr), false) any_top_within, cast((select min(abs(b.pos - c.pos)) from t b where b.k <= 50 and b.chr = c.chr) as bigint) best_top_distance from c""")
 def causal_recovery(spark, sf):
     m = X.marker_map(spark, sf)
-    ranked = m.withColumn("k", F.row_number().over(Window.orderBy(F.desc("thr"), "mid")).cast("bigint")).select("mid", "chr", "pos", "k")
+    ranked = testing.sequence_rank(m, [F.col("thr"), F.asc("mid")], "k").select("mid", "chr", "pos", "k")
     out = reports.causal_recovery(m.where("mid % 97 = 0").select("mid", "chr", "pos"), ranked, "k", 50, 60_000, "mid")
     return out.select("mid", "final_rank", "in_top", "any_top_within", "best_top_distance")
 
 
-@query("""select event_id, 'a' model, value r2 from events where event_id < 500 union all select event_id, 'b', value / 2 from events where event_id < 500""")
+@query("""select event_id, 'a' model, value r2 from events union all select event_id, 'b', value / 2 from events""")
 def long_records(spark, sf):
-    return _long_records(X.table(spark, sf, "events").where("event_id < 500"))
-
-
-@query()
-def long_records_whole(spark, sf):
-    """long_records over all events."""
     return _long_records(X.table(spark, sf, "events"))
 
 
@@ -585,19 +594,18 @@ def window_list(spark, sf):
     return w.select("region_id", "chr", F.col("lo").cast("int").alias("lo"), F.col("hi").cast("int").alias("hi"), "kind")
 
 
-@query(f"""with {X.MAP_SQL}, t as (select mid, row_number() over (order by thr desc, mid) k from m), c as (select k, row_number() over (order by k) i, count(*) over () n from t where mid % 97 = 0) select cast(i as bigint) i, round(i / (n + 1.0), 6) expected, round(k / 2000.0, 6) observed from c""")
+@query(f"""with {X.MAP_SQL}, t as (select mid, row_number() over (order by thr desc, mid) k from m), c as (select k, row_number() over (order by k) i, count(*) over () n from t where mid % 97 = 0) select cast(i as bigint) i, round(i / (n + 1.0), 6) expected, round(k / (select count(*) from m)::double, 6) observed from c""")
 def rank_quantiles(spark, sf):
-    m = X.marker_map(spark, sf).withColumn("k", F.row_number().over(Window.orderBy(F.desc("thr"), "mid")))
-    out = reports.rank_quantiles(m.where("mid % 97 = 0"), "k", 2000)
+    m = testing.sequence_rank(X.marker_map(spark, sf), [F.col("thr"), F.asc("mid")], "k")
+    out = reports.rank_quantiles(m.where("mid % 97 = 0"), "k", m.count())
     return out.select(F.col("i").cast("bigint").alias("i"), r6("expected").alias("expected"), r6("observed").alias("observed"))
 
 
 @query(f"""with {X.P_SQL}, m2 as (select count(*) n from p) select mid, case when p < 0.05 / n then 'Chr' || chr || '_' || pos else '' end label, case when pos between 500000 and 700000 then true else false end in_gene, round(-log10(greatest(p, 1e-300)), 6) y from p, m2 where chr = 3 and pos between 300000 and 900000""")
 def regional_zoom(spark, sf):
     """A region's points with labels of significant ones and the gene's span."""
-    p = testing.bonferroni(X.p_values(spark, sf))
-    r = p.where((F.col("chr") == 3) & F.col("pos").between(300000, 900000))
-    return r.select("mid", F.when(F.col("bonferroni") < 0.05, C.short_id("chr", "pos")).otherwise("").alias("label"), F.col("pos").between(500000, 700000).alias("in_gene"), r6(-F.log10(F.greatest("p", F.lit(1e-300)))).alias("y"))
+    r = reports.regional(X.p_values(spark, sf), 3, (300_000, 900_000), (500_000, 700_000))
+    return r.select("mid", "label", "in_gene", r6("y").alias("y"))
 
 
 @query(f"""with {X.MAP_SQL}, l(chr, len) as (values (1, 5000000), (3, 7000000)) select chr, cast(coalesce(any_value(len), floor(max(pos) * 1.05)) as bigint) length from m left join l using (chr) group by chr""")
@@ -608,8 +616,8 @@ def chromosome_lengths(spark, sf):
 
 @query("""select cast(p_partkey % 3 as int) fold, p_size block, cast(count(*) as bigint) n_screened, cast(sum(case when p_retailprice > 1500 then 1 else 0 end) as bigint) n_selected from part group by all""")
 def screening_log(spark, sf):
-    p = X.table(spark, sf, "part")
-    return p.groupBy((F.col("p_partkey") % 3).cast("int").alias("fold"), F.col("p_size").alias("block")).agg(F.count("*").alias("n_screened"), F.count_if(F.col("p_retailprice") > 1500).alias("n_selected"))
+    p = X.table(spark, sf, "part").select((F.col("p_partkey") % 3).cast("int").alias("fold"), F.col("p_size").alias("block"), "p_retailprice")
+    return ml.screening_log(p, ["fold", "block"], F.col("p_retailprice") > 1500)
 
 
 # --- generators ---
@@ -650,10 +658,70 @@ def synthetic_benchmark(spark, sf):
     return reports.causal_recovery(truth, ranked, "k", 50)
 
 
-@query()
+@query(f"""with x as (select c_custkey, c_acctbal / 2000 t from customer) select c_custkey, round({t_tail_sql("t", "491")}, 9) p from x""")
 def t_p_values(spark, sf):
     t = X.table(spark, sf, "customer").select("c_custkey", (F.col("c_acctbal") / 2000).alias("t"))
-    return t.select("c_custkey", D.t_two_sided(F.col("t"), 491).alias("p"))
+    return t.select("c_custkey", F.round(D.t_two_sided(F.col("t"), 491), 9).alias("p"))
+
+
+@query(f"""with {X.P_SQL}, c as (select p, count(*) n from p group by p), k as (select *, sum(n) over (order by p) - (n - 1) / 2.0 r, sum(n) over () m from c), o as (select round(p, 9) p, -log10((r - 0.5) / m) e, -log10(greatest(p, 1e-300)) b from k) select p, round(e, 6) expected, round(b, 6) observed from o where e <= 1.5 and b <= 2""")
+def qq_zoom(spark, sf):
+    return reports.zoom_pairs(reports.qq(X.p_values(spark, sf)), 1.5, 2.0).select(F.round("p", 9).alias("p"), r6("expected").alias("expected"), r6("observed").alias("observed"))
+
+
+@query(f"""with {X.MAP_SQL}, c as (select chr, max(pos) len from m group by chr), o as (select chr, sum(len) over (order by chr) - len off from c), v as (select p_partkey mid, p_retailprice from part), b as (select min(p_retailprice) threshold from (select p_retailprice from part order by p_retailprice desc limit 50)) select mid, cast(off + pos as bigint) x, threshold, p_retailprice >= threshold in_top, mid % 97 = 0 planted from m join o using (chr) join v using (mid), b""")
+def importance_points(spark, sf):
+    price = X.table(spark, sf, "part").select(F.col("p_partkey").alias("mid"), "p_retailprice")
+    m = X.marker_map(spark, sf).join(price, "mid")
+    out = reports.importance_manhattan(m, "p_retailprice", m.where("mid % 97 = 0"), 50, "mid")
+    return out.select("mid", "x", "threshold", "in_top", "planted")
+
+
+_SCORED_SQL = "e as (select event_id, cast(user_id % 5 as int) fold, value y, value * 0.9 + user_id % 7 rf, value * 0.8 + 3 gb from events)"
+
+
+def _scored(spark, sf):
+    return X.table(spark, sf, "events").select("event_id", (F.col("user_id") % 5).cast("int").alias("fold"), F.col("value").alias("y"), (F.col("value") * 0.9 + F.col("user_id") % 7).alias("rf"), (F.col("value") * 0.8 + 3).alias("gb"))
+
+
+@query(f"""with {_SCORED_SQL}, s as (select round(1 - sum((y - rf) * (y - rf)) / (sum(y * y) - sum(y) * sum(y) / count(*)), 6) r2 from e) select y actual, round(rf, 6) predicted, round(y - rf, 6) residual, r2 from e, s""")
+def predicted_points(spark, sf):
+    return reports.predicted_vs_actual(_scored(spark, sf), "y", "rf").select("actual", r6("predicted").alias("predicted"), r6("residual").alias("residual"), r6("r2").alias("r2"))
+
+
+@query(f"""with {_SCORED_SQL}, l as (select fold, y, unnest(['rf', 'gb']) model, unnest([rf, gb]) p from e) select model, fold, round(1 - sum((y - p) * (y - p)) / (sum(y * y) - sum(y) * sum(y) / count(*)), 6) r2 from l group by model, fold""")
+def fold_bars(spark, sf):
+    """Bars of the models that the table has; a third one's column is absent."""
+    return reports.fold_scores(_scored(spark, sf), "y", ["rf", "gb", "pc_only"]).select("model", "fold", r6("r2").alias("r2"))
+
+
+@query("""select cast(chr as int) chr, cast(length as bigint) length from (values (1, 30427613), (2, 19697717), (3, 23459627), (4, 18585004), (5, 26975377)) t(chr, length)""")
+def plant_chromosomes(spark, sf):
+    return simulate.reference_chromosomes(spark, "plant").select("chr", "length")
+
+
+@query()
+def leaky_two_stage(spark, sf):
+    m, y = _ml_data(spark, sf)
+    pool, refined = pipelines.leaky_two_stage(m, y, 3, 3, stage1=(15, 10), stage2=(20, 15))
+    return refined.where("kind = 'prediction'").select("fold", F.col("key").cast("int").alias("sample_idx"), "rf", "gb").crossJoin(F.broadcast(pool.agg(F.count("*").alias("n_pool"))))
+
+
+@query()
+def predict_and_refit(spark, sf):
+    m, y = _ml_data(spark, sf)
+    return pipelines.predict_and_refit(qc.thin_every(m, 10, ["chr"], ["pos"]), y, 3, trees=(15, 10))
+
+
+@query()
+def multi_seed_validation(spark, sf):
+    import uuid
+
+    from ..sources.stored import shared_folder
+
+    path = f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}"
+    scenarios = {"blind": {"chromosomes": [(1, 300_000, 60, 2)], "causal": 3}, "linked": {"chromosomes": [(1, 300_000, 60, 2)], "causal": 3, "linked": True, "bins": simulate.plant_maf_bins()}}
+    return pipelines.multi_seed_validation(spark, path, scenarios, [1, 2], 60, keep=5, stage1=(6, 5), stage2=(8, 6))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

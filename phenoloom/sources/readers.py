@@ -42,6 +42,20 @@ def wide_markers(df: DataFrame, id_column: str, samples: list[str] | None = None
     return df.select(F.col(id_column).cast("string").alias("marker_id"), F.array(*[F.col(f"`{s}`").cast("tinyint") for s in samples]).alias("dosage"))
 
 
+def select_markers(df: DataFrame, wanted: list[str], keys: list[str]) -> DataFrame:
+    """Key columns and, in the order asked for, those of the wanted marker columns that the table has."""
+    there = set(df.columns)
+    return df.select(*[F.col(f"`{c}`") for c in [*keys, *(w for w in wanted if w in there and w not in keys)]])
+
+
+def mapped_columns(df: DataFrame, mapping: dict[str, str], optional: tuple[str, ...] = ()) -> DataFrame:
+    """Columns by their names in this run: {our name: its name}. A column that is absent is an error, or left out if optional."""
+    lost = [theirs for ours, theirs in mapping.items() if theirs not in df.columns and ours not in optional]
+    if lost:
+        raise ValueError(f"columns that the table does not have: {lost}")
+    return df.select(*[F.col(f"`{theirs}`").alias(ours) for ours, theirs in mapping.items() if theirs in df.columns])
+
+
 def labelled_matrix(df: DataFrame) -> DataFrame:
     """A square table with row names in its first column to long (i, j, value)."""
     key, names = df.columns[0], df.columns[1:]
@@ -143,8 +157,21 @@ def read_npz(spark: SparkSession, path: str, key: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(work, "file string, row bigint, values array<string>")
 
 
-def read_hdf5_rows(spark: SparkSession, path: str, dataset: str, rows_per_task: int = 4096) -> DataFrame:
-    """(row, dosage) of a two-dimensional HDF5 dataset on a path that all executors share. Needs h5py."""
+def read_hdf5_attribute(path: str, name: str, dataset: str | None = None):
+    """An attribute of an HDF5 file or of one of its datasets, as Python values. Needs h5py."""
+    try:
+        import h5py
+    except ImportError as e:
+        raise RuntimeError("reading HDF5 needs the h5py package") from e
+
+    with h5py.File(path) as f:
+        value = (f[dataset] if dataset else f).attrs[name]
+        return value.tolist() if hasattr(value, "tolist") else value
+
+
+def read_hdf5_rows(spark: SparkSession, path: str, dataset: str, rows_per_task: int = 4096, columns: list[int] | None = None) -> DataFrame:
+    """(row, dosage) of a two-dimensional HDF5 dataset on a path that all executors share, all its columns or the given ones in
+    their order. Needs h5py."""
     try:
         import h5py
     except ImportError as e:
@@ -159,6 +186,7 @@ def read_hdf5_rows(spark: SparkSession, path: str, dataset: str, rows_per_task:
             with h5py.File(path) as f:
                 for start in pdf["id"]:
                     a = f[dataset][start : start + rows_per_task]
+                    a = a if columns is None else a[:, columns]
                     yield pd.DataFrame({"row": range(start, start + len(a)), "dosage": list(a.astype("int8"))})
 
     return spark.range(0, n, rows_per_task).mapInPandas(work, "row bigint, dosage array<tinyint>")

@@ -25,7 +25,7 @@ def test_vcf(spark, tmp_path):
     window = readers.window_records(readers.read_vcf(spark, path), "2", 300, 400)
     assert [r["pos"] for r in window.collect()] == [400]
     with pytest.raises(Exception, match="disagrees"):
-        readers.genotypes_from_vcf(readers.read_vcf(spark, path), annotation="AF", low=0.0).collect() if False else readers.genotypes_from_vcf(readers.read_vcf(spark, path).withColumn("info", F.lit("MAF_X=0.3")), annotation="MAF_X").collect()
+        readers.genotypes_from_vcf(readers.read_vcf(spark, path).withColumn("info", F.lit("MAF_X=0.3")), annotation="MAF_X").collect()
 
 
 def test_delimited_and_wide(spark, tmp_path):
