@@ -2,6 +2,13 @@
 
 Every stage has its own row of decisions: toxic documents go, one document of each near-duplicate group stays, passages
 that repeat an earlier document's are cut, sources are mixed to their target weights, and what is left is encoded.
+
+Defined cases, for every stage: an empty table gives an empty table of the same columns; further columns, whatever their
+names, are passed on by all stages but the last; very long texts are read whole. Null texts have no match, no shingle and
+no passage, so the first three stages keep them; they have size 0 and are taken once, and are encoded as empty. Rows
+without doc_id are rows like others, but no passage is looked for in them. Rows that repeat an id and a text are one
+document to near_duplicates, which keeps one of them, and are further rows to all other stages. Where two documents are
+alike, the one with the smaller id stays.
 """
 
 from __future__ import annotations
