@@ -5,15 +5,19 @@ subsequences of at least LEAST words into compact windows: all subsequences of a
 the window's root. Documents with a passage in common thus meet at the root that the passage has, for each of HASHES
 functions; there are about 2n/LEAST windows for each, not n^2.
 
+0. Documents with equal texts are one class; its smallest id stands for it until the end.
 1. One Arrow pass writes the windows (root's hash, document, left, right).
 2. Windows with the same root are linked to the smallest document among them, one pair for each row, never all pairs; the
    smallest is found by an aggregation, so a passage that everybody holds needs no single task.
 3. For each pair of documents, stretches covered by windows of at least NEEDED hash functions are candidates.
 4. Candidates are confirmed on the texts: runs of equal shingles at a steady distance are chained over small gaps while
    the shingle sets of both sides keep a similarity of 0.75; passages of LEAST words or more count.
-5. Windows that no confirmed passage explains are linked again among themselves, without the document that misled them.
-6. Whatever smaller document took their roots, exact repeats are complete: in all windows that share a root, every run of
-   LEAST words is linked to its smallest holder, and the links that no confirmed passage covers are confirmed as well.
+5. Whatever smaller document took their roots, exact repeats are complete: in all windows that share a root, every run of
+   LEAST words that is not yet known to stand in a smaller document is linked to its smallest holder. The smallest holder
+   of a run is never known to stand in a smaller one, so all holders come together.
+6. Windows that no confirmed passage explains look for others: a window that was compared gets a new root, the least
+   shingle that the document it was compared with does not hold, so a line that many documents share brings each of them
+   to one comparison only; the others go on without the smallest document. Rounds end when one confirms no passage.
 
 In every passage the smallest document is the first; the others hold a repeat, which `cut_repeats` takes out.
 
@@ -31,10 +35,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS, WordHashes, materialise, mix64, shingle_hashes, slices, words_of
+from .common import WORDS, WordHashes, discard, materialise, mix64, shingle_hashes, slices, words_of
 from .minhash_dedup import components
 
-WIDTH, LEAST, HASHES, NEEDED, ROUNDS = 5, 50, 4, 2, 2
+WIDTH, LEAST, HASHES, NEEDED = 5, 50, 4, 2
 #: Gap in shingles that a chain may bridge: two words that differ near each other.
 GAP = 12
 PERCENT = 75
@@ -65,7 +69,7 @@ def windows_of(shingles: np.ndarray, least: int, hashes: int, seed: int = 5) ->
         # Equal shingles are told apart by place, so that a text that repeats one line still splits evenly.
         place = mix64(np.arange(len(shingles), dtype=np.uint64)) & np.uint64(0xFFFFF)
         for k in range(hashes):
-            v = mix64(shingles ^ np.uint64((seed * 1_000_003 + k) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+            v = function_values(shingles, k, seed)
             found = np.array(compact_windows((v & ~np.uint64(0xFFFFF)) | place, least)).reshape(-1, 3)
             keys.append((v[found[:, 1]] & ~np.uint64(7)) | np.uint64(k))
             lefts.append(found[:, 0])
@@ -161,24 +165,53 @@ def _chains(a: np.ndarray, b: np.ndarray, runs: list[list[int]], least: int, per
     return found
 
 
-def passages(a: np.ndarray, owner: Owner, allowed: np.ndarray, least: int, percent: int = PERCENT, gap: int = GAP) -> list[tuple[int, int, int, int]]:
-    """(start, end, start there, end there) in shingles of the confirmed passages of a, `least` shingles or more."""
-    b, first = owner.shingles, owner.places(a)
+def matches(a: np.ndarray, owner: Owner, first: np.ndarray, allowed: np.ndarray, least: int, percent: int = PERCENT, gap: int = GAP) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]]]:
+    """Confirmed passages of a (start, end, start there, end there), and the (start, end) of its runs that the other text holds word by word; `least` shingles or more."""
+    b = owner.shingles
     at = np.flatnonzero((first >= 0) & allowed)
     if len(at) < least * percent // 200:
-        return []
+        return [], []
     apart, jumps = np.diff(at) != 1, np.diff(first[at] - at) != 0
     if not (jumps & ~apart).any():
         # No shingle of these stands in two places there: runs are where neighbours stay neighbours.
         starts = np.r_[0, np.flatnonzero(apart) + 1]
         ends = np.r_[starts[1:], len(at)]
         runs = [[int(at[s]), int(at[e - 1]) + 1, int(first[at[s]])] for s, e in zip(starts, ends, strict=True)]
-        return sorted(_chains(a, b, runs, least, percent, gap))
-    found = _chains(a, b, _runs(a, first, b, allowed), least, percent, gap)
-    # The same from behind, for runs whose beginning stands more than once in the other text.
-    turned = Owner(b[::-1])
-    back = [[len(a) - e, len(a) - s, len(b) - t - (e - s)] for s, e, t in _runs(a[::-1], turned.places(a[::-1]), turned.shingles, allowed[::-1])][::-1]
-    return sorted(found | _chains(a, b, back, least, percent, gap))
+        back = []
+    else:
+        runs = _runs(a, first, b, allowed)
+        # The same from behind, for runs whose beginning stands more than once in the other text.
+        turned = Owner(b[::-1])
+        back = [[len(a) - e, len(a) - s, len(b) - t - (e - s)] for s, e, t in _runs(a[::-1], turned.places(a[::-1]), turned.shingles, allowed[::-1])][::-1]
+    found = _chains(a, b, runs, least, percent, gap) | _chains(a, b, back, least, percent, gap)
+    return sorted(found), sorted({(s, e) for s, e, _ in [*runs, *back] if e - s >= least})
+
+
+def passages(a: np.ndarray, owner: Owner, allowed: np.ndarray, least: int, percent: int = PERCENT, gap: int = GAP) -> list[tuple[int, int, int, int]]:
+    """(start, end, start there, end there) in shingles of the confirmed passages of a, `least` shingles or more."""
+    return matches(a, owner, owner.places(a), allowed, least, percent, gap)[0]
+
+
+def function_values(shingles: np.ndarray, k: int, seed: int = 5) -> np.ndarray:
+    """Values of hash function k."""
+    return mix64(shingles ^ np.uint64((seed * 1_000_003 + k) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+
+
+def new_roots(shingles: np.ndarray, first: np.ndarray, found: list[tuple[int, int, int, int]], keys: np.ndarray, lefts: np.ndarray, rights: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """(key, left, right) of windows that no passage found explains, at the next root that the other document does not hold."""
+    out = []
+    values: dict[int, np.ndarray] = {}
+    for key, left, right in zip(keys.view(np.uint64).tolist(), lefts.tolist(), rights.tolist(), strict=True):
+        if right >= len(shingles) or any(min(e, right + 1) - max(s, left) >= least for s, e, _, _ in found):
+            continue
+        k = key & 7
+        if k not in values:
+            values[k] = np.where(first < 0, function_values(shingles, k) & ~np.uint64(7), np.uint64(0))
+        there = values[k][left : right + 1]
+        there = there[there > np.uint64(key - k)]
+        if len(there):
+            out.append((int(there.min()) | k, left, right))
+    return out
 
 
 def window_rows(df: DataFrame, text: str, doc_id: str, least: int, hashes: int) -> DataFrame:
@@ -204,67 +237,139 @@ def _texts(df: DataFrame, ids: DataFrame, text: str, doc_id: str) -> DataFrame:
     return df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where("text is not null").join(F.broadcast(ids) if few else ids, "id", "left_semi")
 
 
-def confirm(pairs: DataFrame, df: DataFrame, text: str, doc_id: str, least: int, needed: int) -> DataFrame:
-    """(node, digest, owner, owner_digest, start, end, owner_start, owner_end) in words, for pairs (node, owner, windows)."""
-    ids = materialise(pairs.select(F.col("node").alias("id")).union(pairs.select("owner")).distinct(), "ids")
-    texts = materialise(_texts(df, ids, text, doc_id), "texts")
+FOUND = ["node", "digest", "owner", "owner_digest", "start", "end", "owner_start", "owner_end", "exact"]
+CONFIRMED = "node bigint, digest bigint, owner bigint, owner_digest bigint, start int, end int, owner_start int, owner_end int, exact array<struct<start:int,end:int>>, key bigint, l int, r int"
+
+
+def confirm(pairs: DataFrame, df: DataFrame, text: str, doc_id: str, least: int, needed: int, again: bool) -> DataFrame:
+    """Passages in words, for pairs (node, owner, windows); `exact` are the spans that the owner holds word by word.
+
+    With `again`, also rows of key, node, l and r: the new roots of windows that the pair's passages do not explain.
+    """
+    ids = pairs.select(F.col("node").alias("id")).union(pairs.select("owner")).distinct()
+    texts = materialise(_texts(df, materialise(ids, "ids"), text, doc_id), "texts")
     mine, theirs = texts.select(F.col("id").alias("node"), F.col("text").alias("text")), texts.select(F.col("id").alias("owner"), F.col("text").alias("owner_text"))
     both = pairs.join(mine, "node").join(theirs, "owner").select("owner", "owner_text", "node", "text", "windows", F.xxhash64("text").alias("digest"), F.xxhash64("owner_text").alias("owner_digest"))
+    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    kinds = [pa.int64()] * 4 + [pa.int32()] * 4 + [span, pa.int64(), pa.int32(), pa.int32()]
+    names = [*FOUND, "key", "l", "r"]
+
+    def table(rows: list[tuple], columns: list[str]) -> pa.RecordBatch:
+        have = dict(zip(columns, zip(*rows, strict=True), strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(have[c], kind) if c in have else pa.nulls(len(rows), kind) for c, kind in zip(names, kinds, strict=True)], names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        last_key, owner, owner_text = None, None, None
+        last_key, owner, size = None, None, least - WIDTH + 1
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
                 rows: list[tuple] = []
-                owners, owner_digests = batch.column(0).to_pylist(), batch.column(6).to_pylist()
+                left_over: list[tuple] = []
+                owners, owner_digests, nodes, digests = (batch.column(c).to_pylist() for c in (0, 6, 2, 5))
                 for k in range(batch.num_rows):
                     if last_key != (owners[k], owner_digests[k]):
-                        last_key, owner_text = (owners[k], owner_digests[k]), batch.column(1)[k].as_py()
-                        owner = Owner(shingle_hashes(known.array(words_of(owner_text)), WIDTH))
-                    text = batch.column(3)[k].as_py()
-                    words = words_of(text)
-                    if text == owner_text and len(words) >= least:  # a copy is one passage
-                        rows.append((batch.column(2)[k].as_py(), batch.column(5)[k].as_py(), owners[k], owner_digests[k], 0, len(words), 0, len(words)))
-                        continue
+                        last_key = (owners[k], owner_digests[k])
+                        owner = Owner(shingle_hashes(known.array(words_of(batch.column(1)[k].as_py())), WIDTH))
+                    words = words_of(batch.column(3)[k].as_py())
                     a = shingle_hashes(known.array(words), WIDTH)
-                    if len(words) < least or len(owner.shingles) < least - WIDTH + 1:
+                    if len(words) < least:
                         continue
-                    w = np.asarray(batch.column(4)[k].values, np.int64)
-                    functions, lefts, rights = unpacked(w)
+                    keys, lefts, rights = (np.asarray(c) for c in batch.column(4)[k].values.flatten())
                     inside = lefts < len(a)  # windows of another text with the same id
-                    allowed = covered(lefts[inside], rights[inside], functions[inside], len(a), needed)
-                    for s, e, t, f in passages(a, owner, allowed, least - WIDTH + 1):
-                        rows.append((batch.column(2)[k].as_py(), batch.column(5)[k].as_py(), owners[k], owner_digests[k], s, e + WIDTH - 1, t, f + WIDTH - 1))
+                    keys, lefts, rights = keys[inside], lefts[inside], rights[inside]
+                    allowed = covered(lefts, rights, keys & 7, len(a), needed)
+                    first = owner.places(a)
+                    found, equal = matches(a, owner, first, allowed, size)
+                    for s, e, t, f in found:
+                        exact = [(max(s, x), min(e, y) + WIDTH - 1) for x, y in equal if min(e, y) - max(s, x) >= size]
+                        rows.append((nodes[k], digests[k], owners[k], owner_digests[k], s, e + WIDTH - 1, t, f + WIDTH - 1, [{"start": x, "end": y} for x, y in exact]))
+                    if again:
+                        for key, x, y in new_roots(a, first, found, keys, lefts, rights, size):
+                            left_over.append((key - (1 << 64) if key >> 63 else key, nodes[k], x, y))
                 if rows:
-                    names = ["node", "digest", "owner", "owner_digest", "start", "end", "owner_start", "owner_end"]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 4 else pa.int32()) for i, c in enumerate(zip(*rows, strict=True))], names)
+                    yield table(rows, FOUND)
+                if left_over:
+                    yield table(left_over, ["key", "node", "l", "r"])
+
+    # Written at once, so that the texts can go.
+    out = materialise(both.mapInArrow(work, CONFIRMED), "confirmed")
+    discard(texts)
+    return out
+
+
+def compared(hits: DataFrame, needed: int) -> DataFrame:
+    """(node, owner, windows): pairs of documents that share roots of at least `needed` functions."""
+    pairs = hits.where("node <> owner").groupBy("node", "owner").agg(F.collect_set(F.struct("key", "l", "r")).alias("windows"))
+    return pairs.where(F.size(F.array_distinct(F.transform("windows", lambda w: w["key"].bitwiseAND(7)))) >= needed)
+
+
+def with_owner(windows: DataFrame) -> DataFrame:
+    """Windows whose root another document has too, with the smallest such document."""
+    shared = windows.groupBy("key").agg(F.min("node").alias("owner"), F.max("node").alias("last")).where("owner < last").select("key", "owner")
+    return windows.join(shared, "key")
 
-    return both.mapInArrow(work, "node bigint, digest bigint, owner bigint, owner_digest bigint, start int, end int, owner_start int, owner_end int")
 
+def unexplained(windows: DataFrame, found: DataFrame, least: int) -> DataFrame:
+    """Windows (key, node, l, r) without a passage of their document with `least` words in them."""
+    spans = found.groupBy("node").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    inside = F.exists("spans", lambda s: F.least(s["end"] - (WIDTH - 1), F.col("r") + 1) - F.greatest(s["start"], F.col("l")) >= least - WIDTH + 1)
+    return windows.join(spans, "node", "left").where(~F.coalesce(inside, F.lit(False))).select("key", "node", "l", "r")
 
-def repeated_passages(df: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = LEAST, hashes: int = HASHES, needed: int = NEEDED, rounds: int = ROUNDS) -> DataFrame:
+
+def copies_of(df: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """(node, digest, owner): documents whose whole text a smaller one has."""
+    rows = df.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("__text")).where("node is not null and __text is not null")
+    rows = materialise(rows.select("node", F.xxhash64("__text").alias("digest"), F.xxhash64(F.lit(1), "__text").alias("second")), "digests")
+    owners = rows.groupBy("digest", "second").agg(F.min("node").alias("owner"), F.max("node").alias("last")).where("owner < last").select("digest", "second", "owner")
+    copies = materialise(rows.join(owners, ["digest", "second"]).where("owner < node").select("node", "digest", "owner").distinct(), "copies")
+    discard(rows)
+    return copies
+
+
+def repeated_passages(df: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = LEAST, hashes: int = HASHES, needed: int = NEEDED) -> DataFrame:
     """Confirmed passages: node holds at [start, end) words what owner, a smaller id, holds at [owner_start, owner_end)."""
-    windows = materialise(window_rows(df, text, doc_id, least, hashes), "windows")
-    found = every = None
-    for n in range(rounds):
-        shared = windows.groupBy("key").agg(F.min("node").alias("owner"), F.max("node").alias("last")).where("owner < last").select("key", "owner")
-        hits = windows.join(shared, "key")
-        if n + 1 < rounds or every is None:
-            hits = materialise(hits, "hits")
-        every = hits if every is None else every
-        hits = hits.where("node <> owner")
-        pairs = hits.groupBy("node", "owner").agg(F.collect_set(packed_window()).alias("windows"))
-        pairs = materialise(pairs.where(F.size(F.array_distinct(F.transform("windows", lambda w: w.bitwiseAND(7)))) >= needed), "pairs")
-        here = materialise(confirm(pairs, df, text, doc_id, least, needed), "passages")
+    copies = copies_of(df, text, doc_id)
+    few = copies.count()
+    same = (F.col(doc_id).cast("long") == F.col("__node")) & (F.xxhash64(text) == F.col("__digest"))
+    gone = copies.select(F.col("node").alias("__node"), F.col("digest").alias("__digest"))
+    gone = F.broadcast(gone) if few <= BROADCAST_IDS else gone
+    own = df.select(text, doc_id).join(gone, same, "left_anti") if few else df
+
+    windows = materialise(window_rows(own, text, doc_id, least, hashes), "windows")
+    hits = materialise(with_owner(windows), "hits")
+    discard(windows)
+    found = exact = None
+    while True:
+        pairs = materialise(compared(hits, needed), "pairs")
+        met = confirm(pairs, own, text, doc_id, least, needed, True)
+        here = met.where("key is null").select(*FOUND)
+        if found is not None and not here.limit(1).count():
+            break
         found = here if found is None else found.unionByName(here)
-        if n + 1 < rounds:
-            spans = here.groupBy("node").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-            explained = F.exists("spans", lambda s: F.least(s["end"] - (WIDTH - 1), F.col("r") + 1) - F.greatest(s["start"], F.col("l")) >= least - WIDTH + 1)
-            windows = materialise(hits.join(spans, "node", "left").where(~F.coalesce(explained, F.lit(False))).select("key", "node", "l", "r"), "windows")
-    missed = materialise(exact_pairs(every, found, df, text, doc_id, least, hashes), "pairs")
-    return found.unionByName(materialise(confirm(missed, df, text, doc_id, least, min(needed, NEEDED)), "passages"))
+        left = hits.where("node <> owner").join(pairs.select("node", "owner"), ["node", "owner"], "left_anti").select("key", "node", "l", "r")
+        left = left.union(met.where("key is not null").select("key", "node", "l", "r"))
+        if exact is None:
+            missed = materialise(exact_pairs(hits, found, own, text, doc_id, least, hashes), "pairs")
+            exact = confirm(missed, own, text, doc_id, least, min(needed, NEEDED), False).select(*FOUND)
+            found = found.unionByName(exact)
+        windows = materialise(unexplained(left, found, least), "windows")
+        discard(hits, pairs)
+        hits = materialise(with_owner(windows), "hits")
+        discard(windows)
+    discard(hits, pairs)
+    found = found.drop("exact")
+    if not few:
+        return found
+    of_copies = df.select(F.col(doc_id).cast("long").alias("node"), F.xxhash64(text).alias("digest"), F.col(text).alias("__text"))
+    of_copies = of_copies.join(F.broadcast(copies) if few <= BROADCAST_IDS else copies, ["node", "digest"]).select("node", "digest", "owner", F.size(F.split("__text", r"[\x20\x09-\x0D]+")).alias("at_most"), "__text")
+    n_words = F.col("at_most") - F.col("__text").rlike(r"^[\x20\x09-\x0D]").cast("int") - F.col("__text").rlike(r"[\x20\x09-\x0D]\z").cast("int")
+    whole = materialise(of_copies.select("node", "digest", "owner", n_words.alias("n")).where(F.col("n") >= least).distinct(), "whole-copies")
+    first = whole.select("node", "digest", "owner", F.col("digest").alias("owner_digest"), F.lit(0).alias("start"), F.col("n").alias("end"), F.lit(0).alias("owner_start"), F.col("n").alias("owner_end"))
+    # What the class's first document repeats, its copies repeat too.
+    kept = whole.select(F.col("node").alias("copy"), "digest", F.col("owner").alias("node"))
+    more = found.join(kept, ["node", "digest"]).drop("node").withColumnRenamed("copy", "node")
+    return materialise(found.unionByName(first).unionByName(more), "passages")
 
 
 def runs_of_words(words: np.ndarray, width: int) -> np.ndarray:
@@ -278,23 +383,17 @@ def runs_of_words(words: np.ndarray, width: int) -> np.ndarray:
         return mix64((sums[width:] - sums[:n]) * inverse[:n])
 
 
-def packed_window():
-    return F.shiftleft(F.col("r").cast("long"), 33).bitwiseOR(F.shiftleft(F.col("l").cast("long"), 3)).bitwiseOR(F.col("key").bitwiseAND(7))
-
-
-def unpacked(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Functions, lefts and rights."""
-    return w & 7, (w >> 3) & 0x3FFFFFFF, w >> 33
-
-
 def exact_pairs(shared: DataFrame, found: DataFrame, df: DataFrame, text: str, doc_id: str, least: int, hashes: int) -> DataFrame:
-    """Pairs (node, owner, windows) for runs of `least` words and their smallest holder that no passage of the two in `found` covers.
+    """Pairs (node, owner, windows) for runs of `least` words and their smallest holder, but for runs in `exact` spans of `found`.
 
     `shared` has all windows whose root another document has too. Equal runs have equal roots for every hash function, so
     only runs that lie in such a window of every function are looked at.
     """
-    parts = shared.groupBy("node").agg(F.collect_list(packed_window()).alias("windows")).where(F.size(F.array_distinct(F.transform("windows", lambda w: w.bitwiseAND(7)))) >= hashes)
+    packed = F.shiftleft(F.col("r").cast("long"), 33).bitwiseOR(F.shiftleft(F.col("l").cast("long"), 3)).bitwiseOR(F.col("key").bitwiseAND(7))
+    parts = shared.groupBy("node").agg(F.collect_list(packed).alias("windows")).where(F.size(F.array_distinct(F.transform("windows", lambda w: w.bitwiseAND(7)))) >= hashes)
     texts = df.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("__text")).where("node is not null and __text is not null").join(parts, "node")
+    known_spans = found.groupBy("node", F.col("digest").alias("__digest")).agg(F.flatten(F.collect_set("exact")).alias("known"))
+    texts = texts.withColumn("__digest", F.xxhash64("__text")).join(known_spans, ["node", "__digest"], "left").select("node", "__text", "windows", F.col("known.start").alias("starts"), F.col("known.end").alias("ends"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -302,9 +401,13 @@ def exact_pairs(shared: DataFrame, found: DataFrame, df: DataFrame, text: str, d
             runs, nodes, places = [np.empty(0, np.uint64)], [], [np.empty(0, np.int64)]
             for k, (node, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 found = runs_of_words(known.array(words_of(t)), least)
-                functions, lefts, rights = unpacked(np.asarray(batch.column(2)[k].values, np.int64))
+                w = np.asarray(batch.column(2)[k].values, np.int64)
+                functions, lefts, rights = w & 7, (w >> 3) & 0x3FFFFFFF, w >> 33
                 inside = lefts < len(found)  # windows of another text with the same id
-                at = np.flatnonzero(covered(lefts[inside], rights[inside] - (least - WIDTH), functions[inside], len(found), hashes))
+                open_ = covered(lefts[inside], rights[inside] - (least - WIDTH), functions[inside], len(found), hashes)
+                for s, e in zip(batch.column(3)[k].as_py() or (), batch.column(4)[k].as_py() or (), strict=True):
+                    open_[s : e - least + 1] = False
+                at = np.flatnonzero(open_)
                 runs.append(found[at])
                 places.append(at)
                 nodes.append(np.full(len(at), node, np.int64))
@@ -313,12 +416,11 @@ def exact_pairs(shared: DataFrame, found: DataFrame, df: DataFrame, text: str, d
     rows = materialise(texts.mapInArrow(work, "run bigint, node bigint, at int"), "runs")
     holders = rows.groupBy("run").agg(F.min("node").alias("owner"), F.max("node").alias("last")).where("owner < last").select("run", "owner")
     links = rows.join(holders, "run").where("node <> owner")
-    spans = found.groupBy("node", "owner").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    inside = F.exists("spans", lambda s: (s["start"] <= F.col("at")) & (F.col("at") + least <= s["end"]))
-    rest = links.join(spans, ["node", "owner"], "left").where(~F.coalesce(inside, F.lit(False)))
-    rest = rest.groupBy("node", "owner").agg(F.min("at").cast("long").alias("l"), (F.max("at") + least - WIDTH).cast("long").alias("r"))
-    window = lambda k: F.shiftleft("r", 33).bitwiseOR(F.shiftleft("l", 3)).bitwiseOR(F.lit(k).cast("long"))
-    return rest.select("node", "owner", F.array(*[window(k) for k in range(NEEDED)]).alias("windows"))
+    rest = links.groupBy("node", "owner").agg(F.min("at").alias("l"), (F.max("at") + least - WIDTH).alias("r"))
+    window = lambda k: F.struct(F.lit(k).cast("long").alias("key"), "l", "r")
+    rest = materialise(rest.select("node", "owner", F.array(*[window(k) for k in range(NEEDED)]).alias("windows")), "missed")
+    discard(rows)
+    return rest
 
 
 def merged(column: str, overlap: int = 0):
