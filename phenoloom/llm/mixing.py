@@ -9,10 +9,15 @@ document, and these meet in groups again: a reduction tree whose depth is the lo
 are bounded, so one source with most of the rows is spread over as many groups as its size asks for. What is left at the
 root, one document for each source and power of two in length, is rounded long ones first so that the source ends within
 about half a short document of its target.
-Random numbers are hashes of the seed and the two documents, so reruns agree whatever the partitioning.
+Random numbers are hashes of the seed and the two documents (id, source and text), so reruns agree whatever the
+partitioning. Rows that are alike in all three are numbered, each partition's after those of the partitions before it, so
+they are dealt to groups like different documents; which of them has which number makes no difference.
 
 Defined cases: null or wordless texts have size 0 and take 0 words; a null source is a source of its own, last in order;
-rows with a null or repeated doc_id are rows like any others; a source without words has target 0.
+rows with a null or repeated doc_id are rows like any others; a source without words has target 0; rows without words are
+taken once by mixed_rows. An empty table gives an empty result; columns of df may have any name but those that begin with
+two underscores; a very long text is one item whose words are taken as a whole. Ties in length go by the hash of id, source
+and text.
 """
 
 from __future__ import annotations
@@ -96,9 +101,31 @@ def _last_draws(left: DataFrame) -> DataFrame:
     return gathered.select(F.explode(F.aggregate("xs", start, step)["taken"]).alias("__chosen"))
 
 
+def numbered(sized: DataFrame) -> DataFrame:
+    """(__key, __number): rows whose __id is another row's too, numbered from 0 within each __id, without bringing an id's rows together.
+
+    Upper bits of a key are the partition it was made in; each partition numbers its own rows and starts after the rows of
+    those before it.
+    """
+    again = sized.groupBy("__id").agg(F.count("*").alias("n")).where("n > 1").select("__id")
+    part = F.shiftright("__key", 33)
+    rows = sized.select("__id", "__key", part.alias("part")).join(again, "__id", "left_semi")
+    counts = rows.groupBy("__id", "part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("__id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("__id", "part", before.alias("start"))
+    own = rows.withColumn("n", F.row_number().over(Window.partitionBy("__id", "part").orderBy("__key")) - 1)
+    return own.join(starts, ["__id", "part"]).select("__key", (F.col("start") + F.col("n")).cast("long").alias("__number"))
+
+
 def copies_of(df: DataFrame, keep: list[str], text: str = "text", doc_id: str = "doc_id", source: str = "source", weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, seed: int = 20260101, fan_in: int = 48) -> DataFrame:
     """Columns `keep` and __source, __size, __source_size, __target and __copies (0 to `most`) for every row."""
-    sized = materialise(df.select(F.monotonically_increasing_id().alias("__key"), *keep, F.xxhash64(F.lit(seed), doc_id).alias("__id"), F.col(source).alias("__source"), word_count(text).alias("__size")), "mix-sized")
+    sized = materialise(df.select(F.monotonically_increasing_id().alias("__key"), *keep, F.xxhash64(F.lit(seed), doc_id, F.struct(F.col(source), F.xxhash64(text))).alias("__id"), F.col(source).alias("__source"), word_count(text).alias("__size")), "mix-sized")
+    alike = materialise(numbered(sized), "mix-alike")
+    many = alike.count()
+    if many:
+        numbers = alike.select(F.col("__key").alias("__k"), "__number")
+        sized = sized.join(F.broadcast(numbers) if many <= BROADCAST_KEYS else numbers, F.col("__key") == F.col("__k"), "left").drop("__k")
+        sized = sized.withColumn("__id", F.when(F.col("__number") > 0, F.xxhash64("__id", "__number")).otherwise(F.col("__id"))).drop("__number")
     narrow = sized.select(F.col("__source").alias("source"), F.col("__size").alias("size"))
     counted = narrow.groupBy(F.col("source").alias("__s")).agg(F.count("*").alias("__docs"))
     targets = source_targets(narrow, weights, most).join(counted, F.col("source").eqNullSafe(F.col("__s"))).drop("source")
