@@ -9,7 +9,10 @@ Learning takes at most SAMPLE_PER_LANGUAGE labelled texts of each language, the
 every text is predicted whole.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; labels are taken as they are, null labels
-teach nothing; without any label every text is `und`; ties go to the label that is first in code-point order.
+teach nothing; without any label every text is `und`; ties go to the label that is first in code-point order. Rows that
+repeat, also with their doc_id, are predicted each and learned from each; very long texts are read whole, a word once with
+its count; further columns are not read, and those in `keep` must not be called lang_pred, score or shares; an empty table
+gives no row. Every label is learned, however many there are and however rare.
 """
 
 from __future__ import annotations
@@ -28,7 +31,6 @@ from .common import id_remainder, materialise, slices
 
 #: Labelled texts that are learned from for each language, at most.
 SAMPLE_PER_LANGUAGE = 1_500
-MOST_LANGUAGES = 200
 ORDERS = (1, 2, 3)
 #: Weights of the orders in the interpolated model, from short to long.
 SHARES = (0.1, 0.3, 0.6)
@@ -51,50 +53,59 @@ def grams(word: str) -> list[str]:
 class LanguageModel:
     names: list[str]
     index: dict[str, int]  # n-gram -> row
-    logs: np.ndarray  # log probability of the n-gram given its order, by language
-    unseen: np.ndarray  # the same for an n-gram that the language has not
+    starts: np.ndarray  # where each row's entries begin in the two arrays below, and their number
+    languages: np.ndarray  # the languages that have the n-gram
+    gains: np.ndarray  # how much more likely it is there than an unseen one, as a difference of logs times its order's share
+    unseen: np.ndarray  # by order and language: log probability of an n-gram that the language has not, times the order's share
 
     @classmethod
     def fit(cls, counts: dict[str, dict[str, int]]) -> "LanguageModel":
-        """counts: language -> n-gram -> times."""
+        """counts: language -> n-gram -> times. Only what a language has takes room, however many languages there are."""
         names = sorted(counts)
         vocabulary = sorted(set().union(*counts.values())) if names else []
         index = {g: i for i, g in enumerate(vocabulary)}
-        table = np.zeros((len(vocabulary), len(names)))
+        kinds = np.bincount(np.array([len(g) for g in vocabulary], np.int64), minlength=max(ORDERS) + 1) + 1
+        shares = np.array([0.0, *SHARES])
+        rows, languages, gains = ([np.empty(0, kind)] for kind in (np.int64, np.int32, np.float32))
+        unseen = np.zeros((max(ORDERS) + 1, len(names)))
         for k, name in enumerate(names):
-            for g, n in counts[name].items():
-                table[index[g], k] = n
-        orders = np.array([len(g) for g in vocabulary])
-        logs, unseen = np.zeros_like(table), np.zeros((max(ORDERS) + 1, len(names)))
-        for n in ORDERS:
-            at = orders == n
-            kinds = at.sum() + 1
-            total = table[at].sum(0) + 0.1 * kinds
-            logs[at] = np.log((table[at] + 0.1) / total)
-            unseen[n] = np.log(0.1 / total)
-        return cls(names, index, logs.astype(np.float32), unseen.astype(np.float32))
+            at = np.fromiter((index[g] for g in counts[name]), np.int64, len(counts[name]))
+            times = np.fromiter(counts[name].values(), np.float64, len(at))
+            order = np.fromiter(map(len, counts[name]), np.int64, len(at))
+            total = np.bincount(order, times, minlength=max(ORDERS) + 1) + 0.1 * kinds
+            unseen[:, k] = np.log(0.1 / total) * shares
+            rows.append(at)
+            languages.append(np.full(len(at), k, np.int32))
+            gains.append((np.log((times + 0.1) / 0.1) * shares[order]).astype(np.float32))
+        row = np.concatenate(rows)
+        by_row = np.argsort(row, kind="stable")
+        return cls(names, index, np.searchsorted(row[by_row], np.arange(len(vocabulary) + 1)), np.concatenate(languages)[by_row], np.concatenate(gains)[by_row], unseen)
 
     def words_logs(self, words: list[str]) -> np.ndarray:
         """Log likelihood of words under every language: their n-grams', the orders weighted by SHARES."""
         find = self.index.get
-        rows: list[int] = []
-        sizes: list[int] = []
-        for w in words:
-            w = f" {w} "
-            n = len(w)
-            before = len(rows)
-            rows += [find(c, -1) for c in w]
-            rows += [find(w[i : i + 2], -2) for i in range(n - 1)]
-            rows += [find(w[i : i + 3], -3) for i in range(n - 2)]
-            sizes.append(len(rows) - before)
-        return np.add.reduceat(self.weighted[np.array(rows)], np.r_[0, np.cumsum(sizes)][:-1], axis=0) if words else np.zeros((0, len(self.names)))
-
-    def __post_init__(self) -> None:
-        """Rows of `logs` times their order's share, followed by what an unseen 3-, 2- and 1-gram counts: found at -3, -2, -1."""
-        shares = np.array([0.0, *SHARES])
-        orders = np.array([len(g) for g in self.index], np.int64)
-        own = self.logs * shares[orders][:, None] if len(orders) else self.logs
-        self.weighted = np.vstack([own, self.unseen[[3, 2, 1]] * shares[[3, 2, 1], None]]).astype(np.float64)
+        out = np.zeros((len(words), len(self.names)))
+        for begin in range(0, len(words), 4096):
+            part = words[begin : begin + 4096]
+            rows: list[int] = []
+            sizes: list[int] = []
+            for w in part:
+                w = f" {w} "
+                n = len(w)
+                before = len(rows)
+                rows += [find(c, -1) for c in w]
+                rows += [find(w[i : i + 2], -1) for i in range(n - 1)]
+                rows += [find(w[i : i + 3], -1) for i in range(n - 2)]
+                sizes.append(len(rows) - before)
+            row, owner = np.array(rows), np.repeat(np.arange(len(part)), sizes)
+            known = row >= 0
+            row, owner = row[known], owner[known]
+            times = self.starts[row + 1] - self.starts[row]
+            at = np.repeat(self.starts[row] - np.r_[0, np.cumsum(times)[:-1]], times) + np.arange(times.sum())
+            cell = np.repeat(owner, times) * len(self.names) + self.languages[at]
+            lengths = np.array([len(w) + 2 for w in part])
+            out[begin : begin + len(part)] = sum((np.maximum(lengths - n + 1, 0)[:, None] * self.unseen[n] for n in ORDERS), np.bincount(cell, self.gains[at], len(part) * len(self.names)).reshape(len(part), -1))
+        return out
 
 
 class WordTable(dict):
@@ -204,14 +215,15 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     """Learn from labelled rows whose id's crc32 isn't 2 modulo 4."""
     place = F.pmod(F.xxhash64("__id"), F.lit(1 << 40))
     ids = docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(lang).alias("lang")).where("lang is not null and __id is not null").where(id_remainder("__id", 4) != 2).withColumn("__place", place)
-    common = ids.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
     # Places below this hold about twice as many texts of the language as are wanted, so hardly more are ranked.
-    below = F.create_map(*[x for r in common for x in (F.lit(r["lang"]), F.lit(float(1 << 40) * min(1.0, (2.0 * per_language + 100) / r["n"])))]) if common else None
-    first = ids.where(F.col("lang").isin([r["lang"] for r in common]) & (F.col("__place") < below[F.col("lang")])) if common else ids.where(F.lit(False))
+    labels = materialise(ids.groupBy("lang").agg((F.lit(float(1 << 40)) * F.least(F.lit(1.0), F.lit(2.0 * per_language + 100) / F.count("*"))).alias("__below")), "langid-labels")
+    small = (lambda x: F.broadcast(x)) if labels.count() <= 100_000 else (lambda x: x)
+    first = ids.join(small(labels), "lang").where(F.col("__place") < F.col("__below"))
     order = Window.partitionBy("lang").orderBy("__place", "__id")
     first = materialise(first.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= per_language).select("__id", "lang"), "langid-sample")
-    # At most per_language x MOST_LANGUAGES pairs of an id and a label.
-    rows = docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(lang).alias("lang"), F.col(text).alias("__text")).join(F.broadcast(first), ["__id", "lang"], "left_semi")
+    # At most per_language pairs of an id and a label for each label.
+    few = F.broadcast(first) if first.count() <= 2_000_000 else first
+    rows = docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(lang).alias("lang"), F.col(text).alias("__text")).join(few, ["__id", "lang"], "left_semi")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, Counter] = {}
@@ -227,9 +239,9 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys, pa.string()), pa.array([found[g] for g in keys], pa.int64())], ["lang", "gram", "n"])
 
     counted = rows.select("__id", "lang", "__text").mapInArrow(count, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    # n-grams of up to three characters that occur more than once in a bounded sample
+    # n-grams of up to three characters in at most per_language texts of a label
     counts: dict[str, dict[str, int]] = {}
-    for r in counted.where("n > 1").collect():
+    for r in counted.collect():
         counts.setdefault(r["lang"], {})[r["gram"]] = r["n"]
     return LanguageModel.fit(counts)
 
