@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, materialise
 
 
 def vocabulary(name: str) -> str:
@@ -38,10 +38,13 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .edit_fingerprint import fingerprint_edits
+    from .edit_fingerprint import fingerprint_edits, near_groups
 
-    found = fingerprint_edits(documents(spark, sf_dir))
-    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    found = fingerprint_edits(documents(spark, sf_dir)).withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
+    found = materialise(found, "fingerprints")
+    groups = near_groups(found).withColumnRenamed("doc_id", "near_to")
+    near_id = F.coalesce("near_id", "doc_id").alias("near_id")
+    return found.join(groups, F.col("doc_id") == F.col("near_to"), "left").select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", near_id)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
