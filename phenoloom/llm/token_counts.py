@@ -4,13 +4,16 @@ Pieces are counted once per distinct pre-token; the counts are joined to per-doc
 
 1. One Arrow pass splits every text into pre-tokens and makes, per block of documents, one posting row for each pre-token
    of the block: the documents' places and the frequencies. A pre-token that every document holds thus has one row for
-   each block, not one for each document, so no key is hot.
-2. Postings are dealt by pre-token and sorted. In its partition, each distinct pre-token is encoded once by the library's
-   merge model, and its count joins all its postings; frequency times pieces is summed by document,
+   each block, not one for each document.
+2. Postings are dealt by pre-token and range of blocks and sorted, so even a pre-token that every block holds sends a task
+   no more than the postings of the blocks of SPREAD input partitions. In its partition, each distinct pre-token is encoded
+   once by the library's merge model, and its count joins all its postings; frequency times pieces is summed by document,
    first in the task, then where a block's sums meet.
 
 Defined cases: null text counts as empty (0 bytes, 0 tokens); every input row gives one output row, also where doc_id is
-null or repeated; a special token's string inside a text is one token, as is the library's default.
+null or repeated; a special token's string inside a text is one token, as is the library's default. A very long text is a
+block of its own; further columns, whatever their names, are not read; an empty table gives no row. Nothing depends on an
+order, so there are no ties.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
+#: Input partitions whose blocks share a pre-token's encoding: bounds what a frequent pre-token sends to one task.
+SPREAD = 256
 #: Fixed value: the published pre-token pattern of byte-level vocabularies of this kind.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A posting: a document's place in its block and the pre-token's frequency there. A document itself.
@@ -205,10 +210,12 @@ def collect_blocks(weighed: DataFrame) -> DataFrame:
     return weighed.mapInArrow(work, "doc_id bigint, n_bytes bigint, n_tokens bigint")
 
 
-def count_tokens(df: DataFrame, tokenizer_path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def count_tokens(df: DataFrame, tokenizer_path: str, text: str = "text", doc_id: str = "doc_id", spread: int = SPREAD) -> DataFrame:
     """doc_id, n_bytes, n_tokens for every row of df."""
     with open(tokenizer_path, "rb") as f:
         data = f.read()
     special = _check(json.loads(data))
-    grouped = postings(df, special, text, doc_id).repartition("kind", "pre_token").sortWithinPartitions("pre_token")
+    # A block's key is its input partition shifted by 24 bits.
+    found = postings(df, special, text, doc_id).withColumn("range", F.floor(F.col("block") / ((1 << 24) * spread)))
+    grouped = found.repartition("kind", "pre_token", "range").sortWithinPartitions("pre_token").drop("range")
     return collect_blocks(weigh(grouped, data).repartition("block").sortWithinPartitions("block", F.desc("kind")))
