@@ -2,16 +2,21 @@
 
 The lexicon is learned from labelled texts: whole words and stems (a stem stands for every word that begins with it) that
 toxic texts hold far more often than clean ones. It is kept as a trie. A Levenshtein automaton is intersected with the trie
-(no edit for whole words of under 5 letters and stems of under 7, two from 9 letters, one between; the first letter and a
-stem's last must be right; a term inside a longer unspaced run is seen only at the run's beginning): states are sets of (trie node, edits so far), made once and kept, so a word costs one
-table look-up for each letter and most words die after three or four. Each match is scored with a window around it:
-a match inside quotation marks that open and close near by counts as quoted, not as abuse. A small logistic model, fitted
-to the same labelled texts, weighs exact, misspelled and quoted matches.
+(one edit below 9 letters, two from there): states are sets of (trie node, edits so far), made once and kept, so a word
+costs one table look-up for each letter and most words die early. Two automata are made. The close one wants the first
+letter right and allows no edit in whole words of under 5 letters and stems of under 7. The loose one takes what is left:
+a wrong first letter, words of 4 letters and stems of 5 and 6. Neither changes a stem's last letter or words of under 4
+letters and stems of 4, and a term inside a longer unspaced run is seen only at the run's beginning. Each match is scored
+with a window around it: a match inside quotation marks that open and close near by counts as quoted, not as abuse. A
+small logistic model, fitted to the same labelled texts, weighs exact, misspelled, loose and quoted matches; texts whose
+only matches are misspelled or loose have weights of their own, so labels decide how far either is believed.
 
 The labelled texts are at most SAMPLE rows, the first in the order of a hash of the id; every text is scored whole.
 
 Defined cases: null and empty texts have no match and the model's base score; a null label is no label; documents that are
-not there are skipped; without both kinds of labels the lexicon is empty and every score is 0.
+not there are skipped; without both kinds of labels the lexicon is empty and every score is 0. Several labels of a document
+count as the greatest; rows that repeat, also with their doc_id, are scored each; words and texts of any length are read
+whole; equal supports go by the term's code points; columns of other names are not read; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -31,15 +36,15 @@ from .common import WORDS, WordHashes, id_remainder, materialise, shingle_hashes
 
 #: Labelled rows that are learned from, at most.
 SAMPLE = 12_000
-#: Terms of the lexicon, at most; the best by support are taken.
-MOST_TERMS = 2_000
 STEM_LENGTHS = range(4, 13)
 END = "$"
 TRIM = ".,;:!?\"'()[]{}<>*_~-–—…«»“”„‘’|/\\"
 OPENING, CLOSING, BOTH = "«“„", "»”", '"'
 WINDOW = 12
-#: What a misspelled match counts beside an exact one; how far it is to be believed is learned.
-MISSPELLED = 0.7
+#: What misspelled and loose matches count beside exact ones before the labels are asked; the weights of features 3 and 4 are what labels say.
+MISSPELLED, LOOSE = 0.7, 0.5
+#: Features of a text.
+FEATURES = 9
 MATCHES = re.compile(rb"[^\x09]")
 
 
@@ -54,7 +59,7 @@ def prefixes(words: set[str]) -> set[str]:
     """Every whole word (marked by its end) and every beginning of usual stem length."""
     found = set()
     for w in words:
-        if 3 <= len(w) <= 40:
+        if len(w) >= 3:
             found.add(w + END)
             found.update(w[:n] for n in STEM_LENGTHS if n <= len(w))
     return found
@@ -103,19 +108,22 @@ def choose_terms(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int,
     for p in pure:
         if p[:-1] not in pure:
             settle(p)
-    best = sorted(chosen.items(), key=lambda x: (-x[1][0], x[0]))[:MOST_TERMS]
-    return {p: s for p, (_, s) in best}
+    return {p: s for p, (_, s) in sorted(chosen.items(), key=lambda x: (-x[1][0], x[0]))}
 
 
 # --- automaton ---------------------------------------------------------------------------------------------------------
 
 
 class LexiconAutomaton:
-    """Levenshtein automata of all terms at once, intersected with their trie and made deterministic as states are met."""
+    """Levenshtein automata of all terms at once, intersected with their trie and made deterministic as states are met.
 
-    MOST_STATES = 200_000
+    `loose`: the first letter may be wrong too, and whole words of 4 letters and stems of 5 and 6 may have an edit.
+    """
+
+    MOST_STATES = 40_000
 
-    def __init__(self, terms: dict[str, float]):
+    def __init__(self, terms: dict[str, float], loose: bool = False):
+        self.loose = loose
         self.next: list[dict[str, int]] = [{}]
         self.whole: list[bool] = [False]  # a word ends here
         self.stem: list[bool] = [False]  # a stem ends here
@@ -123,7 +131,7 @@ class LexiconAutomaton:
         for term in terms:
             word = term.endswith(END)
             body = term[:-1] if word else term
-            allowed = 0 if len(body) < (5 if word else 7) else 1 if len(body) < 9 else 2
+            allowed = 0 if len(body) < ((4 if word else 5) if loose else (5 if word else 7)) else 1 if len(body) < 9 else 2
             at = 0
             self.budget[0] = max(self.budget[0], allowed)
             for c in body:
@@ -150,7 +158,7 @@ class LexiconAutomaton:
         self.start = self._state(self._close({(0, 0)}))
 
     def _close(self, states: set[tuple[int, int]]) -> frozenset:
-        """Letters of the term left out: deeper nodes at one more edit; not the first letter and not a stem's last."""
+        """Letters of the term left out: deeper nodes at one more edit; not a stem's last and, but for loose ones, not the first."""
         best: dict[int, int] = {}
         todo = list(states)
         while todo:
@@ -158,7 +166,7 @@ class LexiconAutomaton:
             if best.get(node, 9) <= e:
                 continue
             best[node] = e
-            todo += [(to, e + 1) for to in self.next[node].values() if node and not self.stem[to] and e + 1 <= self.budget[to]]
+            todo += [(to, e + 1) for to in self.next[node].values() if (node or self.loose) and not self.stem[to] and e + 1 <= self.budget[to]]
         return frozenset(best.items())
 
     def _state(self, states: frozenset) -> int:
@@ -179,14 +187,16 @@ class LexiconAutomaton:
             to = self.next[node].get(c)
             if to is not None and e <= self.budget[to]:
                 new.add((to, e))
-            if node and e + 1 <= self.budget[node]:
-                new.add((node, e + 1))  # a letter too many; never before the first
-            new.update((other, e + 1) for x, other in self.next[node].items() if x != c and node and not self.stem[other] and e + 1 <= self.budget[other])
+            if not node and not self.loose:
+                continue  # a letter too many is never before the first, and the first is never another
+            if e + 1 <= self.budget[node]:
+                new.add((node, e + 1))
+            new.update((other, e + 1) for x, other in self.next[node].items() if x != c and not self.stem[other] and e + 1 <= self.budget[other])
         found = self.step[state][c] = self._state(self._close(new))
         return found
 
     def edits(self, word: str) -> int:
-        """Fewest edits with which the word matches a term; 9 if none does. The first letter must be right."""
+        """Fewest edits with which the word matches a term; 9 if none does."""
         if len(self.sets) > self.MOST_STATES:
             self._reset()
         state, best = self.start, 9
@@ -206,24 +216,26 @@ class LexiconAutomaton:
 @dataclass
 class ToxicityModel:
     terms: dict[str, float] = field(default_factory=dict)
-    weights: list[float] = field(default_factory=lambda: [0.0] * 7)
+    weights: list[float] = field(default_factory=lambda: [0.0] * FEATURES)
 
     def matcher(self) -> "Matcher":
         return Matcher(self)
 
 
 class KnownWords(dict):
-    """word as written -> fewest edits to a term, kept up to a bound."""
+    """word as written -> fewest edits to a term (9: none; 8: only loosely), kept up to a bound."""
 
-    MOST = 300_000
+    MOST = 150_000
 
-    def __init__(self, automaton: LexiconAutomaton):
+    def __init__(self, automaton: LexiconAutomaton, loose: LexiconAutomaton | None = None):
         super().__init__()
-        self.automaton = automaton
+        self.automaton, self.loose = automaton, loose
 
     def __missing__(self, raw: str) -> int:
         word = raw.lower().strip(TRIM)
         found = self.automaton.edits(word) if len(word) >= 3 else 9
+        if found == 9 and self.loose is not None and len(word) >= 3 and self.loose.edits(word) < 9:
+            found = 8
         if len(self) >= self.MOST:
             self.clear()
         if len(raw) <= 60:
@@ -237,7 +249,7 @@ class Matcher:
     def __init__(self, model: ToxicityModel):
         self.automaton = LexiconAutomaton(model.terms)
         self.weights = np.array(model.weights)
-        self.known = KnownWords(self.automaton)
+        self.known = KnownWords(self.automaton, LexiconAutomaton(model.terms, loose=True))
 
     @staticmethod
     def quoted(words: list[str], at: int) -> bool:
@@ -254,15 +266,18 @@ class Matcher:
 
     def features(self, text: str | None) -> list[float]:
         words = WORDS.findall(text) if text else []
-        counts = [0, 0, 0, 0]  # exact, misspelled, exact in quotation, misspelled in quotation
+        counts = [0] * 6  # exact, misspelled, loose; the same in quotation
         edits = bytes(map(self.known.__getitem__, words))
         for m in MATCHES.finditer(edits):
-            counts[(edits[m.start()] > 0) + 2 * self.quoted(words, m.start())] += 1
-        weight = counts[0] + MISSPELLED * counts[1]
-        return [1.0, float(weight > 0), math.log1p(weight), float(counts[1] > 0 and not counts[0]), math.log1p(counts[2]), math.log1p(counts[3]), math.log1p(weight) / math.log(10 + len(words))]
+            kind = edits[m.start()]
+            counts[(2 if kind == 8 else kind > 0) + 3 * self.quoted(words, m.start())] += 1
+        exact, misspelled, loose = counts[:3]
+        weight = exact + MISSPELLED * misspelled + LOOSE * loose
+        only = [float(misspelled > 0 and not exact), float(loose > 0 and not exact and not misspelled)]
+        return [1.0, float(weight > 0), math.log1p(weight), *only, *map(math.log1p, counts[3:]), math.log1p(weight) / math.log(10 + len(words))]
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        x = np.array([self.features(t) for t in texts]).reshape(len(texts), 7)
+        x = np.array([self.features(t) for t in texts]).reshape(len(texts), FEATURES)
         return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
 
 
@@ -319,7 +334,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     n = {r["y"]: r["n"] for r in single.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
     if not n_toxic or not n_clean:
-        return ToxicityModel(weights=[-30.0] + [0.0] * 6)
+        return ToxicityModel(weights=[-30.0] + [0.0] * (FEATURES - 1))
     support = least_support(n_toxic)
     counted = single.mapInArrow(count, "term string, t bigint, c bigint").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     counted = materialise(counted.where(F.col("t") >= support), "toxic-terms")
@@ -339,7 +354,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
 
 
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",), column: str = "score") -> DataFrame:
-    """Columns `keep` and the score of every row; no shuffle. The model has at most MOST_TERMS terms."""
+    """Columns `keep` and the score of every row; no shuffle. The model's terms come from a sample of bounded size."""
     keep = tuple(keep)
     source = docs.select(*keep, F.col(text).alias("__scored"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
