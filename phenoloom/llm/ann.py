@@ -9,13 +9,14 @@ The radius is the smallest that keeps `coverage` of the exact neighbours of samp
 larger table neighbours are nearer still, so the same radius covers more of them. Queries with fewer than k rows in the
 radius (outliers, sparse clusters) are sent once more with all bits as the radius, which is an exact search.
 
-Every row is indexed, in blocks where it is read; vectors are never shuffled. Queries are sent in chunks of a fixed size
-as broadcasts, one pass for each chunk. The k-th distance within the sample bounds each query's results, so blocks send
-only what can still be among the k nearest.
+Every row is indexed, in blocks of up to BLOCK_ROWS where it is read; vectors are never shuffled. Queries are sent in chunks
+of a fixed size as broadcasts, one pass for each chunk. The k-th distance within the sample, taken where the queries are
+read, bounds each query's results, so blocks send only what can still be among the k nearest.
 
 Defined cases: null and zero vectors, vectors with null or non-finite parts, of a length other than the commonest, and
 rows without id take no part; ids that repeat are one query, and no row with the query's id is its own neighbour; ties go
-to the smaller id; an empty table has no result.
+to the smaller id; rows that repeat an id and a vector are candidates as often as they are there; columns of any other name
+than the two are not read, also where they are called query_id, rank or score; an empty table has no result.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from .common import materialise
 #: Vectors that rotations, radius and bounds are learned from; queries of one pass.
 SAMPLE, CHUNK = 8_192, 32_768
 BITS, PART = 128, 16
+#: Rows of an index.
+BLOCK_ROWS = 65_536
 COUNTS = np.array([bin(i).count("1") for i in range(1 << PART)], np.uint8)
 
 
@@ -133,7 +136,7 @@ def nearest(df: DataFrame, is_query, vec_id: str = "vec_id", vector: str = "embe
             part = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(chunks)) == chunk) if chunks > 1 else queries
             own = {r["vec_id"]: r["v"] for r in part.collect()}
             if own:
-                near = materialise(_search(rows, book, own, sample, sample_ids, k, schema), "near")
+                near = _search(rows, book, own, sample, sample_ids, k, schema)
                 full = near.groupBy("query_id").count().where(F.col("count") >= k).select("query_id")
                 few = own.keys() - {r["query_id"] for r in full.collect()}
                 if few:
@@ -144,34 +147,62 @@ def nearest(df: DataFrame, is_query, vec_id: str = "vec_id", vector: str = "embe
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _bounds(rows: DataFrame, ids: list[int], sample: np.ndarray, sample_ids: np.ndarray, k: int) -> dict[int, float]:
+    """Distance of each query's k-th nearest vector of the sample, a little more than exact; taken in tasks."""
+    spark = rows.sparkSession
+    wanted = F.broadcast(spark.createDataFrame([(i,) for i in ids], "vec_id bigint"))
+    sent = spark.sparkContext.broadcast((sample, sample_ids))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample, sample_ids = sent.value
+        for batch in batches:
+            if batch.num_rows:
+                names, out = batch.column(0).to_numpy(), []
+                for i, q in zip(names, _matrix(batch.column(1)), strict=True):
+                    d = ((sample[sample_ids != i] - q) ** 2).sum(1)
+                    out.append(np.sqrt(np.partition(d, k - 1)[k - 1]) * (1 + 1e-9) if len(d) >= k else np.inf)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], ["vec_id", "bound"])
+
+    found = rows.join(wanted, "vec_id", "left_semi").mapInArrow(work, "vec_id bigint, bound double").groupBy("vec_id").agg(F.max("bound").alias("bound")).collect()
+    sent.unpersist()
+    return {r["vec_id"]: r["bound"] for r in found}
+
+
 def _search(rows: DataFrame, book: CodeBook, own: dict[int, list[float]], sample: np.ndarray, sample_ids: np.ndarray, k: int, schema: str) -> DataFrame:
     ids = np.array(sorted(own))
     x = np.array([own[i] for i in ids])
-    bounds = np.full(len(ids), np.inf)
-    for n, (i, q) in enumerate(zip(ids, x, strict=True)):
-        d = np.sort(((sample[sample_ids != i] - q) ** 2).sum(1))
-        if len(d) >= k:
-            bounds[n] = np.sqrt(d[k - 1]) * (1 + 1e-9)
-    sent = rows.sparkSession.sparkContext.broadcast((book, ids, x, book.encode(x), bounds))
+    known = _bounds(rows, ids.tolist(), sample, sample_ids, k)
+    sent = rows.sparkSession.sparkContext.broadcast((book, ids, x, book.encode(x), np.array([known[i] for i in ids.tolist()])))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def answers(names: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
         book, ids, x, codes, bounds = sent.value
+        block = Block(book.encode(v))
+        q_out, id_out, d_out = [], [], []
+        for n in range(len(ids)):
+            at = block.within(codes[n], book.radius)
+            at = at[names[at] != ids[n]]
+            d = np.sqrt(((v[at] - x[n]) ** 2).sum(1))
+            keep = np.flatnonzero(d <= bounds[n])
+            if len(keep) > k:
+                keep = keep[np.lexsort((names[at[keep]], d[keep]))[:k]]
+            q_out.append(np.full(len(keep), ids[n]))
+            id_out.append(names[at[keep]])
+            d_out.append(d[keep])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(q_out)), pa.array(np.concatenate(id_out)), pa.array(np.concatenate(d_out))], ["query_id", "vec_id", "score"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, vectors, held = [], [], 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            names, v = batch.column(0).to_numpy(), _matrix(batch.column(1))
-            block = Block(book.encode(v))
-            q_out, id_out, d_out = [], [], []
-            for n in range(len(ids)):
-                at = block.within(codes[n], book.radius)
-                at = at[names[at] != ids[n]]
-                d = np.sqrt(((v[at] - x[n]) ** 2).sum(1))
-                keep = np.flatnonzero(d <= bounds[n])
-                if len(keep) > k:
-                    keep = keep[np.lexsort((names[at[keep]], d[keep]))[:k]]
-                q_out.append(np.full(len(keep), ids[n]))
-                id_out.append(names[at[keep]])
-                d_out.append(d[keep])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(q_out)), pa.array(np.concatenate(id_out)), pa.array(np.concatenate(d_out))], ["query_id", "vec_id", "score"])
-
-    return rows.mapInArrow(work, schema)
+            if batch.num_rows:
+                names.append(batch.column(0).to_numpy())
+                vectors.append(_matrix(batch.column(1)))
+                held += batch.num_rows
+            if held >= BLOCK_ROWS:
+                yield answers(np.concatenate(names), np.concatenate(vectors))
+                names, vectors, held = [], [], 0
+        if held:
+            yield answers(np.concatenate(names), np.concatenate(vectors))
+
+    found = materialise(rows.mapInArrow(work, schema), "near")
+    sent.unpersist()
+    return found
