@@ -9,16 +9,23 @@
    such a container uses all at the path of its own best one.
 
 Inside a container, menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
-are left out by tag, role and class words. Each block's text has its character references decoded and its white space
-turned into single spaces; blocks are joined by line feeds in page order. Nothing else is dropped or cut.
+are left out by tag, role and class words. Words never decide over the consensus: an element around an article or main
+element, or around the host's path, is not left out for its class, role or id (a layout "with-sidebar", a form around the
+whole page), and a word after has, no, with and the like names no part. Each block's text has its character references
+decoded and its white space turned into single spaces; blocks are joined by line feeds in page order. Nothing else is
+dropped or cut.
 
 Defined cases: null or empty html gives the empty text; a page without url or host has no host to agree with and uses its
-own best container; a page without any container is one container itself; unclosed and stray tags are allowed, an unclosed
-comment or script runs to the end of the page.
+own best container; a page without any container is one container itself; a page whose every text stands in elements with
+such words is read as if they had none; unclosed and stray tags are allowed, an unclosed comment or script runs to the end
+of the page. Equal votes go to the path that is first in code-point order, equal scores to the container that comes first.
+Pages that repeat, also with their page_id, give a row and a vote each; an empty table gives no row; columns of any other
+name than the three are not read. A page of any size is parsed whole, in one pass.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections import Counter
@@ -43,6 +50,9 @@ LIKE = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td",
 # Words in class, id and role that mark what is not the article.
 NOISE = frozenset("ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice outbrain overlay pagination popup promo promoted promotion related remark remarks replies respond responses share sharing sidebar sidenav signup skyscraper social sponsor sponsored subscribe subscription taboola toolbar topbar widget widgets alert complementary contentinfo search".split())
 
+# Words that say whether a page has a part, not that an element is one.
+ABOUT = frozenset("has have had no not non without with is are hide hides show shows before after includes supports".split())
+
 TOKEN = re.compile(
     rf"""<!--.*?(?:-->|\Z) | <({RAW})\b[^>]*+(?:(?<=/)>|>.*?(?:</\1\s*>|\Z)) | <[!?][^>]*+(?:>|\Z) | </([a-zA-Z][^\s/>]*+)[^>]*+(?:>|\Z) | <([a-zA-Z][^\s/>]*+)((?:[^>"'=]++|=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))?+|["'])*+)(?:>|\Z)""",
     re.S | re.I | re.X,
@@ -52,24 +62,39 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 HASHED = re.compile(r"[-_]{1,2}[a-zA-Z]*\d\w*$|\d+")
 
 
-MOST_DEPTH = 40
+#: Depth from which a path holds a digest of its beginning, so that paths stay short and different ones different.
+DEEP = 40
 
 
 class Node:
-    __slots__ = ("tag", "path", "parent", "noise", "score", "held", "link", "article", "depth", "outer")
+    __slots__ = ("tag", "path", "parent", "by_tag", "by_word", "noise", "score", "held", "link", "article", "depth", "outer")
 
-    def __init__(self, tag: str, path: str, parent: Node | None, noise: bool, link: bool):
-        self.tag, self.path, self.parent, self.noise, self.score, self.held, self.link = tag, path, parent, noise, 0.0, 0.0, link
+    def __init__(self, tag: str, path: str, parent: Node | None, by_tag: bool, by_word: bool, link: bool):
+        self.tag, self.path, self.parent, self.by_tag, self.by_word, self.score, self.held, self.link = tag, path, parent, by_tag, by_word, 0.0, 0.0, link
+        self.noise = False  # set when the page is known as a whole
         self.article = tag in ("article", "main") or (parent is not None and parent.article)
         self.depth = parent.depth + 1 if parent is not None else 0
         self.outer = parent if parent is None or parent.tag in CONTAINER else parent.outer
 
 
 def path_below(parent: Node, part: str) -> str:
-    """The path of a child; of very deep ones the last parts only, so that paths stay short."""
-    if parent.depth < MOST_DEPTH:
+    """The path of a child; that of a very deep one begins with a digest of its parent's."""
+    if parent.depth < DEEP:
         return f"{parent.path}>{part}"
-    return ">".join([*parent.path.split(">")[1 - MOST_DEPTH :], part])
+    return f"#{hashlib.sha256(parent.path.encode()).hexdigest()[:32]}>{part}"
+
+
+def names_noise(value: str) -> bool:
+    """Whether a class, id or role names a part that is not the article: by any of its words that no word before it turns into a remark."""
+    for name in value.split():
+        remark = False
+        for w in WORD.findall(name.split("--")[0]):
+            w = w.lower()
+            if w in ABOUT:
+                remark = True
+            elif w in NOISE and not remark:
+                return True
+    return False
 
 
 def generalise(tag: str, classes: list[str]) -> str:
@@ -81,9 +106,10 @@ class Page:
     """Blocks of a page, each with its node, its text and how much of it is in links."""
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[Node, str]] = []
+        self.blocks: list[tuple[Node, str, int]] = []
         self.containers: list[Node] = []
-        root = Node("body", "body", None, False, False)
+        self.nodes: list[Node] = []
+        root = Node("body", "body", None, False, False, False)
         self.root = root
         self.containers.append(root)
         stack = [root]
@@ -98,8 +124,7 @@ class Page:
                 text = " ".join("".join(parts).split())
                 parts.clear()
                 if text:
-                    self.blocks.append((owner, text))
-                    self._credit(owner, len(text), linked)
+                    self.blocks.append((owner, text, linked))
             linked = 0
 
         def pop_to(depth: int) -> None:
@@ -160,7 +185,7 @@ class Page:
             if tag in VOID:
                 continue
             top = stack[-1]
-            classes, words, hidden = [], [], False
+            classes, named, hidden = [], False, False
             if attributes and not attributes.isspace():
                 for name, value in ATTRIBUTE.findall(attributes):
                     name = name.lower()
@@ -168,21 +193,53 @@ class Page:
                         value = html.unescape(value.strip("\"'"))
                         if name == "class":
                             classes = value.split()
-                        words += WORD.findall(value)
+                        named = named or names_noise(value)
                     elif name == "hidden" or (name == "aria-hidden" and "true" in value) or (name == "style" and re.search(r"display\s*:\s*none", value)):
                         hidden = True
-            noise = top.noise or hidden or tag in DROPPED or (tag == "header" and not top.article) or any(w.lower() in NOISE for w in words)
             path = path_below(top, generalise(tag, classes)) if tag in BLOCK else top.path
-            node = Node(tag, path, top, noise, top.link or tag == "a")
+            node = Node(tag, path, top, hidden or tag in DROPPED or (tag == "header" and not top.article), named, top.link or tag == "a")
+            self.nodes.append(node)
             stack.append(node)
             open_tags[tag] += 1
             if tag in BLOCK:
                 owner = node
-                if tag in CONTAINER and not noise:
+                if tag in CONTAINER:
                     self.containers.append(node)
         if at < len(source):
             text_seen(source[at:])
         flush()
+        self._judge(words=True)
+        if self.blocks and all(n.noise for n, _, _ in self.blocks):
+            self._judge(words=False)
+        for n, text, linked in self.blocks:
+            self._credit(n, len(text), linked)
+        self.all_containers, self.containers = self.containers, [n for n in self.containers if not n.noise]
+
+    def _judge(self, words: bool) -> None:
+        """Which nodes are not of the article: by tag or word, their own or that of a node around them.
+
+        What stands around the article or main element with most text is a frame, whatever words it bears, and so is a form
+        there; such an element that is such a part itself frames nothing.
+        """
+        held: Counter = Counter()
+        for n, text, linked in self.blocks:
+            at = n
+            while at is not None and at.article:
+                if at.tag in ("article", "main"):
+                    held[id(at)] += len(text) - 3 * linked
+                at = at.parent
+        framing = set()
+        most = 0.0
+        for tags in (("article", "main"), ("article",)):  # the second: an article that holds half of the main element or more
+            first = max((n for n in self.nodes if n.tag in tags and not n.by_tag and not (words and n.by_word)), key=lambda n: held[id(n)], default=None)
+            at = first.parent if first is not None and held[id(first)] >= most / 2 else None
+            most = held[id(first)] if first is not None else 0.0
+            while at is not None and id(at) not in framing:
+                framing.add(id(at))
+                at = at.parent
+        for n in self.nodes:  # parents come first
+            frame = id(n) in framing
+            n.noise = n.parent.noise or (n.by_tag and not (frame and n.tag == "form")) or (words and n.by_word and not frame)
 
     def _credit(self, node: Node, size: int, linked: int) -> None:
         """A block's plain text counts for its container, half as much for the one around it."""
@@ -216,6 +273,22 @@ class Page:
         found = [n for n in self.containers if n.path == path]
         if any(n.score > 0 for n in found):
             return found
+        # The host's path decides over words: a container there is taken out of the parts that they name.
+        found = [n for n in self.all_containers if n.path == path] if path is not None else []
+        if found:
+            around = set()
+            for n in found:
+                at = n
+                while at is not None and id(at) not in around:
+                    around.add(id(at))
+                    at = at.parent
+            if not any(n.by_tag for n in self.nodes if id(n) in around):
+                for n in self.nodes:
+                    n.noise = n.parent.noise or n.by_tag or (n.by_word and id(n) not in around)
+                held = {id(n) for n, _, _ in self.blocks if not n.noise}
+                if any(not n.noise for n in found) and held:
+                    return found
+                self._judge(words=True)
         own = self.main()
         return [n for n in self.containers if n.path == own.path]
 
@@ -231,7 +304,7 @@ class Page:
             inside.update(dict.fromkeys(way, found))
             return found
 
-        return "\n".join(t for n, t in self.blocks if not n.noise and is_inside(n))
+        return "\n".join(t for n, t, _ in self.blocks if not n.noise and is_inside(n))
 
 
 def vote(source: str | None) -> str | None:
