@@ -20,7 +20,9 @@ of what as many tables would take one by one. At a similarity of 0.75 two docume
 
 Defined cases: null, empty or wordless texts have no shingles and are linked with nothing; with fewer than five words the
 whole sequence is one shingle; rows that repeat a doc_id are one document to links, with a row each in the result; rows
-without doc_id take the component of documents with the same shingle set, and null where none of these has an id.
+without doc_id take the component of documents with the same shingle set, and null where none of these has an id. Very long
+texts are read whole; of documents that are alike the smallest id stays; an empty table gives no row; further columns,
+whatever their names, are passed on by drop_near_duplicates and not read otherwise.
 """
 
 from __future__ import annotations

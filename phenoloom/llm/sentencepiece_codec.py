@@ -9,7 +9,9 @@ encodes to itself and all neighbouring pairs are compatible.) Ids are then recov
 Cost is linear in the text, whatever its length; there is no queue and no quadratic case.
 
 Defined cases: null text is the empty text; the empty text has no ids and decodes to the empty text; characters outside
-the vocabulary become byte pieces; U+2581 is white space for this model and decodes to a space, as in the library.
+the vocabulary become byte pieces; U+2581 is white space for this model and decodes to a space, as in the library. Rows
+that repeat, also with their doc_id, are encoded each; very long texts are encoded whole; equal merge scores go to the
+leftmost pair; further columns are passed on if named in `keep` and not read otherwise; an empty table gives no row.
 """
 
 from __future__ import annotations
