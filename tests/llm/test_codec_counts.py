@@ -85,3 +85,13 @@ def test_counts_of_documents(spark, small):
 def test_a_piece_more_frequent_than_a_byte_holds(spark):
     df = spark.createDataFrame([(1, " the" * 1000), (2, " the")], "doc_id long, text string")
     assert sorted((r["doc_id"], r["n_tokens"]) for r in count_tokens(df, BYTES).collect()) == [(1, 1000), (2, 1)]
+
+
+def test_a_frequent_piece_is_dealt_by_ranges_of_blocks(spark):
+    """With one input partition to a range, no task gets more than one partition's postings of a pre-token, and counts stay."""
+    from phenoloom.llm.token_counts import postings
+
+    df = spark.createDataFrame([(i, " the cat" * (1 + i % 3)) for i in range(400)], "doc_id long, text string").repartition(8)
+    assert {r["doc_id"]: r["n_tokens"] for r in count_tokens(df, BYTES, spread=1).collect()} == {r["doc_id"]: r["n_tokens"] for r in count_tokens(df, BYTES).collect()}
+    rows = postings(df, [], block_rows=10).where("pre_token = ' the'").selectExpr("block", "block div 16777216 as part").groupBy("part").count().collect()
+    assert len(rows) == 8 and max(r["count"] for r in rows) < 12

@@ -96,6 +96,47 @@ def test_unsettled_buckets_are_exact(spark):
     assert got == want and 0 < len(want) < 1770
 
 
+def test_a_family_of_two_thousand_near_copies(spark):
+    """Copies of one text with edits of their own, many pairs of them just below the limit."""
+    rng = np.random.default_rng(12)
+    base = rng.integers(0, 1 << 40, 60).astype(str)
+    texts = []
+    for k in range(2000):
+        words = base.copy()
+        at = rng.random(60) < (0.01 + 0.03 * (k % 3))
+        words[at] = [f"e{x}" for x in rng.integers(0, 1 << 40, at.sum())]
+        texts.append(" ".join(words))
+    known = WordHashes()
+    sets = [np.unique(shingle_hashes(known.array(words_of(t)))) for t in texts]
+    names = {x: i for i, x in enumerate(np.unique(np.concatenate(sets)))}
+    table = np.zeros((len(sets), len(names)), np.float32)
+    for i, s in enumerate(sets):
+        table[i, [names[x] for x in s]] = 1
+    common, sizes = table @ table.T, table.sum(1)
+    linked = 100 * common >= 75 * (sizes[:, None] + sizes - common)
+    want = np.arange(len(sets))
+    while True:
+        new = np.where(linked, want[None, :], len(sets)).min(1)
+        if (new == want).all():
+            break
+        want = new
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in M.near_duplicates(df).collect()}
+    wrong = sum(got[i] != want[i] for i in range(len(sets)))
+    assert len(set(want.tolist())) > 100 and wrong <= 2, wrong  # 0.27 % of the pairs at the very limit share no table
+
+
+def test_a_round_makes_no_more_rows_than_the_prefixes(spark):
+    """Nodes that all share their prefixes and differ in component: one proposal a row, not all pairs."""
+    shared = list(range(1, 90))
+    table = spark.createDataFrame([(i, sorted([*shared, *range(1000 * i + 1000, 1000 * i + 1005)])) for i in range(300)], "node long, shingles array<long>")
+    labels = spark.createDataFrame([(i, i) for i in range(300)], "node long, component long")
+    prefix = M.prefixes(table, labels, 75)
+    n = M.proposals(prefix, labels, 75).count()
+    assert 0 < n <= prefix.count() and n < 300 * 20
+    assert M.settle(table, labels, 75).select("component").distinct().count() == 1
+
+
 def test_chain_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (90, 95)], "a long, b long")
     got = {r["node"]: r["component"] for r in M.components(edges).collect()}
@@ -202,6 +243,86 @@ def test_a_longer_repeat_around_a_shorter_one(spark):
         assert want[r["doc_id"]] <= {k for s in r["repeated"] for k in range(s["start"], s["end"])}
 
 
+def common_line_corpus(pairs=100):
+    """40 documents share a line of 45 words, too short to count; 100 pairs share an exact passage of 61 words around it."""
+    rng = random.Random(17)
+    words = lambda n: ["c%d" % rng.randrange(1_000_000) for _ in range(n)]
+    line = words(45)
+    texts = {i: " ".join([*words(40), *line, *words(40)]) for i in range(40)}
+    for k in range(pairs):
+        passage = [*words(8), *line, *words(8)]
+        for i in (1000 + 2 * k, 1001 + 2 * k):
+            texts[i] = " ".join([*words(30), *passage, *words(30)])
+    return texts
+
+
+def test_a_common_line_hides_no_repeat(spark):
+    texts = common_line_corpus()
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: {k for s in r["repeated"] for k in range(s["start"], s["end"])} for r in S.report(df).collect()}
+    want = repeats(texts)
+    assert sum(map(bool, want.values())) == 100 and all(want[i] <= got[i] for i in texts)
+
+
+def edited_corpus(decoys, pairs=60, words_changed=2):
+    """Pairs share a passage of 75 words, of which the second document has two changed; `decoys` documents quote 40 words of it first."""
+    rng = random.Random(23)
+    words = lambda n: ["d%d" % rng.randrange(1_000_000) for _ in range(n)]
+    texts, pairs_of = {}, []
+    for k in range(pairs):
+        passage = words(75)
+        for j in range(decoys):
+            texts[1000 * k + j] = " ".join([*words(30), *passage[18:58], *words(30)])
+        other = passage[:]
+        for at in rng.sample(range(8, 67), words_changed):
+            other[at] = words(1)[0]
+        texts[1000 * k + 500] = " ".join([*words(30), *passage, *words(30)])
+        texts[1000 * k + 501] = " ".join([*words(30), *other, *words(30)])
+        pairs_of.append(1000 * k + 501)
+    return texts, pairs_of
+
+
+def similar_enough(a, b):
+    x, y = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (a, b))
+    return 100 * len(x & y) >= 75 * len(x | y)
+
+
+def test_edited_passages_behind_quotes(spark):
+    """Passages at a similarity of 0.75 or more are found also where smaller documents quote a part of them."""
+    for decoys in (0, 3):
+        texts, later = edited_corpus(decoys)
+        df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+        hit = {r["doc_id"]: r["n_repeated"] for r in S.report(df).collect()}
+        due = [i for i in later if similar_enough(texts[i - 1].split()[30:105], texts[i].split()[30:105])]
+        found = sum(hit[i] >= 50 for i in due)
+        assert len(due) > 40 and found >= 0.95 * len(due), (decoys, found, len(due))
+
+
+def test_copies_repeat_what_their_first_repeats(spark):
+    rng = random.Random(5)
+    words = lambda n: ["k%d" % rng.randrange(100_000) for _ in range(n)]
+    passage = words(60)
+    first, second = [" ".join([*words(20), *passage, *words(20)]) for _ in range(2)]
+    short = " ".join(words(30))
+    rows = [(1, first), (2, second), (3, second), (4, second), (4, second), (5, short), (6, short), (7, "  " + second + "\n")]
+    got = {r["doc_id"]: r for r in S.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i]["n_repeated"] for i in range(1, 8)] == [0, 60, 100, 100, 0, 0, 100]
+    assert [got[i]["component_id"] for i in range(1, 8)] == [1, 1, 1, 1, 5, 6, 1] and [got[i]["n_links"] for i in range(1, 8)] == [4, 4, 4, 4, 0, 0, 4]
+    kept = {r["doc_id"] for r in S.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {1, 2, 5, 6}
+
+
+def test_new_roots_leave_out_what_the_other_holds():
+    a = np.arange(100, dtype=np.uint64)
+    first = np.where(np.arange(100) < 60, 0, -1)  # the other document holds the first 60
+    values = S.function_values(a, 0) & ~np.uint64(7)
+    root = values[:60].min()
+    rows = S.new_roots(a, first, [], np.array([root], np.uint64).view(np.int64), np.array([0]), np.array([99]), 46)
+    above = np.sort(values[60:][values[60:] > root])[: S.ROOTS]
+    assert rows == [(int(x), 0, 99) for x in above]
+    assert S.new_roots(a, first, [(20, 80, 0, 60)], np.array([root], np.uint64).view(np.int64), np.array([0]), np.array([99]), 46) == []
+
+
 def test_hashes_of_runs():
     words = np.random.default_rng(3).integers(0, 1 << 60, 200).astype(np.uint64)
     words[100:150] = words[20:70]
@@ -218,6 +339,8 @@ def test_edited_passages_are_found():
     known = WordHashes()
     a, b = (shingle_hashes(known.array(x)) for x in (words, other))
     assert S.passages(b, S.Owner(a), np.ones(len(b), bool), 46) == [(0, 196, 0, 196)]
+    owner = S.Owner(a)
+    assert S.matches(b, owner, owner.places(b), np.ones(len(b), bool), 46)[1] == [(141, 196)]
 
 
 def test_windows_cover_every_subsequence_once():
