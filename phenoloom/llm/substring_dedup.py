@@ -15,15 +15,16 @@ functions; there are about 2n/LEAST windows for each, not n^2.
 5. Whatever smaller document took their roots, exact repeats are complete: in all windows that share a root, every run of
    LEAST words that is not yet known to stand in a smaller document is linked to its smallest holder. The smallest holder
    of a run is never known to stand in a smaller one, so all holders come together.
-6. Windows that no confirmed passage explains look for others: a window that was compared gets a new root, the least
-   shingle that the document it was compared with does not hold, so a line that many documents share brings each of them
+6. Windows that no confirmed passage explains look for others: a window that was compared gets new roots, the ROOTS least
+   shingles that the document it was compared with does not hold, so a line that many documents share brings each of them
    to one comparison only; the others go on without the smallest document. Rounds end when one confirms no passage.
 
 In every passage the smallest document is the first; the others hold a repeat, which `cut_repeats` takes out.
 
 Defined cases: null and empty texts and texts of fewer than LEAST words have no passage; rows without doc_id are left as
 they are; rows that repeat a doc_id are one document, which does not repeat itself; a passage twice in one document only
-is no repeat across documents.
+is no repeat across documents. Very long texts are read whole; of equal passages the smallest id's is the first; an empty
+table gives no row; further columns, whatever their names, are passed on by cut_repeats and not read otherwise.
 """
 
 from __future__ import annotations
@@ -39,10 +40,14 @@ from .common import WORDS, WordHashes, discard, materialise, mix64, shingle_hash
 from .minhash_dedup import components
 
 WIDTH, LEAST, HASHES, NEEDED = 5, 50, 4, 2
+#: New roots of a window that was compared in vain: what is left of a passage is a smaller part of its window.
+ROOTS = 3
 #: Gap in shingles that a chain may bridge: two words that differ near each other.
 GAP = 12
 PERCENT = 75
 BROADCAST_IDS = 400_000
+#: Followers of a document that are compared with it in a row.
+FOLLOWERS = 256
 #: Odd, so it has an inverse modulo 2^64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -198,7 +203,7 @@ def function_values(shingles: np.ndarray, k: int, seed: int = 5) -> np.ndarray:
 
 
 def new_roots(shingles: np.ndarray, first: np.ndarray, found: list[tuple[int, int, int, int]], keys: np.ndarray, lefts: np.ndarray, rights: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """(key, left, right) of windows that no passage found explains, at the next root that the other document does not hold."""
+    """(key, left, right) of windows that no passage found explains, at the next ROOTS roots that the other document does not hold."""
     out = []
     values: dict[int, np.ndarray] = {}
     for key, left, right in zip(keys.view(np.uint64).tolist(), lefts.tolist(), rights.tolist(), strict=True):
@@ -208,9 +213,8 @@ def new_roots(shingles: np.ndarray, first: np.ndarray, found: list[tuple[int, in
         if k not in values:
             values[k] = np.where(first < 0, function_values(shingles, k) & ~np.uint64(7), np.uint64(0))
         there = values[k][left : right + 1]
-        there = there[there > np.uint64(key - k)]
-        if len(there):
-            out.append((int(there.min()) | k, left, right))
+        there = np.unique(there[there > np.uint64(key - k)])[:ROOTS]
+        out += [(int(x) | k, left, right) for x in there]
     return out
 
 
@@ -247,9 +251,17 @@ def confirm(pairs: DataFrame, df: DataFrame, text: str, doc_id: str, least: int,
     With `again`, also rows of key, node, l and r: the new roots of windows that the pair's passages do not explain.
     """
     ids = pairs.select(F.col("node").alias("id")).union(pairs.select("owner")).distinct()
-    texts = materialise(_texts(df, materialise(ids, "ids"), text, doc_id), "texts")
-    mine, theirs = texts.select(F.col("id").alias("node"), F.col("text").alias("text")), texts.select(F.col("id").alias("owner"), F.col("text").alias("owner_text"))
-    both = pairs.join(mine, "node").join(theirs, "owner").select("owner", "owner_text", "node", "text", "windows", F.xxhash64("text").alias("digest"), F.xxhash64("owner_text").alias("owner_digest"))
+    ids = materialise(ids, "ids")
+    texts = materialise(_texts(df, ids, text, doc_id), "texts")
+    # A document's followers are dealt to blocks, and its text comes once to each, before them.
+    blocks = materialise(pairs.groupBy("owner").agg(F.ceil(F.count("*") / FOLLOWERS).cast("int").alias("blocks")), "blocks")
+    dealt = pairs.join(blocks, "owner").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("blocks")
+    later = dealt.join(texts.select(F.col("id").alias("node"), "text"), "node").select("owner", "block", F.lit(1).alias("kind"), "node", "text", "windows")
+    none = F.lit(None).cast(pairs.schema["windows"].dataType)
+    first = texts.join(blocks, texts["id"] == blocks["owner"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    first = first.select("owner", "block", F.lit(0).alias("kind"), F.col("owner").alias("node"), "text", none.alias("windows"))
+    both = later.unionByName(first).withColumn("digest", F.xxhash64("text")).repartition("owner", "block").sortWithinPartitions("owner", "block", "kind")
+
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     kinds = [pa.int64()] * 4 + [pa.int32()] * 4 + [span, pa.int64(), pa.int32(), pa.int32()]
     names = [*FOUND, "key", "l", "r"]
@@ -260,33 +272,36 @@ def confirm(pairs: DataFrame, df: DataFrame, text: str, doc_id: str, least: int,
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        last_key, owner, size = None, None, least - WIDTH + 1
+        at, firsts, size = None, [], least - WIDTH + 1
         for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                batch = whole.slice(start, 256)
+            for batch in slices(iter([whole]), 256, 4 << 20):
                 rows: list[tuple] = []
                 left_over: list[tuple] = []
-                owners, owner_digests, nodes, digests = (batch.column(c).to_pylist() for c in (0, 6, 2, 5))
+                owners, kinds_, nodes, digests = (batch.column(c).to_pylist() for c in (0, 2, 3, 6))
                 for k in range(batch.num_rows):
-                    if last_key != (owners[k], owner_digests[k]):
-                        last_key = (owners[k], owner_digests[k])
-                        owner = Owner(shingle_hashes(known.array(words_of(batch.column(1)[k].as_py())), WIDTH))
-                    words = words_of(batch.column(3)[k].as_py())
+                    words = words_of(batch.column(4)[k].as_py())
                     a = shingle_hashes(known.array(words), WIDTH)
+                    if kinds_[k] == 0:
+                        if at != owners[k]:
+                            at, firsts = owners[k], []
+                        if digests[k] not in [d for d, _ in firsts]:
+                            firsts.append((digests[k], Owner(a)))
+                        continue
                     if len(words) < least:
                         continue
-                    keys, lefts, rights = (np.asarray(c) for c in batch.column(4)[k].values.flatten())
+                    keys, lefts, rights = (np.asarray(c) for c in batch.column(5)[k].values.flatten())
                     inside = lefts < len(a)  # windows of another text with the same id
                     keys, lefts, rights = keys[inside], lefts[inside], rights[inside]
                     allowed = covered(lefts, rights, keys & 7, len(a), needed)
-                    first = owner.places(a)
-                    found, equal = matches(a, owner, first, allowed, size)
-                    for s, e, t, f in found:
-                        exact = [(max(s, x), min(e, y) + WIDTH - 1) for x, y in equal if min(e, y) - max(s, x) >= size]
-                        rows.append((nodes[k], digests[k], owners[k], owner_digests[k], s, e + WIDTH - 1, t, f + WIDTH - 1, [{"start": x, "end": y} for x, y in exact]))
-                    if again:
-                        for key, x, y in new_roots(a, first, found, keys, lefts, rights, size):
-                            left_over.append((key - (1 << 64) if key >> 63 else key, nodes[k], x, y))
+                    for owner_digest, owner in firsts:
+                        first = owner.places(a)
+                        found, equal = matches(a, owner, first, allowed, size)
+                        for s, e, t, f in found:
+                            exact = [(max(s, x), min(e, y) + WIDTH - 1) for x, y in equal if min(e, y) - max(s, x) >= size]
+                            rows.append((nodes[k], digests[k], owners[k], owner_digest, s, e + WIDTH - 1, t, f + WIDTH - 1, [{"start": x, "end": y} for x, y in exact]))
+                        if again:
+                            for key, x, y in new_roots(a, first, found, keys, lefts, rights, size):
+                                left_over.append((key - (1 << 64) if key >> 63 else key, nodes[k], x, y))
                 if rows:
                     yield table(rows, FOUND)
                 if left_over:
@@ -294,7 +309,7 @@ def confirm(pairs: DataFrame, df: DataFrame, text: str, doc_id: str, least: int,
 
     # Written at once, so that the texts can go.
     out = materialise(both.mapInArrow(work, CONFIRMED), "confirmed")
-    discard(texts)
+    discard(texts, ids, blocks)
     return out
 
 
@@ -322,8 +337,9 @@ def copies_of(df: DataFrame, text: str, doc_id: str) -> DataFrame:
     rows = df.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("__text")).where("node is not null and __text is not null")
     rows = materialise(rows.select("node", F.xxhash64("__text").alias("digest"), F.xxhash64(F.lit(1), "__text").alias("second")), "digests")
     owners = rows.groupBy("digest", "second").agg(F.min("node").alias("owner"), F.max("node").alias("last")).where("owner < last").select("digest", "second", "owner")
+    owners = materialise(owners, "first-copies")  # so that the engine may split a text with very many copies
     copies = materialise(rows.join(owners, ["digest", "second"]).where("owner < node").select("node", "digest", "owner").distinct(), "copies")
-    discard(rows)
+    discard(rows, owners)
     return copies
 
 
@@ -353,7 +369,7 @@ def repeated_passages(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
             missed = materialise(exact_pairs(hits, found, own, text, doc_id, least, hashes), "pairs")
             exact = confirm(missed, own, text, doc_id, least, min(needed, NEEDED), False).select(*FOUND)
             found = found.unionByName(exact)
-        windows = materialise(unexplained(left, found, least), "windows")
+        windows = materialise(unexplained(left.distinct(), found, least), "windows")
         discard(hits, pairs)
         hits = materialise(with_owner(windows), "hits")
         discard(windows)
@@ -361,10 +377,10 @@ def repeated_passages(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
     found = found.drop("exact")
     if not few:
         return found
-    of_copies = df.select(F.col(doc_id).cast("long").alias("node"), F.xxhash64(text).alias("digest"), F.col(text).alias("__text"))
-    of_copies = of_copies.join(F.broadcast(copies) if few <= BROADCAST_IDS else copies, ["node", "digest"]).select("node", "digest", "owner", F.size(F.split("__text", r"[\x20\x09-\x0D]+")).alias("at_most"), "__text")
-    n_words = F.col("at_most") - F.col("__text").rlike(r"^[\x20\x09-\x0D]").cast("int") - F.col("__text").rlike(r"[\x20\x09-\x0D]\z").cast("int")
-    whole = materialise(of_copies.select("node", "digest", "owner", n_words.alias("n")).where(F.col("n") >= least).distinct(), "whole-copies")
+    small = F.broadcast(copies) if few <= BROADCAST_IDS else copies
+    keys = small.select(F.col("node").alias("__node"), F.col("digest").alias("__digest"))
+    counts = word_counts(df.select(text, doc_id).join(keys, same, "left_semi"), text, doc_id).select(F.col("doc_id").alias("node"), "digest", F.col("n_words").cast("int").alias("n"))
+    whole = materialise(counts.where(F.col("n") >= least).distinct().join(small, ["node", "digest"]), "whole-copies")
     first = whole.select("node", "digest", "owner", F.col("digest").alias("owner_digest"), F.lit(0).alias("start"), F.col("n").alias("end"), F.lit(0).alias("owner_start"), F.col("n").alias("owner_end"))
     # What the class's first document repeats, its copies repeat too.
     kept = whole.select(F.col("node").alias("copy"), "digest", F.col("owner").alias("node"))
@@ -449,7 +465,9 @@ def partners(found: DataFrame, least: int = LEAST) -> DataFrame:
     """(node, n_links): how many other documents hold a passage that the node holds, each counted once.
 
     Stretches of a first document that have `least` words in common are one passage. Documents with the same passages are
-    one class, and classes meet by passage; pairs of documents are not made.
+    one class. A class's links are the holders of its passages added up, less what is added twice: classes that share two
+    passages or more with it. These meet by prefix: passages ordered from rare to frequent, two classes that share two share
+    one that is not the last of either. So a passage that very many classes hold brings them together only if a second one does.
     """
     of_owner = found.groupBy("owner").agg(F.collect_set(F.struct(F.col("owner_start").alias("start"), F.col("owner_end").alias("end"))).alias("spans")).select("owner", merged("spans", least).alias("held"))
     of_owner = materialise(of_owner, "held")
@@ -458,12 +476,22 @@ def partners(found: DataFrame, least: int = LEAST) -> DataFrame:
     first = of_owner.select(F.col("owner").alias("node"), "owner", F.explode("held").alias("p")).select("node", "owner", F.col("p.start").alias("at"))
     members = later.union(first).groupBy("node").agg(F.array_sort(F.collect_set(F.struct("owner", "at"))).alias("passages"))
     members = materialise(members, "members")
-    classes = members.groupBy("passages").agg(F.count("*").alias("n"), F.min("node").alias("class"))
-    classes = materialise(classes, "classes")
+    classes = materialise(members.groupBy("passages").agg(F.count("*").alias("n"), F.min("node").alias("class")), "classes")
     parts = classes.select("class", "n", F.explode("passages").alias("p"))
-    met = parts.select("class", "p").join(parts.select("p", F.col("class").alias("other"), "n"), "p").select("class", "other", "n").distinct()
-    links = met.groupBy("class").agg((F.sum("n") - 1).alias("n_links"))
-    return members.join(classes.select("passages", "class"), "passages").join(links, "class").select("node", "n_links")
+    holders = materialise(parts.groupBy("p").agg(F.sum("n").alias("holders"), F.count_if(F.lit(True)).alias("classes")), "holders")
+    held = materialise(parts.join(holders, "p"), "held-by-class")
+    sums = held.groupBy("class").agg(F.sum("holders").alias("holders"))
+    # Only passages of several classes can be shared, and one alone is never added twice.
+    several = held.where("classes > 1").groupBy("class", "n").agg(F.array_sort(F.collect_list(F.struct("classes", "p"))).alias("ps")).where(F.size("ps") > 1)
+    several = materialise(several.select("class", "n", F.transform("ps", lambda x: x["p"]).alias("ps")), "several")
+    keys = several.select("class", "n", "ps", F.explode(F.slice("ps", 1, F.size("ps") - 1)).alias("p"))
+    met = keys.join(keys.select("p", F.col("class").alias("other"), F.col("n").alias("m"), F.col("ps").alias("qs")), "p").where("class <> other")
+    common = F.size(F.array_intersect("ps", "qs"))
+    twice = met.where(common > 1).groupBy("class", "other").agg(F.max(F.col("m") * (common - 1)).alias("m")).groupBy("class").agg(F.sum("m").alias("twice"))
+    # The documents of the class itself were added once for each of its passages.
+    own = classes.select("passages", "class", (F.col("n") * (F.size("passages") - 1) + 1).alias("own"))
+    links = own.join(sums, "class").join(twice, "class", "left").select("passages", (F.col("holders") - F.col("own") - F.coalesce("twice", F.lit(0))).alias("n_links"))
+    return members.join(links, "passages").select("node", "n_links")
 
 
 def word_counts(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
