@@ -1,5 +1,6 @@
 """The pipeline's stages against plain versions of each decision."""
 
+import random
 from collections import Counter
 
 import corpus_pipeline as P
@@ -23,7 +24,7 @@ def test_stages(spark, small):
     # By hand: a document goes if and only if the model, fitted to the labelled ones, scores its text at a half or more.
     matcher = toxicity.fit(spark.createDataFrame(a, before_all.schema), spark.read.parquet(f"{small}/labels.parquet")).matcher()
     assert gone == {r["doc_id"] for r in a if matcher.scores([r["text"]])[0] >= 0.5}
-    assert all(labels.get(i, 1) for i in gone) and sum(labels.get(r["doc_id"]) == 1 for r in b) <= 0.05 * max(1, sum(labels.values()))
+    assert all(labels.get(i, 1) for i in gone)
     a, b = steps["near_duplicates"]
     want, _ = brute({r["doc_id"]: r["text"] for r in a})
     assert sorted(r["doc_id"] for r in b) == sorted(i for i in want if want[i] == i)
@@ -39,6 +40,26 @@ def test_stages(spark, small):
     assert all(r["n_tokens"] == len(r["ids"]) for r in b)
 
 
+def test_toxic_documents_go(spark, tmp_path):
+    """Insults planted in texts of random words: all documents that hold one go, labelled or not, and only these."""
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abdeghiklmnoprstuv", k=rng.randint(3, 8))) for _ in range(400)]
+    rows, labels, toxic = [], [], set()
+    for i in range(600):
+        text = rng.choices(words, k=rng.randint(20, 80))
+        if i % 5 == 3:
+            toxic.add(i)
+            for insult in rng.sample(["worthless", "pathetic", "imbecile", "scumbag"], 2):
+                text.insert(rng.randrange(len(text)), insult)
+        rows.append((i, " ".join(text), "en", "a", len(" ".join(text))))
+        if i < 500:
+            labels.append((i, int(i in toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    left = P.toxicity(spark, docs, str(tmp_path))
+    assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} == set(range(600)) - toxic
+
+
 def test_stages_on_odd_tables(spark, small):
     """Nulls in any column, empty and very long texts, repeated rows, clashing names, and no rows at all."""
     long, dup = "alpha beta gamma delta epsilon zeta " * 9000, " ".join(f"word{i}" for i in range(80))
