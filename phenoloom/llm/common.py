@@ -136,6 +136,50 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+#: Bytes of words that are hashed at once, so that the arrays of a long text stay small.
+BLOCK = 1 << 20
+ODD = 0x9E3779B97F4A7C15
+SPACE = np.isin(np.arange(256), [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20])
+#: A number for each byte: A-Z as a-z, white space nothing.
+BYTES = mix64(np.arange(1, 257, dtype=np.uint64))
+BYTES[ord("A") : ord("Z") + 1] = BYTES[ord("a") : ord("z") + 1]
+BYTES[SPACE] = 0
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts (words as in words_of), and where each text's words begin among them, with the end.
+
+    A word's hash is the mixed sum of its bytes' numbers times powers of an odd number, for all words at once.
+    """
+    import pyarrow.compute as pc
+
+    texts = pc.fill_null(texts, "")
+    wide = pa.types.is_large_string(texts.type)
+    edges = np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = texts.buffers()[2]
+    data = np.frombuffer(data, np.uint8)[edges[0] : edges[-1]] if data else np.empty(0, np.uint8)
+    edges -= edges[0]
+    inside = ~SPACE[data]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    heads = edges[:-1][edges[:-1] < len(data)]
+    begins[heads] = inside[heads]
+    starts = np.flatnonzero(begins)
+    out = np.empty(len(starts), np.uint64)
+    low = 0
+    with np.errstate(over="ignore"):
+        while low < len(starts):
+            high = max(low + 1, int(np.searchsorted(starts, starts[low] + BLOCK)))
+            end = starts[high] if high < len(starts) else len(data)
+            own = starts[low:high] - starts[low]
+            sizes = np.diff(np.r_[own, end - starts[low]])
+            place = np.arange(end - starts[low], dtype=np.int32) - np.repeat(own.astype(np.int32), sizes)
+            powers = np.cumprod(np.r_[np.uint64(1), np.full(int(sizes.max()), ODD, np.uint64)], dtype=np.uint64)
+            out[low:high] = np.add.reduceat(BYTES[data[starts[low] : end]] * powers[place], own)
+            low = high
+    return mix64(out), np.searchsorted(starts, edges)
+
+
 def shingle_hashes(words: np.ndarray, width: int = 5) -> np.ndarray:
     """Hash of every run of `width` words, in order; fewer words make one shingle of all of them; no word, none."""
     n = len(words)

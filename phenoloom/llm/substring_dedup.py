@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS, WordHashes, discard, materialise, mix64, shingle_hashes, slices, words_of
+from .common import WORDS, discard, materialise, mix64, shingle_hashes, slices, word_hashes, words_of
 from .minhash_dedup import components
 
 WIDTH, LEAST, HASHES, NEEDED = 5, 50, 4, 2
@@ -222,12 +222,11 @@ def window_rows(df: DataFrame, text: str, doc_id: str, least: int, hashes: int)
     source = df.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("__text")).where("node is not null and __text is not null")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch in slices(batches, 1024, 4 << 20, "__text"):
             nodes, found = batch.column(0).to_numpy(), []
-            for t in batch.column(1).to_pylist():
-                words = words_of(t)
-                found.append(windows_of(shingle_hashes(known.array(words), WIDTH), least - WIDTH + 1, hashes) if len(words) >= least else windows_of(np.empty(0, np.uint64), 1, hashes))
+            hashed, at = word_hashes(batch.column(1))
+            for start, end in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                found.append(windows_of(shingle_hashes(hashed[start:end], WIDTH), least - WIDTH + 1, hashes) if end - start >= least else windows_of(np.empty(0, np.uint64), 1, hashes))
             sizes = [len(k) for k, _, _ in found]
             keys, lefts, rights = (np.concatenate(x) for x in zip(*found, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.repeat(nodes, sizes)), pa.array(lefts.astype(np.int32)), pa.array(rights.astype(np.int32))], ["key", "node", "l", "r"])
@@ -271,16 +270,16 @@ def confirm(pairs: DataFrame, df: DataFrame, text: str, doc_id: str, least: int,
         return pa.RecordBatch.from_arrays([pa.array(have[c], kind) if c in have else pa.nulls(len(rows), kind) for c, kind in zip(names, kinds, strict=True)], names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         at, firsts, size = None, [], least - WIDTH + 1
         for whole in batches:
             for batch in slices(iter([whole]), 256, 4 << 20):
                 rows: list[tuple] = []
                 left_over: list[tuple] = []
                 owners, kinds_, nodes, digests = (batch.column(c).to_pylist() for c in (0, 2, 3, 6))
+                hashed, places = word_hashes(batch.column(4))
                 for k in range(batch.num_rows):
-                    words = words_of(batch.column(4)[k].as_py())
-                    a = shingle_hashes(known.array(words), WIDTH)
+                    words = hashed[places[k] : places[k + 1]]
+                    a = shingle_hashes(words, WIDTH)
                     if kinds_[k] == 0:
                         if at != owners[k]:
                             at, firsts = owners[k], []
@@ -399,43 +398,80 @@ def runs_of_words(words: np.ndarray, width: int) -> np.ndarray:
         return mix64((sums[width:] - sums[:n]) * inverse[:n])
 
 
+def lowest(values: np.ndarray, width: int) -> np.ndarray:
+    """Least value of every run of `width` values."""
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        values = np.minimum(values[:-step], values[step:])
+        have += step
+    return values
+
+
+def shared_roots(shingles: np.ndarray, keys: np.ndarray, width: int, hashes: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every run of `width` shingles: a number made of its roots, and whether all of them are among the keys.
+
+    Windows compare all but the 20 low bits of values, so roots are compared by these.
+    """
+    label = np.zeros(len(shingles) - width + 1, np.uint64)
+    open_ = np.ones(len(label), bool)
+    for k in range(hashes):
+        root = lowest(function_values(shingles, k) >> np.uint64(20), width)
+        first = np.flatnonzero(np.r_[True, root[1:] != root[:-1]])
+        known = np.isin(root[first], keys[(keys & np.uint64(7)) == k] >> np.uint64(20))
+        open_ &= np.repeat(known, np.diff(np.r_[first, len(root)]))
+        label = mix64(label * np.uint64(BASE) + root)
+    return label, open_
+
+
 def exact_pairs(shared: DataFrame, found: DataFrame, df: DataFrame, text: str, doc_id: str, least: int, hashes: int) -> DataFrame:
     """Pairs (node, owner, windows) for runs of `least` words and their smallest holder, but for runs in `exact` spans of `found`.
 
     `shared` has all windows whose root another document has too. Equal runs have equal roots for every hash function, so
-    only runs that lie in such a window of every function are looked at.
+    only runs whose own roots are all shared are looked at. Neighbouring runs with the same roots are one row, and rows whose
+    roots no second document has open are left before their runs are compared.
     """
-    packed = F.shiftleft(F.col("r").cast("long"), 33).bitwiseOR(F.shiftleft(F.col("l").cast("long"), 3)).bitwiseOR(F.col("key").bitwiseAND(7))
-    parts = shared.groupBy("node").agg(F.collect_list(packed).alias("windows")).where(F.size(F.array_distinct(F.transform("windows", lambda w: w.bitwiseAND(7)))) >= hashes)
+    parts = shared.groupBy("node").agg(F.collect_set("key").alias("keys")).where(F.size(F.array_distinct(F.transform("keys", lambda x: x.bitwiseAND(7)))) >= hashes)
     texts = df.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("__text")).where("node is not null and __text is not null").join(parts, "node")
     known_spans = found.groupBy("node", F.col("digest").alias("__digest")).agg(F.flatten(F.collect_set("exact")).alias("known"))
-    texts = texts.withColumn("__digest", F.xxhash64("__text")).join(known_spans, ["node", "__digest"], "left").select("node", "__text", "windows", F.col("known.start").alias("starts"), F.col("known.end").alias("ends"))
+    texts = texts.withColumn("__digest", F.xxhash64("__text")).join(known_spans, ["node", "__digest"], "left").select("node", "__text", "keys", F.col("known.start").alias("starts"), F.col("known.end").alias("ends"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch in slices(batches, 1024, 4 << 20, "__text"):
-            runs, nodes, places = [np.empty(0, np.uint64)], [], [np.empty(0, np.int64)]
-            for k, (node, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                found = runs_of_words(known.array(words_of(t)), least)
-                w = np.asarray(batch.column(2)[k].values, np.int64)
-                functions, lefts, rights = w & 7, (w >> 3) & 0x3FFFFFFF, w >> 33
-                inside = lefts < len(found)  # windows of another text with the same id
-                open_ = covered(lefts[inside], rights[inside] - (least - WIDTH), functions[inside], len(found), hashes)
+            roots, nodes, places, lists, sizes = [np.empty(0, np.uint64)], [], [np.empty(0, np.int64)], [np.empty(0, np.uint64)], [np.zeros(1, np.int64)]
+            hashed, begins = word_hashes(batch.column(1))
+            for k, node in enumerate(batch.column(0).to_pylist()):
+                words = hashed[begins[k] : begins[k + 1]]
+                if len(words) < least:
+                    continue
+                keys = np.asarray(batch.column(2)[k].values, np.int64).view(np.uint64)
+                label, open_ = shared_roots(shingle_hashes(words, WIDTH), keys, least - WIDTH + 1, hashes)
                 for s, e in zip(batch.column(3)[k].as_py() or (), batch.column(4)[k].as_py() or (), strict=True):
                     open_[s : e - least + 1] = False
                 at = np.flatnonzero(open_)
-                runs.append(found[at])
-                places.append(at)
-                nodes.append(np.full(len(at), node, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(runs).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(places).astype(np.int32))], ["run", "node", "at"])
-
-    rows = materialise(texts.mapInArrow(work, "run bigint, node bigint, at int"), "runs")
+                if not len(at):
+                    continue
+                first = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | (label[at[1:]] != label[at[:-1]])])
+                roots.append(label[at[first]])
+                places.append(at[first])
+                nodes.append(np.full(len(first), node, np.int64))
+                lists.append(runs_of_words(words, least)[at])
+                sizes.append(np.diff(np.r_[first, len(at)]))
+            runs = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)), pa.int32()), pa.array(np.concatenate(lists).view(np.int64)))
+            nodes = np.concatenate([np.empty(0, np.int64), *nodes])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(roots).view(np.int64)), pa.array(nodes), pa.array(np.concatenate(places).astype(np.int32)), runs], ["roots", "node", "at", "runs"])
+
+    rows = materialise(texts.mapInArrow(work, "roots bigint, node bigint, at int, runs array<bigint>"), "runs")
+    several = rows.groupBy("roots").agg(F.min("node").alias("one"), F.max("node").alias("other")).where("one < other").select("roots")
+    open_runs = materialise(rows.join(several, "roots").drop("roots"), "open-runs")
+    discard(rows)
+    rows = open_runs.select("node", "at", F.posexplode("runs").alias("step", "run")).select("run", "node", (F.col("at") + F.col("step")).alias("at"))
     holders = rows.groupBy("run").agg(F.min("node").alias("owner"), F.max("node").alias("last")).where("owner < last").select("run", "owner")
     links = rows.join(holders, "run").where("node <> owner")
     rest = links.groupBy("node", "owner").agg(F.min("at").alias("l"), (F.max("at") + least - WIDTH).alias("r"))
     window = lambda k: F.struct(F.lit(k).cast("long").alias("key"), "l", "r")
     rest = materialise(rest.select("node", "owner", F.array(*[window(k) for k in range(NEEDED)]).alias("windows")), "missed")
-    discard(rows)
+    discard(open_runs)
     return rest
 
 

@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+from phenoloom.llm import common as C
 from phenoloom.llm import minhash_dedup as M
 from phenoloom.llm import substring_dedup as S
 from phenoloom.llm.common import WordHashes, shingle_hashes, words_of
@@ -373,3 +374,34 @@ def test_same_rows_as_sql(spark, small):
 
     for name, sql in Q.oracle_sql().items():
         assert compare(Q.queries()[name](spark, small), connect(small), sql) == ""
+
+
+def test_word_hashes_are_of_words():
+    import pyarrow as pa
+
+    texts = ["", "A b\x0bC", " x", " y é", None, "a" * 3_000_000 + " Z", "\x1c q", "z", "\t \n", "ab ba a b"]
+    hashes, at = C.word_hashes(pa.array(texts))
+    words = [words_of(t) for t in texts]
+    assert np.diff(at).tolist() == [len(w) for w in words]
+    of_word = {}
+    for word, value in zip([w for ws in words for w in ws], hashes.tolist(), strict=True):
+        assert of_word.setdefault(word, value) == value
+    assert len(set(of_word.values())) == len(of_word)
+    part, _ = C.word_hashes(pa.array(texts).slice(1, 3))
+    assert (part == hashes[at[1] : at[4]]).all()
+    assert not len(C.word_hashes(pa.array(["", None], pa.string()))[0])
+
+
+def test_runs_with_shared_roots():
+    """Every run of a text finds its roots among the text's windows; a run of another text only where all roots are the same."""
+    rng = np.random.default_rng(4)
+    a = S.mix64(rng.integers(0, 5000, 900).astype(np.uint64))
+    b = np.r_[S.mix64(rng.integers(10_000, 20_000, 300).astype(np.uint64)), a[200:290], S.mix64(rng.integers(30_000, 40_000, 300).astype(np.uint64))]
+    keys = S.windows_of(a, 46, 4)[0]
+    label, open_ = S.shared_roots(a, keys, 46, 4)
+    assert open_.all()
+    other, open_ = S.shared_roots(b, keys, 46, 4)
+    assert open_[300:345].all() and (other[300:345] == label[200:245]).all()
+    assert not open_[:255].any() and not open_[390:].any()
+    naive = [min(S.function_values(a, 2)[k : k + 46]) for k in range(len(a) - 45)]
+    assert (S.lowest(S.function_values(a, 2), 46) == naive).all()
