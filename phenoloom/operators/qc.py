@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..sources.stored import stored
+from .numbering import numbered
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -81,9 +82,8 @@ def impute_mean(calls: DataFrame, marker: str = "marker_id", call: str = "call")
 
 
 def thin_every(markers: DataFrame, n: int, block: list[str], order: list[str]) -> DataFrame:
-    """Rows 0, n, 2n, ... of every block."""
-    w = Window.partitionBy(*block).orderBy(*order)
-    return markers.withColumn("__i", F.row_number().over(w) - 1).where(F.pmod("__i", F.lit(n)) == 0).drop("__i")
+    """Rows 0, n, 2n, ... of every block, which may be of any size."""
+    return numbered(markers, [F.asc(c) for c in order], "__i", block).where(F.pmod(F.col("__i") - 1, F.lit(n)) == 0).drop("__i")
 
 
 def thin_by_distance(markers: DataFrame, spacing: int, chr_: str = "chr", pos: str = "pos", cells: int = 64) -> DataFrame:
@@ -138,9 +138,9 @@ def thin_by_distance(markers: DataFrame, spacing: int, chr_: str = "chr", pos: s
 
 
 def fixed_blocks(markers: DataFrame, size: int, chr_: str = "chr", pos: str = "pos") -> DataFrame:
-    """Adds local_row and block: rows of a chromosome in position order, cut at every `size`."""
-    w = Window.partitionBy(chr_).orderBy(pos)
-    return markers.withColumn("local_row", (F.row_number().over(w) - 1).cast("bigint")).withColumn("block", F.floor(F.col("local_row") / size).cast("bigint"))
+    """Adds local_row, block and chr_rows: rows of a chromosome in position order, cut at every `size`, and how many it has."""
+    rows = numbered(markers, [F.asc(pos)], "local_row", [chr_], "chr_rows")
+    return rows.withColumn("local_row", F.col("local_row") - 1).withColumn("block", F.floor(F.col("local_row") / size).cast("bigint"))
 
 
 def equal_blocks(index, total, blocks):
@@ -152,12 +152,8 @@ def equal_blocks(index, total, blocks):
 
 
 def global_index(markers: DataFrame, chr_: str = "chr", pos: str = "pos", tie: str = "marker_id") -> DataFrame:
-    """Adds global_idx: rows of smaller chromosomes come first. Sorted within chromosomes, never as a whole."""
-    local = F.row_number().over(Window.partitionBy(chr_).orderBy(pos, tie)) - 1
-    sizes = markers.groupBy(chr_).agg(F.count("*").alias("__n"))
-    offset = F.coalesce(F.sum("__n").over(Window.orderBy(chr_).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select(chr_, offset.alias("__offset"))
-    return markers.withColumn("__local", local).join(F.broadcast(offsets), chr_).withColumn("global_idx", (F.col("__offset") + F.col("__local")).cast("bigint")).drop("__offset", "__local")
+    """Adds global_idx: rows of smaller chromosomes come first, then by position. Ranges are sorted, never the whole."""
+    return numbered(markers, [F.asc(chr_), F.asc(pos), F.asc(tie)], "global_idx").withColumn("global_idx", F.col("global_idx") - 1)
 
 
 def transpose(calls: DataFrame, row: str, column_order: str, value: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import array_literal
 from ..functions.distributions import CHI2_1_MEDIAN, chi2_1_isf
+from .numbering import numbered
 
 
 def bonferroni(df: DataFrame, p: str = "p", out: str = "bonferroni") -> DataFrame:
@@ -106,13 +107,9 @@ def min_rank(df: DataFrame, score: str, out: str) -> DataFrame:
     return df.join(ranks, F.col(score).cast("double") == F.col("__s"), "left").drop("__s")
 
 
-def sequence_rank(df: DataFrame, order: list[Column], out: str, bins: int = 4096) -> DataFrame:
-    """1..n by the first column of the order (numeric, high to low), then by the others: numbered inside its distinct values' places, never as a whole."""
-    first, rest = order[0], order[1:]
-    rows = df.withColumn("__v", -first.cast("double"))
-    at = counts_before(rows, "__v", bins).select(F.col("v").alias("__w"), "before")
-    place = F.row_number().over(Window.partitionBy("__w").orderBy(*rest))
-    return rows.join(at, F.col("__v") == F.col("__w")).withColumn(out, (F.col("before") + place).cast("bigint")).drop("__v", "__w", "before")
+def sequence_rank(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """1..n by the first column of the order, high to low, then by the others. Rows without the first have no rank and go."""
+    return numbered(df.where(order[0].isNotNull()), [order[0].desc(), *order[1:]], out)
 
 
 def replicate(df: DataFrame, chromosome: int, lo: int, hi: int, p: str = "p", alpha: float = 0.05, chr_: str = "chr", pos: str = "pos") -> DataFrame:

@@ -159,8 +159,7 @@ def thin_by_distance(spark, sf):
 b as (select x.*, cast((select max(k) from range(7) t(k) where floor(k * n / 7.0) <= i) as bigint) eq from x) select mid, cast(i as bigint) local_row, cast(floor(i / 100) as bigint) block, eq equal_block, cast(before + i as bigint) global_idx from b join o using (chr)""")
 def block_assign(spark, sf):
     m = qc.global_index(qc.fixed_blocks(X.marker_map(spark, sf), 100), tie="mid")
-    n = F.count("*").over(Window.partitionBy("chr"))
-    return m.withColumn("n", n).select("mid", "local_row", "block", qc.equal_blocks("local_row", "n", F.lit(7)).cast("bigint").alias("equal_block"), "global_idx")
+    return m.select("mid", "local_row", "block", qc.equal_blocks("local_row", "chr_rows", F.lit(7)).cast("bigint").alias("equal_block"), "global_idx")
 
 
 @query(f"""with {X.MAP_SQL}, c as (select chr, count(*) n from m group by chr), e as (select chr, sum(n) over (order by chr) - n s, sum(n) over (order by chr) t from c), i as (select mid, row_number() over (order by chr, pos) - 1 g from m) select mid, cast(g as bigint) global_idx, e.chr from i join e on g >= s and g < t""")
