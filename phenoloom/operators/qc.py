@@ -73,6 +73,8 @@ def call_rate_arrays(markers: DataFrame, dosage: str = "dosage", most_missing: f
     sums = parts.select("n", F.posexplode("missing").alias("place", "missing")).groupBy("place").agg((F.sum("missing") / F.sum("n")).alias("share"))
     kept = sorted(r["place"] for r in sums.where(F.col("share") <= most_missing).collect())
     rest = [c for c in markers.columns if c != dosage]
+    # once(): gather reads the array at every kept place, and an expression inlined there would be computed that often.
+    markers = markers.select(*rest, C.once(F.col(dosage)).alias(dosage))
     return markers.where(C.missing_fraction(dosage) <= most_missing).select(*rest, C.gather(dosage, C.array_literal(kept, "int")).alias(dosage)), kept
 
 
