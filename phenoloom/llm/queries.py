@@ -90,6 +90,21 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resampling import resample
+
+    found = resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import clean_lines
+
+    lost = [f"lost_{r}" for r in ("boilerplate", "navigation", "punctuation")]
+    found = clean_lines(documents(spark, sf_dir)).withColumn("cleaned_sha256", F.sha2("cleaned", 256))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *lost, "cleaned_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
@@ -107,5 +122,60 @@ select d.doc_id, cast(coalesce(n.n, 0) as bigint) n_shingles, comp.component_id,
 """
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _importance_sql(buckets: int = 10_000, percent: int = 5, least_words: int = 20, seed: int = 42) -> str:
+    """crc32 goes by half bytes, low half first, over a table of 16 numbers that its polynomial gives."""
+    table = []
+    for value in range(16):
+        for _ in range(4):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        table.append(value)
+    words = lambda t: f"regexp_extract_all(translate(coalesce({t}, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    runs = "unnest(list_concat(w, list_concat([w[i] || ' ' || w[i + 1] for i in range(1, len(w))], [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)])))"
+    halves = "flatten([[cast('0x' || h[2 * i : 2 * i] as bigint), cast('0x' || h[2 * i - 1 : 2 * i - 1] as bigint)] for i in range(1, len(h) // 2 + 1)])"
+    crc = f"xor(4294967295, list_reduce({halves}, lambda c, x: xor(c >> 4, {table}[(xor(c, x) & 15) + 1]), cast(4294967295 as bigint)))"
+    return f"""
+with d as (select doc_id, {words("text")} w from documents), b as (select {words("text")} w from benchmark),
+df as (select doc_id, f, count(*) n from (select doc_id, {runs} f from d) group by all), bf as (select f, count(*) n from (select {runs} f from b) group by f),
+k as (select f, {crc} % {buckets} bucket from (select f, hex(encode(f)) h from (select f from df union select f from bf))),
+s as (select bucket, sum(n) n from df join k using (f) group by bucket), t as (select bucket, sum(n) n from bf join k using (f) group by bucket),
+g as (select x.bucket, cast(floor(1000 * ln((coalesce(t.n, 0) + 1) * cast((select coalesce(sum(n), 0) from s) + {buckets} as double) / ((coalesce(s.n, 0) + 1) * cast((select coalesce(sum(n), 0) from t) + {buckets} as double)))) as bigint) gain from range({buckets}) x(bucket) left join s on s.bucket = x.bucket left join t on t.bucket = x.bucket),
+sums as (select doc_id, sum(n) n, sum(n * gain) weight from df join k using (f) join g using (bucket) group by doc_id),
+w as (select doc_id, sum(len(w)) n_words from d group by doc_id),
+c as (select doc_id, n_words, coalesce(n, 0) n_features, coalesce(weight, 0) weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((cast('0x' || substr(sha256('{seed}:' || doc_id), 1, 8) as bigint) + 0.5) / 4294967296.0))) score from w left join sums using (doc_id)),
+r as (select doc_id, row_number() over (order by score desc, doc_id) "rank", count(*) over () n from c where n_words >= {least_words})
+select doc_id, cast(n_features as bigint) n_features, cast(weight as bigint) weight, cast(score as bigint) score, cast(case when "rank" <= {percent} * n // 100 then "rank" end as bigint) "rank" from c left join r using (doc_id)
+"""
+
+
+def _quality_sql() -> str:
+    from .quality import LEAST_WORDS, MARKS, PHRASES, SEPARATORS, SHORT_LINE, SYMBOLS
+
+    listed = lambda values: ", ".join(f"'{v}'" for v in values)
+    word = r"'[^\x20\x09-\x0D]+'"
+    count = lambda condition: f"len(list_filter(w, lambda x: {condition}))"
+    noisy = f"regexp_matches(x, '[{SYMBOLS}]|[!?]{{2}}')"
+    phrase = " or ".join(f"contains(translate(line, '{_UPPER}', '{_LOWER}'), '{p}')" for p in PHRASES)
+    rule = f"""case when again or (len(w) < {SHORT_LINE} and ({phrase})) then 'boilerplate'
+ when {count(f"x in ({listed(SEPARATORS)})")} >= 2 and 5 * {count(f"x in ({listed(SEPARATORS)})")} >= len(w) then 'navigation'
+ when 10 * {count(noisy)} > 3 * len(w) or 2 * len(regexp_extract_all(regexp_extract(line, '[^{"".join(MARKS)}]*$'), {word})) > len(w) then 'punctuation' end"""
+    lost = ", ".join(f"cast(coalesce(sum(len(w)) filter (rule = '{r}'), 0) as bigint) lost_{r}" for r in ("boilerplate", "navigation", "punctuation"))
+    return f"""
+with d as (select doc_id, coalesce(text, '') text from documents),
+l as (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) i from d),
+m as (select *, row_number() over (partition by doc_id, line order by i) > 1 again from (select *, regexp_extract_all(line, {word}) w from l) where len(w) > 0),
+j as (select *, {rule} rule from m),
+lines as (select doc_id, cast(count(*) filter (again) as bigint) n_dup_lines, {lost}, coalesce(string_agg(line, chr(10) order by i) filter (rule is null), '') cleaned from j group by doc_id),
+ws as (select doc_id, text, regexp_extract_all(text, {word}) w from d),
+win as (select doc_id, i, count(*) over (partition by doc_id, g) c from (select doc_id, i, w[i : i + 2] g from (select doc_id, w, unnest(range(1, len(w) - 1)) i from ws))),
+rep as (select doc_id, count(distinct p) n from (select doc_id, unnest([i, i + 1, i + 2]) p from win where c >= 2) group by doc_id),
+b as (select ws.doc_id, cast(len(w) as bigint) n_words, cast(length(array_to_string(w, '')) as bigint) word_chars, cast(length(text) - length(regexp_replace(text, '[{SYMBOLS}]', '', 'g')) as bigint) n_symbols, coalesce(n_dup_lines, 0) n_dup_lines, cast(coalesce(n, 0) as bigint) n_repeat_words,
+ coalesce(lost_boilerplate, 0) lost_boilerplate, coalesce(lost_navigation, 0) lost_navigation, coalesce(lost_punctuation, 0) lost_punctuation, sha256(coalesce(cleaned, '')) cleaned_sha256 from ws left join lines using (doc_id) left join rep using (doc_id))
+select *, n_words < {LEAST_WORDS} or 100 * n_repeat_words > 50 * n_words base_failed, not (n_words < {LEAST_WORDS} or 100 * n_repeat_words > 50 * n_words) and 2 * (lost_boilerplate + lost_navigation + lost_punctuation) <= n_words kept from b
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_minhash_dedup": NEAR_DUPLICATES_SQL}
+    return {"op7_minhash_dedup": NEAR_DUPLICATES_SQL, "op11_importance_resampling": _importance_sql(), "op12_quality_rules": _quality_sql()}
