@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +25,14 @@ class Basis:
     rotate: np.ndarray | None = None
     root: np.ndarray | None = None
     samples: tuple | None = None
+    low: np.ndarray | None = None
+    gain: np.ndarray | None = None
+
+    def whitened(self, rows: np.ndarray) -> np.ndarray:
+        """Rows over samples as the covariance asks: turned and scaled as a whole, or along a few directions only."""
+        if self.rotate is not None:
+            return (rows @ self.rotate) * self.root
+        return rows if self.low is None else rows + ((rows @ self.low) * self.gain) @ self.low.T
 
 
 def covariate_basis(y: np.ndarray, covariates: np.ndarray | None = None, samples: list | None = None) -> Basis:
@@ -47,8 +55,7 @@ def scan_block(g: np.ndarray, basis: Basis) -> tuple[np.ndarray, np.ndarray, np.
     g = np.asarray(g, float)
     if not np.isfinite(g).all():
         raise ValueError("genotypes must be finite; drop or impute missing calls first")
-    if basis.rotate is not None:
-        g = (g @ basis.rotate) * basis.root
+    g = basis.whitened(g)
     free = g - (g @ basis.q) @ basis.q.T
     length = np.linalg.norm(free, axis=1)
     length = np.where(length > 1e-9 * np.maximum(np.linalg.norm(g, axis=1), 1.0), length, np.nan)
@@ -119,11 +126,26 @@ def covariate_scan_long(calls: DataFrame, marker: str = "marker_id", g: str = "c
 # --- mixed model ---
 
 
-def mixed_basis(y: np.ndarray, kinship: np.ndarray, covariates: np.ndarray | None = None) -> tuple[Basis, float]:
+def _least(negative: Callable[[float], float]) -> float:
+    """Where the function of log delta is least in [-10, 10]: the best of a grid, then a golden section around it."""
+    grid = np.linspace(-10, 10, 101)
+    at = grid[int(np.argmin([negative(x) for x in grid]))]
+    low, high = at - 0.2, at + 0.2
+    for _ in range(60):
+        a, b = high - 0.618033988749895 * (high - low), low + 0.618033988749895 * (high - low)
+        low, high = (low, b) if negative(a) < negative(b) else (a, high)
+    return float(np.exp((low + high) / 2))
+
+
+def _with_intercept(n: int, covariates: np.ndarray | None) -> np.ndarray:
+    return np.ones((n, 1)) if covariates is None or not np.size(covariates) else np.column_stack([np.ones(n), covariates])
+
+
+def mixed_basis(y: np.ndarray, kinship: np.ndarray, covariates: np.ndarray | None = None, samples: list | None = None) -> tuple[Basis, float]:
     """Whitened basis with variance ratio delta = var(e)/var(g) by restricted likelihood, estimated once for all markers."""
     y = np.asarray(y, float)
     n = len(y)
-    c = np.ones((n, 1)) if covariates is None or not np.size(covariates) else np.column_stack([np.ones(n), covariates])
+    c = _with_intercept(n, covariates)
     values, vectors = np.linalg.eigh((kinship + kinship.T) / 2)
     values = np.maximum(values, 0)
     yr, cr = vectors.T @ y, vectors.T @ c
@@ -136,18 +158,42 @@ def mixed_basis(y: np.ndarray, kinship: np.ndarray, covariates: np.ndarray | Non
         d = n - c.shape[1]
         return 0.5 * (d * np.log((w * r * r).sum() / d) - np.log(w).sum() + np.linalg.slogdet(a)[1])
 
-    grid = np.linspace(-10, 10, 101)
-    at = grid[int(np.argmin([negative(x) for x in grid]))]
-    low, high = at - 0.2, at + 0.2
-    for _ in range(60):  # golden section
-        a, b = high - 0.618033988749895 * (high - low), low + 0.618033988749895 * (high - low)
-        low, high = (low, b) if negative(a) < negative(b) else (a, high)
-    delta = float(np.exp((low + high) / 2))
+    delta = _least(negative)
     root = np.sqrt(1 / (values + delta))
     q = np.linalg.qr(cr * root[:, None])[0]
     yw = yr * root
     residual = yw - q @ (q.T @ yw)
-    return Basis(q, residual, float(residual @ residual), n - c.shape[1] - 1, vectors, root), delta
+    return Basis(q, residual, float(residual @ residual), n - c.shape[1] - 1, vectors, root, None if samples is None else tuple(samples)), delta
+
+
+def low_rank_basis(y: np.ndarray, vectors: np.ndarray, values: np.ndarray, covariates: np.ndarray | None = None, rest: float = 0.0, delta: float | None = None, samples: list | None = None) -> tuple[Basis, float]:
+    """The mixed model's basis for kinship U diag(values) U' + rest (I - U U'), U being samples x rank and orthonormal.
+
+    Nothing of samples x samples is made: the likelihood needs U'[c, y] and the products of [c, y] with itself, and
+    whitening changes a marker along U only. At full rank it is `mixed_basis`. delta is searched unless given.
+    """
+    y = np.asarray(y, float)
+    n, r = vectors.shape
+    c = _with_intercept(n, covariates)
+    d = n - c.shape[1]
+    both = np.column_stack([c, y])
+    along = vectors.T @ both
+    beyond = both.T @ both - along.T @ along
+
+    def negative(log_delta: float) -> float:
+        delta = np.exp(log_delta)
+        w = 1 / (values + delta)
+        products = along.T @ (along * w[:, None]) + beyond / (rest + delta) * (r < n)
+        a, b = products[:-1, :-1], products[:-1, -1]
+        left = max(products[-1, -1] - b @ np.linalg.solve(a, b), 1e-300)
+        return 0.5 * (d * np.log(left / d) - np.log(w).sum() + (n - r) * np.log(rest + delta) + np.linalg.slogdet(a)[1])
+
+    delta = _least(negative) if delta is None else delta
+    gain = np.sqrt((rest + delta) / (values + delta)) - 1
+    white = both + vectors @ (gain[:, None] * along)
+    q = np.linalg.qr(white[:, :-1])[0]
+    residual = white[:, -1] - q @ (q.T @ white[:, -1])
+    return Basis(q, residual, float(residual @ residual), d - 1, samples=None if samples is None else tuple(samples), low=np.ascontiguousarray(vectors), gain=gain), delta
 
 
 def conditional_basis(y: np.ndarray, covariates: np.ndarray | None, lead: np.ndarray) -> Basis:

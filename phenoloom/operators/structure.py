@@ -1,4 +1,4 @@
-"""Sums over markers: Gram matrices, kinship, principal components, linkage disequilibrium."""
+"""Sums over markers of few samples: Gram matrices, kinship, principal components."""
 
 from __future__ import annotations
 
@@ -124,40 +124,3 @@ def scores_frame(spark, samples: list[str], scores: np.ndarray) -> DataFrame:
     """(sample, PC1, PC2, ...)."""
     columns = ["sample", *[f"PC{k + 1}" for k in range(scores.shape[1])]]
     return spark.createDataFrame([(s, *map(float, row)) for s, row in zip(samples, scores, strict=True)], columns)
-
-
-def ld_pairs(calls: DataFrame, window: int, marker: str = "marker_id", sample: str = "sample_id", call: str = "call", chr_: str = "chr", pos: str = "pos") -> DataFrame:
-    """(a, b, distance, n, r2) for markers of a chromosome at most `window` apart, over samples called at both.
-
-    Pairs of marker arrays meet by position bins as wide as the window, not by sample; correlation is then a fold over
-    two arrays. Markers without variance have null r2.
-    """
-    packed = calls.groupBy(marker, chr_, pos).agg(F.array_sort(F.collect_list(F.struct(F.col(sample).alias("s"), F.col(call).cast("double").alias("g")))).alias("xs"))
-    packed = packed.select(marker, chr_, pos, F.transform("xs", lambda x: x["g"]).alias("g"))
-    return ld_pairs_arrays(packed, window, marker, "g", chr_, pos)
-
-
-def ld_pairs_arrays(markers: DataFrame, window: int, marker: str = "marker_id", dosage: str = "dosage", chr_: str = "chr", pos: str = "pos") -> DataFrame:
-    width = max(1, window)
-    a = markers.select(F.col(chr_).alias("chr"), F.floor(F.col(pos) / width).alias("bin"), F.col(marker).alias("a"), F.col(pos).alias("pa"), F.col(dosage).alias("ga"))
-    b = markers.select(F.col(chr_).alias("chr"), F.explode(F.array(F.floor(F.col(pos) / width), F.floor(F.col(pos) / width) - 1, F.floor(F.col(pos) / width) + 1)).alias("bin"), F.col(marker).alias("b"), F.col(pos).alias("pb"), F.col(dosage).alias("gb"))
-    pairs = a.join(b, ["chr", "bin"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("pa") - F.col("pb")) <= window))
-    zero = F.struct(*[F.lit(0.0).alias(k) for k in ("n", "x", "y", "xx", "yy", "xy")])
-
-    def step(s, p):
-        x, y = p["x"].cast("double"), p["y"].cast("double")
-        new = F.struct((s["n"] + 1).alias("n"), (s["x"] + x).alias("x"), (s["y"] + y).alias("y"), (s["xx"] + x * x).alias("xx"), (s["yy"] + y * y).alias("yy"), (s["xy"] + x * y).alias("xy"))
-        return F.when(x.isNull() | y.isNull(), s).otherwise(new)
-
-    sums = pairs.select("chr", "a", "b", F.abs(F.col("pa") - F.col("pb")).alias("distance"), F.aggregate(F.zip_with("ga", "gb", lambda x, y: F.struct(x.alias("x"), y.alias("y"))), zero, step).alias("s"))
-    n, cov = F.col("s.n"), F.col("s.n") * F.col("s.xy") - F.col("s.x") * F.col("s.y")
-    vx, vy = n * F.col("s.xx") - F.col("s.x") * F.col("s.x"), n * F.col("s.yy") - F.col("s.y") * F.col("s.y")
-    return sums.select("chr", "a", "b", "distance", n.cast("bigint").alias("n"), F.when((vx > 1e-9) & (vy > 1e-9), cov * cov / (vx * vy)).alias("r2"))
-
-
-def ld_by_distance(pairs: DataFrame, edges: list[int]) -> DataFrame:
-    """(bin, pairs, median_r2) of pairs by distance: bin k is [edges[k], edges[k+1])."""
-    bins = F.lit(None).cast("int")
-    for k in reversed(range(len(edges) - 1)):
-        bins = F.when((F.col("distance") >= edges[k]) & (F.col("distance") < edges[k + 1]), F.lit(k)).otherwise(bins)
-    return pairs.withColumn("bin", bins).where("bin is not null and r2 is not null").groupBy("bin").agg(F.count("*").alias("pairs"), F.percentile("r2", F.lit(0.5)).alias("median_r2"))

@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import ml, qc, reports, scan, simulate, structure, testing
+from ..operators import components, ml, qc, reports, scan, simulate, structure, testing
 from ..sources.sinks import append_run
 from ..sources.stored import discard, stored
 
@@ -26,17 +26,28 @@ def genome_scan(markers: DataFrame, y: np.ndarray, low_maf: float = 0.05, n_pcs:
         if thin:
             keep = qc.thin_by_distance(kept, thin)
             thinned = kept.join(keep, ["chr", "pos"], "left_semi")
-        covariates = structure.principal_components(thinned, n_pcs)[0]
+        few = len(y) <= structure.MOST_SAMPLES
+        covariates = structure.principal_components(thinned, n_pcs)[0] if few else components.components(stored(thinned, "thinned"), len(y), n_pcs).scores
     # Statistics are a few numbers a marker and are used three times; genotypes must not be scanned again for that.
     found = stored(scan.scan(kept, scan.covariate_basis(y, covariates)), "scan")
     return testing.bonferroni(testing.benjamini_hochberg(found))
 
 
-def mixed_scan(markers: DataFrame, y: np.ndarray, n_covariates: int = 3, low_maf: float = 0.01, ploidy: int = 2, kinship: np.ndarray | None = None) -> DataFrame:
-    """Mixed-model scan with kinship and its first eigenvectors; variance components are estimated once for all blocks."""
+def mixed_scan(markers: DataFrame, y: np.ndarray, n_covariates: int = 3, low_maf: float = 0.01, ploidy: int = 2, kinship: np.ndarray | None = None, rank: int | None = None, delta: float | None = None) -> DataFrame:
+    """Mixed-model scan with kinship and its first eigenvectors; variance components are estimated once for all blocks.
+
+    With `rank`, kinship is its first eigenvectors and one value for all other directions, found without a samples x samples
+    matrix; that is for more samples than a square matrix of them can be held."""
     kept = qc.maf_filter(markers, ploidy, low_maf)
-    k = structure.kinship_vanraden(kept) if kinship is None else kinship
-    basis, delta = scan.mixed_basis(y, k, structure.kinship_covariates(k, n_covariates) if n_covariates else None)
+    if rank is None:
+        k = structure.kinship_vanraden(kept) if kinship is None else kinship
+        basis, delta = scan.mixed_basis(y, k, structure.kinship_covariates(k, n_covariates) if n_covariates else None)
+    else:
+        kept = stored(kept, "kept-markers")
+        found = components.components(kept, len(y), rank, "vanraden")
+        others = len(y) - found.vectors.shape[1]
+        rest = max(0.0, (found.trace - found.values.sum()) / others) if others else 0.0
+        basis, delta = scan.low_rank_basis(y, found.vectors, found.values, found.vectors[:, :n_covariates], rest, delta)
     return testing.benjamini_hochberg(stored(scan.scan(kept, basis), "scan")).withColumn("delta", F.lit(delta))
 
 

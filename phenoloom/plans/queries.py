@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -10,9 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import distributions as D
-from ..operators import joins, ml, qc, reports, scan, simulate, structure, testing
-from ..sources import readers
-from ..sources.stored import stored
+from ..operators import components, joins, linkage, ml, qc, reports, scan, simulate, structure, testing
+from ..sources import indexed_vcf, readers
+from ..sources.stored import shared_folder, stored
 from . import fixtures as X
 from . import pipelines
 
@@ -120,6 +121,16 @@ def vcf_window(spark, sf):
     return readers.window_records(readers.vcf_records(_vcf_lines(spark, sf)), "2", 150000, 900000).select("chrom", "pos")
 
 
+@query(f"""with {_VCF_SQL} select 'chr' || chr || '_' || pos || '_' || ref || '_' || alt marker_id, cast(pos as bigint) pos, cast(sum(d) as bigint) allele_count from v where chr = 2 and pos > 150000 and pos <= 900000 group by chr, pos, ref, alt having length(alt) = 1 and count(*) = count(d) and least(sum(d) / (2.0 * count(*)), 1 - sum(d) / (2.0 * count(*))) >= 0.05""")
+def vcf_indexed_window(spark, sf):
+    """The lines as indexed bgzip parts, of which only a window's blocks are read."""
+    path = f"{shared_folder(spark)}/vcf-{uuid.uuid4().hex}"
+    indexed_vcf.write_windows(_vcf_lines(spark, sf), path, "##fileformat=VCFv4.2\n")
+    window = indexed_vcf.read_windows(spark, path, "chr2", 150_000, 900_000, 200_000)
+    found = readers.genotypes_from_vcf(readers.vcf_records(window.select("value")))
+    return found.select("marker_id", "pos", C.dosage_sum("dosage").alias("allele_count"))
+
+
 @query(f"""with {X.calls_sql(ploidy=1)}, f as (select mid, avg(call) f from g group by mid) select mid, round(least(f, 1 - f), 6) maf from f where least(f, 1 - f) between 0.01 and 0.5""")
 def maf_haploid(spark, sf):
     return qc.maf_filter(X.genotypes(spark, sf, ploidy=1), 1, 0.01).select("mid", r6("maf").alias("maf"))
@@ -337,7 +348,7 @@ def value_counts(spark, sf):
 @query(f"""with {X.calls_sql(with_missing=True)}, x as (select mid, chr, pos, sid from g where call is not null) select a.mid a, b.mid b, cast(count(*) as bigint) n from x a join x b on a.sid = b.sid and a.chr = b.chr and a.mid < b.mid and b.pos - a.pos <= 50000 group by all""")
 def pairwise_complete(spark, sf):
     """Samples called at both markers, for markers of a chromosome within the window of linkage."""
-    return structure.ld_pairs_arrays(X.genotypes(spark, sf, with_missing=True), 50_000, "mid").where("n > 0").select("a", "b", "n")
+    return linkage.ld_pairs_arrays(X.genotypes(spark, sf, with_missing=True), 50_000, "mid").where("n > 0").select("a", "b", "n")
 
 
 # --- scans ---
@@ -414,6 +425,27 @@ def mlm_identity(spark, sf):
     return found.select("mid", F.round("beta", 4).alias("beta"), F.round("t", 5).alias("t"), F.round("p", 8).alias("p"))
 
 
+@query(f"""with {X.calls_sql()}, s1 as (select sid, (case when sid % 2 = 0 then 1 else -1 end) / sqrt(count(*) over ()) v, y from (select distinct sid, y from g)),
+t0 as (select mid, least(sum(call) / (2.0 * count(*)), 1 - sum(call) / (2.0 * count(*))) maf, count(*) n, sum(call * call) - sum(call * v) * sum(call * v) / 2 xx, sum(g.y * g.y) - sum(g.y * v) * sum(g.y * v) / 2 yy, sum(call * g.y) - sum(call * v) * sum(g.y * v) / 2 xy, sum(call) - sum(call * v) * sum(v) / 2 x1, sum(g.y) - sum(g.y * v) * sum(v) / 2 y1, count(*) - sum(v) * sum(v) / 2 o from g join s1 using (sid) group by mid),
+u as (select mid, n, xx - x1 * x1 / o xx, yy - y1 * y1 / o yy, xy - x1 * y1 / o xy from t0 where maf >= 0.01), w as (select mid, n, xy / xx beta, xy * sqrt((n - 2) / (xx * (yy - xy * xy / xx))) t from u)
+select mid, round(beta, 4) beta, round(t, 5) t, round({t_tail_sql("t", "n - 2")}, 8) p from w""")
+def mlm_low_rank(spark, sf):
+    """The mixed model for kinship of rank 1 (even against odd samples) and a variance ratio of 1, where generalised least
+    squares is sums less half a product of sums."""
+    y, _ = _people(spark, sf)
+    v = np.where(np.array(X.sample_ids(spark, sf)) % 2 == 0, 1.0, -1.0)[:, None] / np.sqrt(len(y))
+    basis, _ = scan.low_rank_basis(y, v, np.ones(1), delta=1.0)
+    found = scan.scan(qc.maf_filter(X.genotypes(spark, sf), 2, 0.01), basis)
+    return found.select("mid", F.round("beta", 4).alias("beta"), F.round("t", 5).alias("t"), F.round("p", 8).alias("p"))
+
+
+@query()
+def mlm_scan_low_rank(spark, sf):
+    """Kinship by its first 20 eigenvectors and one value for the rest."""
+    y, _ = _people(spark, sf)
+    return pipelines.mixed_scan(X.genotypes(spark, sf), y, rank=20).select("mid", "chr", "pos", "beta", "t", "p", "q", "delta")
+
+
 @query(f"""with {_SUMS_SQL}, w as (select mid, n, xy * sqrt((n - 2) / (xx * (yy - xy * xy / xx))) t from u0 where xx > 1e-9), f as (select mid, t, {t_tail_sql("t", "n - 2")} p, count(*) over () m from w), lead as (select mid lead_mid from f order by abs(t) desc, mid limit 1),
 c as (select sid, call c from g join lead on mid = lead_mid), t1 as (select mid, count(*) n, sum(call) x, sum(y) v, sum(c) w, sum(call*call) xx, sum(y*y) vv, sum(c*c) ww, sum(call*y) xv, sum(call*c) xw, sum(y*c) vw from g join c using (sid) group by mid),
 u1 as (select mid, n, xx - x*x/cast(n as double) xx, vv - v*v/n vv, ww - w*w/n ww, xv - x*v/n xv, xw - x*w/n xw, vw - v*w/n vw from t1), z as (select mid, n, xx - xw*xw/ww own, xv - xw*vw/ww shared, vv - vw*vw/ww yss from u1), k as (select mid, n, shared * sqrt((n - 3) / (own * (yss - shared * shared / own))) t2 from z where own > 1e-9 and mid not in (select lead_mid from lead)),
@@ -441,7 +473,7 @@ def ld_pairs(spark, sf):
 def _embedding_ld(embeddings):
     v = embeddings.select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("d", "x"))
     long = v.select(F.col("d").cast("bigint").alias("marker_id"), F.lit(1).alias("chr"), F.col("d").alias("pos"), F.col("vec_id").alias("sample_id"), F.col("x").alias("call"))
-    return structure.ld_pairs(long, 5).select("a", "b", r6("r2").alias("r2"), "n")
+    return linkage.ld_pairs(long, 5).select("a", "b", r6("r2").alias("r2"), "n")
 
 
 @query(f"""with {X.calls_sql()}, x as (select mid, chr, pos, sid, call from g), c as (select a.mid a, b.mid b, abs(a.pos - b.pos) d, corr(a.call, b.call) r from x a join x b on a.sid = b.sid and a.chr = b.chr and a.mid < b.mid and abs(a.pos - b.pos) <= 50000 group by all)
@@ -454,12 +486,12 @@ def ld_by_distance(spark, sf):
 select cast(i.place as bigint) i, cast(j.place as bigint) j, round(case when a = b then 1 when isnan(r) then null else r * r end, 6) r2, i.label label_i, j.label label_j from c join o i on i.mid = a join o j on j.mid = b""")
 def ld_heat_map(spark, sf):
     m = X.genotypes(spark, sf).where("chr = 2 and pos between 100000 and 160000")
-    cells = reports.ld_map(structure.ld_pairs_arrays(m, 60_000, "mid"), m, m.where("mid % 4 = 0"), "mid")
+    cells = reports.ld_map(linkage.ld_pairs_arrays(m, 60_000, "mid"), m, m.where("mid % 4 = 0"), "mid")
     return cells.select(F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), r6("r2").alias("r2"), "label_i", "label_j")
 
 
 def _marker_ld(m):
-    return structure.ld_by_distance(structure.ld_pairs_arrays(m, 50_000, "mid"), [0, 5_000, 20_000, 50_000]).withColumn("median_r2", r6("median_r2"))
+    return linkage.ld_by_distance(linkage.ld_pairs_arrays(m, 50_000, "mid"), [0, 5_000, 20_000, 50_000]).withColumn("median_r2", r6("median_r2"))
 
 
 @query(f"""with {X.calls_sql()}, f as (select mid, sum(call) / (2.0 * count(*)) p from g group by mid), z as (select mid, sid, call - 2 * p z from g join f using (mid)), w as (select sum(2 * p * (1 - p)) w from f) select a.sid i, b.sid j, round(sum(a.z * b.z) / any_value(w), 6) k from z a join z b using (mid), w group by a.sid, b.sid""")
@@ -481,6 +513,16 @@ def pca_scores(spark, sf):
     return structure.scores_frame(spark, [str(i) for i in range(len(scores))], scores)
 
 
+@query(f"""with {X.calls_sql()}, f as (select mid, avg(call) m, stddev_samp(call) s from g group by mid having stddev_samp(call) > 0), z as (select sid, mid, (call - m) / s z from g join f using (mid)), t as (select sum(z * z) total from z) select cast(k as bigint) component, round(total, 4) total_variance, true exact, true orthonormal, true ordered from t, range(1, 11) r(k)""")
+def pca_scores_blocked(spark, sf):
+    """Components without a matrix of samples: the variance that they share out is SQL's, and each one is checked to be an
+    eigenvector by its residual, to be orthonormal to the others, and to come in order."""
+    found = components.components(X.genotypes(spark, sf), len(X.sample_ids(spark, sf)), 10)
+    square = found.vectors.T @ found.vectors
+    rows = [(k + 1, round(found.trace, 4), bool(found.residuals[k] <= 1e-9), bool(np.allclose(square[k], np.eye(len(square))[k], atol=1e-9)), bool(k == 0 or found.values[k] <= found.values[k - 1])) for k in range(len(found.values))]
+    return spark.createDataFrame(rows, "component bigint, total_variance double, exact boolean, orthonormal boolean, ordered boolean")
+
+
 @query()
 def kinship_covariates(spark, sf):
     c = structure.kinship_covariates(structure.kinship_vanraden(X.genotypes(spark, sf)))
@@ -646,7 +688,7 @@ def synthetic_blind(spark, sf):
 def synthetic_linked(spark, sf):
     plan = simulate.block_plan(spark, [(1, 300_000, 600, 3)])
     g = simulate.genotypes(plan, 100, 20260928, [(0.05, 0.2, 3.0), (0.2, 0.5, 1.0)], True)
-    return structure.ld_by_distance(structure.ld_pairs_arrays(g, 10_000), [0, 1_000, 10_000])
+    return linkage.ld_by_distance(linkage.ld_pairs_arrays(g, 10_000), [0, 1_000, 10_000])
 
 
 @query()
