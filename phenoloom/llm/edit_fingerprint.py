@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialise, mix64, slices
-from .minhash_dedup import components
+from .minhash_dedup import components, joined
 
 SAMPLES = 128
 #: Members of a band that meet at once.
@@ -303,11 +303,72 @@ def _alike(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "fp_a", "fp_b").mapInArrow(work, "a bigint, b bigint")
 
 
+def _likenesses(one: str, others: list[str], digits: np.ndarray, lengths: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """likeness() of one fingerprint to many: by rows of digits where levels agree, one by one where they don't."""
+    at = one.index(":")
+    level, own = int(one[:at]), np.frombuffer(one[at + 1 :].encode(), np.uint8)
+    out = np.zeros(len(others))
+    same = np.flatnonzero(levels == level)
+    if level and len(same):
+        both = np.minimum(lengths[same], len(own))
+        width = min(len(own), digits.shape[1])
+        equal = ((digits[same, :width] == own[:width]) & (np.arange(width) < both[:, None])).sum(1) / np.maximum(np.maximum(lengths[same], len(own)), 1)
+        out[same] = np.maximum(0.0, (equal - CHANCE) / (1 - CHANCE))
+    elif len(same):
+        out[same] = 1.0
+    for k in np.flatnonzero(levels != level):
+        out[k] = likeness(one, others[k])
+    return out
+
+
+def _met_in_blocks(rest: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between members (key, id, component) of one band and different components: every such pair is looked at.
+
+    A band is cut into blocks that meet pairwise, so a task holds two blocks; of two components a pair of blocks gives one
+    link, so rows stay few however large the band is.
+    """
+    sizes = materialise(rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "band-blocks")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, own).alias("lo"), F.greatest(k, own).alias("hi")))
+    rows = rest.join(sizes, "key").join(classes.select("id", "fingerprint"), "id")
+    rows = rows.select("key", "id", "component", "fingerprint", own.alias("block"), F.explode(meets).alias("at"))
+
+    def work(table: pa.Table) -> pa.Table:
+        at = table["at"][0].as_py()
+        ids, parts, blocks = (np.asarray(table[c]) for c in ("id", "component", "block"))
+        prints = table["fingerprint"].to_pylist()
+        heads = [f.index(":") for f in prints]
+        levels = np.array([int(f[:h]) for f, h in zip(prints, heads, strict=True)])
+        lengths = np.array([len(f) - h - 1 for f, h in zip(prints, heads, strict=True)])
+        digits = np.zeros((len(prints), max(1, int(lengths.max()))), np.uint8)
+        for k, (f, h) in enumerate(zip(prints, heads, strict=True)):
+            digits[k, : lengths[k]] = np.frombuffer(f[h + 1 :].encode(), np.uint8)
+        linked: dict[tuple[int, int], tuple[int, int]] = {}
+        for k in range(len(prints)):
+            others = np.flatnonzero((parts != parts[k]) & ((blocks != blocks[k]) | (at["lo"] == at["hi"])) & (ids > ids[k]))
+            if len(others):
+                found = _likenesses(prints[k], [prints[j] for j in others], digits[others], lengths[others], levels[others])
+                for j in others[found >= least]:
+                    pair = (min(parts[k], parts[j]), max(parts[k], parts[j]))
+                    linked.setdefault(pair, (int(ids[k]), int(ids[j])))
+        return pa.table([pa.array([a for a, _ in linked.values()], pa.int64()), pa.array([b for _, b in linked.values()], pa.int64())], ["a", "b"])
+
+    return rows.groupBy("key", "at").applyInArrow(work, "a bigint, b bigint").distinct()
+
+
+#: Rounds in which members of a band meet one other component each, before what is left is looked at pair by pair.
+ROUNDS = 4
+
+
 def near_groups(found: DataFrame, least: float = 0.75, band: int = 16) -> DataFrame:
     """(doc_id, near_id): the smallest id reachable over likenesses of at least `least`, for every doc_id of `found` that has one.
 
     `found` has doc_id, digest and fingerprint, as fingerprint_edits gives them. Equal texts are one class. Empty texts and
     rows without doc_id are near to nothing. A document whose id stands for several texts is near to all that these are near to.
+
+    Classes that share a band are candidates. In a few rounds each member of a band that spans several components meets the
+    smallest member of another one, which joins families at a row for each member; members of bands that still span several
+    components are then compared in blocks, so no link between two that share a band is left out.
     """
     rows = found.where("doc_id is not null and n_chars > 0").select("doc_id", "digest", "fingerprint")
     classes = materialise(rows.groupBy("digest", "fingerprint").agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("last")), "near-classes")
@@ -315,21 +376,37 @@ def near_groups(found: DataFrame, least: float = 0.75, band: int = 16) -> DataFr
     shared = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
     members = materialise(keys.join(shared, "key"), "band-members")
     discard(keys)
-    links = tried = None
-    while True:
-        hubs = members.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("hi")).where("hub < hi").select("key", "hub")
-        met = members.join(hubs, "key").where("id <> hub")
-        pairs = met.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    labels = materialise(members.select(F.col("id").alias("node"), F.col("id").alias("component")).distinct(), "near-labels")
+    tried = None
+    for _ in range(ROUNDS):
+        rest = _several(members, labels)
+        one = rest.groupBy("key").agg(F.min(F.struct("component", "id")).alias("one"))
+        two = rest.join(one, "key").where("component <> one.component").groupBy("key").agg(F.min(F.struct("component", "id")).alias("two"))
+        met = rest.join(one, "key").join(two, "key").withColumn("other", F.when(F.col("component") != F.col("one.component"), F.col("one.id")).otherwise(F.col("two.id")))
+        pairs = met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
         pairs = materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "band-pairs")
-        here = materialise(_alike(pairs, classes, least), "near-links")
-        if not here.limit(1).count():
+        links = materialise(_alike(pairs, classes, least), "near-links")
+        discard(rest)
+        if not links.limit(1).count():
             break
-        links, tried = (here, pairs) if links is None else (links.unionByName(here), tried.unionByName(pairs))
-        explained = here.select(F.col("a").alias("hub"), F.col("b").alias("id"))
-        before, members = members, materialise(met.join(explained, ["hub", "id"], "left_anti").select("key", "id"), "band-members")
+        labels, before = materialise(joined(labels, links), "near-labels"), labels
+        tried = pairs if tried is None else tried.unionByName(pairs)
         discard(before)
-    discard(members)
+    rest = _several(members, labels)
+    links = materialise(_met_in_blocks(rest, classes, least), "near-links")
+    if links.limit(1).count():
+        labels = materialise(joined(labels, links), "near-labels")
+    discard(members, rest)
+    linked = labels.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
     # Documents of one text, and texts of one document, are linked by their ids.
     same = rows.join(classes.where("id < last").select("digest", "fingerprint", "id"), ["digest", "fingerprint"]).where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
-    every = same if links is None else same.unionByName(links)
-    return components(every.distinct()).select(F.col("node").alias("doc_id"), F.col("component").alias("near_id"))
+    return components(same.unionByName(linked).distinct()).select(F.col("node").alias("doc_id"), F.col("component").alias("near_id"))
+
+
+def _several(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, id, component) of the bands whose members are not all of one component."""
+    known = materialise(members.join(labels.withColumnRenamed("node", "id"), "id").select("key", "id", "component"), "band-known")
+    mixed = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    rest = materialise(known.join(mixed, "key"), "band-rest")
+    discard(known)
+    return rest

@@ -372,10 +372,73 @@ def test_near_groups_are_those_of_all_pairs(spark):
             for b in range(a):
                 if keys[a] & keys[b] and edit_fingerprint.likeness(prints[a], prints[b]) >= 0.75:
                     parent[a] = parent[b] = min(parent[a], parent[b])
-    # Links that a band's first document hides are found while rounds find any; all groups here have such a chain.
     assert {i: got.get(i, i) for i in range(len(texts))} == dict(enumerate(parent)) and len(set(parent)) < 40
 
 
+def written(spark, prints):
+    rows = [(i, 1000 + i, 500, f"12:{p}") for i, p in prints]
+    return spark.createDataFrame(rows, "doc_id long, digest long, n_chars long, fingerprint string").repartition(3)
+
+
+@pytest.mark.parametrize("unlike", [1, 12])
+def test_unlike_documents_of_a_band_hide_no_link(spark, monkeypatch, unlike):
+    """Two alike fingerprints behind smaller ids that share their bands and are like nobody."""
+    monkeypatch.setattr(edit_fingerprint, "BLOCK", 3)
+    rng = np.random.default_rng(21)
+    digits = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
+    head, tail = digits(64), digits(64)
+    near = tail[:30] + digits(16) + tail[46:]
+    rows = [(k, head + digits(64)) for k in range(1, unlike + 1)] + [(50, head + tail), (60, head + near)]
+    assert edit_fingerprint.likeness(f"12:{head}{tail}", f"12:{head}{near}") >= 0.85
+    got = {r["doc_id"]: r["near_id"] for r in edit_fingerprint.near_groups(written(spark, rows)).collect()}
+    assert got == {50: 50, 60: 50}
+
+
+def test_groups_of_any_bands(spark, monkeypatch):
+    """Random families that share bands with each other, against all pairs that share a band."""
+    monkeypatch.setattr(edit_fingerprint, "BLOCK", 4)
+    rng = np.random.default_rng(22)
+    heads = ["".join(rng.choice(list("0123456789abcdef"), 32)) for _ in range(2)]
+    rows = []
+    for family in range(8):
+        base = rng.choice(list("0123456789abcdef"), 96)
+        for _ in range(4):
+            own = base.copy()
+            at = rng.integers(0, 96, 13)
+            own[at] = rng.choice(list("0123456789abcdef"), 13)
+            rows.append((int(rng.integers(0, 10_000)) * 100 + len(rows), heads[family % 2] + "".join(own)))
+    keys = {i: set(edit_fingerprint.band_keys(f"12:{p}", 16)) for i, p in rows}
+    parent = {i: i for i, _ in rows}
+    for _ in rows:
+        for a, x in rows:
+            for b, y in rows:
+                if keys[a] & keys[b] and edit_fingerprint.likeness(f"12:{x}", f"12:{y}") >= 0.75:
+                    parent[a] = parent[b] = min(parent[a], parent[b])
+    got = {r["doc_id"]: r["near_id"] for r in edit_fingerprint.near_groups(written(spark, rows)).collect()}
+    assert {i: got.get(i, i) for i in parent} == parent and 1 < len(set(parent.values())) < len(rows)
+
+
+def test_likeness_to_many():
+    rng = np.random.default_rng(23)
+    texts = ["", "a", *("".join(rng.choice(list("abcdefgh "), int(n))) for n in rng.integers(1, 900, 40))]
+    texts += [t[: len(t) // 2] + "x" + t[len(t) // 2 :] for t in texts[5:20]]
+    prints = edit_fingerprint.fingerprints(texts)
+    heads = [p.index(":") for p in prints]
+    lengths = np.array([len(p) - h - 1 for p, h in zip(prints, heads, strict=True)])
+    digits = np.zeros((len(prints), max(1, int(lengths.max()))), np.uint8)
+    for k, (p, h) in enumerate(zip(prints, heads, strict=True)):
+        digits[k, : lengths[k]] = np.frombuffer(p[h + 1 :].encode(), np.uint8)
+    levels = np.array([int(p[:h]) for p, h in zip(prints, heads, strict=True)])
+    for one in prints:
+        assert np.allclose(edit_fingerprint._likenesses(one, prints, digits, lengths, levels), [edit_fingerprint.likeness(one, p) for p in prints])
+
+
+def test_near_groups_of_nothing(spark):
+    none = spark.createDataFrame([], "doc_id long, digest long, n_chars long, fingerprint string")
+    assert edit_fingerprint.near_groups(none).collect() == []
+    assert edit_fingerprint.near_groups(written(spark, [(1, "0" * 64)])).collect() == []
+
+
 def test_near_pairs(spark):
     rng = np.random.default_rng(5)
     base = "".join(rng.choice(list("abcdefghijklmnop "), 400))
