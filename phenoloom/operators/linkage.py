@@ -1,6 +1,6 @@
 """Linkage disequilibrium near the diagonal: squared correlations of markers at most a window apart, as block products.
 
-Positions are cut into bins as wide as the window, bins with many markers into tiles. A pair of markers lies in two tiles of
+Positions are cut into bins at least as wide as the window, bins with many markers into tiles. A pair of markers lies in two tiles of
 one bin or of neighbouring bins; the left tile owns it. So a tile of the next bin comes along as a halo, each pair is met
 once, and a task holds two tiles, whatever the density of markers. A pair of tiles is one matrix product for each sum that a
 correlation over samples called at both needs, not a fold for each pair of markers.
@@ -97,8 +97,14 @@ def _correlations(sums: DataFrame) -> DataFrame:
     return sums.select("chr", "a", "b", "distance", n.cast("bigint").alias("n"), F.when((vx > 1e-9) & (vy > 1e-9), cov * cov / (vx * vy)).alias("r2"))
 
 
-def _rows(markers: DataFrame, window: int, marker: str, chr_: str, pos: str, g, *keys: str) -> DataFrame:
-    return markers.select(F.col(chr_).alias("chr"), F.floor(F.col(pos) / max(1, window)).alias("bin"), F.col(marker).alias("id"), F.col(pos).cast("bigint").alias("pos"), g.alias("g"), *keys).where("chr is not null and pos is not null and id is not null")
+def _width(markers: DataFrame, window: int, chr_: str, pos: str, tile: int) -> int:
+    """Bins are as wide as the window, or so many times that where markers are so few that a tile would be nearly empty."""
+    filled = markers.where(F.col(pos).isNotNull()).groupBy(chr_, F.floor(F.col(pos) / max(1, window))).agg(F.count("*").alias("n")).agg(F.avg("n")).first()[0]
+    return max(1, window) * max(1, int(tile // (4 * (filled or tile))))
+
+
+def _rows(markers: DataFrame, width: int, marker: str, chr_: str, pos: str, g, *keys: str) -> DataFrame:
+    return markers.select(F.col(chr_).alias("chr"), F.floor(F.col(pos) / width).alias("bin"), F.col(marker).alias("id"), F.col(pos).cast("bigint").alias("pos"), g.alias("g"), *keys).where("chr is not null and pos is not null and id is not null")
 
 
 def ld_pairs_arrays(markers: DataFrame, window: int, marker: str = "marker_id", dosage: str = "dosage", chr_: str = "chr", pos: str = "pos", tile: int = TILE) -> DataFrame:
@@ -106,7 +112,8 @@ def ld_pairs_arrays(markers: DataFrame, window: int, marker: str = "marker_id",
 
     A marker without variance among these samples has null r2. Rows without a place or an id are in no pair; ids are unique.
     """
-    return _correlations(_sums(_rows(markers, window, marker, chr_, pos, F.col(dosage)), window, [], tile))
+    width = _width(markers, window, chr_, pos, tile)
+    return _correlations(_sums(_rows(markers, width, marker, chr_, pos, F.col(dosage)), window, [], tile))
 
 
 def ld_pairs(calls: DataFrame, window: int, marker: str = "marker_id", sample: str = "sample_id", call: str = "call", chr_: str = "chr", pos: str = "pos", tile: int = TILE, samples: int = SAMPLES) -> DataFrame:
@@ -115,7 +122,8 @@ def ld_pairs(calls: DataFrame, window: int, marker: str = "marker_id", sample: s
     groups = -(-calls.agg(F.approx_count_distinct(sample)).first()[0] // samples) or 1
     dealt = calls.withColumn("__group", F.pmod(F.xxhash64(sample), F.lit(groups)))
     packed = dealt.groupBy(marker, chr_, pos, "__group").agg(F.collect_list(F.struct(F.col(sample).alias("s"), F.col(call).cast("double").alias("g"))).alias("__g"))
-    sums = _sums(_rows(packed, window, marker, chr_, pos, F.col("__g"), "__group"), window, ["__group"], tile)
+    width = _width(calls.select(marker, chr_, pos).distinct(), window, chr_, pos, tile)
+    sums = _sums(_rows(packed, width, marker, chr_, pos, F.col("__g"), "__group"), window, ["__group"], tile)
     return _correlations(sums.groupBy("chr", "a", "b", "distance").agg(*[F.sum(k).alias(k) for k in SUMS]))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..sources.stored import stored
 from .numbering import numbered
+from .samples import require_order, with_order
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -53,12 +54,14 @@ def call_rate_filter(calls: DataFrame, marker: str = "marker_id", sample: str =
     return calls.join(markers, marker, "left_semi").join(samples, sample, "left_semi")
 
 
-def call_rate_arrays(markers: DataFrame, dosage: str = "dosage", most_missing: float = 0.2) -> tuple[DataFrame, list[int]]:
+def call_rate_arrays(markers: DataFrame, dosage: str = "dosage", most_missing: float = 0.2, samples: list | None = None) -> tuple[DataFrame, list[int]]:
     """(markers whose arrays hold the kept samples only, places of the kept samples); both shares on the unfiltered table.
 
     A marker's share is read off its array. Samples' missing calls are summed over arrays in every task, so what is shuffled
-    is one number a task and sample. A table without markers keeps no sample.
+    is one number a task and sample. A table without markers keeps no sample. With the `samples` of the arrays, the arrays
+    that are left say theirs.
     """
+    require_order(markers, samples, dosage)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = None, 0
@@ -75,7 +78,8 @@ def call_rate_arrays(markers: DataFrame, dosage: str = "dosage", most_missing: f
     rest = [c for c in markers.columns if c != dosage]
     # once(): gather reads the array at every kept place, and an expression inlined there would be computed that often.
     markers = markers.select(*rest, C.once(F.col(dosage)).alias(dosage))
-    return markers.where(C.missing_fraction(dosage) <= most_missing).select(*rest, C.gather(dosage, C.array_literal(kept, "int")).alias(dosage)), kept
+    out = markers.where(C.missing_fraction(dosage) <= most_missing).select(*rest, C.gather(dosage, C.array_literal(kept, "int")).alias(dosage))
+    return out if samples is None else with_order(out, [samples[k] for k in kept], dosage), kept
 
 
 def impute_mean(calls: DataFrame, marker: str = "marker_id", call: str = "call") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.distributions import t_two_sided_array
+from .samples import require_order
 
 
 @dataclass(frozen=True)
@@ -78,9 +79,11 @@ def require_same_order(ours: list, theirs: list, what: str = "samples") -> None:
 
 def scan(markers: DataFrame, basis: Basis, dosage: str = "dosage", batch: int = 2048, samples: list | None = None) -> DataFrame:
     """markers without their dosage, with beta, t and p (null where a marker has no estimate). One pass, no shuffle; the basis
-    is broadcast (samples x covariates). `samples` are the ids in the order of the dosage arrays: they must be the basis's."""
+    is broadcast (samples x covariates). `samples` are the ids in the order of the dosage arrays: they must be the basis's, and
+    either must be the order that the dosage column says it has."""
     if samples is not None and basis.samples is not None:
         require_same_order(list(basis.samples), samples)
+    require_order(markers, samples if samples is not None else basis.samples, dosage)
     rest = [c for c in markers.columns if c != dosage]
     sent = markers.sparkSession.sparkContext.broadcast(basis)
 
@@ -196,10 +199,10 @@ def low_rank_basis(y: np.ndarray, vectors: np.ndarray, values: np.ndarray, covar
     return Basis(q, residual, float(residual @ residual), d - 1, samples=None if samples is None else tuple(samples), low=np.ascontiguousarray(vectors), gain=gain), delta
 
 
-def conditional_basis(y: np.ndarray, covariates: np.ndarray | None, lead: np.ndarray) -> Basis:
+def conditional_basis(y: np.ndarray, covariates: np.ndarray | None, lead: np.ndarray, samples: list | None = None) -> Basis:
     """The basis with a lead marker's dosage among the covariates."""
     extra = np.asarray(lead, float)[:, None]
-    return covariate_basis(y, extra if covariates is None or not np.size(covariates) else np.column_stack([covariates, extra]))
+    return covariate_basis(y, extra if covariates is None or not np.size(covariates) else np.column_stack([covariates, extra]), samples)
 
 
 def lead_marker(results: DataFrame, marker: str = "marker_id", p: str = "p") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import array_literal, once
+from ..operators.samples import with_order
 from ..sources.stored import path_of, stored
 
 SAMPLES = 300
@@ -45,7 +46,7 @@ def genotypes(spark: SparkSession, sf_dir: str, n: int = SAMPLES, ploidy: int =
     read, not computed, by whatever scans them."""
     key = (spark.sparkContext.applicationId, sf_dir, n, ploidy, with_missing)
     if key not in _written or existing(spark, _written[key][0]) is None:
-        made = stored(_genotypes(spark, sf_dir, n, ploidy, with_missing), "genotypes")
+        made = stored(with_order(_genotypes(spark, sf_dir, n, ploidy, with_missing), sample_ids(spark, sf_dir, n)), "genotypes")
         _written[key] = (path_of(made), made.schema)
     path, schema = _written[key]
     return spark.read.schema(schema).parquet(path)

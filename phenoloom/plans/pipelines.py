@@ -10,15 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import components, ml, qc, reports, scan, simulate, structure, testing
+from ..operators.samples import require_order
 from ..sources.sinks import append_run
 from ..sources.stored import discard, stored
 
 
-def genome_scan(markers: DataFrame, y: np.ndarray, low_maf: float = 0.05, n_pcs: int = 10, thin: int | None = 100_000, ploidy: int = 2) -> DataFrame:
+def genome_scan(markers: DataFrame, y: np.ndarray, low_maf: float = 0.05, n_pcs: int = 10, thin: int | None = 100_000, ploidy: int = 2, samples: list | None = None) -> DataFrame:
     """Frequency filter, principal components of thinned markers, covariate-adjusted scan, adjusted p values.
 
-    The markers are read twice (components, scan) and never shuffled; only p values are.
+    The markers are read twice (components, scan) and never shuffled; only p values are. `samples` are the phenotype's ids in
+    its order, which must be the markers' order where these say one.
     """
+    require_order(markers, samples, named=True)
     kept = qc.maf_filter(markers, ploidy, low_maf)
     covariates = None
     if n_pcs:
@@ -29,36 +32,39 @@ def genome_scan(markers: DataFrame, y: np.ndarray, low_maf: float = 0.05, n_pcs:
         few = len(y) <= structure.MOST_SAMPLES
         covariates = structure.principal_components(thinned, n_pcs)[0] if few else components.components(stored(thinned, "thinned"), len(y), n_pcs).scores
     # Statistics are a few numbers a marker and are used three times; genotypes must not be scanned again for that.
-    found = stored(scan.scan(kept, scan.covariate_basis(y, covariates)), "scan")
+    found = stored(scan.scan(kept, scan.covariate_basis(y, covariates, samples)), "scan")
     return testing.bonferroni(testing.benjamini_hochberg(found))
 
 
-def mixed_scan(markers: DataFrame, y: np.ndarray, n_covariates: int = 3, low_maf: float = 0.01, ploidy: int = 2, kinship: np.ndarray | None = None, rank: int | None = None, delta: float | None = None) -> DataFrame:
+def mixed_scan(markers: DataFrame, y: np.ndarray, n_covariates: int = 3, low_maf: float = 0.01, ploidy: int = 2, kinship: np.ndarray | None = None, rank: int | None = None, delta: float | None = None, samples: list | None = None) -> DataFrame:
     """Mixed-model scan with kinship and its first eigenvectors; variance components are estimated once for all blocks.
 
     With `rank`, kinship is its first eigenvectors and one value for all other directions, found without a samples x samples
-    matrix; that is for more samples than a square matrix of them can be held."""
+    matrix; that is for more samples than a square matrix of them can be held. `samples` as in genome_scan."""
+    require_order(markers, samples, named=True)
     kept = qc.maf_filter(markers, ploidy, low_maf)
     if rank is None:
         k = structure.kinship_vanraden(kept) if kinship is None else kinship
-        basis, delta = scan.mixed_basis(y, k, structure.kinship_covariates(k, n_covariates) if n_covariates else None)
+        basis, delta = scan.mixed_basis(y, k, structure.kinship_covariates(k, n_covariates) if n_covariates else None, samples)
     else:
         kept = stored(kept, "kept-markers")
         found = components.components(kept, len(y), rank, "vanraden")
         others = len(y) - found.vectors.shape[1]
         rest = max(0.0, (found.trace - found.values.sum()) / others) if others else 0.0
-        basis, delta = scan.low_rank_basis(y, found.vectors, found.values, found.vectors[:, :n_covariates], rest, delta)
+        basis, delta = scan.low_rank_basis(y, found.vectors, found.values, found.vectors[:, :n_covariates], rest, delta, samples)
     return testing.benjamini_hochberg(stored(scan.scan(kept, basis), "scan")).withColumn("delta", F.lit(delta))
 
 
-def conditional_scan(markers: DataFrame, y: np.ndarray, covariates: np.ndarray | None = None, marker: str = "marker_id") -> DataFrame:
-    """(marker, p, p_conditional, significant before and after): the best marker becomes a covariate of a second scan."""
-    first = stored(scan.scan(markers, scan.covariate_basis(y, covariates)).select(marker, "p"), "scan")
+def conditional_scan(markers: DataFrame, y: np.ndarray, covariates: np.ndarray | None = None, marker: str = "marker_id", samples: list | None = None) -> DataFrame:
+    """(marker, p, p_conditional, significant before and after): the best marker becomes a covariate of a second scan.
+    `samples` as in genome_scan."""
+    require_order(markers, samples, named=True)
+    first = stored(scan.scan(markers, scan.covariate_basis(y, covariates, samples)).select(marker, "p"), "scan")
     lead = scan.lead_marker(first, marker)
     row = markers.join(F.broadcast(lead.select(marker)), marker, "left_semi").select(marker, "dosage").limit(1).collect()
     if not row:
         return first.withColumn("p_conditional", F.lit(None).cast("double"))
-    second = scan.scan(markers.where(F.col(marker) != row[0][marker]), scan.conditional_basis(y, covariates, np.array(row[0]["dosage"], float)))
+    second = scan.scan(markers.where(F.col(marker) != row[0][marker]), scan.conditional_basis(y, covariates, np.array(row[0]["dosage"], float), samples))
     out = first.join(second.select(marker, F.col("p").alias("p_conditional")), marker, "left")
     m = first.agg(F.count("*").alias("m"))
     return out.withColumn("lead", F.col(marker) == row[0][marker]).crossJoin(F.broadcast(m)).withColumn("significant", F.col("p") < 0.05 / F.col("m")).withColumn("significant_conditional", F.col("p_conditional") < 0.05 / F.col("m")).drop("m")

@@ -400,7 +400,7 @@ select mid, round(maf, 6) maf, round(beta, 4) beta, round(t, 6) t, round(p, 9) p
 def genome_scan_plain(spark, sf):
     """The genome scan without components."""
     y, _ = _people(spark, sf)
-    found = pipelines.genome_scan(X.genotypes(spark, sf), y, 0.05, 0)
+    found = pipelines.genome_scan(X.genotypes(spark, sf), y, 0.05, 0, samples=X.sample_ids(spark, sf))
     return found.select("mid", r6("maf").alias("maf"), F.round("beta", 4).alias("beta"), r6("t").alias("t"), *[F.round(c, 9).alias(c) for c in ("p", "q", "bonferroni")])
 
 
@@ -408,20 +408,20 @@ def genome_scan_plain(spark, sf):
 def genome_scan(spark, sf):
     y, _ = _people(spark, sf)
     m = X.genotypes(spark, sf).withColumnRenamed("mid", "marker_id")
-    return pipelines.genome_scan(m, y, 0.05, 5, 5_000).select("marker_id", "chr", "pos", "maf", "beta", "t", "p", "q", "bonferroni")
+    return pipelines.genome_scan(m, y, 0.05, 5, 5_000, samples=X.sample_ids(spark, sf)).select("marker_id", "chr", "pos", "maf", "beta", "t", "p", "q", "bonferroni")
 
 
 @query()
 def mlm_scan(spark, sf):
     y, _ = _people(spark, sf)
-    return pipelines.mixed_scan(X.genotypes(spark, sf), y).select("mid", "chr", "pos", "beta", "t", "p", "q", "delta")
+    return pipelines.mixed_scan(X.genotypes(spark, sf), y, samples=X.sample_ids(spark, sf)).select("mid", "chr", "pos", "beta", "t", "p", "q", "delta")
 
 
 @query(f"""with {_SUMS_SQL}, w as (select mid, n, xy / xx beta, xy * sqrt((n - 2) / (xx * (yy - xy * xy / xx))) t from u0 where maf >= 0.01) select mid, round(beta, 4) beta, round(t, 5) t, round({t_tail_sql("t", "n - 2")}, 8) p from w""")
 def mlm_identity(spark, sf):
     """The mixed-model scan with an identity kinship, which is the linear scan."""
     y, _ = _people(spark, sf)
-    found = pipelines.mixed_scan(X.genotypes(spark, sf), y, 0, kinship=np.eye(len(y)))
+    found = pipelines.mixed_scan(X.genotypes(spark, sf), y, 0, kinship=np.eye(len(y)), samples=X.sample_ids(spark, sf))
     return found.select("mid", F.round("beta", 4).alias("beta"), F.round("t", 5).alias("t"), F.round("p", 8).alias("p"))
 
 
@@ -443,7 +443,7 @@ def mlm_low_rank(spark, sf):
 def mlm_scan_low_rank(spark, sf):
     """Kinship by its first 20 eigenvectors and one value for the rest."""
     y, _ = _people(spark, sf)
-    return pipelines.mixed_scan(X.genotypes(spark, sf), y, rank=20).select("mid", "chr", "pos", "beta", "t", "p", "q", "delta")
+    return pipelines.mixed_scan(X.genotypes(spark, sf), y, rank=20, samples=X.sample_ids(spark, sf)).select("mid", "chr", "pos", "beta", "t", "p", "q", "delta")
 
 
 @query(f"""with {_SUMS_SQL}, w as (select mid, n, xy * sqrt((n - 2) / (xx * (yy - xy * xy / xx))) t from u0 where xx > 1e-9), f as (select mid, t, {t_tail_sql("t", "n - 2")} p, count(*) over () m from w), lead as (select mid lead_mid from f order by abs(t) desc, mid limit 1),
@@ -453,7 +453,7 @@ k2 as (select mid, {t_tail_sql("t2", "n - 3")} p2 from k)
 select f.mid, round(p, 9) p, round(p2, 9) p_conditional, f.mid = lead_mid lead, p < 0.05 / m significant, p2 < 0.05 / m significant_conditional from f cross join lead left join k2 using (mid)""")
 def conditional_scan(spark, sf):
     y, _ = _people(spark, sf)
-    found = pipelines.conditional_scan(X.genotypes(spark, sf).where(F.size(F.array_distinct("dosage")) > 1), y, marker="mid")
+    found = pipelines.conditional_scan(X.genotypes(spark, sf).where(F.size(F.array_distinct("dosage")) > 1), y, marker="mid", samples=X.sample_ids(spark, sf))
     return found.withColumn("p", F.round("p", 9)).withColumn("p_conditional", F.round("p_conditional", 9))
 
 

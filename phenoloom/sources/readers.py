@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import columns as C
+from ..operators.samples import with_order
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, sep: str = ",", na: str = "") -> DataFrame:
@@ -89,8 +90,9 @@ def info_value(info: str, key: str):
     return F.when(C.is_finite(value), value)
 
 
-def genotypes_from_vcf(records: DataFrame, columns: list[int] | None = None, low: float = 0.05, annotation: str | None = None) -> DataFrame:
-    """Called biallelic SNVs as marker rows. Cheap tests on alleles and annotation come before any call is decoded."""
+def genotypes_from_vcf(records: DataFrame, columns: list[int] | None = None, low: float = 0.05, annotation: str | None = None, samples: list | None = None) -> DataFrame:
+    """Called biallelic SNVs as marker rows. Cheap tests on alleles and annotation come before any call is decoded. `samples`
+    are the ids of the calls' columns; dosages then say whose they are."""
     kept = records.where(C.is_biallelic_snv("ref", "alt"))
     if annotation:
         kept = kept.withColumn("__annotated", info_value("info", annotation))
@@ -102,7 +104,9 @@ def genotypes_from_vcf(records: DataFrame, columns: list[int] | None = None, low
         same = F.abs(F.col("maf") - F.col("__annotated")) <= 1e-6
         decoded = decoded.withColumn("maf", F.when(same, F.col("maf")).otherwise(F.raise_error(F.lit("frequency annotation disagrees")).cast("double")))
     out = decoded.where(F.col("maf") >= low)
-    return out.select(C.allele_id("chrom", "pos", "ref", "alt").alias("marker_id"), F.col("chrom").try_cast("int").alias("chr"), "pos", "ref", "alt", "maf", F.col("id").alias("rsid"), "dosage")
+    found = out.select(C.allele_id("chrom", "pos", "ref", "alt").alias("marker_id"), F.col("chrom").try_cast("int").alias("chr"), "pos", "ref", "alt", "maf", F.col("id").alias("rsid"), "dosage")
+    ids = samples if samples is None or columns is None else [samples[c] for c in columns]
+    return found if ids is None else with_order(found, ids)
 
 
 def window_records(records: DataFrame, chrom: str, start: int, end: int) -> DataFrame:
