@@ -16,8 +16,9 @@ functions; there are about 2n/LEAST windows for each, not n^2.
    LEAST words that is not yet known to stand in a smaller document is linked to its smallest holder. The smallest holder
    of a run is never known to stand in a smaller one, so all holders come together.
 6. Windows that no confirmed passage explains look for others: a window that was compared gets new roots, the ROOTS least
-   shingles that the document it was compared with does not hold, so a line that many documents share brings each of them
-   to one comparison only; the others go on without the smallest document. Rounds end when one confirms no passage.
+   shingles beyond its own that the document it was compared with does not hold, so a line that many documents share brings
+   each of them to one comparison only. From the second round on, one shared root is enough to be compared, so every window
+   of a round is explained or goes on with greater roots. Rounds end when no two documents have a root in common.
 
 In every passage the smallest document is the first; the others hold a repeat, which `cut_repeats` takes out.
 
@@ -41,7 +42,7 @@ from .minhash_dedup import components
 
 WIDTH, LEAST, HASHES, NEEDED = 5, 50, 4, 2
 #: New roots of a window that was compared in vain: what is left of a passage is a smaller part of its window.
-ROOTS = 3
+ROOTS = 8
 #: Gap in shingles that a chain may bridge: two words that differ near each other.
 GAP = 12
 PERCENT = 75
@@ -356,11 +357,13 @@ def repeated_passages(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
     discard(windows)
     found = exact = None
     while True:
-        pairs = materialise(compared(hits, needed), "pairs")
-        met = confirm(pairs, own, text, doc_id, least, needed, True)
-        here = met.where("key is null").select(*FOUND)
-        if found is not None and not here.limit(1).count():
+        # Later rounds compare whatever shares a root: each window of a round is then explained or gets greater roots.
+        asked = needed if found is None else 1
+        pairs = materialise(compared(hits, asked), "pairs")
+        if found is not None and not pairs.limit(1).count():
             break
+        met = confirm(pairs, own, text, doc_id, least, asked, True)
+        here = met.where("key is null").select(*FOUND)
         found = here if found is None else found.unionByName(here)
         left = hits.where("node <> owner").join(pairs.select("node", "owner"), ["node", "owner"], "left_anti").select("key", "node", "l", "r")
         left = left.union(met.where("key is not null").select("key", "node", "l", "r"))

@@ -1,7 +1,7 @@
 """Near duplicates and repeated passages against brute force."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 from phenoloom.llm import common as C
@@ -405,3 +405,44 @@ def test_runs_with_shared_roots():
     assert not open_[:255].any() and not open_[390:].any()
     naive = [min(S.function_values(a, 2)[k : k + 46]) for k in range(len(a) - 45)]
     assert (S.lowest(S.function_values(a, 2), 46) == naive).all()
+
+
+def test_edited_passages_among_quotes(spark):
+    """Passages of 70 words with 0 to 3 changed words, beside 0 to 5 quotes of 45 words that many documents share.
+
+    The module's own matcher on the two documents says whether there is a passage; recall is asked of each kind.
+    """
+    rng = random.Random(31)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    some = lambda n: [word() for _ in range(n)]
+    pool = [some(45) for _ in range(8)]
+    texts, pairs = [], []
+    for quotes in range(6):
+        for changes in range(4):
+            for _ in range(20):
+                base = some(70)
+                for copy in range(2):
+                    own = list(base)
+                    for at in rng.sample(range(70), changes * copy):
+                        own[at] = word()
+                    parts = [own, *(list(q) for q in rng.sample(pool, quotes))]
+                    rng.shuffle(parts)
+                    texts.append(" ".join(w for part in [some(rng.randrange(40)), *parts, some(rng.randrange(40))] for w in [*part, *some(rng.randrange(6))]))
+                pairs.append((len(texts) - 2, len(texts) - 1, quotes, changes, set(base)))
+    ids = list(range(len(texts)))
+    rng.shuffle(ids)
+    found = {}
+    for r in S.repeated_passages(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(8)).collect():
+        found.setdefault(r["node"], []).append((r["start"], r["end"]))
+    hashes = WordHashes()
+    shingles = [shingle_hashes(hashes.array(words_of(t))) for t in texts]
+    hit, asked = Counter(), Counter()
+    for a, b, quotes, changes, base in pairs:
+        later, first = (a, b) if ids[a] > ids[b] else (b, a)
+        words = texts[later].split()
+        spans = S.passages(shingles[later], S.Owner(shingles[first]), np.ones(len(shingles[later]), bool), 46)
+        spans = [(s, e + 4) for s, e, _, _ in spans if sum(w in base for w in words[s : e + 4]) >= 46]
+        asked[quotes, changes] += len(spans)
+        hit[quotes, changes] += sum(any(min(e, y) - max(s, x) >= 46 for x, y in found.get(ids[later], [])) for s, e in spans)
+    assert all(hit[k] >= 0.95 * n for k, n in asked.items()), {k: (hit[k], n) for k, n in asked.items()}
+    assert sum(asked.values()) > 300
