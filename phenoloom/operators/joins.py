@@ -68,18 +68,15 @@ def square_subset(matrix: DataFrame, ids: DataFrame, key: str = "id", i: str = "
 def within_distance(markers: DataFrame, loci: DataFrame, distance: int, how: str = "inner", chr_: str = "chr", pos: str = "pos", locus_pos: str = "locus_pos") -> DataFrame:
     """Marker-locus pairs on one chromosome at most `distance` apart.
 
-    A small locus table is broadcast and the distance checked in the hash join. Otherwise both sides are cut into bins as
-    wide as the distance; a locus is listed in its bin and the two beside it, so each pair meets in exactly one bin.
+    Both sides are cut into bins as wide as the distance; a locus is listed in its bin and the two beside it, so each pair
+    meets in exactly one bin and a marker is tested against the loci of three bins, not of its chromosome. A locus table that
+    is counted to be small is broadcast in that form.
     """
-    near = F.abs(F.col(pos) - F.col(locus_pos)) <= distance
-    if loci.limit(SMALL + 1).count() <= SMALL:
-        right = loci.withColumnRenamed(chr_, "__chr")
-        out = markers.join(F.broadcast(right), (F.col(chr_) == F.col("__chr")) & near, how)
-        return out if how in ("left_semi", "left_anti") else out.drop("__chr")
     width = max(1, distance)
+    near = F.abs(F.col(pos) - F.col(locus_pos)) <= distance
     binned = loci.withColumnRenamed(chr_, "__chr").withColumn("__bin", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col(locus_pos) / width) + d)))
     left = markers.withColumn("__at", F.floor(F.col(pos) / width))
-    out = left.join(binned, (F.col(chr_) == F.col("__chr")) & (F.col("__at") == F.col("__bin")) & near, how)
+    out = left.join(small_side(binned), (F.col(chr_) == F.col("__chr")) & (F.col("__at") == F.col("__bin")) & near, how)
     return out.drop("__at", "__bin", "__chr")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import short_id
 from .joins import nearest
 from .ml import metrics
-from .testing import bonferroni, counts_before
+from .testing import bonferroni, counts_before, genomic_inflation, quantiles
 
 
 def offsets(markers: DataFrame, chr_: str = "chr", pos: str = "pos", lengths: DataFrame | None = None, ticks: str = "middle") -> DataFrame:
@@ -140,10 +140,20 @@ def overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 
 def qqplot_pairs(a: DataFrame, b: DataFrame, value: str, bins: int = 1000) -> DataFrame:
-    """Sorted values of two results against each other at `bins` quantiles."""
-    probabilities = F.lit([(k + 0.5) / bins for k in range(bins)]).cast("array<double>")
-    q = [df.agg(F.percentile(value, probabilities).alias("q")) for df in (a, b)]
-    pairs = q[0].select(F.col("q").alias("qa")).crossJoin(q[1].select(F.col("q").alias("qb")))
-    return pairs.select(F.posexplode(F.arrays_zip("qa", "qb")).alias("k", "x")).select("k", F.col("x.qa").alias("a"), F.col("x.qb").alias("b"))
+    """(k, a, b): sorted values of two results against each other at `bins` quantiles, found by counted places."""
+    probabilities = [(k + 0.5) / bins for k in range(bins)]
+    sides = [quantiles(df, value, probabilities).select("probability", F.col("quantile").alias(name)) for df, name in ((a, "a"), (b, "b"))]
+    k = F.round(F.col("probability") * bins - 0.5).cast("int").alias("k")
+    return sides[0].join(sides[1], "probability").select(k, "a", "b")
 
 
+def model_comparison(results: dict[str, DataFrame], p: str = "p", alpha: float = 0.05) -> DataFrame:
+    """(model, n, lambda_gc, n_bonferroni, best_p): one row for each scan of the same trait, for a table of their inflation."""
+    out = None
+    for name, found in results.items():
+        n = F.count(p)
+        counts = found.agg(n.alias("n"), F.min(p).alias("best_p"))
+        hits = bonferroni(found.select(p), p).agg(F.count_if(F.col("bonferroni") < alpha).alias("n_bonferroni"))
+        row = counts.crossJoin(hits).crossJoin(genomic_inflation(found, p)).select(F.lit(name).alias("model"), "n", "lambda_gc", "n_bonferroni", "best_p")
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -58,24 +58,24 @@ def gram(markers: DataFrame, scale: str = "zscore", dosage: str = "dosage") -> t
     return total, used if scale == "vanraden" else int(used)
 
 
-def gram_long(rows: DataFrame, key: str, values: str, size: int = 256) -> DataFrame:
-    """(i, j, product) for every two rows and each row with itself; rows are cut into blocks that meet pairwise."""
-    blocks = max(1, -(-rows.count() // size))
-    member = F.struct(F.col(key).cast("bigint").alias("id"), F.col(values).cast("array<double>").alias("v"))
-    packed = rows.select(F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"), member.alias("m")).groupBy("block").agg(F.collect_list("m").alias("rows"))
-    both = packed.select(F.col("rows").alias("a")).crossJoin(packed.select(F.col("rows").alias("b")))
-
-    def unpacked(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
-        ids, v = column[k].values.flatten()
-        return np.asarray(ids), np.asarray(v.flatten(), float).reshape(len(ids), -1)
+def gram_columns(rows: DataFrame, values: str) -> DataFrame:
+    """(i, j, product): the Gram matrix of the places of an array column over all rows, as cells. Every task sends one partial
+    matrix of columns x columns, so rows may be any number; more than MOST_SAMPLES columns are refused."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
         for batch in batches:
-            for k in range(batch.num_rows):
-                (i, x), (j, y) = unpacked(batch.column(0), k), unpacked(batch.column(1), k)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(i, len(j))), pa.array(np.tile(j, len(i))), pa.array((x @ y.T).ravel())], ["i", "j", "product"])
+            if batch.num_rows:
+                x = np.asarray(batch.column(0).flatten(), float).reshape(batch.num_rows, -1)
+                if x.shape[1] > MOST_SAMPLES:
+                    raise ValueError(f"more than {MOST_SAMPLES} columns")
+                total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            n = len(total)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(n), n)), pa.array(np.tile(np.arange(n), n)), pa.array(total.ravel())], ["i", "j", "product"])
 
-    return both.mapInArrow(work, "i bigint, j bigint, product double")
+    cells = rows.where(F.col(values).isNotNull()).select(values).mapInArrow(work, "i bigint, j bigint, product double")
+    return cells.groupBy("i", "j").agg(F.sum("product").alias("product"))
 
 
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

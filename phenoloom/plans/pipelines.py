@@ -170,5 +170,6 @@ def resume(planned: DataFrame, path: str, keys: list[str], run: Callable[[DataFr
 
 def recovery(markers: DataFrame, truth: DataFrame, refined: DataFrame, candidates: DataFrame, n_folds: int, top: int = 50) -> DataFrame:
     """Planted markers against the ranking; truth is joined here and nowhere before."""
-    table = ml.importance_table(refined, candidates, n_folds).join(markers.select("marker_id", "chr", "pos"), "marker_id")
+    places = markers.select("marker_id", "chr", "pos").dropDuplicates(["marker_id"])
+    table = ml.importance_table(refined, candidates, n_folds).join(places, "marker_id", "left")
     return reports.causal_recovery(truth, table, "rf_rank", top)

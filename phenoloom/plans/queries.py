@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import distributions as D
-from ..operators import components, joins, linkage, ml, qc, reports, scan, simulate, structure, testing
+from ..operators import components, joins, linkage, ml, numbering, qc, reports, scan, simulate, structure, testing
 from ..sources import indexed_vcf, readers
 from ..sources.stored import shared_folder, stored
 from . import fixtures as X
@@ -201,14 +201,13 @@ def samples_in_panel(spark, sf):
     return joins.matched(p, X.table(spark, sf, "orders").select(F.col("o_custkey").alias("sid")), "sid")
 
 
-@query("""with v as (select vec_id, unnest(embedding) x, generate_subscripts(embedding, 1) d from embeddings where vec_id % 3 = 0), k as (select a.vec_id i, b.vec_id j, sum(cast(a.x as double) * b.x) k from v a join v b using (d) group by all), ids as (select vec_id id, row_number() over (order by vec_id) - 1 idx from embeddings where vec_id % 3 = 0)
+@query("""with v as (select vec_id, unnest(embedding) x, generate_subscripts(embedding, 1) - 1 d from embeddings), k as (select a.d i, b.d j, sum(cast(a.x as double) * b.x) k from v a join v b using (vec_id) group by all), ids as (select n_nationkey id, row_number() over (order by n_nationkey desc) - 1 idx from nation)
 select cast(a.idx as bigint) "row", cast(b.idx as bigint) "col", round(k, 5) k from k join ids a on a.id = i join ids b on b.id = j""")
 def kinship_subindex(spark, sf):
-    """Every third vector's part of the matrix of all; products outside that part are not made."""
-    v = X.table(spark, sf, "embeddings").where("vec_id % 3 = 0")
-    ranges = v.select(F.col("vec_id").alias("id"), F.floor(F.col("vec_id") / 1024).alias("range"))
-    ids = qc.global_index(ranges, "range", "id", "id").select("id", F.col("global_idx").alias("idx"))
-    return joins.square_subset(structure.gram_long(v, "vec_id", "embedding"), ids).select("row", "col", F.round("product", 5).alias("k"))
+    """The products of all vectors' places, and the part of that matrix whose rows and columns a table of ids names, in its order."""
+    ids = X.table(spark, sf, "nation").select(F.col("n_nationkey").cast("bigint").alias("id"))
+    ids = numbering.numbered(ids, [F.desc("id")], "idx").withColumn("idx", F.col("idx") - 1)
+    return joins.square_subset(structure.gram_columns(X.table(spark, sf, "embeddings"), "embedding"), ids).select("row", "col", F.round("product", 5).alias("k"))
 
 
 @query(f"""with {X.MAP_SQL}, {X.LOCI_SQL} select distinct locus_id, m.chr, mid from m join l on m.chr = l.chr and abs(pos - locus_pos) <= 3000""")
@@ -308,6 +307,28 @@ def lambda_gc(spark, sf):
     return testing.genomic_inflation(X.p_values(spark, sf)).select(r6("lambda_gc").alias("lambda_gc"))
 
 
+_HALVED = f"""with recursive {X.P_SQL}, models as (select 'GLM' model, p from p union all select 'MLM', p * 0.5 + 0.001 from p)"""
+_TAIL = f"1 - {ERF_SQL.replace('(x)', '((lo + hi) / 2 / sqrt(2))')} > p"
+
+
+@query(f"""{_HALVED}, k as (select model, p, row_number() over (partition by model order by p) - 1 i, count(*) over (partition by model) n from models where p <= 1), c as (select model, p, 0 side from k where i = (n - 1) // 2 union all select model, p, 1 from k where i = n // 2),
+z as (select model, side, p, cast(1e-9 as double) lo, cast(10 as double) hi, 0 i from c union all select model, side, p, case when {_TAIL} then (lo + hi) / 2 else lo end, case when {_TAIL} then hi else (lo + hi) / 2 end, i + 1 from z where i < 60),
+l as (select model, round(avg(lo * lo) / 0.4549364231195724, 6) lambda_gc from z where i = 60 group by model), s as (select model, count(*) n, min(p) best_p from models group by model)
+select model, cast(n as bigint) n, lambda_gc, cast((select count(*) from models b where b.model = s.model and least(b.p * s.n, 1) < 0.05) as bigint) n_bonferroni, round(best_p, 12) best_p from s join l using (model)""")
+def model_inflation(spark, sf):
+    """Two scans of one trait beside each other."""
+    p = X.p_values(spark, sf).select("p")
+    found = reports.model_comparison({"GLM": p, "MLM": p.select((F.col("p") * 0.5 + 0.001).alias("p"))})
+    return found.withColumn("lambda_gc", r6("lambda_gc")).withColumn("best_p", F.round("best_p", 12))
+
+
+@query(f"""{_HALVED}, q as (select model, unnest(quantile_cont(p, [(k + 0.5) / 200 for k in range(200)])) v, unnest(range(200)) k from models group by model) select cast(a.k as int) k, round(a.v, 9) a, round(b.v, 9) b from q a join q b on a.k = b.k and a.model = 'GLM' and b.model = 'MLM'""")
+def qq_pairs(spark, sf):
+    p = X.p_values(spark, sf).select("p")
+    found = reports.qqplot_pairs(p, p.select((F.col("p") * 0.5 + 0.001).alias("p")), "p", 200)
+    return found.select("k", F.round("a", 9).alias("a"), F.round("b", 9).alias("b"))
+
+
 @query(f"""with {X.P_SQL} select mid, chr, cast(pos as bigint) pos from p order by p, chr, pos limit 100""")
 def top_hits(spark, sf):
     return testing.top(X.p_values(spark, sf), 100, [F.asc("p"), F.asc("chr"), F.asc("pos")]).select("mid", "chr", "pos")
