@@ -256,11 +256,13 @@ def confirm(pairs: DataFrame, df: DataFrame, text: str, doc_id: str, least: int,
     # A document's followers are dealt to blocks, and its text comes once to each, before them.
     blocks = materialise(pairs.groupBy("owner").agg(F.ceil(F.count("*") / FOLLOWERS).cast("int").alias("blocks")), "blocks")
     dealt = pairs.join(blocks, "owner").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("blocks")
-    later = dealt.join(texts.select(F.col("id").alias("node"), "text"), "node").select("owner", "block", F.lit(1).alias("kind"), "node", "text", "windows")
+    later = dealt.join(texts.select(F.col("id").alias("node"), "text"), "node").select("owner", "block", "node", "text", "windows", F.xxhash64("text").alias("digest"))
+    later = only_windows(later).withColumn("kind", F.lit(1))
     none = F.lit(None).cast(pairs.schema["windows"].dataType)
     first = texts.join(blocks, texts["id"] == blocks["owner"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    first = first.select("owner", "block", F.lit(0).alias("kind"), F.col("owner").alias("node"), "text", none.alias("windows"))
-    both = later.unionByName(first).withColumn("digest", F.xxhash64("text")).repartition("owner", "block").sortWithinPartitions("owner", "block", "kind")
+    first = first.select("owner", "block", F.lit(0).alias("kind"), F.col("owner").alias("node"), "text", none.alias("windows"), F.xxhash64("text").alias("digest"), F.lit(0).alias("base"))
+    order = ["owner", "block", "kind", "node", "text", "windows", "digest", "base"]
+    both = later.select(*order).unionByName(first.select(*order)).repartition("owner", "block").sortWithinPartitions("owner", "block", "kind")
 
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     kinds = [pa.int64()] * 4 + [pa.int32()] * 4 + [span, pa.int64(), pa.int32(), pa.int32()]
@@ -276,7 +278,7 @@ def confirm(pairs: DataFrame, df: DataFrame, text: str, doc_id: str, least: int,
             for batch in slices(iter([whole]), 256, 4 << 20):
                 rows: list[tuple] = []
                 left_over: list[tuple] = []
-                owners, kinds_, nodes, digests = (batch.column(c).to_pylist() for c in (0, 2, 3, 6))
+                owners, kinds_, nodes, digests, bases = (batch.column(c).to_pylist() for c in (0, 2, 3, 6, 7))
                 hashed, places = word_hashes(batch.column(4))
                 for k in range(batch.num_rows):
                     words = hashed[places[k] : places[k + 1]]
@@ -290,6 +292,8 @@ def confirm(pairs: DataFrame, df: DataFrame, text: str, doc_id: str, least: int,
                     if len(words) < least:
                         continue
                     keys, lefts, rights = (np.asarray(c) for c in batch.column(5)[k].values.flatten())
+                    base = bases[k]
+                    lefts, rights = lefts - base, rights - base
                     inside = lefts < len(a)  # windows of another text with the same id
                     keys, lefts, rights = keys[inside], lefts[inside], rights[inside]
                     allowed = covered(lefts, rights, keys & 7, len(a), needed)
@@ -297,11 +301,11 @@ def confirm(pairs: DataFrame, df: DataFrame, text: str, doc_id: str, least: int,
                         first = owner.places(a)
                         found, equal = matches(a, owner, first, allowed, size)
                         for s, e, t, f in found:
-                            exact = [(max(s, x), min(e, y) + WIDTH - 1) for x, y in equal if min(e, y) - max(s, x) >= size]
-                            rows.append((nodes[k], digests[k], owners[k], owner_digest, s, e + WIDTH - 1, t, f + WIDTH - 1, [{"start": x, "end": y} for x, y in exact]))
+                            exact = [(base + max(s, x), base + min(e, y) + WIDTH - 1) for x, y in equal if min(e, y) - max(s, x) >= size]
+                            rows.append((nodes[k], digests[k], owners[k], owner_digest, base + s, base + e + WIDTH - 1, t, f + WIDTH - 1, [{"start": x, "end": y} for x, y in exact]))
                         if again:
                             for key, x, y in new_roots(a, first, found, keys, lefts, rights, size):
-                                left_over.append((key - (1 << 64) if key >> 63 else key, nodes[k], x, y))
+                                left_over.append((key - (1 << 64) if key >> 63 else key, nodes[k], base + x, base + y))
                 if rows:
                     yield table(rows, FOUND)
                 if left_over:
@@ -313,6 +317,32 @@ def confirm(pairs: DataFrame, df: DataFrame, text: str, doc_id: str, least: int,
     return out
 
 
+def only_windows(rows: DataFrame) -> DataFrame:
+    """rows, each text cut to the stretch of words from its first window to its last, and `base`, the place where that begins.
+
+    Nothing outside a pair's windows is matched, and a long text that shares one line with many documents is sent as that
+    stretch to each of them.
+    """
+    names = [f.name for f in rows.schema.fields]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields) + ", base int"
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, spans = names.index("text"), names.index("windows")
+        for batch in slices(batches, 512, 4 << 20):
+            texts, bases = [], []
+            for text, windows in zip(batch.column(at), batch.column(spans), strict=True):
+                words = text.as_py().encode().split()
+                _, lefts, rights = (np.asarray(c) for c in windows.values.flatten())
+                inside = lefts < len(words) - (WIDTH - 1)
+                base, end = (int(lefts[inside].min()), int(rights[inside].max()) + WIDTH) if inside.any() else (0, 0)
+                texts.append(b" ".join(words[base:end]).decode())
+                bases.append(base)
+            columns = [pa.array(texts, pa.string()) if k == at else c for k, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(bases, pa.int32())], [*names, "base"])
+
+    return rows.mapInArrow(work, schema)
+
+
 def compared(hits: DataFrame, needed: int) -> DataFrame:
     """(node, owner, windows): pairs of documents that share roots of at least `needed` functions."""
     pairs = hits.where("node <> owner").groupBy("node", "owner").agg(F.collect_set(F.struct("key", "l", "r")).alias("windows"))
