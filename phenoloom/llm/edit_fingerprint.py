@@ -357,7 +357,7 @@ def _met_in_blocks(rest: DataFrame, classes: DataFrame, least: float) -> DataFra
 
 
 #: Rounds in which members of a band meet one other component each, before what is left is looked at pair by pair.
-ROUNDS = 4
+ROUNDS = 2
 
 
 def near_groups(found: DataFrame, least: float = 0.75, band: int = 16) -> DataFrame:
@@ -405,8 +405,6 @@ def near_groups(found: DataFrame, least: float = 0.75, band: int = 16) -> DataFr
 
 def _several(members: DataFrame, labels: DataFrame) -> DataFrame:
     """(key, id, component) of the bands whose members are not all of one component."""
-    known = materialise(members.join(labels.withColumnRenamed("node", "id"), "id").select("key", "id", "component"), "band-known")
+    known = members.join(labels.withColumnRenamed("node", "id"), "id").select("key", "id", "component")
     mixed = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    rest = materialise(known.join(mixed, "key"), "band-rest")
-    discard(known)
-    return rest
+    return materialise(known.join(mixed, "key"), "band-rest")
