@@ -4,7 +4,7 @@ import random
 from collections import Counter
 
 import corpus_pipeline as P
-from phenoloom.llm import toxicity
+from phenoloom.llm import queries, toxicity
 from phenoloom.llm.common import materialise
 from test_dedup import brute, repeats
 
@@ -60,6 +60,21 @@ def test_toxic_documents_go(spark, tmp_path):
     assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} == set(range(600)) - toxic
 
 
+def test_toxic_recall_on_given_labels(spark):
+    """Of the given labels most toxic documents go and nearly no other does; labels that the fit has not seen are asked apart."""
+    sf = "/root/testdata/sf0.1"
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    left = {r["doc_id"] for r in P.toxicity(spark, docs, sf).select("doc_id").collect()}
+    toxic = [i not in left for i, t in labels.items() if t == 1]
+    clean = [i not in left for i, t in labels.items() if t == 0]
+    assert sum(toxic) >= 0.85 * len(toxic) > 300 and sum(clean) <= 0.02 * len(clean)
+    held = [r for r in queries.op8_toxicity(spark, sf).collect() if r["held_out"] and r["doc_id"] in labels]
+    hit = [r["predicted"] for r in held if labels[r["doc_id"]] == 1]
+    wrong = [r["predicted"] for r in held if labels[r["doc_id"]] == 0]
+    assert sum(hit) >= 0.85 * len(hit) > 50 and sum(wrong) <= 0.02 * len(wrong)
+
+
 def test_stages_on_odd_tables(spark, small):
     """Nulls in any column, empty and very long texts, repeated rows, clashing names, and no rows at all."""
     long, dup = "alpha beta gamma delta epsilon zeta " * 9000, " ".join(f"word{i}" for i in range(80))
