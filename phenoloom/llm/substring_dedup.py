@@ -42,7 +42,7 @@ from .minhash_dedup import components
 
 WIDTH, LEAST, HASHES, NEEDED = 5, 50, 4, 2
 #: New roots of a window that was compared in vain: what is left of a passage is a smaller part of its window.
-ROOTS = 8
+ROOTS = 4
 #: Gap in shingles that a chain may bridge: two words that differ near each other.
 GAP = 12
 PERCENT = 75
