@@ -49,6 +49,16 @@ def grid(spark, **axes: int) -> DataFrame:
     return out
 
 
+def grid_of(*axes: DataFrame) -> DataFrame:
+    """Every combination of the rows of small tables, such as scenarios, seeds and folds; a table of many rows is an error."""
+    out = None
+    for axis in axes:
+        if axis.limit(SMALL + 1).count() > SMALL:
+            raise ValueError(f"an axis of more than {SMALL} rows")
+        out = axis if out is None else out.crossJoin(F.broadcast(axis))
+    return out
+
+
 def merge_suffixed(a: DataFrame, b: DataFrame, keys: list[str], suffixes: tuple[str, str]) -> DataFrame:
     """Inner join of two results; other columns get the suffixes."""
     named = [df.select(*keys, *[F.col(c).alias(c + s) for c in df.columns if c not in keys]) for df, s in zip((a, b), suffixes, strict=True)]

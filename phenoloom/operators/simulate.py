@@ -120,11 +120,19 @@ def calibration(values: DataFrame, column: str, probabilities: list[float]) -> D
     return values.agg(F.percentile(column, F.lit(probabilities).cast("array<double>")).alias("quantiles"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("sd"), F.min(column).alias("min"), F.max(column).alias("max"))
 
 
+def windows_of(loci: DataFrame, lengths: DataFrame, flank: int = 150_000, width: int = 500_000, at: float = 0.3) -> DataFrame:
+    """(region_id, chr, lo, hi, kind): flanks of loci (region_id, chr, pos), not below 1, and one background window for each
+    chromosome of lengths (chr, length)."""
+    own = loci.select(F.col("region_id").cast("string").alias("region_id"), "chr", F.greatest(F.lit(1), F.col("pos") - flank).cast("bigint").alias("lo"), (F.col("pos") + flank).cast("bigint").alias("hi"), F.lit("causal").alias("kind"))
+    low = F.floor(F.col("length") * at).cast("bigint")
+    background = lengths.select(F.concat(F.lit("bg_chr"), F.col("chr").cast("string")).alias("region_id"), "chr", low.alias("lo"), (low + width).alias("hi"), F.lit("background").alias("kind"))
+    return own.unionByName(background)
+
+
 def windows(spark: SparkSession, causal: list[tuple[str, int, int]], lengths: dict[int, int], flank: int = 150_000, width: int = 500_000, at: float = 0.3) -> DataFrame:
-    """(region_id, chr, lo, hi, kind): flanks of planted positions, not below 1, and one background window a chromosome."""
-    rows = [(name, c, max(1, p - flank), p + flank, "causal") for name, c, p in causal]
-    rows += [(f"bg_chr{c}", c, int(n * at), int(n * at) + width, "background") for c, n in sorted(lengths.items())]
-    return spark.createDataFrame(rows, "region_id string, chr int, lo bigint, hi bigint, kind string")
+    """The same for loci (name, chromosome, position) and lengths that are given as such."""
+    loci = spark.createDataFrame(causal, "region_id string, chr int, pos bigint")
+    return windows_of(loci, spark.createDataFrame(sorted(lengths.items()), "chr int, length bigint"), flank, width, at)
 
 
 # Lengths, markers and blocks of the plant genome's chromosomes; lengths of the human autosomes (GRCh38); edges

@@ -246,9 +246,12 @@ def candidate_gather(spark, sf):
     return joins.matched(X.genotypes(spark, sf), cand, "mid").select("mid", C.dosage_sum("dosage").alias("allele_count"))
 
 
-@query("""select s.s seed, k.k fold, b.b block from range(3) s(s), range(5) k(k), range(4) b(b)""")
+@query("""select e.event_type scenario, cast(n_nationkey as int) seed, cast(r_regionkey as int) fold from (select distinct event_type from events) e, nation, region""")
 def run_grid(spark, sf):
-    return joins.grid(spark, seed=3, fold=5, block=4)
+    """A run for each kind of event, nation and region."""
+    scenarios = X.table(spark, sf, "events").select(F.col("event_type").alias("scenario")).distinct()
+    seeds = X.table(spark, sf, "nation").select(F.col("n_nationkey").cast("int").alias("seed"))
+    return joins.grid_of(scenarios, seeds, X.table(spark, sf, "region").select(F.col("r_regionkey").cast("int").alias("fold")))
 
 
 # --- aggregation, ranks, sets ---
@@ -650,10 +653,12 @@ def phenotype_calibration(spark, sf):
     return c.select(r6(F.col("quantiles")[0]).alias("q01"), r6(F.col("quantiles")[2]).alias("q50"), r6(F.col("quantiles")[4]).alias("q99"), r6("mean").alias("mean"), r6("sd").alias("sd"), "min", "max")
 
 
-@query("""select * from (values ('rs1', 15, 1, 150100, 'causal'), ('rs2', 16, 99850000, 100150000, 'causal'), ('bg_chr1', 1, 30000000, 30500000, 'background'), ('bg_chr2', 2, 60000000, 60500000, 'background')) t(region_id, chr, lo, hi, kind)""".replace("'rs1', 15, 1,", "'rs1', 15, 1,"))
+@query(f"""with {X.MAP_SQL}, {X.LOCI_SQL}, n as (select chr, max(pos) length from m group by chr) select cast(locus_id as varchar) region_id, chr, cast(greatest(1, locus_pos - 150000) as bigint) lo, cast(locus_pos + 150000 as bigint) hi, 'causal' kind from l
+union all select 'bg_chr' || chr, chr, cast(floor(length * 0.3) as bigint), cast(floor(length * 0.3) + 500000 as bigint), 'background' from n""")
 def window_list(spark, sf):
-    w = simulate.windows(spark, [("rs1", 15, 100), ("rs2", 16, 100_000_000)], {1: 100_000_000, 2: 200_000_000})
-    return w.select("region_id", "chr", F.col("lo").cast("int").alias("lo"), F.col("hi").cast("int").alias("hi"), "kind")
+    loci = X.loci(spark, sf).select(F.col("locus_id").alias("region_id"), "chr", F.col("locus_pos").alias("pos"))
+    lengths = X.marker_map(spark, sf).groupBy("chr").agg(F.max("pos").alias("length"))
+    return simulate.windows_of(loci, lengths)
 
 
 @query(f"""with {X.MAP_SQL}, t as (select mid, row_number() over (order by thr desc, mid) k from m), c as (select k, row_number() over (order by k) i, count(*) over () n from t where mid % 97 = 0) select cast(i as bigint) i, round(i / (n + 1.0), 6) expected, round(k / (select count(*) from m)::double, 6) observed from c""")
@@ -757,9 +762,11 @@ def fold_bars(spark, sf):
     return reports.fold_scores(_scored(spark, sf), "y", ["rf", "gb", "pc_only"]).select("model", "fold", r6("r2").alias("r2"))
 
 
-@query("""select cast(chr as int) chr, cast(length as bigint) length from (values (1, 30427613), (2, 19697717), (3, 23459627), (4, 18585004), (5, 26975377)) t(chr, length)""")
+@query(f"""with {X.MAP_SQL}, f as (select * from (values (1, 30427613), (2, 19697717), (3, 23459627), (4, 18585004), (5, 26975377)) t(chr, length)) select cast(f.chr as int) chr, cast(length as bigint) length, cast(count(mid) as bigint) n_markers, cast(count(mid) filter (pos > length) as bigint) n_beyond from f left join m on m.chr = f.chr group by f.chr, length""")
 def plant_chromosomes(spark, sf):
-    return simulate.reference_chromosomes(spark, "plant").select("chr", "length")
+    """Markers of the map on each chromosome, and how many lie beyond its fixed length."""
+    counts = X.marker_map(spark, sf).join(F.broadcast(simulate.reference_chromosomes(spark, "plant").select("chr", "length")), "chr", "right")
+    return counts.groupBy("chr", "length").agg(F.count("mid").alias("n_markers"), F.count_if(F.col("pos") > F.col("length")).alias("n_beyond"))
 
 
 @query()
