@@ -324,8 +324,8 @@ def _likenesses(one: str, others: list[str], digits: np.ndarray, lengths: np.nda
 def _met_in_blocks(rest: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     """Links (a, b) between members (key, id, component) of one band and different components: every such pair is looked at.
 
-    A band is cut into blocks that meet pairwise, so a task holds two blocks; of two components a pair of blocks gives one
-    link, so rows stay few however large the band is.
+    A band is cut into blocks that meet pairwise, so a task holds two blocks; a pair of blocks gives fewer links than it has
+    components, so rows stay few however large the band is.
     """
     sizes = materialise(rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "band-blocks")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
@@ -343,15 +343,16 @@ def _met_in_blocks(rest: DataFrame, classes: DataFrame, least: float) -> DataFra
         digits = np.zeros((len(prints), max(1, int(lengths.max()))), np.uint8)
         for k, (f, h) in enumerate(zip(prints, heads, strict=True)):
             digits[k, : lengths[k]] = np.frombuffer(f[h + 1 :].encode(), np.uint8)
-        linked: dict[tuple[int, int], tuple[int, int]] = {}
+        parts, links = parts.copy(), []
         for k in range(len(prints)):
             others = np.flatnonzero((parts != parts[k]) & ((blocks != blocks[k]) | (at["lo"] == at["hi"])) & (ids > ids[k]))
             if len(others):
                 found = _likenesses(prints[k], [prints[j] for j in others], digits[others], lengths[others], levels[others])
-                for j in others[found >= least]:
-                    pair = (min(parts[k], parts[j]), max(parts[k], parts[j]))
-                    linked.setdefault(pair, (int(ids[k]), int(ids[j])))
-        return pa.table([pa.array([a for a, _ in linked.values()], pa.int64()), pa.array([b for _, b in linked.values()], pa.int64())], ["a", "b"])
+                # One link for each component; what is joined here is not compared with each other again.
+                joins, first = np.unique(parts[others[found >= least]], return_index=True)
+                links += [(int(ids[k]), int(ids[j])) for j in others[found >= least][first]]
+                parts[np.isin(parts, joins)] = parts[k]
+        return pa.table([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
 
     return rows.groupBy("key", "at").applyInArrow(work, "a bigint, b bigint").distinct()
 
