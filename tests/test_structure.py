@@ -185,3 +185,19 @@ def test_mixed_scan_of_full_rank(spark, related):
     assert set(dense) == set(low)
     for k in dense:
         assert np.allclose([dense[k]["beta"], dense[k]["t"], dense[k]["p"]], [low[k]["beta"], low[k]["t"], low[k]["p"]], rtol=1e-4, atol=1e-6)
+
+
+def test_subindex_is_of_the_matrix_of_all_vectors(spark, small):
+    """Every third row and column of all vectors' products: it grows with the square of the vectors."""
+    from phenoloom.plans import queries as Q
+
+    rows = spark.read.parquet(f"{small}/embeddings.parquet").orderBy("vec_id").collect()
+    x = np.array([r["embedding"] for r in rows], float)
+    keep = [k for k, r in enumerate(rows) if r["vec_id"] % 3 == 0]
+    want = (x @ x.T)[np.ix_(keep, keep)]
+    got = np.full(want.shape, np.nan)
+    found = Q.kinship_subindex(spark, small).collect()
+    for r in found:
+        got[r["row"], r["col"]] = r["k"]
+    assert len(found) == len(keep) ** 2
+    np.testing.assert_allclose(got, want, atol=1e-5)
