@@ -142,10 +142,11 @@ def _batch(chrom: str, pos: list[int], value: list[str]) -> pa.RecordBatch:
 
 @dataclass
 class Written(WriterCommitMessage):
-    """A task's part, the first record in it, and the name it was written under."""
+    """A task's part, the first record in it, the name it was written under and the kind of its index."""
 
     first: tuple
     name: str
+    index: str
 
 
 class PartWriter(DataSourceArrowWriter):
@@ -166,17 +167,18 @@ class PartWriter(DataSourceArrowWriter):
 
         store.create_dir(at, recursive=True)
         with store.open_output_stream(name + ".gz", compression=None) as out:
-            index = bgzf.write_indexed(out, self.header.encode(), records())
-        with store.open_output_stream(name + ".gz.tbi", compression=None) as out:
+            index = bgzf.write_indexed(out, self.header.encode(), records(), far=True)
+        kind = ".gz" + bgzf.index_ending(index)
+        with store.open_output_stream(name + kind, compression=None) as out:
             out.write(index)
-        return Written(tuple(first), name)
+        return Written(tuple(first), name, kind)
 
     def commit(self, messages: list[Written]) -> None:
         """Parts with records get their names in the order of their first records; what other attempts left goes."""
         store, at = opened(self.path)
         named = sorted((m for m in messages if m is not None and m.first), key=lambda m: (m.first, m.name))
         for k, m in enumerate(named):
-            for end in (".gz.tbi", ".gz"):
+            for end in (m.index, ".gz"):
                 store.move(m.name + end, f"{at}/part-{k:05d}.vcf{end}")
         self._clear()
 

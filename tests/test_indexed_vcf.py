@@ -186,3 +186,25 @@ def test_missing_index(spark, lines, tmp_path):
             os.remove(tmp_path / "v" / f)
     with pytest.raises(Exception, match="index"):
         indexed_vcf.read_windows(spark, str(tmp_path / "v")).count()
+
+
+@pytest.mark.parametrize("shift", [0, 1 << 29, 5 << 32])
+def test_places_beyond_a_tbi(shift):
+    """Sequences longer than 2^29 places get a deeper index, which finds the same records and reads no more."""
+    places = sorted({1, 5, 16_384, 16_385, 70_000, *range(100_000, 4_000_000, 977)})
+    records = [("1", shift + p, "A" * (40_000 if p == 16_385 else 1)) for p in places]
+    out = io.BytesIO()
+    index = bgzf.write_indexed(out, b"", [(c, p - 1, p - 1 + len(r), line(c, p).encode()) for c, p, r in records], far=True)
+    assert bgzf.index_ending(index) == (".tbi" if shift == 0 else ".csi")
+    for start, end in ((0, 5), (16_000, 17_000), (50_000, 110_000), (3_000_000, 3_100_000), (0, 4_000_000)):
+        rows, read = window(out.getvalue(), index, "1", shift + start, shift + end)
+        assert rows == [shift + p for p in places if start < p <= end]
+    assert window(out.getvalue(), index, "1", shift + 3_990_000, shift + 4_000_000)[1] <= 2 * bgzf.MEMBER
+
+
+def test_written_parts_beyond_a_tbi(spark, tmp_path):
+    far = [line("chr1", p) for p in (7, 600_000_000, 7_000_000_000)]
+    indexed_vcf.write_windows(spark.createDataFrame([(t,) for t in far], "value string").coalesce(1), str(tmp_path / "far"))
+    assert any(f.endswith(".csi") for f in os.listdir(tmp_path / "far"))
+    found = indexed_vcf.read_windows(spark, str(tmp_path / "far"), "chr1", 599_999_999, 7_000_000_000)
+    assert sorted(r["pos"] for r in found.collect()) == [600_000_000, 7_000_000_000]
