@@ -152,3 +152,42 @@ def test_components_explain_all(spark):
     g = np.array([r[1] for r in rows], float)
     z = (g - g.mean(1, keepdims=True)) / g.std(1, ddof=1, keepdims=True)
     assert np.allclose(scores @ scores.T, z.T @ z, atol=1e-8)
+
+
+def _plain_split(x, y, features, leaf):
+    """A cut at a time, as trees are defined."""
+    best, total, n = None, y.sum(), len(y)
+    for f in features:
+        order = np.argsort(x[:, f], kind="stable")
+        values, sums = x[order, f], np.cumsum(y[order])
+        for k in range(max(leaf, 1), n - max(leaf, 1) + 1):
+            if k < n and values[k] > values[k - 1]:
+                gain = sums[k - 1] ** 2 / k + (total - sums[k - 1]) ** 2 / (n - k) - total * total / n
+                if gain > 1e-12 and (best is None or gain > best[0]):
+                    best = (float(gain), int(f), float((values[k - 1] + values[k]) / 2))
+    return best
+
+
+@pytest.mark.parametrize("n", [2, 5, 24, 25, 90])
+def test_cuts_of_bytes_and_doubles_are_the_same(n):
+    rng = np.random.default_rng(n)
+    for _ in range(40):
+        x, y, leaf = rng.binomial(2, rng.uniform(0, 0.6, 12), (n, 12)), rng.normal(size=n), int(rng.integers(1, 4))
+        want = _plain_split(x, y, range(12), leaf)
+        xt, rows, every = np.ascontiguousarray(x.T, np.int8), np.arange(n), np.arange(12)
+        assert ml._best_split(x, y, every, leaf) == want
+        assert ml._best_cut(xt, rows, y, every, leaf, y.sum()) == want
+        if n <= ml.FEW:
+            assert ml._best_of_few(xt, rows, y, every, leaf, y.sum()) == want
+
+
+def test_a_forest_holds_dosages_as_bytes():
+    """No copy of all features as doubles, for the fit or for a node of it."""
+    import tracemalloc
+
+    x = np.random.default_rng(1).binomial(2, 0.3, (50, 40_000)).astype(np.int8)
+    tracemalloc.start()
+    ml.random_forest(x, np.arange(50.0), 2)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 4 * x.nbytes
