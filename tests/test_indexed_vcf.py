@@ -203,7 +203,7 @@ def test_places_beyond_a_tbi(shift):
 
 
 def test_written_parts_beyond_a_tbi(spark, tmp_path):
-    far = [line("chr1", p) for p in (7, 600_000_000, 7_000_000_000)]
+    far = [line("chr1", p) for p in (0, 7, 600_000_000, 7_000_000_000)]
     indexed_vcf.write_windows(spark.createDataFrame([(t,) for t in far], "value string").coalesce(1), str(tmp_path / "far"))
     assert any(f.endswith(".csi") for f in os.listdir(tmp_path / "far"))
     found = indexed_vcf.read_windows(spark, str(tmp_path / "far"), "chr1", 599_999_999, 7_000_000_000)
