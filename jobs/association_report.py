@@ -19,15 +19,23 @@ from pyspark.sql import functions as F
 from jobs.common import LOG, main, read_table
 from phenoloom.functions import columns as C
 from phenoloom.operators import joins, qc, testing
-from phenoloom.sources.stored import discard, stored
+from phenoloom.sources.stored import discard
+
+#: Types of ids whose text is clean as it is.
+WHOLE = ("tinyint", "smallint", "int", "bigint")
 
 
 def cleaned(results: DataFrame, names: dict, tiny: float) -> DataFrame:
     """(block, marker, p): numeric p in [tiny, 1], the first row of each marker of a block; rows without a p or marker go."""
-    typed = results.select(C.clean_id(F.expr(names["block"])).alias("block"), C.clean_id(F.expr(names["marker"])).alias("marker"), C.number_or_null(F.expr(names["p"])).alias("p"), *[F.expr(c).alias(f"__o{i}") for i, c in enumerate(names["order"])])
+    named = results.select(*[F.expr(names[c]).alias(c) for c in ("block", "marker", "p")], *[F.expr(c).alias(f"__o{i}") for i, c in enumerate(names["order"])])
+    # What is a number already need not be read as text, and whole numbers are sorted faster than texts.
+    kinds = dict(named.dtypes)
+    ids = [F.col(c) if kinds[c] in WHOLE else C.clean_id(c).alias(c) for c in ("block", "marker")]
+    p = F.col("p").cast("double") if kinds["p"] in (*WHOLE, "double") else C.number_or_null("p")
+    typed = named.select(*ids, p.alias("p"), *[f"__o{i}" for i in range(len(names["order"]))])
     valid = typed.where(C.is_finite("p") & F.col("marker").isNotNull())
     first = qc.keep_first(valid, ["block", "marker"], [F.asc(f"__o{i}") for i in range(len(names["order"]))])
-    return first.select("block", "marker", C.clip("p", tiny, 1.0).alias("p"))
+    return first.select(F.col("block").cast("string").alias("block"), F.col("marker").cast("string").alias("marker"), C.clip("p", tiny, 1.0).alias("p"))
 
 
 def located(spark: SparkSession, tables: str, names: dict, key: str) -> DataFrame:
@@ -41,9 +49,9 @@ def run(spark: SparkSession, tables: str, out: str, config: dict) -> DataFrame:
     markers = located(spark, tables, config["map"], "marker")
     loci = located(spark, tables, config["loci"], "locus").withColumnRenamed("pos", "locus_pos")
     # The correction reads its input several times.
-    rows = stored(joins.require_matched(cleaned(results, config["results"], config["tiny"]), markers, "marker", "markers").join(markers, "marker"), "block-results")
+    rows = joins.join_matched(cleaned(results, config["results"], config["tiny"]), markers, "marker", "markers")
     alpha = config["alpha"]
-    corrected = testing.bonferroni(testing.benjamini_hochberg(rows)).withColumn("significant", F.col("q") < alpha)
+    corrected = testing.corrected(rows).withColumn("significant", F.col("q") < alpha)
     order = [F.asc("chr"), F.asc("pos"), F.asc("block")]
     corrected.select("block", "marker", "chr", "pos", "p", "q", "bonferroni", "significant").repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("chr").parquet(f"{out}/associations")
     found = spark.read.parquet(f"{out}/associations")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from jobs import association_report, queries, text_association
 from jobs.common import exists, read_config
-from phenoloom.operators import presence
+from phenoloom.operators import joins, presence
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -158,3 +158,26 @@ def test_helpers(spark, tmp_path):
     path = tmp_path / "own.json"
     path.write_text(json.dumps({"a": 1}))
     assert read_config(str(path)) == {"a": 1}
+
+
+def test_report_reads_results_once(spark, small, tmp_path, monkeypatch):
+    """Cleaned rows go into one stored table; ids that are whole numbers are not read as text."""
+    made, cleaned = [], association_report.cleaned
+    monkeypatch.setattr(association_report, "cleaned", lambda *a: made.append(cleaned(*a)) or made[-1])
+    read = spark.sparkContext.accumulator(0)
+    config = read_config("association_report")
+    seen = F.udf(lambda p: read.add(1) or p, "double")
+    spark.udf.register("seen", seen.asNondeterministic())
+    config["results"] = config["results"] | {"p": f"seen({config['results']['p']})"}
+    association_report.run(spark, small, str(tmp_path), config)
+    assert read.value == spark.read.parquet(f"{small}/lineitem.parquet").count()
+    plain = cleaned(spark.read.parquet(f"{small}/lineitem.parquet"), read_config("association_report")["results"], 1e-300)
+    assert "regexp_replace" not in plain._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_result_without_marker_is_an_error(spark, tmp_path):
+    known = spark.createDataFrame([("a", 1)], "marker string, chr int")
+    left = spark.createDataFrame([("a", 0.5), ("b", 0.1)], "marker string, p double")
+    with pytest.raises(ValueError, match="markers without a match: b"):
+        joins.join_matched(left, known, "marker", "markers")
+    assert joins.join_matched(left.where("p > 0.2"), known, "marker").select("marker", "p", "chr").collect() == [("a", 0.5, 1)]

@@ -191,3 +191,21 @@ def test_a_forest_holds_dosages_as_bytes():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < 4 * x.nbytes
+
+
+def test_ranks_count_values_once(spark):
+    """The table is read once, however often its counts are; bins are the bounds below a value."""
+    read = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda x: read.add(1) or x, "double").asNondeterministic()
+    df = spark.range(1000).select(seen(F.col("id").cast("double") % 37).alias("v"))
+    found = testing.counts_before(df, "v", bins=8).orderBy("v").collect()
+    assert read.value == 1000
+    assert [r["v"] for r in found] == [float(k) for k in range(37)] and found[-1]["before"] + found[-1]["n"] == 1000 == found[0]["total"]
+    assert [r["bin"] for r in found] == sorted(r["bin"] for r in found) and found[-1]["bin"] > 4
+
+
+def test_corrected_is_both_corrections(spark):
+    df = spark.createDataFrame([(k, (k * k % 101) / 101 if k % 7 else None) for k in range(200)], "k int, p double")
+    both = testing.bonferroni(testing.benjamini_hochberg(df))
+    found = testing.corrected(df)
+    assert found.columns == both.columns and sorted(map(repr, found.collect())) == sorted(map(repr, both.collect()))
