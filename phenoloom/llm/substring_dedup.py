@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +48,8 @@ ROOTS = 4
 GAP = 12
 PERCENT = 75
 BROADCAST_IDS = 400_000
+#: Texts are cut down to those that a round asks for when its pairs are so many times fewer than those they were read for.
+FEWER = 8
 #: Followers of a document that are compared with it in a row.
 FOLLOWERS = 256
 #: Odd, so it has an inverse modulo 2^64.
@@ -54,45 +57,79 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
-def compact_windows(values: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """(left, root, right) of every window of at least `least` places, by the Cartesian tree of minima."""
-    out, todo = [], [(0, len(values))] if len(values) >= least else []
-    while todo:
-        left, end = todo.pop()
-        root = left + int(values[left:end].argmin())
-        out.append((left, root, end - 1))
-        if root - left >= least:
-            todo.append((left, root))
-        if end - root > least:
-            todo.append((root + 1, end))
-    return out
+def lesser_before(values: np.ndarray, strict: bool) -> np.ndarray:
+    """For each place the last one before it that has no greater value (a lesser one, if strict), or -1: places that are not
+    there yet go on to where the place they stand at has come."""
+    before = np.arange(-1, len(values) - 1)
+    going = np.arange(1, len(values))
+    while len(going):
+        at = before[going]
+        ahead = values[at] >= values[going] if strict else values[at] > values[going]
+        going = going[ahead & (at >= 0)]
+        before[going] = before[before[going]]
+    return before
+
+
+def compact_windows(values: np.ndarray, least: int) -> np.ndarray:
+    """(left, root, right) of every window of at least `least` places, by the Cartesian tree of minima.
+
+    The root of such a window is the least value of some run of `least` places, and so are the smaller values that bound the
+    window. Hence only these, about 2n/least, are looked at.
+    """
+    if len(values) < least:
+        return np.empty((0, 3), np.int64)
+    runs = lowest(values, least)
+    edge = np.full(least - 1, runs.min(), runs.dtype)
+    roots = np.flatnonzero(lowest(np.r_[edge, runs, edge], least, np.maximum) == values)
+    held = values[roots]
+    before = lesser_before(held, False)
+    after = len(roots) - 1 - lesser_before(held[::-1], True)[::-1]
+    found = np.column_stack([np.r_[roots, -1][before] + 1, roots, np.r_[roots, len(values)][after] - 1])
+    return found[found[:, 2] - found[:, 0] >= least - 1]
+
+
+def windows_of_texts(shingles: np.ndarray, sizes: np.ndarray, least: int, hashes: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys (three low bits: the hash function), texts, lefts and rights of all windows of texts, whose shingles stand one
+    after the other, `sizes` of each."""
+    long = np.flatnonzero(sizes >= least)
+    if not len(long):
+        return np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(3))
+    shingles = shingles[np.repeat(sizes >= least, sizes)]
+    own = sizes[long]
+    number = np.repeat(np.arange(len(long)), own)
+    # A place of value 0 follows each text, so that no window goes on into the next one.
+    begins = np.cumsum(own + 1) - (own + 1)
+    spaced = np.arange(len(shingles)) + number
+    # Equal shingles are told apart by place, so that a text that repeats one line still splits evenly.
+    place = mix64((spaced - begins[number]).astype(np.uint64)) & np.uint64(0xFFFFF)
+    keys, texts, lefts, rights = [], [], [], []
+    for k in range(hashes):
+        v = function_values(shingles, k, seed)
+        values = np.zeros(len(shingles) + len(long), np.uint64)
+        values[spaced] = np.maximum((v & ~np.uint64(0xFFFFF)) | place, np.uint64(1))
+        found = compact_windows(values, least)
+        found = found[values[found[:, 1]] > 0]
+        text = np.searchsorted(begins, found[:, 1], side="right") - 1
+        keys.append((v[found[:, 1] - text] & ~np.uint64(7)) | np.uint64(k))
+        texts.append(long[text])
+        lefts.append(found[:, 0] - begins[text])
+        rights.append(found[:, 2] - begins[text])
+    return np.concatenate(keys), np.concatenate(texts), np.concatenate(lefts), np.concatenate(rights)
 
 
 def windows_of(shingles: np.ndarray, least: int, hashes: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys (three low bits: the hash function), lefts and rights of all windows of a document."""
-    keys, lefts, rights = [], [], []
-    if len(shingles) >= least:
-        # Equal shingles are told apart by place, so that a text that repeats one line still splits evenly.
-        place = mix64(np.arange(len(shingles), dtype=np.uint64)) & np.uint64(0xFFFFF)
-        for k in range(hashes):
-            v = function_values(shingles, k, seed)
-            found = np.array(compact_windows((v & ~np.uint64(0xFFFFF)) | place, least)).reshape(-1, 3)
-            keys.append((v[found[:, 1]] & ~np.uint64(7)) | np.uint64(k))
-            lefts.append(found[:, 0])
-            rights.append(found[:, 2])
-    if not keys:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(keys), np.concatenate(lefts), np.concatenate(rights)
+    """Keys, lefts and rights of all windows of a document."""
+    keys, _, lefts, rights = windows_of_texts(shingles, np.array([len(shingles)]), least, hashes, seed)
+    return keys, lefts, rights
 
 
 def covered(lefts: np.ndarray, rights: np.ndarray, functions: np.ndarray, n: int, needed: int) -> np.ndarray:
     """Places that windows of at least `needed` different functions cover."""
     total = np.zeros(n, np.int64)
-    for k in np.unique(functions):
-        edge = np.zeros(n + 1, np.int64)
+    ends = np.minimum(rights, n - 1) + 1
+    for k in set(functions.tolist()):
         at = functions == k
-        np.add.at(edge, lefts[at], 1)
-        np.add.at(edge, np.minimum(rights[at], n - 1) + 1, -1)
+        edge = np.bincount(lefts[at], minlength=n + 1) - np.bincount(ends[at], minlength=n + 1)
         total += np.cumsum(edge)[:n] > 0
     return total >= needed
 
@@ -214,48 +251,73 @@ def new_roots(shingles: np.ndarray, first: np.ndarray, found: list[tuple[int, in
         if k not in values:
             values[k] = np.where(first < 0, function_values(shingles, k) & ~np.uint64(7), np.uint64(0))
         there = values[k][left : right + 1]
-        there = np.unique(there[there > np.uint64(key - k)])[:ROOTS]
-        out += [(int(x) | k, left, right) for x in there]
+        out += [(x | k, left, right) for x in least_distinct(there[there > np.uint64(key - k)], ROOTS)]
     return out
 
 
+def least_distinct(values: np.ndarray, most: int) -> list[int]:
+    """The least `most` different values, in order."""
+    values = np.sort(values)
+    some = sorted(set(values[: 4 * most].tolist()))
+    return some[:most] if len(some) >= most or len(values) <= 4 * most else np.unique(values)[:most].tolist()
+
+
+def shingles_of(words: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of texts whose words stand one after the other from `begins` on, and how many each text has: none of a text
+    with fewer words than a shingle."""
+    sizes = np.diff(begins)
+    taken = sizes >= WIDTH
+    if not taken.any():
+        return np.empty(0, np.uint64), np.zeros(len(sizes), np.int64)
+    words, own = words[np.repeat(taken, sizes)], sizes[taken]
+    # The last words of a text begin no shingle of it.
+    left = np.repeat(np.cumsum(own), own) - np.arange(len(words))
+    shingles = shingle_hashes(words, WIDTH)
+    return shingles[left[: len(shingles)] >= WIDTH], np.where(taken, sizes - WIDTH + 1, 0)
+
+
 def window_rows(df: DataFrame, text: str, doc_id: str, least: int, hashes: int) -> DataFrame:
     source = df.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("__text")).where("node is not null and __text is not null")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1024, 4 << 20, "__text"):
-            nodes, found = batch.column(0).to_numpy(), []
+            nodes = batch.column(0).to_numpy()
             hashed, at = word_hashes(batch.column(1))
-            for start, end in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                found.append(windows_of(shingle_hashes(hashed[start:end], WIDTH), least - WIDTH + 1, hashes) if end - start >= least else windows_of(np.empty(0, np.uint64), 1, hashes))
-            sizes = [len(k) for k, _, _ in found]
-            keys, lefts, rights = (np.concatenate(x) for x in zip(*found, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.repeat(nodes, sizes)), pa.array(lefts.astype(np.int32)), pa.array(rights.astype(np.int32))], ["key", "node", "l", "r"])
+            keys, texts, lefts, rights = windows_of_texts(*shingles_of(hashed, at), least - WIDTH + 1, hashes)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(nodes[texts]), pa.array(lefts.astype(np.int32)), pa.array(rights.astype(np.int32))], ["key", "node", "l", "r"])
 
     return source.mapInArrow(work, "key bigint, node bigint, l int, r int")
 
 
-def _texts(df: DataFrame, ids: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """(id, text) of the documents in ids: looked up by broadcast while these are few, by a join beyond."""
-    few = ids.count() <= BROADCAST_IDS
-    return df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where("text is not null").join(F.broadcast(ids) if few else ids, "id", "left_semi")
+def followers(pairs: DataFrame) -> tuple[int, int]:
+    """Pairs, and the most that one owner has."""
+    n, most = pairs.groupBy("owner").agg(F.count("*").alias("n")).agg(F.sum("n"), F.max("n")).first()
+    return n or 0, most or 0
+
+
+def texts_of(pairs: DataFrame, n: int, texts: DataFrame) -> DataFrame:
+    """The rows of texts (id, text) that n pairs name: looked up by broadcast while these are few, by a join beyond."""
+    ids = pairs.select(F.col("node").alias("id")).union(pairs.select("owner")).distinct()
+    return materialise(texts.join(F.broadcast(ids) if 2 * n <= BROADCAST_IDS else ids, "id", "left_semi"), "texts")
 
 
 FOUND = ["node", "digest", "owner", "owner_digest", "start", "end", "owner_start", "owner_end", "exact"]
 CONFIRMED = "node bigint, digest bigint, owner bigint, owner_digest bigint, start int, end int, owner_start int, owner_end int, exact array<struct<start:int,end:int>>, key bigint, l int, r int"
 
 
-def confirm(pairs: DataFrame, df: DataFrame, text: str, doc_id: str, least: int, needed: int, again: bool) -> DataFrame:
-    """Passages in words, for pairs (node, owner, windows); `exact` are the spans that the owner holds word by word.
+def confirm(pairs: DataFrame, most: int, texts: DataFrame, least: int, needed: int, again: bool) -> DataFrame:
+    """Passages in words, for pairs (node, owner, windows), at most `most` for an owner; `exact` are the spans that the owner
+    holds word by word. `texts` (id, text) has the pairs' texts among others.
 
     With `again`, also rows of key, node, l and r: the new roots of windows that the pair's passages do not explain.
     """
-    ids = pairs.select(F.col("node").alias("id")).union(pairs.select("owner")).distinct()
-    ids = materialise(ids, "ids")
-    texts = materialise(_texts(df, ids, text, doc_id), "texts")
     # A document's followers are dealt to blocks, and its text comes once to each, before them.
-    blocks = materialise(pairs.groupBy("owner").agg(F.ceil(F.count("*") / FOLLOWERS).cast("int").alias("blocks")), "blocks")
-    dealt = pairs.join(blocks, "owner").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("blocks")
+    if most > FOLLOWERS:
+        blocks = materialise(pairs.groupBy("owner").agg(F.ceil(F.count("*") / FOLLOWERS).cast("int").alias("blocks")), "blocks")
+        dealt = pairs.join(blocks, "owner").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("blocks")
+    else:
+        blocks = pairs.select("owner").distinct().withColumn("blocks", F.lit(1))
+        dealt = pairs.withColumn("block", F.lit(0))
     later = dealt.join(texts.select(F.col("id").alias("node"), "text"), "node").select("owner", "block", "node", "text", "windows", F.xxhash64("text").alias("digest"))
     later = only_windows(later).withColumn("kind", F.lit(1))
     none = F.lit(None).cast(pairs.schema["windows"].dataType)
@@ -279,19 +341,17 @@ def confirm(pairs: DataFrame, df: DataFrame, text: str, doc_id: str, least: int,
                 rows: list[tuple] = []
                 left_over: list[tuple] = []
                 owners, kinds_, nodes, digests, bases = (batch.column(c).to_pylist() for c in (0, 2, 3, 6, 7))
-                hashed, places = word_hashes(batch.column(4))
-                for k in range(batch.num_rows):
-                    words = hashed[places[k] : places[k + 1]]
-                    a = shingle_hashes(words, WIDTH)
+                shingles, sizes = shingles_of(*word_hashes(batch.column(4)))
+                parts = np.split(shingles, np.cumsum(sizes)[:-1])
+                for k, (a, (keys, lefts, rights)) in enumerate(zip(parts, windows_by_row(batch.column(5)), strict=True)):
                     if kinds_[k] == 0:
                         if at != owners[k]:
                             at, firsts = owners[k], []
                         if digests[k] not in [d for d, _ in firsts]:
                             firsts.append((digests[k], Owner(a)))
                         continue
-                    if len(words) < least:
+                    if len(a) < size:
                         continue
-                    keys, lefts, rights = (np.asarray(c) for c in batch.column(5)[k].values.flatten())
                     base = bases[k]
                     lefts, rights = lefts - base, rights - base
                     inside = lefts < len(a)  # windows of another text with the same id
@@ -313,10 +373,18 @@ def confirm(pairs: DataFrame, df: DataFrame, text: str, doc_id: str, least: int,
 
     # Written at once, so that the texts can go.
     out = materialise(both.mapInArrow(work, CONFIRMED), "confirmed")
-    discard(texts, ids, blocks)
+    discard(blocks)
     return out
 
 
+def windows_by_row(lists: pa.ListArray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(keys, lefts, rights) of each row's windows; none where a row has no list."""
+    columns = [np.asarray(c) for c in lists.flatten().flatten()]
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(lists), 0))).tolist()
+    for start, end in zip([0, *ends], ends):
+        yield tuple(c[start:end] for c in columns)
+
+
 def only_windows(rows: DataFrame) -> DataFrame:
     """rows, each text cut to the stretch of words from its first window to its last, and `base`, the place where that begins.
 
@@ -330,9 +398,8 @@ def only_windows(rows: DataFrame) -> DataFrame:
         at, spans = names.index("text"), names.index("windows")
         for batch in slices(batches, 512, 4 << 20):
             texts, bases = [], []
-            for text, windows in zip(batch.column(at), batch.column(spans), strict=True):
-                words = text.as_py().encode().split()
-                _, lefts, rights = (np.asarray(c) for c in windows.values.flatten())
+            for text, (_, lefts, rights) in zip(batch.column(at).cast(pa.binary()).to_pylist(), windows_by_row(batch.column(spans)), strict=True):
+                words = text.split()
                 inside = lefts < len(words) - (WIDTH - 1)
                 base, end = (int(lefts[inside].min()), int(rights[inside].max()) + WIDTH) if inside.any() else (0, 0)
                 texts.append(b" ".join(words[base:end]).decode())
@@ -385,27 +452,43 @@ def repeated_passages(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
     windows = materialise(window_rows(own, text, doc_id, least, hashes), "windows")
     hits = materialise(with_owner(windows), "hits")
     discard(windows)
-    found = exact = None
+    source = own.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
+
+    pairs = materialise(compared(hits, needed), "pairs")
+    n, most = followers(pairs)
+    texts = texts_of(pairs, n, source)
+    met = confirm(pairs, most, texts, least, needed, True)
+    discard(texts)
+    found = met.where("key is null").select(*FOUND)
+    missed = materialise(exact_pairs(hits, found, own, text, doc_id, least, hashes), "pairs")
+    n, most = followers(missed)
+    texts = texts_of(missed, n, source)
+    exact = confirm(missed, most, texts, least, min(needed, NEEDED), False).select(*FOUND)
+    discard(texts, missed)
+    found = found.unionByName(exact)
+    left = hits.where("node <> owner").join(pairs.select("node", "owner"), ["node", "owner"], "left_anti").select("key", "node", "l", "r")
+    left = left.union(met.where("key is not null").select("key", "node", "l", "r"))
+    windows = materialise(unexplained(left.distinct(), found, least), "windows")
+    discard(hits, pairs)
+
+    # Later rounds compare whatever shares a root: each window of a round is then explained or gets greater roots. Their
+    # documents are among the round's before, so texts are read from what is left of these, and what earlier rounds
+    # explained has gone then.
+    texts, held = source, None
     while True:
-        # Later rounds compare whatever shares a root: each window of a round is then explained or gets greater roots.
-        asked = needed if found is None else 1
-        pairs = materialise(compared(hits, asked), "pairs")
-        if found is not None and not pairs.limit(1).count():
+        pairs = materialise(compared(with_owner(windows), 1), "pairs")
+        n, most = followers(pairs)
+        if not n:
             break
-        met = confirm(pairs, own, text, doc_id, least, asked, True)
+        if held is None or n <= held // FEWER:
+            before, texts, held = texts, texts_of(pairs, n, texts), n
+            discard(before)
+        met = confirm(pairs, most, texts, least, 1, True)
         here = met.where("key is null").select(*FOUND)
-        found = here if found is None else found.unionByName(here)
-        left = hits.where("node <> owner").join(pairs.select("node", "owner"), ["node", "owner"], "left_anti").select("key", "node", "l", "r")
-        left = left.union(met.where("key is not null").select("key", "node", "l", "r"))
-        if exact is None:
-            missed = materialise(exact_pairs(hits, found, own, text, doc_id, least, hashes), "pairs")
-            exact = confirm(missed, own, text, doc_id, least, min(needed, NEEDED), False).select(*FOUND)
-            found = found.unionByName(exact)
-        windows = materialise(unexplained(left.distinct(), found, least), "windows")
-        discard(hits, pairs)
-        hits = materialise(with_owner(windows), "hits")
-        discard(windows)
-    discard(hits, pairs)
+        found = found.unionByName(here)
+        discard(windows, pairs)
+        windows = unexplained(met.where("key is not null").select("key", "node", "l", "r").distinct(), here, least)
+    discard(windows, pairs, texts)
     found = found.drop("exact")
     if not few:
         return found
@@ -431,12 +514,12 @@ def runs_of_words(words: np.ndarray, width: int) -> np.ndarray:
         return mix64((sums[width:] - sums[:n]) * inverse[:n])
 
 
-def lowest(values: np.ndarray, width: int) -> np.ndarray:
-    """Least value of every run of `width` values."""
+def lowest(values: np.ndarray, width: int, lesser: np.ufunc = np.minimum) -> np.ndarray:
+    """Least value of every run of `width` values; the greatest with np.maximum."""
     have = 1
     while have < width:
         step = min(have, width - have)
-        values = np.minimum(values[:-step], values[step:])
+        values = lesser(values[:-step], values[step:])
         have += step
     return values
 
@@ -448,11 +531,14 @@ def shared_roots(shingles: np.ndarray, keys: np.ndarray, width: int, hashes: int
     """
     label = np.zeros(len(shingles) - width + 1, np.uint64)
     open_ = np.ones(len(label), bool)
+    functions = keys & np.uint64(7)
     for k in range(hashes):
         root = lowest(function_values(shingles, k) >> np.uint64(20), width)
-        first = np.flatnonzero(np.r_[True, root[1:] != root[:-1]])
-        known = np.isin(root[first], keys[(keys & np.uint64(7)) == k] >> np.uint64(20))
-        open_ &= np.repeat(known, np.diff(np.r_[first, len(root)]))
+        turns = np.concatenate([[0], np.flatnonzero(root[1:] != root[:-1]) + 1, [len(root)]])
+        own = np.sort(keys[functions == k] >> np.uint64(20))
+        at, held = np.searchsorted(own, root[turns[:-1]]), root[turns[:-1]]
+        known = own[np.minimum(at, len(own) - 1)] == held if len(own) else np.zeros(len(held), bool)
+        open_ &= np.repeat(known, np.diff(turns))
         label = mix64(label * np.uint64(BASE) + root)
     return label, open_
 
@@ -473,12 +559,14 @@ def exact_pairs(shared: DataFrame, found: DataFrame, df: DataFrame, text: str, d
         for batch in slices(batches, 1024, 4 << 20, "__text"):
             roots, nodes, places, lists, sizes = [np.empty(0, np.uint64)], [], [np.empty(0, np.int64)], [np.empty(0, np.uint64)], [np.zeros(1, np.int64)]
             hashed, begins = word_hashes(batch.column(1))
+            shingles, counts = shingles_of(hashed, begins)
+            parts = np.split(shingles, np.cumsum(counts)[:-1])
             for k, node in enumerate(batch.column(0).to_pylist()):
                 words = hashed[begins[k] : begins[k + 1]]
                 if len(words) < least:
                     continue
                 keys = np.asarray(batch.column(2)[k].values, np.int64).view(np.uint64)
-                label, open_ = shared_roots(shingle_hashes(words, WIDTH), keys, least - WIDTH + 1, hashes)
+                label, open_ = shared_roots(parts[k], keys, least - WIDTH + 1, hashes)
                 for s, e in zip(batch.column(3)[k].as_py() or (), batch.column(4)[k].as_py() or (), strict=True):
                     open_[s : e - least + 1] = False
                 at = np.flatnonzero(open_)

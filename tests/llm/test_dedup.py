@@ -359,6 +359,45 @@ def test_windows_cover_every_subsequence_once():
     assert len(S.windows_of(same, 46, 1)[0]) < 400
 
 
+def test_windows_of_many_texts_are_those_of_each():
+    """Windows end with their text, whatever stands beside it, and are those of the recursion over minima."""
+
+    def recursion(v, least):
+        out, todo = [], [(0, len(v))] if len(v) >= least else []
+        while todo:
+            left, end = todo.pop()
+            root = left + int(v[left:end].argmin())
+            out.append((left, root, end - 1))
+            todo += [(a, b) for a, b in ((left, root), (root + 1, end)) if b - a >= least]
+        return sorted(out)
+
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(0, kinds, n).astype(np.uint64) for kinds in (3, 1 << 40) for n in (0, 9, 10, 40, 300)]
+    assert all(sorted(map(tuple, S.compact_windows(v, least).tolist())) == recursion(v, least) for v in texts for least in (1, 10))
+    keys, owners, lefts, rights = S.windows_of_texts(np.concatenate(texts), np.array([len(v) for v in texts]), 10, 2)
+    for k, v in enumerate(texts):
+        own = owners == k
+        assert sorted(zip(keys[own], lefts[own], rights[own])) == sorted(zip(*S.windows_of(v, 10, 2)))
+    assert S.least_distinct(np.array([5] * 40 + [7, 9], np.uint64), 2) == [5, 7]
+
+
+def test_late_rounds_read_only_what_is_left(spark, monkeypatch):
+    """Texts of a round come from the round before, not from all documents again."""
+    read, texts_of = [], S.texts_of
+
+    def counted(pairs, n, texts):
+        read.append((n, texts.count()))
+        return texts_of(pairs, n, texts)
+
+    monkeypatch.setattr(S, "texts_of", counted)
+    monkeypatch.setattr(S, "FEWER", 1)
+    texts, _ = edited_corpus(6)
+    S.repeated_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    # All texts are read by the first round, for exact repeats and by the first of the later rounds.
+    assert [rows for _, rows in read[:3]] == [len(texts)] * 3
+    assert all(after[1] <= 2 * before[0] for before, after in zip(read[2:], read[3:])), read
+
+
 def test_passages_of_odd_rows(spark):
     rows = [(1, None), (None, "w " * 80), (2, "short"), (5, "w " * 80), (5, "w " * 80), (6, "w " * 80)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
