@@ -52,6 +52,8 @@ BROADCAST_IDS = 400_000
 FEWER = 8
 #: Followers of a document that are compared with it in a row.
 FOLLOWERS = 256
+#: Rows of windows and pairs of texts that are worth a task of their own.
+ROWS, TEXTS = 20_000, 500
 #: Odd, so it has an inverse modulo 2^64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -289,42 +291,53 @@ def window_rows(df: DataFrame, text: str, doc_id: str, least: int, hashes: int)
     return source.mapInArrow(work, "key bigint, node bigint, l int, r int")
 
 
-def followers(pairs: DataFrame) -> tuple[int, int]:
-    """Pairs, and the most that one owner has."""
-    n, most = pairs.groupBy("owner").agg(F.count("*").alias("n")).agg(F.sum("n"), F.max("n")).first()
-    return n or 0, most or 0
+def few_tasks(df: DataFrame, rows: int, each: int) -> DataFrame:
+    """df, of at most so many rows, in no more tasks than one for `each` of them, or than the cluster has cores: late rounds
+    have few rows, and whatever the number of partitions then, a task and a file for each cost more than the work."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)))
+
+
+def looked_up(df: DataFrame, rows: int) -> DataFrame:
+    """df, of at most so many rows, to be broadcast while these are few."""
+    return F.broadcast(few_tasks(df, rows, ROWS)) if rows <= BROADCAST_IDS else df
+
+
+def sizes_of(pairs: DataFrame) -> tuple[int, int]:
+    """Pairs, and the windows that they have."""
+    n, windows = pairs.agg(F.count("*"), F.sum(F.size("windows"))).first()
+    return n, windows or 0
 
 
 def texts_of(pairs: DataFrame, n: int, texts: DataFrame) -> DataFrame:
     """The rows of texts (id, text) that n pairs name: looked up by broadcast while these are few, by a join beyond."""
     ids = pairs.select(F.col("node").alias("id")).union(pairs.select("owner")).distinct()
-    return materialise(texts.join(F.broadcast(ids) if 2 * n <= BROADCAST_IDS else ids, "id", "left_semi"), "texts")
+    return materialise(texts.join(looked_up(ids, 2 * n), "id", "left_semi"), "texts")
 
 
 FOUND = ["node", "digest", "owner", "owner_digest", "start", "end", "owner_start", "owner_end", "exact"]
 CONFIRMED = "node bigint, digest bigint, owner bigint, owner_digest bigint, start int, end int, owner_start int, owner_end int, exact array<struct<start:int,end:int>>, key bigint, l int, r int"
 
 
-def confirm(pairs: DataFrame, most: int, texts: DataFrame, least: int, needed: int, again: bool) -> DataFrame:
-    """Passages in words, for pairs (node, owner, windows), at most `most` for an owner; `exact` are the spans that the owner
-    holds word by word. `texts` (id, text) has the pairs' texts among others.
+def confirm(pairs: DataFrame, sizes: tuple[int, int], texts: DataFrame, least: int, needed: int, again: bool) -> DataFrame:
+    """Passages in words, for pairs (node, owner, windows), `sizes` of them; `exact` are the spans that the owner holds word by
+    word. `texts` (id, text) has the pairs' texts among others.
 
     With `again`, also rows of key, node, l and r: the new roots of windows that the pair's passages do not explain.
     """
     # A document's followers are dealt to blocks, and its text comes once to each, before them.
-    if most > FOLLOWERS:
-        blocks = materialise(pairs.groupBy("owner").agg(F.ceil(F.count("*") / FOLLOWERS).cast("int").alias("blocks")), "blocks")
-        dealt = pairs.join(blocks, "owner").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("blocks")
-    else:
-        blocks = pairs.select("owner").distinct().withColumn("blocks", F.lit(1))
-        dealt = pairs.withColumn("block", F.lit(0))
-    later = dealt.join(texts.select(F.col("id").alias("node"), "text"), "node").select("owner", "block", "node", "text", "windows", F.xxhash64("text").alias("digest"))
+    n, windows = sizes
+    blocks = materialise(few_tasks(pairs.groupBy("owner").agg(F.ceil(F.count("*") / FOLLOWERS).cast("int").alias("blocks")), n, ROWS), "blocks")
+    several = blocks.where("blocks > 1")
+    dealt = pairs.join(looked_up(several, n // FOLLOWERS), "owner", "left") if n > FOLLOWERS else pairs.withColumn("blocks", F.lit(None).cast("int"))
+    dealt = dealt.withColumn("block", F.coalesce(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.lit(0))).drop("blocks")
+    later = texts.select(F.col("id").alias("node"), "text").join(looked_up(dealt, windows), "node").select("owner", "block", "node", "text", "windows", F.xxhash64("text").alias("digest"))
     later = only_windows(later).withColumn("kind", F.lit(1))
     none = F.lit(None).cast(pairs.schema["windows"].dataType)
-    first = texts.join(blocks, texts["id"] == blocks["owner"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    first = texts.join(looked_up(blocks, n), texts["id"] == blocks["owner"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     first = first.select("owner", "block", F.lit(0).alias("kind"), F.col("owner").alias("node"), "text", none.alias("windows"), F.xxhash64("text").alias("digest"), F.lit(0).alias("base"))
     order = ["owner", "block", "kind", "node", "text", "windows", "digest", "base"]
-    both = later.select(*order).unionByName(first.select(*order)).repartition("owner", "block").sortWithinPartitions("owner", "block", "kind")
+    both = later.select(*order).unionByName(first.select(*order)).repartition("owner", "block")
+    both = few_tasks(both, n, TEXTS).sortWithinPartitions("owner", "block", "kind")
 
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     kinds = [pa.int64()] * 4 + [pa.int32()] * 4 + [span, pa.int64(), pa.int32(), pa.int32()]
@@ -410,23 +423,26 @@ def only_windows(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(work, schema)
 
 
-def compared(hits: DataFrame, needed: int) -> DataFrame:
-    """(node, owner, windows): pairs of documents that share roots of at least `needed` functions."""
+def compared(hits: DataFrame, needed: int, n: int) -> DataFrame:
+    """(node, owner, windows): pairs of documents that share roots of at least `needed` functions, among at most n hits."""
     pairs = hits.where("node <> owner").groupBy("node", "owner").agg(F.collect_set(F.struct("key", "l", "r")).alias("windows"))
-    return pairs.where(F.size(F.array_distinct(F.transform("windows", lambda w: w["key"].bitwiseAND(7)))) >= needed)
+    return few_tasks(pairs.where(F.size(F.array_distinct(F.transform("windows", lambda w: w["key"].bitwiseAND(7)))) >= needed), n, ROWS)
 
 
-def with_owner(windows: DataFrame) -> DataFrame:
-    """Windows whose root another document has too, with the smallest such document."""
+def with_owner(windows: DataFrame, n: int) -> DataFrame:
+    """Those of n windows whose root another document has too, with the smallest such document."""
     shared = windows.groupBy("key").agg(F.min("node").alias("owner"), F.max("node").alias("last")).where("owner < last").select("key", "owner")
-    return windows.join(shared, "key")
+    return windows.join(looked_up(shared, n), "key")
 
 
-def unexplained(windows: DataFrame, found: DataFrame, least: int) -> DataFrame:
-    """Windows (key, node, l, r) without a passage of their document with `least` words in them."""
-    spans = found.groupBy("node").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    inside = F.exists("spans", lambda s: F.least(s["end"] - (WIDTH - 1), F.col("r") + 1) - F.greatest(s["start"], F.col("l")) >= least - WIDTH + 1)
-    return windows.join(spans, "node", "left").where(~F.coalesce(inside, F.lit(False))).select("key", "node", "l", "r")
+def unexplained(rows: DataFrame, least: int) -> DataFrame:
+    """Windows (key, node, l, r) among rows, each once, without a passage (key is null; start, end) of their document in rows
+    that has `least` words in them."""
+    spans = F.collect_set(F.when(F.col("key").isNull(), F.struct("start", "end")))
+    left = F.collect_set(F.when(F.col("key").isNotNull(), F.struct("key", "l", "r")))
+    held = rows.groupBy("node").agg(spans.alias("spans"), left.alias("left")).where(F.size("left") > 0)
+    open_ = lambda w: ~F.exists("spans", lambda s: F.least(s["end"] - (WIDTH - 1), w["r"] + 1) - F.greatest(s["start"], w["l"]) >= least - WIDTH + 1)
+    return held.select("node", F.explode(F.filter("left", open_)).alias("w")).select("w.key", "node", "w.l", "w.r")
 
 
 def copies_of(df: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -434,8 +450,10 @@ def copies_of(df: DataFrame, text: str, doc_id: str) -> DataFrame:
     rows = df.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("__text")).where("node is not null and __text is not null")
     rows = materialise(rows.select("node", F.xxhash64("__text").alias("digest"), F.xxhash64(F.lit(1), "__text").alias("second")), "digests")
     owners = rows.groupBy("digest", "second").agg(F.min("node").alias("owner"), F.max("node").alias("last")).where("owner < last").select("digest", "second", "owner")
-    owners = materialise(owners, "first-copies")  # so that the engine may split a text with very many copies
-    copies = materialise(rows.join(owners, ["digest", "second"]).where("owner < node").select("node", "digest", "owner").distinct(), "copies")
+    n = rows.count()
+    owners = materialise(few_tasks(owners, n, ROWS), "first-copies")  # so that the engine may split a text with very many copies
+    held = rows.join(looked_up(owners, n), ["digest", "second"]).where("owner < node").select("node", "digest", "owner")
+    copies = materialise(few_tasks(held.distinct(), n, ROWS), "copies")
     discard(rows, owners)
     return copies
 
@@ -450,25 +468,28 @@ def repeated_passages(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
     own = df.select(text, doc_id).join(gone, same, "left_anti") if few else df
 
     windows = materialise(window_rows(own, text, doc_id, least, hashes), "windows")
-    hits = materialise(with_owner(windows), "hits")
+    hits = materialise(with_owner(windows, windows.count()), "hits")
     discard(windows)
     source = own.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
 
-    pairs = materialise(compared(hits, needed), "pairs")
-    n, most = followers(pairs)
-    texts = texts_of(pairs, n, source)
-    met = confirm(pairs, most, texts, least, needed, True)
+    hit = hits.count()
+    pairs = materialise(compared(hits, needed, hit), "pairs")
+    first = sizes_of(pairs)
+    texts = texts_of(pairs, first[0], source)
+    met = confirm(pairs, first, texts, least, needed, True)
     discard(texts)
     found = met.where("key is null").select(*FOUND)
-    missed = materialise(exact_pairs(hits, found, own, text, doc_id, least, hashes), "pairs")
-    n, most = followers(missed)
-    texts = texts_of(missed, n, source)
-    exact = confirm(missed, most, texts, least, min(needed, NEEDED), False).select(*FOUND)
+    missed = exact_pairs(hits, hit, found, own, text, doc_id, least, hashes)
+    sizes = sizes_of(missed)
+    texts = texts_of(missed, sizes[0], source)
+    exact = confirm(missed, sizes, texts, least, min(needed, NEEDED), False)
     discard(texts, missed)
-    found = found.unionByName(exact)
-    left = hits.where("node <> owner").join(pairs.select("node", "owner"), ["node", "owner"], "left_anti").select("key", "node", "l", "r")
-    left = left.union(met.where("key is not null").select("key", "node", "l", "r"))
-    windows = materialise(unexplained(left.distinct(), found, least), "windows")
+    found = found.unionByName(exact.select(*FOUND))
+    known = pairs.select("node", "owner")
+    left = hits.where("node <> owner").join(looked_up(known, first[0]), ["node", "owner"], "left_anti")
+    names = ["node", "key", "l", "r", "start", "end"]
+    rows = left.select("node", "key", "l", "r").unionByName(met.select(*names), True).unionByName(exact.select(*names))
+    windows = materialise(few_tasks(unexplained(rows, least), hit + met.count(), ROWS), "windows")
     discard(hits, pairs)
 
     # Later rounds compare whatever shares a root: each window of a round is then explained or gets greater roots. Their
@@ -476,18 +497,19 @@ def repeated_passages(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
     # explained has gone then.
     texts, held = source, None
     while True:
-        pairs = materialise(compared(with_owner(windows), 1), "pairs")
-        n, most = followers(pairs)
+        here = windows.count()
+        pairs = materialise(compared(with_owner(windows, here), 1, here), "pairs")
+        sizes = sizes_of(pairs)
+        n = sizes[0]
         if not n:
             break
         if held is None or n <= held // FEWER:
             before, texts, held = texts, texts_of(pairs, n, texts), n
             discard(before)
-        met = confirm(pairs, most, texts, least, 1, True)
-        here = met.where("key is null").select(*FOUND)
-        found = found.unionByName(here)
+        met = confirm(pairs, sizes, texts, least, 1, True)
+        found = found.unionByName(met.where("key is null").select(*FOUND))
         discard(windows, pairs)
-        windows = unexplained(met.where("key is not null").select("key", "node", "l", "r").distinct(), here, least)
+        windows = materialise(few_tasks(unexplained(met, least), met.count(), ROWS), "windows")
     discard(windows, pairs, texts)
     found = found.drop("exact")
     if not few:
@@ -543,17 +565,20 @@ def shared_roots(shingles: np.ndarray, keys: np.ndarray, width: int, hashes: int
     return label, open_
 
 
-def exact_pairs(shared: DataFrame, found: DataFrame, df: DataFrame, text: str, doc_id: str, least: int, hashes: int) -> DataFrame:
+def exact_pairs(shared: DataFrame, n: int, found: DataFrame, df: DataFrame, text: str, doc_id: str, least: int, hashes: int) -> DataFrame:
     """Pairs (node, owner, windows) for runs of `least` words and their smallest holder, but for runs in `exact` spans of `found`.
 
-    `shared` has all windows whose root another document has too. Equal runs have equal roots for every hash function, so
+    `shared` has all n windows whose root another document has too. Equal runs have equal roots for every hash function, so
     only runs whose own roots are all shared are looked at. Neighbouring runs with the same roots are one row, and rows whose
     roots no second document has open are left before their runs are compared.
     """
     parts = shared.groupBy("node").agg(F.collect_set("key").alias("keys")).where(F.size(F.array_distinct(F.transform("keys", lambda x: x.bitwiseAND(7)))) >= hashes)
-    texts = df.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("__text")).where("node is not null and __text is not null").join(parts, "node")
-    known_spans = found.groupBy("node", F.col("digest").alias("__digest")).agg(F.flatten(F.collect_set("exact")).alias("known"))
-    texts = texts.withColumn("__digest", F.xxhash64("__text")).join(known_spans, ["node", "__digest"], "left").select("node", "__text", "keys", F.col("known.start").alias("starts"), F.col("known.end").alias("ends"))
+    # What is known comes to the keys first, so that texts are dealt once; digests tell texts with the same id apart.
+    spans = found.where(F.size("exact") > 0).groupBy("node").agg(F.collect_set(F.struct("digest", "exact")).alias("known"))
+    parts = parts.join(spans, "node", "left")
+    texts = df.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("__text")).where("node is not null and __text is not null").join(looked_up(parts, n), "node")
+    known = F.flatten(F.transform(F.filter("known", lambda x: x["digest"] == F.xxhash64("__text")), lambda x: x["exact"]))
+    texts = texts.select("node", "__text", "keys", known.alias("known")).select("node", "__text", "keys", F.col("known.start").alias("starts"), F.col("known.end").alias("ends"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1024, 4 << 20, "__text"):
@@ -584,14 +609,17 @@ def exact_pairs(shared: DataFrame, found: DataFrame, df: DataFrame, text: str, d
 
     rows = materialise(texts.mapInArrow(work, "roots bigint, node bigint, at int, runs array<bigint>"), "runs")
     several = rows.groupBy("roots").agg(F.min("node").alias("one"), F.max("node").alias("other")).where("one < other").select("roots")
-    open_runs = materialise(rows.join(several, "roots").drop("roots"), "open-runs")
+    n = rows.count()
+    open_runs = materialise(rows.join(looked_up(several, n), "roots").drop("roots"), "open-runs")
     discard(rows)
+    n = open_runs.agg(F.sum(F.size("runs"))).first()[0] or 0
     rows = open_runs.select("node", "at", F.posexplode("runs").alias("step", "run")).select("run", "node", (F.col("at") + F.col("step")).alias("at"))
     holders = rows.groupBy("run").agg(F.min("node").alias("owner"), F.max("node").alias("last")).where("owner < last").select("run", "owner")
-    links = rows.join(holders, "run").where("node <> owner")
+    links = rows.join(looked_up(holders, n), "run").where("node <> owner")
     rest = links.groupBy("node", "owner").agg(F.min("at").alias("l"), (F.max("at") + least - WIDTH).alias("r"))
     window = lambda k: F.struct(F.lit(k).cast("long").alias("key"), "l", "r")
-    rest = materialise(rest.select("node", "owner", F.array(*[window(k) for k in range(NEEDED)]).alias("windows")), "missed")
+    rest = rest.select("node", "owner", F.array(*[window(k) for k in range(NEEDED)]).alias("windows"))
+    rest = materialise(few_tasks(rest, n, ROWS), "missed")
     discard(open_runs)
     return rest
 
@@ -618,8 +646,8 @@ def spans_by_document(found: DataFrame) -> DataFrame:
     return lists.select("id", "digest", merged("repeats").alias("repeats"), merged("shared").alias("shared"), F.array_sort("firsts").alias("firsts"))
 
 
-def partners(found: DataFrame, least: int = LEAST) -> DataFrame:
-    """(node, n_links): how many other documents hold a passage that the node holds, each counted once.
+def partners(found: DataFrame, n: int, least: int = LEAST) -> DataFrame:
+    """(node, n_links): how many other documents hold a passage that the node holds, each counted once; found has n rows.
 
     Stretches of a first document that have `least` words in common are one passage. Documents with the same passages are
     one class. A class's links are the holders of its passages added up, less what is added twice: classes that share two
@@ -627,20 +655,22 @@ def partners(found: DataFrame, least: int = LEAST) -> DataFrame:
     one that is not the last of either. So a passage that very many classes hold brings them together only if a second one does.
     """
     of_owner = found.groupBy("owner").agg(F.collect_set(F.struct(F.col("owner_start").alias("start"), F.col("owner_end").alias("end"))).alias("spans")).select("owner", merged("spans", least).alias("held"))
-    of_owner = materialise(of_owner, "held")
+    of_owner = materialise(few_tasks(of_owner, n, ROWS), "held")
     around = F.filter("held", lambda p: (p["start"] <= F.col("owner_start")) & (F.col("owner_end") <= p["end"]))
-    later = found.join(of_owner, "owner").select("node", "owner", around[0]["start"].alias("at"))
+    later = found.join(looked_up(of_owner, n), "owner").select("node", "owner", around[0]["start"].alias("at"))
     first = of_owner.select(F.col("owner").alias("node"), "owner", F.explode("held").alias("p")).select("node", "owner", F.col("p.start").alias("at"))
     members = later.union(first).groupBy("node").agg(F.array_sort(F.collect_set(F.struct("owner", "at"))).alias("passages"))
-    members = materialise(members, "members")
-    classes = materialise(members.groupBy("passages").agg(F.count("*").alias("n"), F.min("node").alias("class")), "classes")
+    # Each row of found adds one document to one passage at most, and each passage has an owner.
+    n = 2 * n
+    members = materialise(few_tasks(members, n, ROWS), "members")
+    classes = materialise(few_tasks(members.groupBy("passages").agg(F.count("*").alias("n"), F.min("node").alias("class")), n, ROWS), "classes")
     parts = classes.select("class", "n", F.explode("passages").alias("p"))
-    holders = materialise(parts.groupBy("p").agg(F.sum("n").alias("holders"), F.count_if(F.lit(True)).alias("classes")), "holders")
-    held = materialise(parts.join(holders, "p"), "held-by-class")
+    holders = materialise(few_tasks(parts.groupBy("p").agg(F.sum("n").alias("holders"), F.count_if(F.lit(True)).alias("classes")), n, ROWS), "holders")
+    held = materialise(parts.join(looked_up(holders, n), "p"), "held-by-class")
     sums = held.groupBy("class").agg(F.sum("holders").alias("holders"))
     # Only passages of several classes can be shared, and one alone is never added twice.
     several = held.where("classes > 1").groupBy("class", "n").agg(F.array_sort(F.collect_list(F.struct("classes", "p"))).alias("ps")).where(F.size("ps") > 1)
-    several = materialise(several.select("class", "n", F.transform("ps", lambda x: x["p"]).alias("ps")), "several")
+    several = materialise(few_tasks(several.select("class", "n", F.transform("ps", lambda x: x["p"]).alias("ps")), n, ROWS), "several")
     keys = several.select("class", "n", "ps", F.explode(F.slice("ps", 1, F.size("ps") - 1)).alias("p"))
     met = keys.join(keys.select("p", F.col("class").alias("other"), F.col("n").alias("m"), F.col("ps").alias("qs")), "p").where("class <> other")
     common = F.size(F.array_intersect("ps", "qs"))
@@ -666,9 +696,10 @@ def report(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     """One row per row of df: doc_id, component_id (smallest id reachable by shared passages, itself included), n_links
     (other documents that hold one of its passages), n_words, n_shared, n_repeated (words), first_ids, shared and repeated spans in words."""
     found = repeated_passages(df, text, doc_id)
+    n = found.count()
     spans = spans_by_document(found)
-    links = materialise(found.select(F.col("node").alias("a"), F.col("owner").alias("b")).distinct(), "passage-links")
-    classes = components(links).withColumnRenamed("component", "component_id").join(partners(found), "node").withColumnRenamed("node", "doc_id")
+    links = materialise(few_tasks(found.select(F.col("node").alias("a"), F.col("owner").alias("b")).distinct(), n, ROWS), "passage-links")
+    classes = components(links).withColumnRenamed("component", "component_id").join(partners(found, n), "node").withColumnRenamed("node", "doc_id")
     base = materialise(word_counts(df, text, doc_id), "word-counts")
     joined = base.join(spans.withColumnRenamed("id", "doc_id"), ["doc_id", "digest"], "left").join(classes, "doc_id", "left")
     none = lambda c: F.coalesce(F.col(c), F.array().cast("array<struct<start:int,end:int>>"))

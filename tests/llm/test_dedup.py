@@ -398,6 +398,32 @@ def test_late_rounds_read_only_what_is_left(spark, monkeypatch):
     assert all(after[1] <= 2 * before[0] for before, after in zip(read[2:], read[3:])), read
 
 
+def test_late_rounds_have_few_tasks(spark, monkeypatch):
+    """Tables of a round's few rows stand in as many files as the cluster has cores, not as the session has partitions; and
+    joins instead of look-ups give the same rows."""
+    files, materialise = {}, S.materialise
+
+    def counted(df, name):
+        table = materialise(df, name)
+        files[name] = max(files.get(name, 0), len(table.inputFiles()))
+        return table
+
+    monkeypatch.setattr(S, "materialise", counted)
+    texts, _ = edited_corpus(2)
+    corpus = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(2)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "24")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        few = {tuple(r) for r in S.repeated_passages(corpus).collect()}
+        assert all(files[name] <= spark.sparkContext.defaultParallelism for name in ("pairs", "blocks", "confirmed", "windows")), files
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    monkeypatch.setattr(S, "BROADCAST_IDS", 0)
+    assert few and few == {tuple(r) for r in S.repeated_passages(corpus).collect()}
+
+
 def test_passages_of_odd_rows(spark):
     rows = [(1, None), (None, "w " * 80), (2, "short"), (5, "w " * 80), (5, "w " * 80), (6, "w " * 80)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
