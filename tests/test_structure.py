@@ -201,3 +201,24 @@ def test_subindex_is_of_the_matrix_of_all_vectors(spark, small):
         got[r["row"], r["col"]] = r["k"]
     assert len(found) == len(keep) ** 2
     np.testing.assert_allclose(got, want, atol=1e-5)
+
+
+def test_products_of_all_rows_are_not_dealt_as_pairs(spark):
+    """Blocks are exchanged before they meet; pairs of them, quadratic in number, never are. Rows without a value have no cell."""
+    from phenoloom.operators import joins
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(70, 5))
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + [(70, None)], "id bigint, v array<double>")
+    ids = rows.where("id % 3 = 1").select("id", ((70 - F.col("id")) / 3).cast("bigint").alias("idx"))
+    every, some = structure.gram_long(rows, "id", "v", 16), structure.gram_long(rows, "id", "v", 16, ids)
+    for df in (every, some):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan[: plan.index("CartesianProduct")]
+    full = np.full((70, 70), np.nan)
+    for r in every.collect():
+        full[r["i"], r["j"]] = r["product"]
+    np.testing.assert_allclose(full, x @ x.T, atol=1e-12)
+    want = {(r["row"], r["col"]): r["product"] for r in joins.square_subset(every, ids.where("id < 70")).collect()}
+    got = {(r["row"], r["col"]): r["product"] for r in some.collect()}
+    assert want.keys() == got.keys() and len(got) == 23**2 and np.allclose([want[k] for k in got], list(got.values()))
