@@ -72,3 +72,60 @@ def test_folds_of_a_unit_are_one_group(spark):
     assert sent.size() == 1 and "array(RF, GB)" in found._jdf.queryExecution().analyzed().toString()
     got = found.collect()
     assert len(got) == 3 * 2 * 2 * 2 and {(r["fold"], r["model"], r["rank"]) for r in got} == {(f, m, k) for f in range(3) for m in ("RF", "GB") for k in (1, 2)}
+
+
+def test_models_of_all_markers_are_grown_over_a_table(spark):
+    """Out of fold and as a whole; files and tasks of a few markers give the same rows as one of all."""
+    rng = np.random.default_rng(11)
+    x = rng.binomial(2, 0.4, (60, 40)).astype(np.int8)
+    y, folds, pcs = 2.0 * x[:, 7] + rng.normal(size=60), ml.kfold(60, 3, 1), rng.normal(size=(60, 2))
+    markers = spark.createDataFrame([(f"m{k:02}", x[:, k].tolist()) for k in range(40)], "marker_id string, dosage array<tinyint>")
+    for own in (None, pcs):
+        rows = {}
+        for parts, size in ((1, 4000), (7, 5)):
+            ml.FILE_ROWS, kept = size, ml.FILE_ROWS
+            try:
+                rows[parts] = sorted(ml.refine_all(markers.repartition(parts), y, folds, own, (20, 3)).collect(), key=lambda r: (r["kind"], r["key"]))
+            finally:
+                ml.FILE_ROWS = kept
+        assert rows[1] == rows[7]
+        told = [r for r in rows[1] if r["kind"] == "prediction"]
+        assert sorted(int(r["key"]) for r in told) == list(range(60)) and all(folds[int(r["key"])] == r["fold"] for r in told)
+        weight = {r["key"]: (r["rf"], r["gb"]) for r in rows[1] if r["kind"] == "importance"}
+        assert sorted(weight) == [f"m{k:02}" for k in range(40)] and max(weight, key=weight.get) == "m07"
+        shares = np.sum(list(weight.values()), 0)
+        assert np.allclose(shares, 1) if own is None else (shares < 1).all()
+        assert np.corrcoef([r["rf"] for r in told], [y[int(r["key"])] for r in told])[0, 1] > 0.1
+    # Held-out samples don't matter to their predictions.
+    other = y.copy()
+    other[folds == 1] += rng.normal(size=(folds == 1).sum())
+    one, two = ({r["key"]: (r["rf"], r["gb"]) for r in ml.refine_all(markers, v, folds, None, (5, 3)).where("kind = 'prediction' and fold = 1").collect()} for v in (y, other))
+    assert one == two and len(one) == (folds == 1).sum()
+
+
+@pytest.mark.parametrize("kind", ["bytes", "missing"])
+def test_cuts_found_in_parts_are_those_of_the_whole(kind):
+    rng = np.random.default_rng(12)
+    x = rng.binomial(2, 0.4, (50, 30)).astype(np.int8 if kind == "bytes" else float)
+    if kind == "missing":
+        x[rng.random(x.shape) < 0.1] = np.nan
+    xt, weight = ml._coded(x), ml.bootstrap(rng, 5, np.arange(50), 50)
+    grove = ml.Grove(rng.normal(size=50), weight, None, 1)
+    while (asked := grove.ask()) is not None:
+        drawn = ml._drawn(rng, len(asked), 30, 5)
+        whole, parts = ml.best_cuts(xt, asked, drawn, 1), ml._Best(len(asked), 50)
+        for own in np.array_split(rng.permutation(30), 4):
+            parts.look(np.ascontiguousarray(xt[own]), own, asked, drawn, 1)
+        good = whole[0] > 1e-12
+        for a, b in zip(whole, (parts.gain, parts.feature, parts.cut), strict=True):
+            np.testing.assert_allclose(a[good], b[good])
+        assert (parts.above[good] == (xt[whole[1][good]] > whole[2][good, None])).all() and np.isinf(parts.gain[~good]).all()
+        grove.tell(*whole, lambda k, w=whole: xt[w[1][k]] > w[2][k, None])
+
+
+def test_prediction_and_refit_look_at_every_marker(spark, small):
+    from phenoloom.plans import queries as Q
+
+    m, _ = Q._ml_data(spark, small)
+    got = [r["key"] for r in Q.predict_and_refit(spark, small).where("kind = 'importance'").collect()]
+    assert sorted(got) == sorted(r["marker_id"] for r in m.select("marker_id").collect())
